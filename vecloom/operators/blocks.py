@@ -34,24 +34,24 @@ def triangle_groups(own: Column, blocks: Column) -> Column:
     )
 
 
-def left_groups(own: Column, other_blocks: Column, shift: Column = F.lit(0)) -> Column:
+def left_groups(own: Column, other_blocks: Column, shift: Column | int = 0) -> Column:
     """Groups of a left row that meets every block of the right side."""
     return F.when(
         other_blocks > 0,
         F.transform(
             F.sequence(F.lit(0), F.greatest(other_blocks, F.lit(1)) - 1),
-            lambda t: F.struct((own + shift).alias("a"), t.alias("b"), F.lit(0).alias("side")),
+            lambda t: F.struct((own + shift).cast("int").alias("a"), t.alias("b"), F.lit(0).alias("side")),
         ),
     )
 
 
-def right_groups(own: Column, other_blocks: Column, shift: Column = F.lit(0)) -> Column:
+def right_groups(own: Column, other_blocks: Column, shift: Column | int = 0) -> Column:
     """Groups of a right row that is met by every block of the left side."""
     return F.when(
         other_blocks > 0,
         F.transform(
             F.sequence(F.lit(0), F.greatest(other_blocks, F.lit(1)) - 1),
-            lambda t: F.struct((t + shift).alias("a"), own.alias("b"), F.lit(1).alias("side")),
+            lambda t: F.struct((t + shift).cast("int").alias("a"), own.alias("b"), F.lit(1).alias("side")),
         ),
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,13 +72,15 @@ def fit_centroids(
     vector_col: str = "vector",
 ) -> np.ndarray:
     """Centroids of the best of several K-Means starts."""
-    rows = df.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).alias("features"))
+    rows = df.where(F.col(vector_col).isNotNull()).select(
+        array_to_vector(F.col(vector_col).cast("array<double>")).alias("features")
+    )
     n = rows.count()
     if not 1 <= k <= n:
         raise ValueError(f"n_clusters must be between 1 and the {n} rows, got {k}")
     if k == 1:
         # Spark's K-Means needs two clusters; a single one is the mean.
-        means = rows.select(F.posexplode("features")).groupBy("pos").agg(F.avg("col").alias("m"))
+        means = rows.select(F.posexplode(vector_to_array("features"))).groupBy("pos").agg(F.avg("col").alias("m"))
         return np.array([[r["m"] for r in means.orderBy("pos").collect()]])
     if n > train_rows:
         rows = rows.sample(fraction=train_rows / n, seed=seed)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions.encoders import Encoder
+from vecloom.operators.quantize import to_half
 from vecloom.session import materialise
 from vecloom.sources.files import decode_files, list_images
 from vecloom.sources.tables import METADATA, append_vectors, has_metadata, path_exists
@@ -52,9 +53,10 @@ def index_files(
     listing = materialise(list_images(spark, root), "listing")
     listed = listing.count()
     exists = path_exists(spark, table_path)
-    fresh, keep = listing, METADATA
+    fresh, keep, halves = listing, METADATA, False
     if exists:
         table = spark.read.parquet(table_path)
+        halves = table.schema["vector"].dataType.simpleString() == "binary"
         keep = METADATA if has_metadata(table) else []
         if incremental:
             fresh = materialise(new_ids(listing, table), "fresh")
@@ -69,6 +71,8 @@ def index_files(
         F.count_if(F.col("error").isNotNull()).alias("errors"),
     )
     good = decoded.where("error IS NULL").select("id", "vector", *keep)
+    if halves:
+        good = to_half(good)
     indexed = errors = 0
     if waiting:
         if exists:
