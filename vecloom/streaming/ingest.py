@@ -29,7 +29,11 @@ def stream_ingest(
     A batch that is run again adds nothing twice: known ids are skipped, and rejects are
     written under the number of their batch.
     """
-    source = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    source = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .option("recursiveFileLookup", "true")
+    )
     if max_files:
         source = source.option("maxFilesPerTrigger", max_files)
     files = source.load(root).select(
