@@ -28,7 +28,7 @@ from vecloom.operators import (
     search,
 )
 from vecloom.plans import ingest
-from vecloom.session import broadcast_if_small, scratch_path
+from vecloom.session import broadcast_if_small, even_scan, scratch_path
 from vecloom.sources import synthetic, tables
 
 CLASS_NAMES = ["airplane", "automobile", "bird", "cat", "deer", "dog", "frog", "horse"]
@@ -100,7 +100,8 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select(
+    texts = even_scan(read(spark, sf, "documents").select("doc_id", "text"))
+    return texts.select(
         F.col("doc_id").alias("id"), embed(F.col("text"), hashed_words(64)).alias("vector")
     )
 

@@ -27,21 +27,21 @@ def hashed_words(dim: int = 64) -> Encoder:
     modulo ``dim``.
     """
 
-    def load():
-        buckets: dict[str, int] = {}
+    class Buckets(dict):
+        def __missing__(self, word: str) -> int:
+            if len(self) > 1_000_000:
+                self.clear()
+            self[word] = found = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+            return found
 
-        def bucket(word: str) -> int:
-            if word not in buckets:
-                if len(buckets) > 1_000_000:
-                    buckets.clear()
-                buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
-            return buckets[word]
+    def load():
+        bucket = Buckets().__getitem__
 
         def encode(texts: list) -> np.ndarray:
             out = np.zeros((len(texts), dim), np.float32)
             for row, text in enumerate(texts):
-                hits = [bucket(w) for w in text.split(" ") if w]
-                out[row] = np.bincount(hits, minlength=dim)[:dim]
+                words = filter(None, text.split(" "))
+                out[row] = np.bincount(np.fromiter(map(bucket, words), np.int64), minlength=dim)
             return out
 
         return encode

@@ -86,6 +86,13 @@ def as_matrix(column) -> np.ndarray:
     return flat.reshape(n, flat.size // n if n else 0)
 
 
+def with_vectors(batch: pa.RecordBatch, place: int) -> pa.RecordBatch:
+    """The rows whose vector is not null. Done inside the task, since a filter on a column
+    made by a Python encoder would run the encoder a second time."""
+    column = batch.column(place)
+    return batch.filter(column.is_valid()) if column.null_count else batch
+
+
 def as_lists(matrix: np.ndarray) -> pa.Array:
     n, dim = matrix.shape
     offsets = np.arange(n + 1, dtype=np.int32) * dim

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.functions.vectors import as_lists, as_matrix, l2_normalize, unit_rows
+from vecloom.functions.vectors import as_lists, as_matrix, l2_normalize, unit_rows, with_vectors
 from vecloom.operators.clusters import assign_nearest, fit_centroids
 from vecloom.operators.search import filtered, search_topk
 
@@ -43,8 +43,8 @@ def train_codebooks(df: DataFrame, m: int, vector_col: str = "vector", seed: int
 
     All sub-spaces are fitted side by side, one group each, on a sample of bounded size.
     """
+    n = df.count()
     rows = df.where(F.col(vector_col).isNotNull()).select(unit_column(vector_col).alias("v"))
-    n = rows.count()
     if n > PQ_TRAIN_ROWS:
         rows = rows.sample(fraction=PQ_TRAIN_ROWS / n, seed=seed)
     pieces = rows.select(
@@ -93,8 +93,7 @@ def codebook_matrix(codebooks: DataFrame) -> np.ndarray:
 
 def pq_encode(df: DataFrame, codebooks: np.ndarray, vector_col: str = "vector") -> DataFrame:
     """Add ``codes``: one byte per sub-vector."""
-    source = df.where(F.col(vector_col).isNotNull())
-    names = source.columns
+    names = df.columns
     place = names.index(vector_col)
     shipped = df.sparkSession.sparkContext.broadcast(codebooks)
 
@@ -102,6 +101,7 @@ def pq_encode(df: DataFrame, codebooks: np.ndarray, vector_col: str = "vector")
         books = shipped.value
         m, _, width = books.shape
         for batch in batches:
+            batch = with_vectors(batch, place)
             x = unit_rows(as_matrix(batch.column(place)), np.float32).reshape(-1, m, width)
             codes = np.empty((len(x), m), np.uint8)
             for s in range(m):
@@ -115,8 +115,8 @@ def pq_encode(df: DataFrame, codebooks: np.ndarray, vector_col: str = "vector")
             )
             yield pa.RecordBatch.from_arrays([*batch.columns, binary], [*names, "codes"])
 
-    return source.mapInArrow(
-        run, T.StructType(source.schema.fields + [T.StructField("codes", T.BinaryType())])
+    return df.mapInArrow(
+        run, T.StructType(df.schema.fields + [T.StructField("codes", T.BinaryType())])
     )
 
 
@@ -146,7 +146,7 @@ def create_index(
     if head is None:
         raise ValueError("cannot index an empty table")
     m = sub_vector_count(head[0], num_sub_vectors)
-    centroids = fit_cells(rows, min(num_partitions, rows.count()), vector_col)
+    centroids = fit_cells(rows, min(num_partitions, df.count()), vector_col)
     spark = df.sparkSession
     books = train_codebooks(rows, m, vector_col)
     books.write.mode("overwrite").parquet(f"{path}/codebooks")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
+# The groups a row belongs to.
+GROUPS = "array<struct<a:int,b:int,side:int>>"
 
 
 def block_of(key: str, blocks: Column) -> Column:

@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.functions.vectors import as_matrix
-from vecloom.session import BROADCAST_BYTES
+from vecloom.functions.vectors import as_matrix, with_vectors
+from vecloom.session import BROADCAST_BYTES, broadcast_if_small
 
 # Up to this many rows the best of ten starts is kept, above it the best of three.
 MANY_STARTS_UP_TO = 10_000
 # Centroids are fitted on at most this many rows; every row is assigned afterwards.
 TRAIN_ROWS = 2_000_000
+PARALLEL_STARTS = 5
 PRODUCT_CELLS = 4_000_000
 
 
@@ -30,13 +33,12 @@ def assign_nearest(
     centroids = np.asarray(centroids, np.float64)
     if centroids.nbytes > BROADCAST_BYTES:
         raise ValueError("centroid table is larger than the broadcast bound")
-    source = df.where(F.col(vector_col).isNotNull())
-    names = source.columns
+    names = df.columns
     place = names.index(vector_col)
     shipped = df.sparkSession.sparkContext.broadcast(centroids)
     step = max(1, PRODUCT_CELLS // len(centroids))
     schema = T.StructType(
-        source.schema.fields
+        df.schema.fields
         + [T.StructField("cluster", T.IntegerType()), T.StructField("d2", T.DoubleType())]
     )
 
@@ -44,6 +46,7 @@ def assign_nearest(
         points = shipped.value
         lengths = np.einsum("ij,ij->i", points, points)
         for batch in batches:
+            batch = with_vectors(batch, place)
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
                 x = as_matrix(part.column(place)).astype(np.float64)
@@ -59,7 +62,7 @@ def assign_nearest(
                     [*names, "cluster", "d2"],
                 )
 
-    return source.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def fit_centroids(
@@ -72,10 +75,10 @@ def fit_centroids(
     vector_col: str = "vector",
 ) -> np.ndarray:
     """Centroids of the best of several K-Means starts."""
+    n = df.count()  # without the vectors, which a filter on them would read
     rows = df.where(F.col(vector_col).isNotNull()).select(
         array_to_vector(F.col(vector_col).cast("array<double>")).alias("features")
     )
-    n = rows.count()
     if not 1 <= k <= n:
         raise ValueError(f"n_clusters must be between 1 and the {n} rows, got {k}")
     if k == 1:
@@ -84,14 +87,20 @@ def fit_centroids(
         return np.array([[r["m"] for r in means.orderBy("pos").collect()]])
     if n > train_rows:
         rows = rows.sample(fraction=train_rows / n, seed=seed)
-    rows = rows.persist()
+    # At most train_rows rows: even them out, since a sample or a small file may lie in few
+    # partitions and every iteration reads them again.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartition(max(1, min(cores, n // 1000))).persist()
     starts = starts or (10 if n <= MANY_STARTS_UP_TO else 3)
+
+    def fit(start: int):
+        model = KMeans(k=k, seed=seed + start, maxIter=max_iter).fit(rows)
+        return model.summary.trainingCost, start, np.stack(model.clusterCenters())
+
     try:
-        models = [
-            KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(rows) for i in range(starts)
-        ]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        return np.stack([c for c in best.clusterCenters()])
+        # Starts are independent jobs; side by side they fill each other's gaps.
+        with ThreadPool(min(starts, PARALLEL_STARTS)) as pool:
+            return min(pool.map(inheritable_thread_target(fit), range(starts)))[2]
     finally:
         rows.unpersist()
 
@@ -120,11 +129,10 @@ def cluster_groups(
     A cluster may hold any share of the table, so its list comes in parts of about
     ``part_rows`` ids, split by a hash of the id; ``n`` is the size of the whole cluster.
     """
-    # One row per cluster.
-    sizes = assigned.groupBy(cluster_col).agg(F.count("*").alias("n"))
+    sizes = broadcast_if_small(assigned.groupBy(cluster_col).agg(F.count("*").alias("n")))
     digest = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long")
     return (
-        assigned.join(F.broadcast(sizes), cluster_col)
+        assigned.join(sizes, cluster_col)
         .withColumn("part", (digest % F.ceil(F.col("n") / part_rows)).cast("int"))
         .groupBy(F.col(cluster_col).alias("cluster"), "part", "n")
         .agg(F.sort_array(F.collect_list(id_col)).alias("ids"))
@@ -135,13 +143,13 @@ def cluster_preview(
     assigned: DataFrame, n: int = 3, id_col: str = "id", cluster_col: str = "cluster"
 ) -> DataFrame:
     """First n members per cluster, with the count of those not shown."""
-    sizes = assigned.groupBy(cluster_col).agg(F.count("*").alias("size"))
+    sizes = broadcast_if_small(assigned.groupBy(cluster_col).agg(F.count("*").alias("size")))
     first = Window.partitionBy(cluster_col).orderBy(id_col)
     return (
         assigned.select(cluster_col, id_col)
         .withColumn("rank", F.row_number().over(first))
         .where(F.col("rank") <= n)
-        .join(F.broadcast(sizes), cluster_col)
+        .join(sizes, cluster_col)
         .select(
             F.col(cluster_col).alias("cluster"),
             "rank",

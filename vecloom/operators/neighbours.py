@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from vecloom.functions.vectors import as_matrix, unit_rows
 from vecloom.operators import blocks
 from vecloom.operators.cells import assign_cells, choose_anchors
+from vecloom.operators.copies import Copies, collapse, first_members
 from vecloom.operators.search import keep_nearest, nearest_in_batch
 from vecloom.session import materialise
 
@@ -106,52 +107,93 @@ def best_k(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= k)
 
 
-def nearest_join(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    skip_self: bool = False,
-    block_rows: int = blocks.BLOCK_ROWS,
+def cell_nearest(
+    q: DataFrame, c: DataFrame, n: int, k: int, skip_self: bool, block_rows: int
 ) -> DataFrame:
-    """Exact top-k of ``corpus(id, vector)`` for each row of ``queries(qid, qv)``.
+    """Best k of the ``n`` rows c(key, id, vector) for each q(key, id, vector), exactly.
 
     Two passes over metric cells. The first searches each query's own cell; its k-th
     distance bounds how far the query must look, and the second pass copies it only into
     the cells within that reach. Returns (qid, id, distance, rank).
     """
-    key_type = queries.schema["qid"].dataType
-    q = queries.where(F.col("qv").isNotNull()).select(
-        F.col("qid").alias("key"),
-        F.lit(None).cast(corpus.schema["id"].dataType).alias("id"),
-        F.col("qv").alias("vector"),
-    )
-    c = corpus.where(F.col("vector").isNotNull()).select(
-        (F.col("id") if skip_self else F.lit(None).cast(key_type)).alias("key"),
-        "id",
-        "vector",
-    )
-    n = c.count()
     anchors = choose_anchors(c, n, block_rows)
     shape = ["cell", "key", "id", "vector"]
     homes = assign_cells(q, anchors).select(*shape)
     stock = assign_cells(c, anchors).select(*shape)
     if len(anchors) <= 1:
-        found = block_nearest(homes, stock, k, skip_self, block_rows)
-        return best_k(found, k).select("qid", "id", "distance", "rank")
+        return best_k(block_nearest(homes, stock, k, skip_self, block_rows), k)
     near = materialise(
         best_k(block_nearest(homes, stock, k, skip_self, block_rows), k), "nearest-home"
     )
     reach = near.groupBy("qid").agg(
         F.when(F.count("*") >= k, F.sqrt(2.0 * F.max("distance"))).otherwise(F.lit(2.0)).alias("r")
     )
-    looking = (
-        q.join(reach, q["key"] == reach["qid"], "left")
-        .select("key", "id", "vector", F.coalesce("r", F.lit(2.0)).alias("r"))
+    looking = q.join(reach, q["key"] == reach["qid"], "left").select(
+        "key", "id", "vector", F.coalesce("r", F.lit(2.0)).alias("r")
+    )
+    visiting = assign_cells(looking, anchors, radius_col="r").where(~F.col("home")).select(*shape)
+    far = block_nearest(visiting, stock, k, skip_self, block_rows)
+    return best_k(near.select("qid", "id", "distance").unionByName(far), k)
+
+
+def heads(copies: Copies, limit: int) -> DataFrame | None:
+    """The lowest ``limit`` members of each group of copies: no answer needs more."""
+    if copies.members is None:
+        return None
+    return first_members(copies.members, limit).select("rep_id", "self_distance", "id")
+
+
+def with_copies(found: DataFrame, lowest: DataFrame | None) -> DataFrame:
+    """Replace each neighbour that stands for a group by the group's lowest members."""
+    if lowest is None:
+        return found.select("qid", "id", "distance")
+    members = lowest.select(F.col("rep_id").alias("id"), F.col("id").alias("member"))
+    return found.join(members, "id", "left").select(
+        "qid", F.coalesce("member", "id").alias("id"), "distance"
+    )
+
+
+def to_all(found: DataFrame, copies: Copies, k: int, skip_self: bool) -> DataFrame:
+    """Give every row the neighbours of its representative, itself left out."""
+    everyone = copies.reps.select(F.col("key").alias("rep"), F.col("key").alias("qid"))
+    if copies.members is not None:
+        rest = copies.members.where(F.col("key") != F.col("rep_key"))
+        everyone = everyone.unionByName(
+            rest.select(F.col("rep_key").alias("rep"), F.col("key").alias("qid"))
+        )
+    # At most k + 1 entries per representative.
+    lists = found.groupBy(F.col("qid").alias("rep")).agg(
+        F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("near")
+    )
+    joined = everyone.join(lists, "rep")
+    others = F.filter("near", lambda x: x["id"] != F.col("qid")) if skip_self else F.col("near")
+    return joined.select("qid", F.posexplode(F.slice(others, 1, k)).alias("pos", "x")).select(
+        "qid", "x.id", "x.distance", (F.col("pos") + 1).alias("rank")
+    )
+
+
+def nearest_join(
+    queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = blocks.BLOCK_ROWS
+) -> DataFrame:
+    """Exact top-k of ``corpus(id, vector)`` for each row of ``queries(qid, qv)``:
+    (qid, id, distance, rank). Equal vectors on either side are compared once."""
+    n = corpus.count()
+    asked = collapse(
+        queries.where(F.col("qv").isNotNull()).select(
+            F.col("qid").alias("id"), F.col("qid").alias("key"), F.col("qv").alias("vector")
+        ),
+        "queries",
+    )
+    stored = collapse(
+        corpus.where(F.col("vector").isNotNull()).select("id", F.col("id").alias("key"), "vector")
     )
-    copies = assign_cells(looking, anchors, radius_col="r").where(~F.col("home")).select(*shape)
-    far = block_nearest(copies, stock, k, skip_self, block_rows)
-    everything = near.select("qid", "id", "distance").unionByName(far)
-    return best_k(everything, k).select("qid", "id", "distance", "rank")
+    q = asked.reps.select("key", F.lit(None).cast(corpus.schema["id"].dataType).alias("id"), "vector")
+    c = stored.reps.select(F.lit(None).cast(queries.schema["qid"].dataType).alias("key"), "id", "vector")
+    found = cell_nearest(q, c, n, k, False, block_rows)
+    found = best_k(with_copies(found, heads(stored, k)), k)
+    if asked.members is None:
+        return found.select("qid", "id", "distance", "rank")
+    return to_all(found, asked, k, False)
 
 
 def neighbour_graph(
@@ -161,7 +203,22 @@ def neighbour_graph(
     vector_col: str = "vector",
     block_rows: int = blocks.BLOCK_ROWS,
 ) -> DataFrame:
-    """k nearest rows of every row, itself left out: (qid, id, distance, rank)."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    queries = rows.select(F.col("id").alias("qid"), F.col("vector").alias("qv"))
-    return nearest_join(queries, rows, k, skip_self=True, block_rows=block_rows)
+    """k nearest rows of every row, itself left out: (qid, id, distance, rank).
+
+    Ids are unique. Copies are searched once per group: all of a group share its list, in
+    which the group's own lowest ids stand at its self-distance.
+    """
+    n = df.count()
+    copies = collapse(
+        df.where(F.col(vector_col).isNotNull()).select(
+            F.col(id_col).alias("id"), F.col(id_col).alias("key"), F.col(vector_col).alias("vector")
+        )
+    )
+    reps = copies.reps
+    found = cell_nearest(reps, reps, n, k, True, block_rows)
+    if copies.members is None:
+        return found.select("qid", "id", "distance", "rank")
+    lowest = heads(copies, k + 1)
+    own = lowest.select(F.col("rep_id").alias("qid"), "id", F.col("self_distance").alias("distance"))
+    candidates = best_k(with_copies(found, lowest).unionByName(own), k + 1)
+    return to_all(candidates, copies, k, True)

@@ -19,6 +19,8 @@ from vecloom.functions.vectors import (
 )
 from vecloom.operators import blocks
 from vecloom.operators.cells import assign_cells, choose_anchors
+from vecloom.operators.copies import Copies, collapse, expand_pairs
+from vecloom.session import materialise
 
 # Rows of a block compared at a time inside a task.
 STRIP_ROWS = 1024
@@ -121,8 +123,25 @@ def keyed(df: DataFrame, id_col: str, vector_col: str, key_col: str | None) -> D
 
 
 def ordered(pairs: DataFrame, limit: int | None) -> DataFrame:
-    pairs = pairs.orderBy("distance", "id_a", "id_b")
-    return pairs if limit is None else pairs.limit(limit)
+    """Ascending by distance. A global sort reads its input twice, once to find the range
+    bounds, so the pairs are written first and the join runs once."""
+    order = ["distance", "id_a", "id_b"]
+    if limit is not None:
+        return pairs.orderBy(*order).limit(limit)
+    return materialise(pairs, "pairs").orderBy(*order)
+
+
+def finished(
+    found: DataFrame,
+    copies: Copies,
+    threshold: float,
+    limit: int | None,
+    with_keys: bool,
+    block_rows: int,
+) -> DataFrame:
+    if copies.members is not None:
+        found = expand_pairs(found, copies.members, threshold, limit, block_rows)
+    return ordered(oriented(found, with_keys), limit)
 
 
 def duplicate_pairs(
@@ -136,44 +155,51 @@ def duplicate_pairs(
 ) -> DataFrame:
     """Exact near-duplicate self-join: (id_a, id_b, distance), ascending by distance.
 
-    Rows meet only inside metric cells, so far-apart regions are never compared.
-    ``key_col`` names a unique row key where ids may repeat. ``limit`` keeps the first
-    pairs only, and every block then emits no more than it can contribute to them.
+    Copies are joined once for all, and other rows meet only inside metric cells, so
+    far-apart regions are never compared. ``key_col`` names a unique row key where ids may
+    repeat. ``limit`` keeps the first pairs only, and every block then emits no more than
+    it can contribute to them.
     """
-    rows = keyed(df, id_col, vector_col, key_col)
-    n = rows.count()
+    n = df.count()
+    copies = collapse(keyed(df, id_col, vector_col, key_col))
+    found = cell_pairs(copies.reps, n, threshold, limit, block_rows)
+    return finished(found, copies, threshold, limit, key_col is not None, block_rows)
+
+
+def cell_pairs(
+    rows: DataFrame, n: int, threshold: float, limit: int | None, block_rows: int
+) -> DataFrame:
+    """Pairs of about ``n`` rows (id, key, vector) that meet in some metric cell."""
     anchors = choose_anchors(rows, n, block_rows)
     radius = math.sqrt(2.0 * max(threshold, 0.0))
     placed = assign_cells(rows, anchors, radius=radius, later_cells_only=True)
     if len(anchors) <= 1:
-        homes = F.lit(max(1, -(-n // block_rows)))
-        copies = F.lit(0)
+        homes, copied = F.lit(max(1, -(-n // block_rows))), F.lit(0)
     else:
-        # At most two counts per anchor.
+        # One row per anchor.
         sizes = placed.groupBy("cell").agg(
             blocks.blocks_needed(F.count_if("home"), block_rows).alias("homes"),
-            blocks.blocks_needed(F.count_if(~F.col("home")), block_rows).alias("copies"),
+            blocks.blocks_needed(F.count_if(~F.col("home")), block_rows).alias("copied"),
         )
         placed = placed.join(F.broadcast(sizes), "cell").where("homes > 0")
-        homes, copies = F.col("homes"), F.col("copies")
+        homes, copied = F.col("homes"), F.col("copied")
+    own = blocks.block_of("key", homes)
     at_home = F.concat(
-        blocks.triangle_groups(blocks.block_of("key", homes), homes),
-        F.coalesce(
-            blocks.right_groups(blocks.block_of("key", homes), copies, homes),
-            F.array().cast("array<struct<a:int,b:int,side:int>>"),
-        ),
+        blocks.triangle_groups(own, homes),
+        F.coalesce(blocks.right_groups(own, copied, homes), F.array().cast(blocks.GROUPS)),
     )
-    as_copy = blocks.left_groups(
-        blocks.block_of("key", F.greatest(copies, F.lit(1))), homes, homes
+    visiting = blocks.left_groups(
+        blocks.block_of("key", F.greatest(copied, F.lit(1))), homes, homes
     )
     grouped = blocks.spread(
-        placed.select("cell", "home", "id", "key", "vector", homes.alias("homes"), copies.alias("copies")),
-        F.when(F.col("home"), at_home).otherwise(as_copy),
+        placed.select(
+            "cell", "home", "id", "key", "vector", homes.alias("homes"), copied.alias("copied")
+        ),
+        F.when(F.col("home"), at_home).otherwise(visiting),
     ).select("cell", "a", "b", "side", "id", "key", "vector")
-    found = grouped.groupBy("cell", "a", "b").applyInArrow(
+    return grouped.groupBy("cell", "a", "b").applyInArrow(
         pair_kernel(threshold, limit), pair_schema(rows)
     )
-    return ordered(oriented(found, key_col is not None), limit)
 
 
 def hash_plan(n: int, threshold: float, recall: float, bucket_rows: int) -> tuple[int, int]:
@@ -230,9 +256,11 @@ def duplicate_pairs_hashed(
     """
     if threshold > 1.0:
         return duplicate_pairs(df, threshold, limit, id_col, vector_col, key_col, block_rows)
+    n = df.count()
     rows = keyed(df, id_col, vector_col, key_col).where(F.exists("vector", lambda x: x != 0))
-    bits, tables = hash_plan(rows.count(), threshold, recall, bucket_rows)
-    coded = sign_hashes(rows, bits, tables)
+    copies = collapse(rows)
+    bits, tables = hash_plan(n, threshold, recall, bucket_rows)
+    coded = sign_hashes(copies.reps, bits, tables)
     buckets = coded.select("*", F.posexplode("sigs").alias("tag", "code"))
     # Only buckets of more than one block need a count; there are few of them.
     hot = (
@@ -252,4 +280,4 @@ def duplicate_pairs_hashed(
     found = grouped.groupBy("tag", "code", "a", "b").applyInArrow(
         pair_kernel(threshold, limit), pair_schema(rows)
     )
-    return ordered(oriented(found, key_col is not None), limit)
+    return finished(found, copies, threshold, limit, key_col is not None, block_rows)

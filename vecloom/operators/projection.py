@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,11 +72,15 @@ def project(df: DataFrame, n_components: int = 2, **columns) -> DataFrame:
     )
 
 
-def grid_boxes(points: DataFrame, axes: tuple[str, ...]) -> np.ndarray:
+def placed(points: DataFrame, axes: tuple[str, ...]) -> tuple[DataFrame, dict]:
+    """Write the points of a round; their bounds are observed on the way."""
+    seen = Observation()
+    edges = [F.min(a).alias(f"lo_{a}") for a in axes] + [F.max(a).alias(f"hi_{a}") for a in axes]
+    return materialise(points.observe(seen, *edges), "layout"), seen.get
+
+
+def grid_boxes(points: DataFrame, bounds: dict, axes: tuple[str, ...]) -> np.ndarray:
     """Counts and centres of the occupied grid boxes: a bounded summary of all points."""
-    bounds = points.agg(
-        *[F.min(a).alias(f"lo_{a}") for a in axes], *[F.max(a).alias(f"hi_{a}") for a in axes]
-    ).first()
     per_axis = GRID[len(axes)]
     boxes = []
     for a in axes:
@@ -147,12 +151,12 @@ def layout(
         "layout-edges",
     )
     size = start.agg(*[F.stddev(a).alias(a) for a in axes]).first()
-    points = materialise(
-        start.select("id", *[(F.col(a) / (size[a] or 1.0)).alias(a) for a in axes]), "layout"
+    points, bounds = placed(
+        start.select("id", *[(F.col(a) / (size[a] or 1.0)).alias(a) for a in axes]), axes
     )
     for turn in range(rounds):
         pace = step * (1.0 - turn / (2.0 * rounds))
-        boxes = grid_boxes(points, axes)
+        boxes = grid_boxes(points, bounds, axes)
         ends = points.select(F.col("id").alias("dst"), *axes)
         # Partial sums by source, so a row with very many neighbours is combined early.
         middle = (
@@ -173,7 +177,7 @@ def layout(
                 for a in axes
             ],
         )
-        points = materialise(moved, "layout")
+        points, bounds = placed(moved, axes)
     return points
 
 

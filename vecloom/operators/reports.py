@@ -10,7 +10,7 @@ from vecloom.session import broadcast_if_small
 # Groups up to this size use the built-in exact percentile, which holds a group's
 # distinct values in one task.
 PERCENTILE_ROWS = 5_000_000
-SPLITS = 1000
+SPLITS = 250
 
 
 def throughput(amount: Column, seconds: Column) -> Column:

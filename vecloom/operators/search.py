@@ -16,6 +16,7 @@ from vecloom.functions.vectors import (
     paired_cosine_distance,
     screen_margin,
     unit_rows,
+    with_vectors,
 )
 from vecloom.session import require_columns, take_bounded
 
@@ -77,6 +78,7 @@ def topk_kernel(queries, k: int):
         best = None
         bound = np.full(len(matrix), -np.inf)
         for batch in batches:
+            batch = with_vectors(batch, 1)
             if batch.num_rows == 0:
                 continue
             ids = batch.column(0)
@@ -97,7 +99,7 @@ def topk_kernel(queries, k: int):
 def nearest_rows(df: DataFrame, queries: np.ndarray, k: int, id_col: str, vector_col: str):
     """(q, distance, id): at most k rows per query and per input partition."""
     shipped = df.sparkSession.sparkContext.broadcast(unit_rows(np.asarray(queries)))
-    source = df.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
+    source = df.select(id_col, vector_col)
     schema = T.StructType(
         [
             T.StructField("q", T.LongType()),
@@ -145,7 +147,7 @@ def search_batch(
     a larger one is joined block by block.
     """
     corpus = filtered(df, where)
-    source = queries.where(F.col(qvec_col).isNotNull()).select(qid_col, qvec_col)
+    source = queries.select(qid_col, qvec_col)
     table = take_bounded(source, max_broadcast_queries)
     if table is None:
         from vecloom.operators.neighbours import nearest_join
@@ -155,6 +157,7 @@ def search_batch(
             corpus.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")),
             k,
         )
+    table = table.filter(table.column(1).is_valid())
     if table.num_rows == 0:
         schema = T.StructType(
             [

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # Most bytes of driver-collected data that may be shipped to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# A usual input split.
+SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -61,3 +63,19 @@ def require_columns(df: DataFrame, names) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"table has no column {missing}; it has {df.columns}")
+
+
+def even_scan(scan: DataFrame) -> DataFrame:
+    """A plain scan ahead of costly per-row work. One whose files would fill few of the
+    cores, such as a small table in one file, is spread over them; its size is checked, and
+    a larger one is left alone."""
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = scan.inputFiles()
+    if 2 * len(files) > cores:
+        return scan
+    size = 0
+    for name in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return scan.repartition(cores) if size < cores * SPLIT_BYTES else scan
