@@ -18,6 +18,8 @@ from vecloom.operators.search import keep_nearest, nearest_in_batch
 from vecloom.session import materialise
 
 STRIP_ROWS = 1024
+# Greatest Euclidean distance of two unit vectors, with room for rounding.
+FARTHEST = 2.001
 
 
 def nearest_kernel(k: int, skip_self: bool):
@@ -33,12 +35,14 @@ def nearest_kernel(k: int, skip_self: bool):
             return
         vectors = as_matrix(table.column("vector"))
         queries = unit_rows(vectors[left])
+        # No row farther than what the query has already found can enter its list.
+        known = 1.0 - table.column("r").to_numpy()[left] ** 2 / 2.0
         places = pa.array(right)
         keep = k + 1 if skip_self else k
         ids, key = table.column("id"), table.column("key")
         for lo in range(0, len(left), STRIP_ROWS):
             strip = queries[lo : lo + STRIP_ROWS]
-            bound = np.full(len(strip), -np.inf)
+            bound = known[lo : lo + STRIP_ROWS]
             found = nearest_in_batch(places, vectors[right], strip, keep, bound)
             q = left[found.column("q").to_numpy() + lo]
             other = found.column("id").to_numpy()
@@ -65,7 +69,8 @@ def nearest_kernel(k: int, skip_self: bool):
 def block_nearest(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool, block_rows: int):
     """Best k per query and block, for rows placed in cells.
 
-    ``queries`` and ``corpus`` are (cell, key, id, vector); rows meet within a cell.
+    ``queries`` and ``corpus`` are (cell, key, id, vector, r); rows meet within a cell, and
+    a query looks no farther than its reach ``r``.
     """
     counts = (
         queries.select("cell", F.lit(1).alias("q"), F.lit(0).alias("c"))
@@ -79,14 +84,14 @@ def block_nearest(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool
     )
     # One row per cell, and cells are bounded by the anchors.
     sizes = F.broadcast(counts)
-    shape = ["cell", "key", "id", "vector", "q_blocks", "c_blocks"]
+    shape = ["cell", "key", "id", "vector", "r", "q_blocks", "c_blocks"]
     q = queries.join(sizes, "cell").select(*shape)
     c = corpus.join(sizes, "cell").select(*shape)
     q_own = blocks.block_of("key", F.col("q_blocks"))
     c_own = blocks.block_of("id", F.col("c_blocks"))
     left = blocks.spread(q, blocks.left_groups(q_own, F.col("c_blocks")))
     right = blocks.spread(c, blocks.right_groups(c_own, F.col("q_blocks")))
-    columns = ["cell", "a", "b", "side", "key", "id", "vector"]
+    columns = ["cell", "a", "b", "side", "key", "id", "vector", "r"]
     schema = T.StructType(
         [
             T.StructField("qid", queries.schema["key"].dataType),
@@ -117,7 +122,7 @@ def cell_nearest(
     the cells within that reach. Returns (qid, id, distance, rank).
     """
     anchors = choose_anchors(c, n, block_rows)
-    shape = ["cell", "key", "id", "vector"]
+    shape = ["cell", "key", "id", "vector", F.lit(FARTHEST).alias("r")]
     homes = assign_cells(q, anchors).select(*shape)
     stock = assign_cells(c, anchors).select(*shape)
     if len(anchors) <= 1:
@@ -126,12 +131,12 @@ def cell_nearest(
         best_k(block_nearest(homes, stock, k, skip_self, block_rows), k), "nearest-home"
     )
     reach = near.groupBy("qid").agg(
-        F.when(F.count("*") >= k, F.sqrt(2.0 * F.max("distance"))).otherwise(F.lit(2.0)).alias("r")
+        F.when(F.count("*") >= k, F.sqrt(2.0 * F.max("distance"))).otherwise(F.lit(FARTHEST)).alias("r")
     )
     looking = q.join(reach, q["key"] == reach["qid"], "left").select(
-        "key", "id", "vector", F.coalesce("r", F.lit(2.0)).alias("r")
+        "key", "id", "vector", F.coalesce("r", F.lit(FARTHEST)).alias("r")
     )
-    visiting = assign_cells(looking, anchors, radius_col="r").where(~F.col("home")).select(*shape)
+    visiting = assign_cells(looking, anchors, radius_col="r").where(~F.col("home"))
     far = block_nearest(visiting, stock, k, skip_self, block_rows)
     return best_k(near.select("qid", "id", "distance").unionByName(far), k)
 

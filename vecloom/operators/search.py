@@ -58,11 +58,11 @@ def nearest_in_batch(ids, rows: np.ndarray, queries: np.ndarray, k: int, bound:
     for lo in range(0, len(queries), QUERY_SLICE):
         chunk = queries[lo : lo + QUERY_SLICE]
         sims = rows32 @ chunk.astype(np.float32).T
-        floor = bound[lo : lo + QUERY_SLICE] - slack
-        if len(rows) > k:
+        near = sims >= bound[lo : lo + QUERY_SLICE] - slack
+        if len(rows) > k and np.count_nonzero(near) > 4 * k * len(chunk):
             kth = np.partition(sims, len(rows) - k, axis=0)[len(rows) - k]
-            floor = np.maximum(floor, kth - slack)
-        r, q = np.nonzero(sims >= floor[None, :])
+            near &= sims >= kth - slack
+        r, q = np.nonzero(near)
         distance = paired_cosine_distance(rows64[r], chunk[q])
         parts.append(
             pa.table({"q": pa.array(q + lo), "distance": distance, "id": ids.take(pa.array(r))})
