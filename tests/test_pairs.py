@@ -93,3 +93,26 @@ def test_hash_plan_reaches_the_recall():
 
 def test_no_rows(make_table):
     assert duplicate_pairs(make_table(np.empty((0, 4)), []), 0.1).count() == 0
+
+
+def test_hot_copies_with_small_blocks(make_table, distances):
+    """Groups of copies larger than a block, near one another, and a limit over them."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((90, 6)).astype(np.float32)
+    v[0:40] = v[0]
+    v[40:60] = v[0] + 0.01
+    order = rng.permutation(90)
+    frame = make_table(v[order], list(range(90)))
+    want = expected(v[order], 0.01, distances)
+    assert len(want) > 60 * 59 // 2 - 1
+    everything = duplicate_pairs(frame, 0.01, block_rows=9)
+    assert set(found(everything)) == set(want)
+    first = duplicate_pairs(frame, 0.01, limit=30, block_rows=9).collect()
+    assert first == everything.limit(30).collect()
+
+
+def test_repeated_ids_of_copies(spark):
+    rows = [("x", f"k{i}", [1.0, 0.0]) for i in range(5)] + [("y", "k9", [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "id string, row_key string, vector array<float>")
+    got = duplicate_pairs(frame, 0.05, key_col="row_key", block_rows=2).collect()
+    assert len({(r["key_a"], r["key_b"]) for r in got}) == len(got) == 10

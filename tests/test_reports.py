@@ -5,23 +5,23 @@ from pyspark.sql import functions as F
 from vecloom.operators.reports import exact_percentiles, latency_summary, scaling_factor, throughput
 
 
-@pytest.mark.parametrize("in_memory_rows", [10_000_000, 10])
-def test_percentiles(spark, in_memory_rows):
+def test_percentiles(spark):
     rng = np.random.default_rng(0)
     rows = [("hot", 5.0)] * 1500 + [("hot", float(x)) for x in rng.random(3000) * 10]
     rows += [("small", float(x)) for x in rng.random(7)] + [("one", 2.5)]
     frame = spark.createDataFrame(rows, "name string, ms double")
     qs = [0.0, 0.1, 0.5, 0.95, 0.99, 1.0]
-    got = exact_percentiles(frame, "name", "ms", qs, in_memory_rows).collect()
+    got = exact_percentiles(frame, "name", "ms", qs).collect()
     assert len(got) == 18
     for r in got:
         sample = [v for n, v in rows if n == r["name"]]
         assert r["value"] == pytest.approx(np.percentile(sample, 100 * r["q"]), abs=1e-9)
 
 
-def test_latency_summary(spark):
+@pytest.mark.parametrize("in_memory_rows", [10_000, 10])
+def test_latency_summary(spark, in_memory_rows):
     frame = spark.createDataFrame([("a", float(x)) for x in range(101)], "d string, ms double")
-    row = latency_summary(frame, "d", "ms").first()
+    row = latency_summary(frame, "d", "ms", in_memory_rows=in_memory_rows).first()
     assert (row["mean"], row["p50"], row["p95"], row["p99"]) == (50.0, 50.0, 95.0, 99.0)
     assert (row["min"], row["max"]) == (0.0, 100.0)
 

@@ -115,9 +115,13 @@ def screen_margin(dim: int) -> float:
     return (dim + 16) * 2.0**-23
 
 
-def paired_cosine_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-by-row cosine distance of unit rows in double.
+def cosine_distances(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of the unit rows a[i] and b[j] in double, a bounded number at a time.
 
     Rounded to twelve decimals, so that copies tie exactly whatever block they fall in.
     """
-    return np.round(1.0 - np.einsum("ij,ij->i", a, b), 12) + 0.0
+    out = np.empty(len(i))
+    for lo in range(0, len(i), 8192):
+        part = slice(lo, lo + 8192)
+        out[part] = 1.0 - np.einsum("ij,ij->i", a[i[part]], b[j[part]])
+    return np.round(out, 12) + 0.0

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from vecloom.functions.vectors import (
     as_matrix,
-    paired_cosine_distance,
+    cosine_distances,
     screen_margin,
     unit_rows,
 )
@@ -55,9 +55,9 @@ def pair_kernel(threshold: float, limit: int | None):
             if same:
                 close &= np.arange(len(right))[None, :] > (lo + np.arange(len(strip)))[:, None]
             i, j = np.nonzero(close)
-            exact = 1.0 - np.einsum("ij,ij->i", strip[i], right[j])
-            below = exact < threshold
-            yield i[below] + lo, j[below]
+            distance = cosine_distances(strip, i, right, j)
+            below = distance < threshold
+            yield i[below] + lo, j[below], distance[below]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).combine_chunks()
@@ -74,14 +74,13 @@ def pair_kernel(threshold: float, limit: int | None):
             sigs = as_matrix(table.column("sigs"))
             tag = table.column("tag")[0].as_py()
         ids, keys = table.column("id"), table.column("key")
-        for i, j in matches(vectors[left], vectors[right], same):
+        for i, j, distance in matches(vectors[left], vectors[right], same):
             i, j = left[i], right[j]
             if hashed and len(i):
-                first = np.argmax(sigs[i] == sigs[j], axis=1)
-                i, j = i[first == tag], j[first == tag]
+                first = np.argmax(sigs[i] == sigs[j], axis=1) == tag
+                i, j, distance = i[first], j[first], distance[first]
             if not len(i):
                 continue
-            distance = paired_cosine_distance(vectors[i], vectors[j])
             if limit is not None and len(i) > limit:
                 # Ties at the cut are all kept; the final sort settles them by id.
                 cut = np.partition(distance, limit - 1)[limit - 1]
@@ -183,19 +182,18 @@ def cell_pairs(
         )
         placed = placed.join(F.broadcast(sizes), "cell").where("homes > 0")
         homes, copied = F.col("homes"), F.col("copied")
-    own = blocks.block_of("key", homes)
+    placed = placed.select(
+        "cell", "home", "id", "key", "vector", homes.alias("homes"), copied.alias("copied")
+    ).withColumn(
+        "own", blocks.block_of("key", F.when(F.col("home"), F.col("homes")).otherwise(F.col("copied")))
+    )
+    own, homes, copied = F.col("own"), F.col("homes"), F.col("copied")
     at_home = F.concat(
         blocks.triangle_groups(own, homes),
         F.coalesce(blocks.right_groups(own, copied, homes), F.array().cast(blocks.GROUPS)),
     )
-    visiting = blocks.left_groups(
-        blocks.block_of("key", F.greatest(copied, F.lit(1))), homes, homes
-    )
     grouped = blocks.spread(
-        placed.select(
-            "cell", "home", "id", "key", "vector", homes.alias("homes"), copied.alias("copied")
-        ),
-        F.when(F.col("home"), at_home).otherwise(visiting),
+        placed, F.when(F.col("home"), at_home).otherwise(blocks.left_groups(own, homes, homes))
     ).select("cell", "a", "b", "side", "id", "key", "vector")
     return grouped.groupBy("cell", "a", "b").applyInArrow(
         pair_kernel(threshold, limit), pair_schema(rows)

@@ -17,32 +17,25 @@ def throughput(amount: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, amount / seconds).otherwise(F.lit(0.0))
 
 
+def fits_in_memory(df: DataFrame, group_col: str, max_rows: int) -> bool:
+    largest = df.groupBy(group_col).count().agg(F.max("count")).first()[0]
+    return (largest or 0) <= max_rows
+
+
 def exact_percentiles(
-    df: DataFrame,
-    group_col: str,
-    value_col: str,
-    quantiles: list[float],
-    in_memory_rows: int = PERCENTILE_ROWS,
+    df: DataFrame, group_col: str, value_col: str, quantiles: list[float]
 ) -> DataFrame:
-    """(group, q, value): exact percentiles with linear interpolation.
+    """(group, q, value): exact percentiles with linear interpolation, for groups of any size.
 
-    For groups too large for one task the order statistics are found in two passes: a
-    mergeable sketch cuts each group into slices of a bounded share of rows, slice counts
-    say which slices hold the wanted ranks, and only those are sorted. Equal values are
-    counted together first, so a value that fills a third of the table is one row.
+    The order statistics are found in two passes: a mergeable sketch cuts each group into
+    slices of a bounded share of its rows, slice counts say which slices hold the wanted
+    ranks, and only those are sorted. Equal values are counted together first, so a value
+    that fills a third of the table is one row.
     """
     rows = df.where(F.col(value_col).isNotNull()).select(
         F.col(group_col).alias("grp"), F.col(value_col).cast("double").alias("val")
     )
     wanted = F.array(*[F.lit(float(q)) for q in quantiles])
-    largest = rows.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    if largest <= in_memory_rows:
-        found = rows.groupBy("grp").agg(F.percentile("val", wanted).alias("p"))
-        return found.select(
-            F.col("grp").alias(group_col),
-            F.explode(F.arrays_zip(wanted.alias("q"), F.col("p").alias("p"))).alias("z"),
-        ).select(group_col, F.col("z.q").alias("q"), F.col("z.p").alias("value"))
-
     counted = rows.groupBy("grp", "val").agg(F.count("*").alias("n"))
     cuts = rows.groupBy("grp").agg(
         F.percentile_approx(
@@ -89,25 +82,45 @@ def exact_percentiles(
     )
 
 
+TAILS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
 def latency_summary(
-    df: DataFrame, group_col: str, value_col: str, digits: int = 2, **percentile_options
+    df: DataFrame,
+    group_col: str,
+    value_col: str,
+    digits: int = 2,
+    extra: dict[str, Column] | None = None,
+    in_memory_rows: int = PERCENTILE_ROWS,
 ) -> DataFrame:
-    """Mean, p50, p95, p99, min and max of a sample per group, rounded."""
-    tails = exact_percentiles(df, group_col, value_col, [0.5, 0.95, 0.99], **percentile_options)
-    tails = tails.groupBy(group_col).agg(
-        *[
-            F.max(F.when(F.col("q") == q, F.col("value"))).alias(name)
-            for q, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))
-        ]
-    )
-    basic = df.groupBy(group_col).agg(
+    """Mean, p50, p95, p99, min and max of a sample per group, rounded, and any ``extra``
+    aggregates of the same rows. All of it is one aggregation where every group is small
+    enough for the built-in percentile."""
+    extra = extra or {}
+    basic = [
         F.avg(value_col).alias("mean"),
         F.min(value_col).alias("min"),
         F.max(value_col).alias("max"),
-    )
-    return basic.join(tails, group_col, "left").select(
+        *[c.alias(name) for name, c in extra.items()],
+    ]
+    if fits_in_memory(df, group_col, in_memory_rows):
+        tails = F.percentile(value_col, F.array(*[F.lit(q) for q in TAILS.values()]))
+        summary = df.groupBy(group_col).agg(*basic, tails.alias("tails")).select(
+            "*", *[F.element_at("tails", i + 1).alias(name) for i, name in enumerate(TAILS)]
+        )
+    else:
+        found = exact_percentiles(df, group_col, value_col, list(TAILS.values()))
+        tails = found.groupBy(group_col).agg(
+            *[
+                F.max(F.when(F.col("q") == q, F.col("value"))).alias(name)
+                for name, q in TAILS.items()
+            ]
+        )
+        summary = df.groupBy(group_col).agg(*basic).join(tails, group_col, "left")
+    return summary.select(
         group_col,
         *[F.round(c, digits).alias(c) for c in ("mean", "p50", "p95", "p99", "min", "max")],
+        *extra,
     )
 
 
@@ -127,16 +140,12 @@ def bench_report(
 ) -> DataFrame:
     """One comparison row per dataset: size, time, throughput, median and tail latency."""
     seconds = F.sum(seconds_col) if seconds_col else F.sum(latency_col) / 1000.0
-    volume = runs.groupBy(dataset_col).agg(
-        F.count("*").alias("n"), F.round(seconds, 1).alias("time_s"),
-        F.round(throughput(F.count("*"), seconds), 1).alias("per_s"),
-    )
-    latency = latency_summary(runs, dataset_col, latency_col)
-    return volume.join(latency, dataset_col).select(
+    volume = {"n": F.count("*"), "seconds": seconds}
+    return latency_summary(runs, dataset_col, latency_col, extra=volume).select(
         F.col(dataset_col).alias("dataset"),
         "n",
-        "time_s",
-        "per_s",
+        F.round("seconds", 1).alias("time_s"),
+        F.round(throughput(F.col("n"), F.col("seconds")), 1).alias("per_s"),
         F.col("mean").alias("query_mean_ms"),
         F.col("p50").alias("query_p50_ms"),
         F.col("p95").alias("query_p95_ms"),

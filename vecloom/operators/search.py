@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from vecloom.functions.vectors import (
     as_matrix,
-    paired_cosine_distance,
+    cosine_distances,
     screen_margin,
     unit_rows,
     with_vectors,
@@ -63,7 +63,7 @@ def nearest_in_batch(ids, rows: np.ndarray, queries: np.ndarray, k: int, bound:
             kth = np.partition(sims, len(rows) - k, axis=0)[len(rows) - k]
             near &= sims >= kth - slack
         r, q = np.nonzero(near)
-        distance = paired_cosine_distance(rows64[r], chunk[q])
+        distance = cosine_distances(rows64, r, chunk, q)
         parts.append(
             pa.table({"q": pa.array(q + lo), "distance": distance, "id": ids.take(pa.array(r))})
         )
@@ -184,5 +184,10 @@ def distinct_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def preview_sample(df: DataFrame, n: int = 8, seed: int = 0) -> DataFrame:
-    """n random rows out of the first 8n: a look at the table without a full scan."""
-    return df.limit(8 * n).orderBy(F.rand(seed)).limit(n)
+    """n random rows out of the first 8n: a look at the table without a full scan.
+
+    Taking rows to the driver stops at the first partitions that have enough of them; a
+    limit inside the plan would start a task for every partition.
+    """
+    head = df.sparkSession.createDataFrame(df.take(8 * n), df.schema)
+    return head.orderBy(F.rand(seed)).limit(n)

@@ -16,7 +16,7 @@ FILES_PER_TASK = 2048
 
 def new_ids(listing: DataFrame, known: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows of the listing whose id is not in the table. Ids alone are compared."""
-    return listing.join(known.select(id_col).distinct(), id_col, "left_anti")
+    return listing.join(known.select(id_col), id_col, "left_anti")
 
 
 def ingest_counters(

@@ -48,15 +48,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def take_bounded(df: DataFrame, max_rows: int) -> pa.Table | None:
     """Bring ``df`` to the driver if it has at most ``max_rows`` rows, else None."""
-    table = df.limit(max_rows + 1).toArrow()
-    return None if table.num_rows > max_rows else table
+    return df.toArrow() if df.count() <= max_rows else None
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast only after checking the row count; otherwise leave the join
     strategy to Spark."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def require_columns(df: DataFrame, names) -> None:
