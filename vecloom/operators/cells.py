@@ -64,13 +64,15 @@ def assign_cells(
     radius: float | None = None,
     radius_col: str | None = None,
     later_cells_only: bool = False,
+    home_col: str | None = None,
     vector_col: str = "vector",
 ) -> DataFrame:
     """Add (cell, home): one row for the home cell and one per further cell in reach.
 
     The reach is a constant ``radius`` or a column; with neither, only homes are given.
     ``later_cells_only`` keeps copies only in cells numbered above the home, enough for
-    a symmetric join.
+    a symmetric join. ``home_col`` gives homes found before: two anchors can be equally
+    near up to rounding, so passes that must agree share one assignment.
     """
     if len(anchors) <= 1:
         return df.withColumn("cell", F.lit(0)).withColumn("home", F.lit(True))
@@ -78,6 +80,7 @@ def assign_cells(
     names = df.columns
     place = names.index(vector_col)
     reach = names.index(radius_col) if radius_col else None
+    given = names.index(home_col) if home_col else None
     step = max(1, PRODUCT_CELLS // len(anchors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +94,11 @@ def assign_cells(
                 x = unit_rows(as_matrix(part.column(place)), np.float32)
                 # |x - c|^2 without its |x|^2 term, which cancels in every comparison.
                 d2 = lengths[None, :] - 2.0 * (x @ points.T)
-                home = np.argmin(d2, axis=1)
+                home = (
+                    np.argmin(d2, axis=1)
+                    if given is None
+                    else part.column(given).to_numpy(zero_copy_only=False)
+                )
                 inside = numbers[None, :] == home[:, None]
                 if radius is not None or reach is not None:
                     r = (

@@ -123,20 +123,24 @@ def cell_nearest(
     """
     anchors = choose_anchors(c, n, block_rows)
     shape = ["cell", "key", "id", "vector", F.lit(FARTHEST).alias("r")]
-    homes = assign_cells(q, anchors).select(*shape)
-    stock = assign_cells(c, anchors).select(*shape)
     if len(anchors) <= 1:
+        homes, stock = (assign_cells(t, anchors).select(*shape) for t in (q, c))
         return best_k(block_nearest(homes, stock, k, skip_self, block_rows), k)
+    # Both passes use one assignment, so it is written.
+    stock = materialise(assign_cells(c, anchors).select(*shape), "cells")
+    homes = stock if q is c else materialise(assign_cells(q, anchors).select(*shape), "cells")
     near = materialise(
         best_k(block_nearest(homes, stock, k, skip_self, block_rows), k), "nearest-home"
     )
     reach = near.groupBy("qid").agg(
         F.when(F.count("*") >= k, F.sqrt(2.0 * F.max("distance"))).otherwise(F.lit(FARTHEST)).alias("r")
     )
-    looking = q.join(reach, q["key"] == reach["qid"], "left").select(
-        "key", "id", "vector", F.coalesce("r", F.lit(FARTHEST)).alias("r")
+    looking = homes.drop("r").join(reach, homes["key"] == reach["qid"], "left").select(
+        "key", "id", "vector", F.col("cell").alias("from_cell"),
+        F.coalesce("r", F.lit(FARTHEST)).alias("r"),
     )
-    visiting = assign_cells(looking, anchors, radius_col="r").where(~F.col("home"))
+    visiting = assign_cells(looking, anchors, radius_col="r", home_col="from_cell")
+    visiting = visiting.where(~F.col("home"))
     far = block_nearest(visiting, stock, k, skip_self, block_rows)
     return best_k(near.select("qid", "id", "distance").unionByName(far), k)
 

@@ -180,12 +180,14 @@ def cell_pairs(
             blocks.blocks_needed(F.count_if("home"), block_rows).alias("homes"),
             blocks.blocks_needed(F.count_if(~F.col("home")), block_rows).alias("copied"),
         )
-        placed = placed.join(F.broadcast(sizes), "cell").where("homes > 0")
-        homes, copied = F.col("homes"), F.col("copied")
+        # The counts only steer the cutting: a cell they miss still gets one block.
+        placed = placed.join(F.broadcast(sizes), "cell", "left")
+        homes, copied = (F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) for c in ("homes", "copied"))
     placed = placed.select(
         "cell", "home", "id", "key", "vector", homes.alias("homes"), copied.alias("copied")
     ).withColumn(
-        "own", blocks.block_of("key", F.when(F.col("home"), F.col("homes")).otherwise(F.col("copied")))
+        "own",
+        blocks.block_of("key", F.when(F.col("home"), F.col("homes")).otherwise(F.col("copied"))),
     )
     own, homes, copied = F.col("own"), F.col("homes"), F.col("copied")
     at_home = F.concat(
