@@ -31,7 +31,8 @@ from vecloom.plans import ingest
 from vecloom.session import broadcast_if_small, even_scan, scratch_path
 from vecloom.sources import synthetic, tables
 
-CLASS_NAMES = ["airplane", "automobile", "bird", "cat", "deer", "dog", "frog", "horse"]
+# Fewer names than labels, so that some rows have none.
+CLASS_NAMES = ["red", "orange", "yellow", "green", "blue", "indigo", "violet", "grey"]
 
 
 # -- Inputs ---------------------------------------------------------------------------

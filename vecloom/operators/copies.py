@@ -63,9 +63,9 @@ def collapse(rows: DataFrame, label: str = "copies") -> Copies:
         "id",
         "key",
     )
-    return Copies(
-        joined.where(chosen).select("id", "key", "vector"), materialise(members, f"{label}-members")
-    )
+    # Joins read the representatives several times, and the join above may be a shuffle.
+    reps = materialise(joined.where(chosen).select("id", "key", "vector"), f"{label}-reps")
+    return Copies(reps, materialise(members, f"{label}-members"))
 
 
 def first_members(members: DataFrame, limit: int) -> DataFrame:

@@ -244,7 +244,7 @@ def duplicate_pairs_hashed(
     vector_col: str = "vector",
     key_col: str | None = None,
     block_rows: int = blocks.BLOCK_ROWS,
-    bucket_rows: int = 1024,
+    bucket_rows: int = blocks.BLOCK_ROWS,
 ) -> DataFrame:
     """Near-duplicate self-join by locality-sensitive hashing, for tables too large to
     compare exactly.

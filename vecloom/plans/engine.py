@@ -43,12 +43,7 @@ class VectorEngine:
         return quantize.from_half(self.spark.read.parquet(self.path(table)))
 
     def append(self, rows: DataFrame, table: str = DEFAULT_TABLE) -> None:
-        path = self.path(table)
-        if tables.path_exists(self.spark, path):
-            stored = self.spark.read.parquet(path).schema["vector"].dataType.simpleString()
-            if stored == "binary":
-                rows = quantize.to_half(rows)
-        tables.append_vectors(rows, path)
+        tables.append_vectors(rows, self.path(table))
 
     def index(
         self,

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions.encoders import Encoder
-from vecloom.operators.quantize import to_half
 from vecloom.session import materialise
 from vecloom.sources.files import decode_files, list_images
 from vecloom.sources.tables import METADATA, append_vectors, has_metadata, path_exists
@@ -35,6 +34,14 @@ def ingest_counters(
     )
 
 
+def spread(files: DataFrame, count: int, files_per_task: int = FILES_PER_TASK) -> DataFrame:
+    """Paths evenly over tasks: one folder may hold any share of the files, and a path is
+    far smaller than the work behind it."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    tasks = max(min(count, cores), min(-(-count // files_per_task), 100_000), 1)
+    return files.repartition(tasks, "id")
+
+
 def index_files(
     spark: SparkSession,
     root: str,
@@ -53,26 +60,20 @@ def index_files(
     listing = materialise(list_images(spark, root), "listing")
     listed = listing.count()
     exists = path_exists(spark, table_path)
-    fresh, keep, halves = listing, METADATA, False
+    fresh, keep = listing, METADATA
     if exists:
         table = spark.read.parquet(table_path)
-        halves = table.schema["vector"].dataType.simpleString() == "binary"
         keep = METADATA if has_metadata(table) else []
         if incremental:
             fresh = materialise(new_ids(listing, table), "fresh")
     waiting = fresh.count()
-    # A folder may hold any share of the files: spread the paths evenly over tasks.
-    tasks = max(1, min(-(-waiting // files_per_task), 100_000))
-    tasks = max(tasks, min(waiting, spark.sparkContext.defaultParallelism))
     done = Observation()
-    decoded = decode_files(fresh.repartition(max(1, tasks), "id"), encoder, batch_size).observe(
+    decoded = decode_files(spread(fresh, waiting, files_per_task), encoder, batch_size).observe(
         done,
         F.count_if(F.col("error").isNull()).alias("indexed"),
         F.count_if(F.col("error").isNotNull()).alias("errors"),
     )
     good = decoded.where("error IS NULL").select("id", "vector", *keep)
-    if halves:
-        good = to_half(good)
     indexed = errors = 0
     if waiting:
         if exists:

@@ -66,6 +66,25 @@ def split_tree(root: str, wanted: int, per_partition: int = 256) -> list:
     ]
 
 
+def listed(files: list) -> pa.RecordBatch:
+    """Size and time of some files; one that is gone by now has size -1."""
+    facts = []
+    for path in files:
+        try:
+            found = os.stat(path)
+            facts.append((found.st_size, found.st_mtime))
+        except OSError:
+            facts.append((-1, None))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(files, pa.string()),
+            pa.array([size for size, _ in facts], pa.int64()),
+            pa.array([time for _, time in facts], pa.float64()),
+        ],
+        ["id", "file_size", "file_mtime"],
+    )
+
+
 class FileTreeReader(DataSourceReader):
     def __init__(self, root: str, wanted: int):
         self.root, self.wanted = root, wanted
@@ -79,12 +98,8 @@ class FileTreeReader(DataSourceReader):
             folders, files = entries(waiting.pop())
             if partition.deep:
                 waiting += folders
-            for path in files:
-                try:
-                    facts = os.stat(path)
-                    yield path, facts.st_size, facts.st_mtime
-                except OSError:
-                    yield path, -1, None
+            for lo in range(0, len(files), 10_000):
+                yield listed(files[lo : lo + 10_000])
 
 
 class FileTree(DataSource):
@@ -229,58 +244,69 @@ def tiff_size(data: bytes) -> tuple[int, int]:
 DECODED = "id string, width int, height int, file_size long, file_mtime double, error string"
 
 
-def decode_files(
-    listing: DataFrame, encoder=None, batch_size: int = 256, content_col: str | None = None
-) -> DataFrame:
+# File contents held for one call of the encoder.
+ENCODE_BYTES = 64 * 1024 * 1024
+
+
+def decode_files(listing: DataFrame, encoder=None, batch_size: int = 256) -> DataFrame:
     """Open, measure and, with an encoder, embed the files of a listing.
 
     A file that cannot be read or decoded is a row with an ``error``; it never stops a
-    batch. Paths go in and vectors come out: file contents stay inside the task.
+    batch. Paths go in and vectors come out: file contents stay inside the task, no more
+    than ``batch_size`` files or 64 MiB of them at a time.
     """
-    wanted = ["id", "file_size", "file_mtime"] + ([content_col] if content_col else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder() if encoder else None
         for batch in batches:
-            for lo in range(0, batch.num_rows, batch_size):
-                part = batch.slice(lo, batch_size)
-                paths = part.column(0).to_pylist()
-                given = part.column(3).to_pylist() if content_col else [None] * len(paths)
-                sizes, errors, good = [], [], []
-                for path, data in zip(paths, given):
-                    try:
-                        data = read_bytes(path) if data is None else data
-                        sizes.append(image_size(data))
-                        errors.append(None)
-                        good.append(data)
-                    except Exception as problem:  # any broken file is a row
-                        sizes.append((None, None))
-                        errors.append(f"{type(problem).__name__}: {problem}")
-                columns = [
-                    part.column(0),
-                    pa.array([w for w, _ in sizes], pa.int32()),
-                    pa.array([h for _, h in sizes], pa.int32()),
-                    part.column(1),
-                    part.column(2),
-                    pa.array(errors, pa.string()),
-                ]
-                names = ["id", "width", "height", "file_size", "file_mtime", "error"]
+            sizes, errors, waiting, held, vectors = [], [], [], 0, []
+
+            def flush():
+                if waiting:
+                    vectors.append(unit_rows(np.asarray(encode(waiting)), np.float32))
+                    waiting.clear()
+
+            for path in batch.column(0).to_pylist():
+                try:
+                    data = read_bytes(path)
+                    sizes.append(image_size(data))
+                    errors.append(None)
+                except Exception as problem:  # any broken file is a row
+                    sizes.append((None, None))
+                    errors.append(f"{type(problem).__name__}: {problem}")
+                    continue
                 if encode:
-                    columns.append(placed_vectors(encode, good, errors))
-                    names.append("vector")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    waiting.append(data)
+                    held += len(data)
+                    if len(waiting) >= batch_size or held >= ENCODE_BYTES:
+                        flush()
+                        held = 0
+            columns = [
+                batch.column(0),
+                pa.array([w for w, _ in sizes], pa.int32()),
+                pa.array([h for _, h in sizes], pa.int32()),
+                batch.column(1),
+                batch.column(2),
+                pa.array(errors, pa.string()),
+            ]
+            names = ["id", "width", "height", "file_size", "file_mtime", "error"]
+            if encode:
+                flush()
+                columns.append(placed_vectors(vectors, errors))
+                names.append("vector")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = DECODED + (", vector array<float>" if encoder else "")
-    return listing.select(*wanted).mapInArrow(run, schema)
+    return listing.select("id", "file_size", "file_mtime").mapInArrow(run, schema)
 
 
-def placed_vectors(encode, good: list, errors: list) -> pa.Array:
-    """Vectors of the good inputs in their places, null for the rest."""
-    if not good:
+def placed_vectors(vectors: list, errors: list) -> pa.Array:
+    """Vectors of the good files in their places, null for the rest."""
+    if not vectors:
         return pa.nulls(len(errors), pa.list_(pa.float32()))
-    vectors = as_lists(unit_rows(np.asarray(encode(good)), np.float32))
     place = np.cumsum([e is None for e in errors]) - 1
-    return vectors.take(pa.array([int(p) if e is None else None for p, e in zip(place, errors)]))
+    rows = [int(p) if e is None else None for p, e in zip(place, errors)]
+    return as_lists(np.concatenate(vectors)).take(pa.array(rows, pa.int64()))
 
 
 def image_metadata(spark: SparkSession, root: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecloom.functions.vectors import half_encode
+
 METADATA = ["width", "height", "file_size", "file_mtime"]
 
 VECTOR_FIELDS = [
@@ -46,12 +48,16 @@ def scan_vectors(spark: SparkSession, path: str, *columns: str) -> DataFrame:
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Rows in the target's columns. Columns the target lacks are dropped; a column it
-    has and the rows lack, or a different type, is an error. Nullability is ignored."""
+    has and the rows lack, or a different type, is an error. Nullability is ignored, and
+    vectors for a half-precision table are encoded."""
     for field in schema.fields:
         if field.name == "row_key" and "row_key" not in df.columns:
             df = df.withColumn("row_key", F.expr("uuid()"))
         if field.name not in df.columns:
             raise ValueError(f"rows have no column {field.name!r} required by the table")
+        if field.name == "vector" and field.dataType.simpleString() == "binary":
+            if df.schema["vector"].dataType.simpleString() != "binary":
+                df = df.withColumn("vector", half_encode(F.col("vector")))
         given = df.schema[field.name].dataType.simpleString()
         if given != field.dataType.simpleString():
             raise ValueError(

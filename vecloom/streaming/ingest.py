@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vecloom.functions.encoders import Encoder
 from vecloom.functions.paths import suffix
-from vecloom.plans.ingest import new_ids
+from vecloom.plans.ingest import new_ids, spread
 from vecloom.session import materialise
 from vecloom.sources.files import IMAGE_SUFFIXES, decode_files
 from vecloom.sources.tables import METADATA, append_vectors, has_metadata, path_exists
@@ -40,8 +40,7 @@ def stream_ingest(
         F.regexp_replace("path", "^file:/+", "/").alias("id"),
         F.col("length").alias("file_size"),
         (F.unix_micros("modificationTime") / 1e6).alias("file_mtime"),
-        "content",
-    )
+    )  # without the content: tasks open the files
     images = files.where(suffix(F.col("id")).isin(IMAGE_SUFFIXES))
 
     def store(batch: DataFrame, number: int) -> None:
@@ -52,8 +51,9 @@ def stream_ingest(
             table = session.read.parquet(table_path)
             keep = METADATA if has_metadata(table) else []
             batch = new_ids(batch, table)
+        batch = materialise(batch, "stream-files")
         decoded = materialise(
-            decode_files(batch, encoder, batch_size, content_col="content"), "stream-batch"
+            decode_files(spread(batch, batch.count()), encoder, batch_size), "stream-batch"
         )
         good = decoded.where("error IS NULL").select("id", "vector", *keep)
         if not good.isEmpty():
@@ -76,9 +76,9 @@ def retry_rejects(
     rejects = spark.read.parquet(rejects_path).select("id", "file_size", "file_mtime").distinct()
     if path_exists(spark, table_path):
         rejects = new_ids(rejects, spark.read.parquet(table_path))
-    good = materialise(
-        decode_files(rejects, encoder, batch_size).where("error IS NULL").drop("error"), "retried"
-    )
+    rejects = materialise(rejects, "retry-files")
+    decoded = decode_files(spread(rejects, rejects.count()), encoder, batch_size)
+    good = materialise(decoded.where("error IS NULL").drop("error"), "retried")
     added = good.count()
     if added:
         append_vectors(good, table_path)
