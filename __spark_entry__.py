@@ -76,15 +76,7 @@ def planted(spark: SparkSession, sf: str) -> DataFrame:
 
 def class_means(df: DataFrame) -> DataFrame:
     """(label, mean): the mean vector per class, combined before the shuffle."""
-    per_place = (
-        df.select("label", F.posexplode("vector").alias("pos", "x"))
-        .groupBy("label", "pos")
-        .agg(F.avg("x").alias("m"))
-    )
-    lists = per_place.groupBy("label").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("places")
-    )
-    return lists.select("label", F.transform("places", lambda p: p["m"]).alias("mean"))
+    return df.groupBy("label").agg(clusters.mean_vector("vector").alias("mean"))
 
 
 def mean_matrix(df: DataFrame):

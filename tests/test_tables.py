@@ -94,6 +94,7 @@ def test_engine(spark, make_table, random_vectors, tmp_path):
     assert engine.table_stats().first()["error"]
     engine.append(facts(make_table(v)))
     assert engine.table_stats().first()["row_count"] == 40
+    assert engine.filter_columns() == tables.METADATA
     assert engine.search(v[4], 3, where="width > 100").first()["id"] == "/img_00004.jpg"
     assert engine.search("some words", 2).count() == 2
     pair = engine.find_duplicates(0.0001).select("id_a", "id_b").first()

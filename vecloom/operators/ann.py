@@ -83,7 +83,7 @@ def train_codebooks(df: DataFrame, m: int, vector_col: str = "vector", seed: int
 def codebook_matrix(codebooks: DataFrame) -> np.ndarray:
     """Code books as [m, 256, dim / m]: at most 256 x dim values. Missing codes are never
     nearest, since they sit at infinity."""
-    table = codebooks.orderBy("sub", "code").toArrow()
+    table = codebooks.toArrow()
     sub, code = table.column("sub").to_numpy(), table.column("code").to_numpy()
     centres = as_matrix(table.column("centre"))
     books = np.full((sub.max() + 1, CODES, centres.shape[1]), np.inf, np.float32)

@@ -42,7 +42,9 @@ def left_groups(own: Column, other_blocks: Column, shift: Column | int = 0) -> C
         other_blocks > 0,
         F.transform(
             F.sequence(F.lit(0), F.greatest(other_blocks, F.lit(1)) - 1),
-            lambda t: F.struct((own + shift).cast("int").alias("a"), t.alias("b"), F.lit(0).alias("side")),
+            lambda t: F.struct(
+                (own + shift).cast("int").alias("a"), t.alias("b"), F.lit(0).alias("side")
+            ),
         ),
     )
 
@@ -53,7 +55,9 @@ def right_groups(own: Column, other_blocks: Column, shift: Column | int = 0) ->
         other_blocks > 0,
         F.transform(
             F.sequence(F.lit(0), F.greatest(other_blocks, F.lit(1)) - 1),
-            lambda t: F.struct((t + shift).cast("int").alias("a"), own.alias("b"), F.lit(1).alias("side")),
+            lambda t: F.struct(
+                (t + shift).cast("int").alias("a"), own.alias("b"), F.lit(1).alias("side")
+            ),
         ),
     )
 

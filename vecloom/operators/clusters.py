@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,10 +22,17 @@ from vecloom.session import BROADCAST_BYTES, broadcast_if_small
 MANY_STARTS_UP_TO = 10_000
 # Centroids are fitted on at most this many rows; every row is assigned afterwards.
 TRAIN_ROWS = 2_000_000
-PARALLEL_STARTS = 5
+PARALLEL_STARTS = 8
 PRODUCT_CELLS = 4_000_000
 
 
+def mean_vector(vector_col: str) -> Column:
+    """Aggregate: the mean of an array column, summed per task before any shuffle."""
+    return vector_to_array(
+        Summarizer.mean(array_to_vector(F.col(vector_col).cast("array<double>")))
+    )
+
+
 def assign_nearest(
     df: DataFrame, centroids: np.ndarray, vector_col: str = "vector", normalise: bool = False
 ) -> DataFrame:
@@ -83,14 +91,13 @@ def fit_centroids(
         raise ValueError(f"n_clusters must be between 1 and the {n} rows, got {k}")
     if k == 1:
         # Spark's K-Means needs two clusters; a single one is the mean.
-        means = rows.select(F.posexplode(vector_to_array("features"))).groupBy("pos").agg(F.avg("col").alias("m"))
-        return np.array([[r["m"] for r in means.orderBy("pos").collect()]])
+        return np.array([rows.agg(vector_to_array(Summarizer.mean(F.col("features")))).first()[0]])
     if n > train_rows:
         rows = rows.sample(fraction=train_rows / n, seed=seed)
     # At most train_rows rows: even them out, since a sample or a small file may lie in few
     # partitions and every iteration reads them again.
     cores = df.sparkSession.sparkContext.defaultParallelism
-    rows = rows.repartition(max(1, min(cores, n // 1000))).persist()
+    rows = rows.repartition(max(1, min(cores, n // 5000))).persist()
     starts = starts or (10 if n <= MANY_STARTS_UP_TO else 3)
 
     def fit(start: int):
@@ -100,7 +107,8 @@ def fit_centroids(
     try:
         # Starts are independent jobs; side by side they fill each other's gaps.
         with ThreadPool(min(starts, PARALLEL_STARTS)) as pool:
-            return min(pool.map(inheritable_thread_target(fit), range(starts)))[2]
+            runs = pool.map(inheritable_thread_target(df.sparkSession)(fit), range(starts))
+            return min(runs, key=lambda run: run[:2])[2]
     finally:
         rows.unpersist()
 

@@ -133,7 +133,9 @@ def cell_nearest(
         best_k(block_nearest(homes, stock, k, skip_self, block_rows), k), "nearest-home"
     )
     reach = near.groupBy("qid").agg(
-        F.when(F.count("*") >= k, F.sqrt(2.0 * F.max("distance"))).otherwise(F.lit(FARTHEST)).alias("r")
+        F.when(F.count("*") >= k, F.sqrt(2.0 * F.max("distance")))
+        .otherwise(F.lit(FARTHEST))
+        .alias("r")
     )
     looking = homes.drop("r").join(reach, homes["key"] == reach["qid"], "left").select(
         "key", "id", "vector", F.col("cell").alias("from_cell"),
@@ -196,8 +198,10 @@ def nearest_join(
     stored = collapse(
         corpus.where(F.col("vector").isNotNull()).select("id", F.col("id").alias("key"), "vector")
     )
-    q = asked.reps.select("key", F.lit(None).cast(corpus.schema["id"].dataType).alias("id"), "vector")
-    c = stored.reps.select(F.lit(None).cast(queries.schema["qid"].dataType).alias("key"), "id", "vector")
+    no_id = F.lit(None).cast(corpus.schema["id"].dataType).alias("id")
+    no_key = F.lit(None).cast(queries.schema["qid"].dataType).alias("key")
+    q = asked.reps.select("key", no_id, "vector")
+    c = stored.reps.select(no_key, "id", "vector")
     found = cell_nearest(q, c, n, k, False, block_rows)
     found = best_k(with_copies(found, heads(stored, k)), k)
     if asked.members is None:
@@ -228,6 +232,8 @@ def neighbour_graph(
     if copies.members is None:
         return found.select("qid", "id", "distance", "rank")
     lowest = heads(copies, k + 1)
-    own = lowest.select(F.col("rep_id").alias("qid"), "id", F.col("self_distance").alias("distance"))
+    own = lowest.select(
+        F.col("rep_id").alias("qid"), "id", F.col("self_distance").alias("distance")
+    )
     candidates = best_k(with_copies(found, lowest).unionByName(own), k + 1)
     return to_all(candidates, copies, k, True)

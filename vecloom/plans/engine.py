@@ -68,6 +68,11 @@ class VectorEngine:
             self.table(table), self.index_path(table), num_partitions, num_sub_vectors
         )
 
+    def filter_columns(self, table: str = DEFAULT_TABLE) -> list[str]:
+        """Metadata columns a search may filter on; none for a table of vectors only."""
+        columns = self.spark.read.parquet(self.path(table)).columns
+        return [c for c in tables.METADATA if c in columns]
+
     def encode_query(self, query) -> np.ndarray:
         """A raw vector as it is; an existing file is an image; any other string is text."""
         if isinstance(query, (np.ndarray, list, tuple)):
@@ -98,7 +103,9 @@ class VectorEngine:
             )
         return search.search_topk(self.table(table), vector, top_k, where)
 
-    def search_batch(self, queries: DataFrame, top_k: int = 5, table: str = DEFAULT_TABLE, **options):
+    def search_batch(
+        self, queries: DataFrame, top_k: int = 5, table: str = DEFAULT_TABLE, **options
+    ) -> DataFrame:
         return search.search_batch(self.table(table), queries, top_k, **options)
 
     def table_stats(self, table: str = DEFAULT_TABLE) -> DataFrame:

@@ -236,7 +236,9 @@ def tiff_size(data: bytes) -> tuple[int, int]:
         field = data[start + 2 + 12 * i : start + 14 + 12 * i]
         tag, kind = struct.unpack(order + "HH", field[:4])
         if tag in (256, 257):
-            found[tag] = struct.unpack(order + ("H" if kind == 3 else "I"), field[8:10 if kind == 3 else 12])[0]
+            short = kind == 3
+            value = field[8:10] if short else field[8:12]
+            found[tag] = struct.unpack(order + ("H" if short else "I"), value)[0]
     return found[256], found[257]
 
 

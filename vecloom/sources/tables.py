@@ -23,6 +23,9 @@ METADATA_FIELDS = [
 # Unique per written row, so that rows with equal ids stay apart in joins.
 ROW_KEY = T.StructField("row_key", T.StringType())
 
+# Vector elements hardly repeat: a dictionary costs a third of the write and saves nothing.
+PLAIN_VECTORS = {"parquet.enable.dictionary#vector.list.element": "false"}
+
 FULL_SCHEMA = T.StructType(VECTOR_FIELDS + METADATA_FIELDS + [ROW_KEY])
 VECTORS_ONLY_SCHEMA = T.StructType(VECTOR_FIELDS + [ROW_KEY])
 
@@ -75,13 +78,13 @@ def append_vectors(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
     if path_exists(spark, path):
         target = spark.read.parquet(path).schema
-        conform(df, target).write.mode("append").parquet(path)
+        conform(df, target).write.options(**PLAIN_VECTORS).mode("append").parquet(path)
         return
     with_metadata = all(c in df.columns for c in METADATA)
     wanted = FULL_SCHEMA if with_metadata else VECTORS_ONLY_SCHEMA
     id_type = df.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type)] + wanted.fields[1:])
-    conform(df, schema).write.parquet(path)
+    conform(df, schema).write.options(**PLAIN_VECTORS).parquet(path)
 
 
 def replace_table(df: DataFrame, path: str) -> int:

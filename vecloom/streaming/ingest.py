@@ -58,7 +58,8 @@ def stream_ingest(
         good = decoded.where("error IS NULL").select("id", "vector", *keep)
         if not good.isEmpty():
             append_vectors(good, table_path)
-        rejects = decoded.where("error IS NOT NULL").select("id", "file_size", "file_mtime", "error")
+        rejects = decoded.where("error IS NOT NULL")
+        rejects = rejects.select("id", "file_size", "file_mtime", "error")
         rejects.write.mode("overwrite").parquet(f"{rejects_path}/batch={number}")
 
     return (
