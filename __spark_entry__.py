@@ -335,6 +335,14 @@ def q_pca_reduce(spark, sf):
     return projection.pca_reduce(vector_table(spark, sf))
 
 
+def q_pca_centred_norms(spark, sf):
+    """With all components kept PCA is a turn about the mean, so lengths from it stay."""
+    turned = projection.pca_reduce(vector_table(spark, sf), 64)
+    return turned.select(
+        "id", F.round(vectors.dot(F.col("reduced"), F.col("reduced")), 6).alias("sum_sq")
+    )
+
+
 def q_project_2d(spark, sf):
     return projection.project(vector_table(spark, sf), 2)
 
@@ -623,6 +631,16 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT n, avg(value) AS avg_ms FROM s GROUP BY n)
             SELECT n, round(avg_ms, 6) AS avg_ms,
                    round(avg_ms / first_value(avg_ms) OVER (ORDER BY n), 6) AS factor FROM m""",
+        "pca_centred_norms": """
+            WITH places AS (
+                SELECT i, avg(embedding[i]::double) AS m FROM embeddings, range(1, 65) t(i)
+                GROUP BY i),
+            centre AS (SELECT list(m ORDER BY i) AS mean FROM places)
+            SELECT vec_id AS id,
+                   round(list_sum(list_transform(
+                       list_zip(embedding::double[], mean),
+                       lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS sum_sq
+            FROM embeddings, centre""",
         "ivf_cells": """
             SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_assigned,
                    16::bigint AS n_cells FROM embeddings""",

@@ -4,6 +4,7 @@ import zlib
 import pytest
 
 from vecloom.functions.encoders import hashed_bytes
+from vecloom.plans.engine import VectorEngine
 from vecloom.plans.ingest import index_files
 from vecloom.sources.files import header_size, image_metadata, list_images, split_tree, tree_usage
 from vecloom.streaming.ingest import retry_rejects, stream_ingest
@@ -108,6 +109,15 @@ def test_ingest_and_increment(spark, tree, tmp_path):
     assert spark.read.parquet(table).count() == 8
 
 
+def test_search_by_image(spark, tree, tmp_path):
+    engine = VectorEngine(spark, str(tmp_path / "db"), image_encoder=hashed_bytes(16))
+    assert engine.index(str(tree)).first()["total_indexed"] == 3
+    best = engine.search(str(tree / "b.PNG"), 1, where="width = 7 OR height = 5").first()
+    assert best["id"] == str(tree / "b.PNG") and best["distance"] == pytest.approx(0, abs=1e-6)
+    with pytest.raises(ValueError, match="encoder"):
+        engine.search("words without a text encoder")
+
+
 def test_nothing_readable_creates_no_table(spark, tmp_path):
     root = tmp_path / "images"
     root.mkdir()

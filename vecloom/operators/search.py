@@ -18,7 +18,7 @@ from vecloom.functions.vectors import (
     unit_rows,
     with_vectors,
 )
-from vecloom.session import require_columns, take_bounded
+from vecloom.session import BROADCAST_BYTES, require_columns, take_bounded
 
 # A query set up to this size is shipped to every task; beyond it the block join runs.
 MAX_BROADCAST_QUERIES = 4096
@@ -149,7 +149,7 @@ def search_batch(
     corpus = filtered(df, where)
     source = queries.select(qid_col, qvec_col)
     table = take_bounded(source, max_broadcast_queries)
-    if table is None:
+    if table is None or 2 * table.nbytes > BROADCAST_BYTES:  # sent in double precision
         from vecloom.operators.neighbours import nearest_join
 
         return nearest_join(
