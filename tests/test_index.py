@@ -27,12 +27,12 @@ def test_recall_rises_with_probes(spark, indexed):
     recall = []
     for nprobe in (1, 4, 12):
         hits = 0
-        for q in range(200, 210):
+        for q in range(200, 205):
             exact = {r["id"] for r in search_topk(frame, v[q], 10).collect()}
             got = ann.search_index(spark, path, v[q], 10, nprobe=nprobe, refine=None)
             hits += len(exact & {r["id"] for r in got.collect()})
         recall.append(hits)
-    assert recall[0] <= recall[1] <= recall[2] == 100
+    assert recall[0] <= recall[1] <= recall[2] == 50
 
 
 def test_codes_find_the_query_itself(spark, indexed):

@@ -116,3 +116,25 @@ def test_repeated_ids_of_copies(spark):
     frame = spark.createDataFrame(rows, "id string, row_key string, vector array<float>")
     got = duplicate_pairs(frame, 0.05, key_col="row_key", block_rows=2).collect()
     assert len({(r["key_a"], r["key_b"]) for r in got}) == len(got) == 10
+
+
+@pytest.mark.parametrize("hashed", [False, True])
+def test_star_holds_the_same_pairs(make_table, distances, hashed):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((90, 6)).astype(np.float32)
+    v[0:40] = v[0]
+    v[40:60] = v[0] + 0.01
+    v[80] = v[81] = 0.0
+    frame = make_table(v, list(range(90)))
+    find = duplicate_pairs_hashed if hashed else duplicate_pairs
+    star = found(find(frame, 0.01, star=True))
+    assert len(star) < 90
+    copies = {i: {i} for i in range(90)}
+    for (a, b), d in star.items():
+        if np.array_equal(v[a], v[b]):
+            copies[a].add(b)
+    every = {p for a in copies for p in ((x, y) for x in copies[a] for y in copies[a] if x < y)}
+    for a, b in star:
+        if not np.array_equal(v[a], v[b]):
+            every |= {(min(x, y), max(x, y)) for x in copies[a] for y in copies[b]}
+    assert every == set(expected(v, 0.01, distances))

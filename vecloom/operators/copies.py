@@ -104,6 +104,16 @@ def pairs_within(members: DataFrame, threshold: float, block_rows: int) -> DataF
     )
 
 
+def stars(members: DataFrame, threshold: float) -> DataFrame:
+    """Every further member of a group, paired with the representative alone."""
+    further = F.struct("id", "key") != F.struct("rep_id", "rep_key")
+    return members.where(further & (F.col("self_distance") < threshold)).select(
+        F.col("rep_id").alias("id_a"), F.col("rep_key").alias("key_a"),
+        F.col("id").alias("id_b"), F.col("key").alias("key_b"),
+        F.col("self_distance").alias("distance"),
+    )
+
+
 def put_back(pairs: DataFrame, members: DataFrame, side: str, block_rows: int) -> DataFrame:
     """Replace the representative on one side of the pairs by each member of its group.
 

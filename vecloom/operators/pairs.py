@@ -19,7 +19,7 @@ from vecloom.functions.vectors import (
 )
 from vecloom.operators import blocks
 from vecloom.operators.cells import assign_cells, choose_anchors
-from vecloom.operators.copies import Copies, collapse, expand_pairs
+from vecloom.operators.copies import Copies, collapse, expand_pairs, stars
 from vecloom.session import materialise
 
 # Rows of a block compared at a time inside a task.
@@ -137,8 +137,11 @@ def finished(
     limit: int | None,
     with_keys: bool,
     block_rows: int,
+    star: bool,
 ) -> DataFrame:
-    if copies.members is not None:
+    if copies.members is not None and star:
+        found = found.unionByName(stars(copies.members, threshold))
+    elif copies.members is not None:
         found = expand_pairs(found, copies.members, threshold, limit, block_rows)
     return ordered(oriented(found, with_keys), limit)
 
@@ -151,6 +154,7 @@ def duplicate_pairs(
     vector_col: str = "vector",
     key_col: str | None = None,
     block_rows: int = blocks.BLOCK_ROWS,
+    star: bool = False,
 ) -> DataFrame:
     """Exact near-duplicate self-join: (id_a, id_b, distance), ascending by distance.
 
@@ -158,11 +162,15 @@ def duplicate_pairs(
     far-apart regions are never compared. ``key_col`` names a unique row key where ids may
     repeat. ``limit`` keeps the first pairs only, and every block then emits no more than
     it can contribute to them.
+
+    A group of m equal vectors has m(m-1)/2 pairs. With ``star`` it is given in m - 1: its
+    lowest row with each other one. Nothing is lost, since copies share every distance;
+    the lowest row alone stands for the group in pairs with other rows.
     """
     n = df.count()
     copies = collapse(keyed(df, id_col, vector_col, key_col))
     found = cell_pairs(copies.reps, n, threshold, limit, block_rows)
-    return finished(found, copies, threshold, limit, key_col is not None, block_rows)
+    return finished(found, copies, threshold, limit, key_col is not None, block_rows, star)
 
 
 def cell_pairs(
@@ -245,6 +253,7 @@ def duplicate_pairs_hashed(
     key_col: str | None = None,
     block_rows: int = blocks.BLOCK_ROWS,
     bucket_rows: int = blocks.BLOCK_ROWS,
+    star: bool = False,
 ) -> DataFrame:
     """Near-duplicate self-join by locality-sensitive hashing, for tables too large to
     compare exactly.
@@ -255,7 +264,9 @@ def duplicate_pairs_hashed(
     thresholds belong to the exact join.
     """
     if threshold > 1.0:
-        return duplicate_pairs(df, threshold, limit, id_col, vector_col, key_col, block_rows)
+        return duplicate_pairs(
+            df, threshold, limit, id_col, vector_col, key_col, block_rows, star
+        )
     n = df.count()
     rows = keyed(df, id_col, vector_col, key_col).where(F.exists("vector", lambda x: x != 0))
     copies = collapse(rows)
@@ -280,4 +291,4 @@ def duplicate_pairs_hashed(
     found = grouped.groupBy("tag", "code", "a", "b").applyInArrow(
         pair_kernel(threshold, limit), pair_schema(rows)
     )
-    return finished(found, copies, threshold, limit, key_col is not None, block_rows)
+    return finished(found, copies, threshold, limit, key_col is not None, block_rows, star)

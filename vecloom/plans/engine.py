@@ -117,11 +117,12 @@ class VectorEngine:
         table: str = DEFAULT_TABLE,
         limit: int | None = None,
         exact: bool = True,
+        star: bool = False,
     ) -> DataFrame:
         rows = self.table(table)
         key = "row_key" if "row_key" in rows.columns else None
         find = pairs.duplicate_pairs if exact else pairs.duplicate_pairs_hashed
-        return find(rows, threshold, limit=limit, key_col=key)
+        return find(rows, threshold, limit=limit, key_col=key, star=star)
 
     def cluster(self, n_clusters: int = 10, table: str = DEFAULT_TABLE, **fit) -> DataFrame:
         return clusters.cluster_rows(self.table(table), n_clusters, **fit)
