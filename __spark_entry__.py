@@ -31,6 +31,16 @@ from vecloom.plans import ingest
 from vecloom.session import broadcast_if_small, even_scan, scratch_path
 from vecloom.sources import synthetic, tables
 
+# The pipeline's operators are a part of their own that may be absent; an error within them
+# is not hidden.
+try:
+    import corpus_pipeline
+    from vecloom.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in {"corpus_pipeline", "vecloom.llm", "vecloom.llm.queries"}:
+        raise
+    llm = None
+
 # Fewer names than labels, so that some rows have none.
 CLASS_NAMES = ["red", "orange", "yellow", "green", "blue", "indigo", "violet", "grey"]
 
@@ -385,11 +395,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    own = {
         name.removeprefix("q_"): function
         for name, function in globals().items()
         if name.startswith("q_")
     }
+    return own | (llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {})
 
 
 # -- SQL twins ------------------------------------------------------------------------
@@ -464,7 +475,10 @@ WORDS = "('0x' || substr(md5('42:' || vec_id || ':' || i), 1, 8))::bigint / 4294
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    more = llm.oracle_sql() if llm else {}
+    if llm and corpus_pipeline.ORACLE_SQL:
+        more["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return more | {
         "scan_vectors": """
             SELECT vec_id AS id, len(embedding)::int AS dim,
                    round(list_sum(embedding::double[]), 6) AS total FROM embeddings""",
