@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_type
 
 # The characters between words: space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,24 +42,21 @@ def map_texts(
     """The columns ``keep`` and those of ``fields``, which a kernel makes from each text.
 
     ``start`` runs once in each task and returns the kernel: from a list of texts (strings
-    or bytes as ``text`` is, None for null) to one array or list for each of ``fields``. It
+    or bytes as ``text`` is, None for null) to one list for each of ``fields``. It
     sees whole texts, a bounded number of rows at a time; rows are neither moved nor lost.
     """
     rows = df.select(*keep, text.alias("__text"))
-    made = T._parse_datatype_string(fields)
+    made = T.StructType.fromDDL(fields)
     schema = T.StructType(rows.schema.fields[:-1] + made.fields)
     place = len(keep)
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    kinds = [to_arrow_type(f.dataType) for f in made.fields]
 
     def run(batches):
         kernel = start()
         for batch in batches:
             for piece in pieces(batch, place):
                 texts = piece.column(place).to_pylist()
-                columns = [
-                    x if isinstance(x, pa.Array) else pa.array(x, arrow.field(place + i).type)
-                    for i, x in enumerate(kernel(texts))
-                ]
+                columns = [pa.array(x, kind) for x, kind in zip(kernel(texts), kinds)]
                 kept = [piece.column(i) for i in range(place)]
                 yield pa.RecordBatch.from_arrays(kept + columns, names=schema.names)
 
