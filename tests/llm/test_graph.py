@@ -55,7 +55,7 @@ def test_copies_lengths_and_bad_rows(spark):
     rows += [(1000 + i, same) for i in range(120)]
     rows += [(1000, same), (20, rows[20][1])]
     rows += [
-        (2000, None), (2020, [0.0] * 6), (2040, [1.0, None, 1, 1, 1, 1]), (None, same),
+        (2000, None), (2020, [0.0] * 6), (2040, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (None, same),
         (2060, [float("nan")] + [1.0] * 5), (2080, [float("inf")] + [1.0] * 5), (2100, [1.0, 2.0]),
         (2101, [2.0, 1.0]),
     ]
