@@ -71,3 +71,12 @@ def test_labels(spark):
     assert {r["label"]: r["class_name"] for r in rows} == {
         0: "cat", 1: "dog", 7: "unlabeled", -1: "unlabeled",
     }
+
+
+def test_a_null_text_has_a_null_vector(spark):
+    rows = [(1, "some words"), (2, None), (3, ""), (4, None)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    got = {r.id: r.v for r in df.select("id", embed(df["text"], hashed_words(8)).alias("v")).collect()}
+    assert got[2] is None and got[4] is None and len(got[1]) == len(got[3]) == 8
+    none = df.where("text IS NULL").select(embed(df["text"], hashed_words(8)).alias("v"))
+    assert [r.v for r in none.collect()] == [None, None]

@@ -69,6 +69,38 @@ def test_quantize(spark, make_table, random_vectors, tmp_path):
     assert not list(tmp_path.glob("*__*"))
 
 
+def test_quantize_keeps_nulls_and_runs_twice(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(1, [0.5, -1.0, 3.25, 0.0]), (2, None), (3, [1.0, 2.0, 3.0, 4.0]), (4, None)]
+    spark.createDataFrame(rows, "id long, vector array<float>").coalesce(1).write.parquet(path)
+    for kind in ("float32", "float16"):
+        report = quantize_table(spark, path).first()
+        assert (report["rows"], report["dtype_before"]) == (4, kind)
+        assert {r["id"]: r["vector"] for r in from_half(spark.read.parquet(path)).collect()} == dict(rows)
+
+
+@pytest.mark.parametrize("odd", [[1.0, 2.0], [1.0, 2.0, 3.0, None]])
+def test_quantize_refuses_odd_vectors(spark, tmp_path, odd):
+    path = str(tmp_path / "t")
+    rows = [(1, [1.0, 2.0, 3.0, 4.0]), (2, odd), (3, [1.0, 2.0, 3.0, 4.0])]
+    spark.createDataFrame(rows, "id long, vector array<float>").coalesce(1).write.parquet(path)
+    with pytest.raises(Exception, match="same dimension|null components"):
+        quantize_table(spark, path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_a_swap_that_was_cut_off(spark, make_table, random_vectors, tmp_path):
+    path = str(tmp_path / "t")
+    tables.append_vectors(make_table(random_vectors(5, 4)), path)
+    (tmp_path / "t").rename(tmp_path / "t__retired")
+    tables.append_vectors(make_table(random_vectors(2, 4)), path)
+    assert spark.read.parquet(path).count() == 7
+    (tmp_path / "t__retired").mkdir()
+    with pytest.raises(OSError, match="retired"):
+        quantize_table(spark, path)
+    assert spark.read.parquet(path).count() == 7
+
+
 def test_failed_replace_keeps_the_table(spark, make_table, random_vectors, tmp_path):
     path = str(tmp_path / "t")
     tables.append_vectors(make_table(random_vectors(9, 4)), path)
@@ -106,6 +138,10 @@ def test_engine(spark, make_table, random_vectors, tmp_path):
     assert engine.reduce_dimensions("pca").count() == 40
     engine.quantize_table()
     assert engine.search(v[4], 3).first()["id"] == "/img_00004.jpg"
+    later = random_vectors(1, 16, 77)
+    engine.append(facts(make_table(later, ["/later.jpg"])))
+    assert engine.search(later[0], 1, nprobe=4).first()["id"] == "/later.jpg"
     engine.append(facts(make_table(v)))
-    assert engine.table_stats().first()["row_count"] == 80
+    assert engine.table_stats().first()["row_count"] == 81
+    assert engine.cluster_stats(3, starts=1).first()["n_images"] == 81
     assert engine.preview(n=5).count() == 5

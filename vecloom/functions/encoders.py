@@ -13,6 +13,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.functions.vectors import unit_rows
@@ -66,16 +67,22 @@ def hashed_bytes(dim: int = 64) -> Encoder:
 
 
 def embed(column: Column, encoder: Encoder, batch_size: int = 256) -> Column:
-    """Encode a text column in batches; the result is unit length."""
+    """Encode a text column in batches; the result is unit length, and null for a null."""
 
     def make_predict_fn():
         encode = encoder()
 
         def predict(inputs: np.ndarray) -> np.ndarray:
-            return unit_rows(np.asarray(encode(list(inputs))), np.float32)
+            known = np.array([x is not None for x in inputs])
+            # A null needs a row too; any will do, since it is not used.
+            if not known.any():
+                return np.zeros((len(inputs), 1), np.float32)
+            vectors = unit_rows(np.asarray(encode(list(inputs[known]))), np.float32)
+            return vectors[np.maximum(np.cumsum(known) - 1, 0)]
 
         return predict
 
-    return predict_batch_udf(
+    vector = predict_batch_udf(
         make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
     )(column)
+    return F.when(column.isNotNull(), vector)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,22 +53,32 @@ def vector_literal(values) -> Column:
 
 
 def half_encode(v: Column) -> Column:
-    """array<float> to little-endian IEEE half floats, two bytes per element."""
+    """array<float> to little-endian IEEE half floats, two bytes per element; null stays null."""
 
     def encode(column: pa.Array) -> pa.Array:
-        halves = as_matrix(column).astype("<f2")
-        width = halves.shape[1] * 2
-        offsets = np.arange(len(column) + 1, dtype=np.int32) * width
-        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(halves.tobytes())]
-        return pa.Array.from_buffers(pa.binary(), len(column), buffers)
+        known = column.drop_null()
+        halves = as_matrix(known).astype("<f2")
+        if not column.null_count:
+            return as_binary(halves)
+        place = np.cumsum(np.asarray(column.is_valid())) - 1
+        return as_binary(halves).take(pa.array(place, mask=np.asarray(column.is_null())))
 
     return F.arrow_udf(encode, "binary")(v)
 
 
 def half_decode(b: Column) -> Column:
+    """The floats of half_encode; null stays null."""
+
     def decode(column: pa.Array) -> pa.Array:
-        rows = [np.frombuffer(x, dtype="<f2").astype(np.float32) for x in column.to_pylist()]
-        return as_lists(np.stack(rows)) if rows else pa.array([], type=pa.list_(pa.float32()))
+        known = column.drop_null()
+        if not len(known):
+            return pa.nulls(len(column), pa.list_(pa.float32()))
+        flat = fixed_width(known, len(known[0].as_py()))
+        lists = as_lists(flat.view("<f2").astype(np.float32))
+        if not column.null_count:
+            return lists
+        place = np.cumsum(np.asarray(column.is_valid())) - 1
+        return lists.take(pa.array(place, mask=np.asarray(column.is_null())))
 
     return F.arrow_udf(decode, "array<float>")(b)
 
@@ -79,11 +90,36 @@ def as_matrix(column) -> np.ndarray:
     """Arrow list column (no nulls, equal lengths) as an [n, dim] array without copying."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
     n = len(column)
-    if n and flat.size % n:
+    if column.null_count:
+        raise ValueError("a null vector cannot stand in a matrix")
+    flat = column.flatten()
+    ends = column.offsets.to_numpy()
+    if n and (np.diff(ends) != ends[1] - ends[0]).any():
         raise ValueError("vectors in one table must all have the same dimension")
-    return flat.reshape(n, flat.size // n if n else 0)
+    if flat.null_count:
+        raise ValueError("a vector holds null components")
+    return flat.to_numpy(zero_copy_only=False).reshape(n, len(flat) // n if n else 0)
+
+
+def fixed_width(column: pa.Array, width: int) -> np.ndarray:
+    """Binary column of equal lengths (no nulls) as an [n, width] byte array, from its buffers."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    if (sizes != width).any():
+        raise ValueError("codes in one table must all have the same length")
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    data = column.buffers()[2]
+    if not len(column) or data is None:
+        return np.zeros((len(column), width), np.uint8)
+    return np.frombuffer(data, np.uint8, len(column) * width, int(offsets[0])).reshape(-1, width)
+
+
+def as_binary(matrix: np.ndarray) -> pa.Array:
+    """Rows of a matrix as a binary column."""
+    width = matrix.shape[1] * matrix.itemsize
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * width
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(matrix).tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(matrix), buffers)
 
 
 def with_vectors(batch: pa.RecordBatch, place: int) -> pa.RecordBatch:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a text names a file, on whatever file system; most texts name nothing."""
+    if not path or "\n" in path:
+        return False
+    try:
+        fs, p = hadoop_path(spark, path)
+        return fs.isFile(p)
+    except Py4JJavaError:
+        return False
+
+
 def has_metadata(df: DataFrame) -> bool:
     return "width" in df.columns
 
@@ -76,6 +88,7 @@ def append_vectors(df: DataFrame, path: str) -> None:
     decides the columns itself.
     """
     spark = df.sparkSession
+    recover(spark, path)
     if path_exists(spark, path):
         target = spark.read.parquet(path).schema
         conform(df, target).write.options(**PLAIN_VECTORS).mode("append").parquet(path)
@@ -87,17 +100,32 @@ def append_vectors(df: DataFrame, path: str) -> None:
     conform(df, schema).write.options(**PLAIN_VECTORS).parquet(path)
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Undo a swap that was cut off. A table that is missing beside its retired copy gets it
+    back; where both are there the swap was nearly done, and which is wanted is not guessed."""
+    fs, target = hadoop_path(spark, path)
+    _, old = hadoop_path(spark, f"{path}__retired")
+    if not fs.exists(old):
+        return
+    if fs.exists(target):
+        raise OSError(f"{old} is left from a swap that was cut off; remove it or {path}")
+    if not fs.rename(old, target):
+        raise OSError(f"cannot bring back {path}")
+
+
 def replace_table(df: DataFrame, path: str) -> int:
     """Swap a table for a full new copy; returns the rows written.
 
-    The copy is complete and counted before the original is touched, and the original is
-    renamed, not deleted, until the copy has taken its place.
+    The copy is complete and counted, as it is written, before the original is touched, and
+    the original is renamed, not deleted, until the copy has taken its place.
     """
     spark = df.sparkSession
+    recover(spark, path)
     staged, retired = f"{path}__staged", f"{path}__retired"
     before = spark.read.parquet(path).count()
-    df.write.mode("overwrite").parquet(staged)
-    after = spark.read.parquet(staged).count()
+    written = Observation()
+    df.observe(written, F.count("*").alias("rows")).write.mode("overwrite").parquet(staged)
+    after = written.get["rows"]
     if after != before:
         raise ValueError(f"staged copy has {after} rows, the table has {before}")
     fs, target = hadoop_path(spark, path)
