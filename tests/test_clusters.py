@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from vecloom.operators.clusters import (
     cluster_rows,
     cluster_stats,
     fit_centroids,
+    lloyd_rounds,
 )
 
 
@@ -32,9 +34,17 @@ def test_more_clusters_than_rows(make_table, random_vectors):
         fit_centroids(make_table(random_vectors(4, 8)), 5)
 
 
-def test_training_sample_still_labels_all(make_table, random_vectors):
-    placed = cluster_rows(make_table(random_vectors(200, 8)), 3, starts=1, train_rows=60)
-    assert placed.count() == 200
+def test_every_row_moves_the_centroids(make_table):
+    """Rows far out are few; a fit on a sample would miss them."""
+    v = np.concatenate([np.zeros((300, 3)), np.full((2, 3), 50.0)]).astype(np.float32)
+    centres = fit_centroids(make_table(v), 2, starts=1)
+    assert sorted(np.round(centres[:, 0])) == [0, 50]
+
+
+def test_rounds_from_given_centroids(make_table):
+    v = np.array([[0, 0], [0, 2], [9, 9], [11, 9]], np.float32)
+    centres = lloyd_rounds(make_table(v), np.array([[1.0, 1], [8, 8], [99, 99]]), 2)
+    assert centres.tolist() == [[0, 1], [10, 9], [99, 99]]
 
 
 def test_groups_come_in_bounded_parts(spark):

@@ -75,3 +75,15 @@ def test_sub_vectors_must_divide():
     assert ann.sub_vector_count(96) == 96
     with pytest.raises(ValueError, match="divide"):
         ann.sub_vector_count(512, 96)
+
+
+def test_rows_added_later_are_found(spark, make_table, random_vectors, tmp_path):
+    v = random_vectors(120, 8, 11, positive=False)
+    frame = make_table(v).selectExpr("*", "id AS row_key")
+    path = str(tmp_path / "index")
+    ann.create_index(frame.where("id < '/img_00060'"), path, num_partitions=4, num_sub_vectors=4)
+    for _ in range(2):
+        ann.update_index(frame, path)
+        assert spark.read.parquet(f"{path}/rows").count() == 120
+    exact = search_topk(frame, v[100], 6).collect()
+    assert ann.search_index(spark, path, v[100], 6, nprobe=4, refine=None).collect() == exact

@@ -10,18 +10,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.functions.vectors import as_lists, as_matrix, l2_normalize, unit_rows, with_vectors
+from vecloom.functions.vectors import (
+    as_lists,
+    as_matrix,
+    fixed_width,
+    l2_normalize,
+    unit_rows,
+    with_vectors,
+)
 from vecloom.operators.clusters import assign_nearest, fit_centroids
 from vecloom.operators.search import filtered, search_topk
+from vecloom.session import materialise
 
 CODES = 256
-# Rows used to fit code books and cells; encoding always covers the whole table.
-PQ_TRAIN_ROWS = 65_536
-IVF_TRAIN_ROWS = 500_000
+# Rounds of fitting code books, and rows that the first centres are drawn from.
+ROUNDS = 8
+START_ROWS = 4 * CODES
 
 
 def sub_vector_count(dim: int, wanted: int | None = None) -> int:
@@ -38,46 +48,82 @@ def unit_column(vector_col: str):
     return l2_normalize(F.col(vector_col)).cast("array<float>")
 
 
-def train_codebooks(df: DataFrame, m: int, vector_col: str = "vector", seed: int = 42) -> DataFrame:
-    """(sub, code, centre): up to 256 centres per sub-space.
+def train_codebooks(
+    df: DataFrame, m: int, vector_col: str = "vector", seed: int = 42, rounds: int = ROUNDS
+) -> DataFrame:
+    """(sub, code, centre): up to 256 centres per sub-space, fitted on all rows.
 
-    All sub-spaces are fitted side by side, one group each, on a sample of bounded size.
+    Centres start at rows of least hash. In every round each task adds up its rows per
+    (sub, code), so what is shuffled is bounded by the code books, whatever the table's size.
     """
-    n = df.count()
-    rows = df.where(F.col(vector_col).isNotNull()).select(unit_column(vector_col).alias("v"))
-    if n > PQ_TRAIN_ROWS:
-        rows = rows.sample(fraction=PQ_TRAIN_ROWS / n, seed=seed)
-    pieces = rows.select(
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(m - 1)),
-                lambda i: F.slice(
-                    "v", (i * (F.size("v") / m) + 1).cast("int"), (F.size("v") / m).cast("int")
-                ),
-            )
-        ).alias("sub", "piece")
+    unit = materialise(
+        df.where(F.col(vector_col).isNotNull()).select(unit_column(vector_col).alias("v")), "unit"
     )
+    first = unit.orderBy(F.xxhash64(F.lit(seed), "v")).limit(START_ROWS).toArrow().column("v")
+    starts = as_matrix(first).astype(np.float64)
+    starts = starts.reshape(len(starts), m, -1)
+    books = np.full((m, CODES, starts.shape[2]), np.inf)
+    for s in range(m):
+        # In the order of the rows, each different sub-vector once.
+        _, place = np.unique(starts[:, s], axis=0, return_index=True)
+        chosen = starts[np.sort(place)[:CODES], s]
+        books[s, : len(chosen)] = chosen
+    context = df.sparkSession.sparkContext
+    for _ in range(rounds):
+        shipped = context.broadcast(books)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now = shipped.value
+            sums, counts = np.zeros(now.shape), np.zeros(now.shape[:2])
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = as_matrix(batch.column(0)).astype(np.float64).reshape(batch.num_rows, m, -1)
+                for s in range(m):
+                    near = nearest_codes(now[s], x[:, s])
+                    order = np.argsort(near, kind="stable")
+                    codes, begin = np.unique(near[order], return_index=True)
+                    sums[s, codes] += np.add.reduceat(x[order, s], begin)
+                    counts[s] += np.bincount(near, minlength=CODES)
+            sub, code = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(sub.astype(np.int32)),
+                    pa.array(code.astype(np.int32)),
+                    pa.array(counts[sub, code]),
+                    as_lists(sums[sub, code] / counts[sub, code][:, None]),
+                ],
+                ["sub", "code", "n", "mean"],
+            )
 
-    def fit(table: pa.Table) -> pa.Table:
-        x = as_matrix(table.column("piece")).astype(np.float64)
-        unique = np.unique(x, axis=0)
-        rng = np.random.default_rng(seed)
-        centres = unique[rng.permutation(len(unique))[:CODES]]
-        for _ in range(12):
-            near = np.argmin((centres**2).sum(axis=1) - 2.0 * (x @ centres.T), axis=1)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, near, x)
-            count = np.bincount(near, minlength=len(centres))
-            centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
-        return pa.table(
+        parts = unit.mapInArrow(run, "sub int, code int, n double, mean array<double>")
+        means = parts.groupBy("sub", "code").agg(
+            vector_to_array(Summarizer.mean(array_to_vector("mean"), F.col("n"))).alias("mean")
+        )
+        table = means.toArrow()
+        sub, code = table.column("sub").to_numpy(), table.column("code").to_numpy()
+        moved = books.copy()
+        moved[sub, code] = as_matrix(table.column("mean"))
+        shipped.unpersist()
+        if np.array_equal(moved, books):
+            break
+        books = moved
+    sub, code = np.nonzero(np.isfinite(books[:, :, 0]))
+    return df.sparkSession.createDataFrame(
+        pa.table(
             {
-                "sub": pa.array([table.column("sub")[0].as_py()] * len(centres), pa.int32()),
-                "code": pa.array(range(len(centres)), pa.int32()),
-                "centre": as_lists(centres.astype(np.float32)),
+                "sub": pa.array(sub.astype(np.int32)),
+                "code": pa.array(code.astype(np.int32)),
+                "centre": as_lists(books[sub, code].astype(np.float32)),
             }
         )
+    )
+
 
-    return pieces.groupBy("sub").applyInArrow(fit, "sub int, code int, centre array<float>")
+def nearest_codes(centres: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The nearest of the finite ``centres``, which come first, for each row."""
+    known = centres[np.isfinite(centres[:, 0])]
+    return np.argmin((known**2).sum(axis=1) - 2.0 * (x @ known.T), axis=1)
 
 
 def codebook_matrix(codebooks: DataFrame) -> np.ndarray:
@@ -105,10 +151,7 @@ def pq_encode(df: DataFrame, codebooks: np.ndarray, vector_col: str = "vector")
             x = unit_rows(as_matrix(batch.column(place)), np.float32).reshape(-1, m, width)
             codes = np.empty((len(x), m), np.uint8)
             for s in range(m):
-                known = books[s][np.isfinite(books[s][:, 0])]
-                codes[:, s] = np.argmin(
-                    (known**2).sum(axis=1) - 2.0 * (x[:, s] @ known.T), axis=1
-                )
+                codes[:, s] = nearest_codes(books[s], x[:, s])
             offsets = np.arange(len(x) + 1, dtype=np.int32) * m
             binary = pa.Array.from_buffers(
                 pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(codes.tobytes())]
@@ -121,9 +164,9 @@ def pq_encode(df: DataFrame, codebooks: np.ndarray, vector_col: str = "vector")
 
 
 def fit_cells(df: DataFrame, num_partitions: int, vector_col: str = "vector") -> np.ndarray:
-    """Coarse centroids on unit vectors, fitted on a bounded sample."""
+    """Coarse centroids on unit vectors, fitted on all rows."""
     unit = df.where(F.col(vector_col).isNotNull()).select(unit_column(vector_col).alias("vector"))
-    return fit_centroids(unit, num_partitions, starts=1, train_rows=IVF_TRAIN_ROWS)
+    return fit_centroids(unit, num_partitions, starts=1)
 
 
 def ivf_cells(df: DataFrame, centroids: np.ndarray, vector_col: str = "vector") -> DataFrame:
@@ -146,7 +189,7 @@ def create_index(
     if head is None:
         raise ValueError("cannot index an empty table")
     m = sub_vector_count(head[0], num_sub_vectors)
-    centroids = fit_cells(rows, min(num_partitions, df.count()), vector_col)
+    centroids = fit_cells(rows, min(num_partitions, rows.count()), vector_col)
     spark = df.sparkSession
     books = train_codebooks(rows, m, vector_col)
     books.write.mode("overwrite").parquet(f"{path}/codebooks")
@@ -157,14 +200,35 @@ def create_index(
         }
     )
     spark.createDataFrame(numbered).write.mode("overwrite").parquet(f"{path}/centroids")
-    coded = pq_encode(rows, codebook_matrix(spark.read.parquet(f"{path}/codebooks")), vector_col)
-    ivf_cells(coded, centroids, vector_col).hint("rebalance", "cell").write.mode(
-        "overwrite"
-    ).partitionBy("cell").parquet(f"{path}/rows")
+    write_coded(rows, path, vector_col, "overwrite")
+
+
+def write_coded(rows: DataFrame, path: str, vector_col: str, mode: str) -> None:
+    """Write rows with the cells and codes of the index at ``path``."""
+    spark = rows.sparkSession
+    books = codebook_matrix(spark.read.parquet(f"{path}/codebooks"))
+    centroids = as_matrix(read_centroids(spark, path).column("centroid"))
+    placed = ivf_cells(pq_encode(rows, books, vector_col), centroids, vector_col)
+    placed.hint("rebalance", "cell").write.mode(mode).partitionBy("cell").parquet(f"{path}/rows")
+
+
+def read_centroids(spark: SparkSession, path: str) -> pa.Table:
+    return spark.read.parquet(f"{path}/centroids").orderBy("cell").toArrow()
+
+
+def update_index(
+    df: DataFrame, path: str, key_col: str = "row_key", vector_col: str = "vector"
+) -> None:
+    """Add the rows of a table that its index lacks, by a key that is unique for each row.
+    Cells and code books stay as they are, so only new rows are encoded."""
+    known = df.sparkSession.read.parquet(f"{path}/rows").select(key_col)
+    rows = df.where(F.col(vector_col).isNotNull()).join(known, key_col, "left_anti")
+    # Written first: the index is read and written by the same job otherwise.
+    write_coded(materialise(rows.select(*df.columns), "appended"), path, vector_col, "append")
 
 
 def nearest_cells(spark: SparkSession, path: str, query: np.ndarray, nprobe: int) -> list[int]:
-    table = spark.read.parquet(f"{path}/centroids").toArrow()
+    table = read_centroids(spark, path)
     unit = unit_rows(np.asarray(query, np.float64)[None, :])[0]
     gap = as_matrix(table.column("centroid")) - unit
     order = np.argsort(np.einsum("ij,ij->i", gap, gap), kind="stable")[:nprobe]
@@ -184,7 +248,7 @@ def shortlist(df: DataFrame, books: np.ndarray, query: np.ndarray, size: int, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = lookup.value
         for batch in batches:
-            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, m)
+            codes = fixed_width(batch.column(1), m)
             near = 1.0 - scores[np.arange(m)[None, :], codes].sum(axis=1)
             # More than ``size`` rows of one batch can never be needed.
             best = np.argsort(near, kind="stable")[:size]

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.functions.vectors import as_matrix, with_vectors
-from vecloom.session import BROADCAST_BYTES, broadcast_if_small
+from vecloom.session import BROADCAST_BYTES
 
-# Up to this many rows the best of ten starts is kept, above it the best of three.
-MANY_STARTS_UP_TO = 10_000
-# Centroids are fitted on at most this many rows; every row is assigned afterwards.
-TRAIN_ROWS = 2_000_000
+# Starts of which the best is kept.
+STARTS = 3
 PARALLEL_STARTS = 8
+# Rows worth a partition of their own.
+PARTITION_ROWS = 5000
 PRODUCT_CELLS = 4_000_000
 
 
@@ -77,12 +77,11 @@ def fit_centroids(
     df: DataFrame,
     k: int,
     seed: int = 42,
-    starts: int | None = None,
+    starts: int = STARTS,
     max_iter: int = 20,
-    train_rows: int = TRAIN_ROWS,
     vector_col: str = "vector",
 ) -> np.ndarray:
-    """Centroids of the best of several K-Means starts."""
+    """Centroids of the best of several K-Means starts, each fitted on all rows."""
     n = df.count()  # without the vectors, which a filter on them would read
     rows = df.where(F.col(vector_col).isNotNull()).select(
         array_to_vector(F.col(vector_col).cast("array<double>")).alias("features")
@@ -92,13 +91,13 @@ def fit_centroids(
     if k == 1:
         # Spark's K-Means needs two clusters; a single one is the mean.
         return np.array([rows.agg(vector_to_array(Summarizer.mean(F.col("features")))).first()[0]])
-    if n > train_rows:
-        rows = rows.sample(fraction=train_rows / n, seed=seed)
-    # At most train_rows rows: even them out, since a sample or a small file may lie in few
-    # partitions and every iteration reads them again.
+    # A table in few files is spread over the cores, since every iteration reads it again;
+    # a large one is left as its files are. What is kept here is only a cache: lost parts are
+    # read again.
     cores = df.sparkSession.sparkContext.defaultParallelism
-    rows = rows.repartition(max(1, min(cores, n // 5000))).persist()
-    starts = starts or (10 if n <= MANY_STARTS_UP_TO else 3)
+    if n < cores * PARTITION_ROWS:
+        rows = rows.repartition(max(1, n // PARTITION_ROWS))
+    rows = rows.persist()
 
     def fit(start: int):
         model = KMeans(k=k, seed=seed + start, maxIter=max_iter).fit(rows)
@@ -113,8 +112,22 @@ def fit_centroids(
         rows.unpersist()
 
 
+def lloyd_rounds(
+    df: DataFrame, centroids: np.ndarray, rounds: int, vector_col: str = "vector"
+) -> np.ndarray:
+    """Given centroids after ``rounds`` of assigning every row and taking the means; a
+    centroid without rows stays where it is. Only one mean per cluster reaches the driver."""
+    centroids = np.array(centroids, np.float64)
+    for _ in range(rounds):
+        placed = assign_nearest(df.select(vector_col), centroids, vector_col)
+        means = placed.groupBy("cluster").agg(mean_vector(vector_col).alias("mean")).toArrow()
+        if means.num_rows:
+            centroids[means.column("cluster").to_numpy()] = as_matrix(means.column("mean"))
+    return centroids
+
+
 def cluster_rows(
-    df: DataFrame, n_clusters: int = 10, seed: int = 42, starts: int | None = None, **fit
+    df: DataFrame, n_clusters: int = 10, seed: int = 42, starts: int = STARTS, **fit
 ) -> DataFrame:
     """K-Means on the stored vectors: the table plus (cluster, d2), one label per row."""
     return assign_nearest(df, fit_centroids(df, n_clusters, seed, starts, **fit))
@@ -137,7 +150,7 @@ def cluster_groups(
     A cluster may hold any share of the table, so its list comes in parts of about
     ``part_rows`` ids, split by a hash of the id; ``n`` is the size of the whole cluster.
     """
-    sizes = broadcast_if_small(assigned.groupBy(cluster_col).agg(F.count("*").alias("n")))
+    sizes = assigned.groupBy(cluster_col).agg(F.count("*").alias("n"))
     digest = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long")
     return (
         assigned.join(sizes, cluster_col)
@@ -151,7 +164,7 @@ def cluster_preview(
     assigned: DataFrame, n: int = 3, id_col: str = "id", cluster_col: str = "cluster"
 ) -> DataFrame:
     """First n members per cluster, with the count of those not shown."""
-    sizes = broadcast_if_small(assigned.groupBy(cluster_col).agg(F.count("*").alias("size")))
+    sizes = assigned.groupBy(cluster_col).agg(F.count("*").alias("size"))
     first = Window.partitionBy(cluster_col).orderBy(id_col)
     return (
         assigned.select(cluster_col, id_col)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from pathlib import Path
 
 import numpy as np
@@ -13,7 +12,6 @@ from vecloom.functions.vectors import unit_rows
 from vecloom.operators import ann, clusters, pairs, projection, quantize, search
 from vecloom.plans.ingest import index_files
 from vecloom.sources import tables
-from vecloom.sources.files import read_bytes
 
 DEFAULT_TABLE = "vectors"
 
@@ -44,6 +42,12 @@ class VectorEngine:
 
     def append(self, rows: DataFrame, table: str = DEFAULT_TABLE) -> None:
         tables.append_vectors(rows, self.path(table))
+        self.update_index(table)
+
+    def update_index(self, table: str = DEFAULT_TABLE) -> None:
+        """Bring rows written since into the search index, if the table has one."""
+        if tables.path_exists(self.spark, f"{self.index_path(table)}/centroids"):
+            ann.update_index(self.table(table), self.index_path(table))
 
     def index(
         self,
@@ -54,9 +58,11 @@ class VectorEngine:
     ) -> DataFrame:
         if self.image_encoder is None:
             raise ValueError("an image encoder is needed to ingest files")
-        return index_files(
+        totals = index_files(
             self.spark, data_dir, self.path(table), self.image_encoder, batch_size, incremental
         )
+        self.update_index(table)
+        return totals
 
     def create_index(
         self,
@@ -78,8 +84,10 @@ class VectorEngine:
         if isinstance(query, (np.ndarray, list, tuple)):
             return np.asarray(query, dtype=np.float32)
         text = str(query)
-        if os.path.isfile(text):
-            encoder, value = self.image_encoder, read_bytes(text)
+        # Asked of the path's own file system, so an image may lie on shared storage.
+        if tables.is_file(self.spark, text):
+            found = self.spark.read.format("binaryFile").load(text).select("content").first()
+            encoder, value = self.image_encoder, bytes(found["content"]) if found else b""
         else:
             encoder, value = self.text_encoder, text
         if encoder is None:
@@ -127,6 +135,10 @@ class VectorEngine:
     def cluster(self, n_clusters: int = 10, table: str = DEFAULT_TABLE, **fit) -> DataFrame:
         return clusters.cluster_rows(self.table(table), n_clusters, **fit)
 
+    def cluster_stats(self, n_clusters: int = 10, table: str = DEFAULT_TABLE, **fit) -> DataFrame:
+        """(n_clusters, n_images, inertia) of a clustering."""
+        return clusters.cluster_stats(self.cluster(n_clusters, table, **fit), n_clusters)
+
     def reduce_dimensions(
         self, method: str = "tsne", n_components: int = 2, table: str = DEFAULT_TABLE
     ) -> DataFrame:
