@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from vecloom.operators.neighbours import nearest_join, neighbour_graph
+from vecloom.operators.search import search_batch
 
 
 @pytest.mark.parametrize("block_rows", [4096, 40, 15])
@@ -38,3 +39,23 @@ def test_join_of_two_tables(make_table, random_vectors):
 
 def test_fewer_rows_than_k(make_table, random_vectors):
     assert neighbour_graph(make_table(random_vectors(4, 5)), 10).count() == 12
+
+
+@pytest.mark.parametrize("side", [4096, 0])
+def test_both_sides_agree_on_repeated_ids_and_queries(spark, side):
+    """A query set that is shipped and one that is joined give the same rows."""
+    corpus = [("x", [1.0, 0.0]), ("x", [1.0, 0.0]), ("y", [1.0, 0.1]), ("z", [0.0, 1.0]), ("z", None)]
+    asked = [("q", [1.0, 0.0]), ("q", [1.0, 0.0]), ("r", [0.0, 2.0]), ("s", None)]
+    c = spark.createDataFrame(corpus, "id string, vector array<float>")
+    q = spark.createDataFrame(asked, "qid string, qv array<float>")
+    got = search_batch(c, q, 3, max_broadcast_queries=side).collect()
+    lists = sorted((r["qid"], r["rank"], r["id"]) for r in got)
+    twice = [("q", 1, "x"), ("q", 2, "x"), ("q", 3, "y")]
+    assert lists == sorted(twice * 2 + [("r", 1, "z"), ("r", 2, "y"), ("r", 3, "x")])
+
+
+def test_graph_keeps_rows_of_equal_ids_apart(spark):
+    rows = [("a", [1.0, 0.0]), ("a", [1.0, 0.05]), ("b", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id string, vector array<float>")
+    got = sorted((r["qid"], r["rank"], r["id"]) for r in neighbour_graph(df, 1).collect())
+    assert got == [("a", 1, "a"), ("a", 1, "a"), ("b", 1, "a")]

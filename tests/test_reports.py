@@ -18,10 +18,16 @@ def test_percentiles(spark):
         assert r["value"] == pytest.approx(np.percentile(sample, 100 * r["q"]), abs=1e-9)
 
 
-@pytest.mark.parametrize("in_memory_rows", [10_000, 10])
-def test_latency_summary(spark, in_memory_rows):
+def test_a_null_group_is_a_group(spark):
+    rows = [(None, 1.0), (None, 2.0), (None, 3.0), ("a", None), ("b", 7.0)]
+    frame = spark.createDataFrame(rows, "d string, ms double")
+    got = {r["d"]: (r["p50"], r["p95"], r["p99"]) for r in latency_summary(frame, "d", "ms").collect()}
+    assert got == {None: (2.0, 2.9, 2.98), "a": (None, None, None), "b": (7.0, 7.0, 7.0)}
+
+
+def test_latency_summary(spark):
     frame = spark.createDataFrame([("a", float(x)) for x in range(101)], "d string, ms double")
-    row = latency_summary(frame, "d", "ms", in_memory_rows=in_memory_rows).first()
+    row = latency_summary(frame, "d", "ms").first()
     assert (row["mean"], row["p50"], row["p95"], row["p99"]) == (50.0, 50.0, 95.0, 99.0)
     assert (row["min"], row["max"]) == (0.0, 100.0)
 

@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from vecloom.session import broadcast_if_small, materialise, scratch_root, take_bounded
+from vecloom.session import materialise, scratch_root, take_bounded
 
 
 def session(master, setting=None):
@@ -32,5 +32,3 @@ def test_materialised_stage_reads_files(spark):
 def test_size_checks(spark):
     frame = spark.range(5)
     assert take_bounded(frame, 5).num_rows == 5 and take_bounded(frame, 4) is None
-    assert "broadcast" in broadcast_if_small(frame, 5)._jdf.queryExecution().toString()
-    assert "broadcast" not in broadcast_if_small(frame, 4)._jdf.queryExecution().toString()

@@ -183,30 +183,42 @@ def to_all(found: DataFrame, copies: Copies, k: int, skip_self: bool) -> DataFra
     )
 
 
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """``df(id, vector)`` without null vectors, with ``row``: a number of its own for each
+    row that rises with the id, so rows of equal ids stay apart and ties keep their order.
+    Written, since numbers would change on another run."""
+    known = df.where(F.col("vector").isNotNull()).repartitionByRange("id")
+    rows = known.sortWithinPartitions("id").withColumn("row", F.monotonically_increasing_id())
+    return materialise(rows, label)
+
+
 def nearest_join(
     queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = blocks.BLOCK_ROWS
 ) -> DataFrame:
     """Exact top-k of ``corpus(id, vector)`` for each row of ``queries(qid, qv)``:
-    (qid, id, distance, rank). Equal vectors on either side are compared once."""
-    n = corpus.count()
-    asked = collapse(
-        queries.where(F.col("qv").isNotNull()).select(
-            F.col("qid").alias("id"), F.col("qid").alias("key"), F.col("qv").alias("vector")
-        ),
-        "queries",
-    )
-    stored = collapse(
-        corpus.where(F.col("vector").isNotNull()).select("id", F.col("id").alias("key"), "vector")
-    )
-    no_id = F.lit(None).cast(corpus.schema["id"].dataType).alias("id")
-    no_key = F.lit(None).cast(queries.schema["qid"].dataType).alias("key")
-    q = asked.reps.select("key", no_id, "vector")
-    c = stored.reps.select(no_key, "id", "vector")
-    found = cell_nearest(q, c, n, k, False, block_rows)
+    (qid, id, distance, rank). Equal vectors on either side are compared once; rows that
+    repeat an id, on either side, are rows of their own."""
+    asking = numbered(queries.select(F.col("qid").alias("id"), F.col("qv").alias("vector")), "asking")
+    given = numbered(corpus.select("id", "vector"), "given")
+    keyed = [F.col("row").alias("id"), F.col("row").alias("key"), "vector"]
+    asked = collapse(asking.select(*keyed), "queries")
+    stored = collapse(given.select(*keyed))
+    none = F.lit(None).cast("long")
+    q = asked.reps.select("key", none.alias("id"), "vector")
+    c = stored.reps.select(none.alias("key"), "id", "vector")
+    found = cell_nearest(q, c, given.count(), k, False, block_rows)
     found = best_k(with_copies(found, heads(stored, k)), k)
-    if asked.members is None:
-        return found.select("qid", "id", "distance", "rank")
-    return to_all(found, asked, k, False)
+    if asked.members is not None:
+        found = to_all(found, asked, k, False)
+    qids = asking.select(F.col("row").alias("qid"), F.col("id").alias("asked_id"))
+    return with_ids(found.join(qids, "qid").drop("qid").withColumnRenamed("asked_id", "qid"), given)
+
+
+def with_ids(found: DataFrame, given: DataFrame) -> DataFrame:
+    """Row numbers in ``found.id`` replaced by the ids of ``given``."""
+    ids = given.select("row", F.col("id").alias("given_id"))
+    joined = found.join(ids, found["id"] == ids["row"])
+    return joined.select("qid", F.col("given_id").alias("id"), "distance", "rank")
 
 
 def neighbour_graph(
@@ -218,22 +230,20 @@ def neighbour_graph(
 ) -> DataFrame:
     """k nearest rows of every row, itself left out: (qid, id, distance, rank).
 
-    Ids are unique. Copies are searched once per group: all of a group share its list, in
-    which the group's own lowest ids stand at its self-distance.
+    Rows that repeat an id are rows of their own. Copies are searched once per group: all of
+    a group share its list, in which the group's own lowest rows stand at its self-distance.
     """
-    n = df.count()
-    copies = collapse(
-        df.where(F.col(vector_col).isNotNull()).select(
-            F.col(id_col).alias("id"), F.col(id_col).alias("key"), F.col(vector_col).alias("vector")
-        )
-    )
+    given = numbered(df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")), "given")
+    copies = collapse(given.select(F.col("row").alias("id"), F.col("row").alias("key"), "vector"))
     reps = copies.reps
-    found = cell_nearest(reps, reps, n, k, True, block_rows)
-    if copies.members is None:
-        return found.select("qid", "id", "distance", "rank")
-    lowest = heads(copies, k + 1)
-    own = lowest.select(
-        F.col("rep_id").alias("qid"), "id", F.col("self_distance").alias("distance")
-    )
-    candidates = best_k(with_copies(found, lowest).unionByName(own), k + 1)
-    return to_all(candidates, copies, k, True)
+    found = cell_nearest(reps, reps, given.count(), k, True, block_rows)
+    if copies.members is not None:
+        lowest = heads(copies, k + 1)
+        own = lowest.select(
+            F.col("rep_id").alias("qid"), "id", F.col("self_distance").alias("distance")
+        )
+        candidates = best_k(with_copies(found, lowest).unionByName(own), k + 1)
+        found = to_all(candidates, copies, k, True)
+    qids = given.select(F.col("row").alias("qid"), F.col("id").alias("asked_id"))
+    found = found.join(qids, "qid").drop("qid").withColumnRenamed("asked_id", "qid")
+    return with_ids(found, given)

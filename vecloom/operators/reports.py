@@ -5,77 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.session import broadcast_if_small
-
-# Groups up to this size use the built-in exact percentile, which holds a group's
-# distinct values in one task.
-PERCENTILE_ROWS = 5_000_000
-SPLITS = 250
+from vecloom.session import materialise
 
 
 def throughput(amount: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, amount / seconds).otherwise(F.lit(0.0))
 
 
-def fits_in_memory(df: DataFrame, group_col: str, max_rows: int) -> bool:
-    largest = df.groupBy(group_col).count().agg(F.max("count")).first()[0]
-    return (largest or 0) <= max_rows
-
-
 def exact_percentiles(
     df: DataFrame, group_col: str, value_col: str, quantiles: list[float]
 ) -> DataFrame:
-    """(group, q, value): exact percentiles with linear interpolation, for groups of any size.
+    """(group, q, value): exact percentiles with linear interpolation, for groups of any size
+    and a null group like any other.
 
-    The order statistics are found in two passes: a mergeable sketch cuts each group into
-    slices of a bounded share of its rows, slice counts say which slices hold the wanted
-    ranks, and only those are sorted. Equal values are counted together first, so a value
-    that fills a third of the table is one row.
+    Equal values are counted together, so a value that fills a third of the table is one
+    row. The counts are dealt by range of (group, value) and written with the number of
+    their partition; sums per partition then say which partition holds a wanted rank, and
+    only those are ranked value by value. No task holds more than one range.
     """
     rows = df.where(F.col(value_col).isNotNull()).select(
         F.col(group_col).alias("grp"), F.col(value_col).cast("double").alias("val")
     )
-    wanted = F.array(*[F.lit(float(q)) for q in quantiles])
     counted = rows.groupBy("grp", "val").agg(F.count("*").alias("n"))
-    cuts = rows.groupBy("grp").agg(
-        F.percentile_approx(
-            "val", [i / SPLITS for i in range(1, SPLITS)], 20 * SPLITS
-        ).alias("cuts"),
-        F.count("*").alias("total"),
-    )
-    cuts = broadcast_if_small(cuts, max_rows=1000)
-    sliced = counted.join(cuts, "grp").withColumn(
-        "slice", F.size(F.filter("cuts", lambda c: c < F.col("val")))
+    ranged = materialise(
+        counted.repartitionByRange("grp", "val").withColumn("part", F.spark_partition_id()),
+        "ranges",
     )
-    weight = sliced.groupBy("grp", "slice").agg(
-        F.sum("n").alias("rows"), F.first("total").alias("total")
-    )
-    # At most SPLITS rows per group from here on.
-    before = Window.partitionBy("grp").orderBy("slice").rowsBetween(
+    # At most a row for each partition and group from here on.
+    sums = ranged.groupBy("grp", "part").agg(F.sum("n").alias("rows"))
+    before = Window.partitionBy("grp").orderBy("part").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    spans = weight.withColumn("end", F.sum("rows").over(before)).withColumn(
-        "start", F.col("end") - F.col("rows")
-    )
+    spans = sums.select(
+        "grp", "part", "rows",
+        F.sum("rows").over(before).alias("end"),
+        F.sum("rows").over(Window.partitionBy("grp")).alias("total"),
+    ).withColumn("start", F.col("end") - F.col("rows"))
+    wanted = F.array(*[F.lit(float(q)) for q in quantiles])
     ranks = (
-        spans.select("grp", "slice", "start", "end", "total", F.explode(wanted).alias("q"))
+        spans.select("grp", "part", "start", "end", "total", F.explode(wanted).alias("q"))
         .withColumn("pos", F.col("q") * (F.col("total") - 1))
         .withColumn("rank", F.explode(F.array(F.floor("pos"), F.ceil("pos"))))
         .where("rank >= start AND rank < end")
     )
-    needed = ranks.select("grp", "slice", "start").distinct()
-    order = Window.partitionBy("grp", "slice").orderBy("val").rowsBetween(
+    needed = ranks.select(F.col("grp").alias("g"), F.col("part").alias("p"), "start").distinct()
+    same = F.col("grp").eqNullSafe(F.col("g")) & (F.col("part") == F.col("p"))
+    order = Window.partitionBy("grp", "part").orderBy("val").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     placed = (
-        sliced.select("grp", "slice", "val", "n")
-        .join(needed, ["grp", "slice"])
+        ranged.join(needed, same)
         .withColumn("last", F.col("start") + F.sum("n").over(order))
-        .withColumn("first", F.col("last") - F.col("n"))
+        .select("g", "p", "val", "last", (F.col("last") - F.col("n")).alias("first"))
     )
-    hits = ranks.select("grp", "slice", "q", "pos", "rank").join(
-        placed.select("grp", "slice", "val", "first", "last"), ["grp", "slice"]
-    ).where("rank >= first AND rank < last")
+    inside = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
+    hits = ranks.select("grp", "part", "q", "pos", "rank").join(placed, same & inside)
     low = F.min("val")
     return hits.groupBy(F.col("grp").alias(group_col), "q").agg(
         (low + (F.max("val") - low) * (F.first("pos") - F.floor(F.first("pos")))).alias("value")
@@ -91,11 +75,9 @@ def latency_summary(
     value_col: str,
     digits: int = 2,
     extra: dict[str, Column] | None = None,
-    in_memory_rows: int = PERCENTILE_ROWS,
 ) -> DataFrame:
     """Mean, p50, p95, p99, min and max of a sample per group, rounded, and any ``extra``
-    aggregates of the same rows. All of it is one aggregation where every group is small
-    enough for the built-in percentile."""
+    aggregates of the same rows."""
     extra = extra or {}
     basic = [
         F.avg(value_col).alias("mean"),
@@ -103,20 +85,12 @@ def latency_summary(
         F.max(value_col).alias("max"),
         *[c.alias(name) for name, c in extra.items()],
     ]
-    if fits_in_memory(df, group_col, in_memory_rows):
-        tails = F.percentile(value_col, F.array(*[F.lit(q) for q in TAILS.values()]))
-        summary = df.groupBy(group_col).agg(*basic, tails.alias("tails")).select(
-            "*", *[F.element_at("tails", i + 1).alias(name) for i, name in enumerate(TAILS)]
-        )
-    else:
-        found = exact_percentiles(df, group_col, value_col, list(TAILS.values()))
-        tails = found.groupBy(group_col).agg(
-            *[
-                F.max(F.when(F.col("q") == q, F.col("value"))).alias(name)
-                for name, q in TAILS.items()
-            ]
-        )
-        summary = df.groupBy(group_col).agg(*basic).join(tails, group_col, "left")
+    found = exact_percentiles(df, group_col, value_col, list(TAILS.values()))
+    tails = found.groupBy(F.col(group_col).alias("__group")).agg(
+        *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for name, q in TAILS.items()]
+    )
+    summary = df.groupBy(group_col).agg(*basic)
+    summary = summary.join(tails, F.col(group_col).eqNullSafe(F.col("__group")), "left")
     return summary.select(
         group_col,
         *[F.round(c, digits).alias(c) for c in ("mean", "p50", "p95", "p99", "min", "max")],

@@ -7,7 +7,6 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Most bytes of driver-collected data that may be shipped to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -51,12 +50,6 @@ def take_bounded(df: DataFrame, max_rows: int) -> pa.Table | None:
     return df.toArrow() if df.count() <= max_rows else None
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after checking the row count; otherwise leave the join
-    strategy to Spark."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def require_columns(df: DataFrame, names) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
