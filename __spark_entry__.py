@@ -28,7 +28,7 @@ from vecloom.operators import (
     search,
 )
 from vecloom.plans import ingest
-from vecloom.session import broadcast_if_small, even_scan, scratch_path
+from vecloom.session import even_scan, scratch_path
 from vecloom.sources import synthetic, tables
 
 # The pipeline's operators are a part of their own that may be absent; an error within them
@@ -133,7 +133,12 @@ def q_quantize_f16(spark, sf):
     path = scratch_path(spark, "half")
     tables.append_vectors(vector_table(spark, sf).select("id", "vector"), path)
     quantize.quantize_table(spark, path)
-    return spark.read.parquet(path).select("id", F.length("vector").alias("bytes"))
+    quantize.quantize_table(spark, path)  # the second time nothing is left to do
+    stored = spark.read.parquet(path)
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    sizes = stored.select("id", F.length("vector").alias("bytes"))
+    decoded = quantize.from_half(stored).select("id", F.round(total, 6).alias("total"))
+    return sizes.join(decoded, "id")
 
 
 def q_search_topk(spark, sf):
@@ -186,7 +191,7 @@ def q_distinct_ids(spark, sf):
 
 def q_cosine_distance(spark, sf):
     df = vector_table(spark, sf)
-    means = broadcast_if_small(class_means(df))
+    means = class_means(df)
     return df.join(means, "label").select(
         "id",
         (F.round(vectors.cosine_distance(F.col("vector"), F.col("mean")), 6) + 0.0).alias(
@@ -312,6 +317,16 @@ def q_cluster_kmeans(spark, sf):
     )
 
 
+def q_kmeans_rounds(spark, sf):
+    """Two rounds from the class means, over all rows."""
+    df = vector_table(spark, sf)
+    centres = clusters.lloyd_rounds(df, mean_matrix(df), 2)
+    placed = clusters.assign_nearest(df.select("id", "vector"), centres)
+    return placed.groupBy("cluster").agg(
+        F.count("*").alias("n"), F.round(F.sum("d2"), 6).alias("inertia")
+    )
+
+
 def q_latency_summary(spark, sf):
     return reports.latency_summary(read(spark, sf, "events"), "event_type", "value", digits=6)
 
@@ -330,7 +345,7 @@ def q_bench_report(spark, sf):
 
 def q_scaling_factor(spark, sf):
     events = read(spark, sf, "events").select("event_type", "value")
-    sizes = broadcast_if_small(events.groupBy("event_type").agg(F.count("*").alias("size")))
+    sizes = events.groupBy("event_type").agg(F.count("*").alias("size"))
     scaled = reports.scaling_factor(events.join(sizes, "event_type"), "size", "value")
     return scaled.select(
         "n", F.round("avg_ms", 6).alias("avg_ms"), F.round("factor", 6).alias("factor")
@@ -381,6 +396,97 @@ def q_pq_encode(spark, sf):
     return ann.pq_encode(df, books).select("id", F.length("codes").alias("code_bytes"))
 
 
+def q_ivf_nearest(spark, sf):
+    """How many centroids are nearer to a row than the one of its cell: none."""
+    df = vector_table(spark, sf).select("id", "vector")
+    centroids = ann.fit_cells(df, 16)
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
+    placed = ann.ivf_cells(df, centroids).withColumn("u", vectors.l2_normalize(F.col("vector")))
+    gaps = placed.select(
+        "id", "cell", F.transform(table, lambda c: vectors.squared_distance(F.col("u"), c)).alias("d")
+    )
+    nearer = F.filter("d", lambda x: x < F.get("d", F.col("cell")) - 1e-9)
+    return gaps.select("id", F.size(nearer).alias("nearer"))
+
+
+def q_pq_nearest(spark, sf):
+    """How many centres of its code books are nearer to a row than its codes say: none."""
+    df = vector_table(spark, sf).select("id", "vector")
+    books = ann.train_codebooks(df, 16)
+    coded = ann.pq_encode(df, ann.codebook_matrix(books)).withColumn(
+        "u", vectors.l2_normalize(F.col("vector"))
+    )
+    pieces = coded.select(
+        "id",
+        F.posexplode(
+            F.expr(
+                "transform(sequence(1, 16), i -> struct("
+                "cast(conv(hex(substring(codes, i, 1)), 16, 10) AS int) AS code,"
+                "slice(u, (i - 1) * 4 + 1, 4) AS piece))"
+            )
+        ).alias("sub", "p"),
+    )
+    # At most 256 centres of a few numbers for each sub-space.
+    centres = books.groupBy("sub").agg(
+        F.sort_array(F.collect_list(F.struct("code", "centre"))).alias("all")
+    )
+    gaps = pieces.join(centres, "sub").withColumn(
+        "d", F.transform("all", lambda c: vectors.squared_distance(F.col("p.piece"), c["centre"]))
+    )
+    nearer = F.filter("d", lambda x: x < F.get("d", F.col("p.code")) - 1e-6)
+    return gaps.groupBy("id").agg(F.sum(F.size(nearer)).alias("nearer"))
+
+
+def q_search_ivf_appended(spark, sf):
+    """An index of half of the rows that takes in the rest finds all of them."""
+    df = vector_table(spark, sf).select("id", "vector").withColumn("row_key", F.col("id"))
+    path = scratch_path(spark, "ivf-half")
+    ann.create_index(df.where("id % 2 = 1"), path, num_partitions=8, num_sub_vectors=16)
+    ann.update_index(df, path)
+    return rounded(ann.search_index(spark, path, first_vector(df), 10, nprobe=8, refine=None))
+
+
+def q_preview_check(spark, sf):
+    rows = vector_table(spark, sf).select("id", "label")
+    shown = search.preview_sample(rows, 8, seed=7)
+    return shown.join(rows, ["id", "label"], "left_semi").agg(
+        F.count("*").alias("n"), F.countDistinct("id").alias("n_ids")
+    )
+
+
+def map_moments(placed: DataFrame, df: DataFrame, axes: list[str]) -> DataFrame:
+    """Means and covariances of a linear map, and whether its first axis varies at least as
+    much as any column of the vectors."""
+    spread = df.select(F.posexplode("vector").alias("i", "v")).groupBy("i").agg(
+        F.var_pop(F.col("v").cast("double")).alias("var")
+    )
+    widest = spread.agg(F.max("var")).first()[0]
+    pairs = [(a, b) for k, a in enumerate(axes) for b in axes[k + 1 :]]
+    return placed.agg(
+        F.count("*").alias("n"),
+        *[(F.round(F.avg(a), 6) + 0.0).alias(f"mean_{a}") for a in axes],
+        *[(F.round(F.covar_pop(a, b), 6) + 0.0).alias(f"cov_{a}{b}") for a, b in pairs],
+        (F.var_pop(axes[0]) >= widest - 1e-9).alias("widest"),
+    )
+
+
+def q_project_2d_moments(spark, sf):
+    df = vector_table(spark, sf)
+    return map_moments(projection.project(df, 2), df, ["x", "y"])
+
+
+def q_project_3d_moments(spark, sf):
+    df = vector_table(spark, sf)
+    return map_moments(projection.project(df, 3), df, ["x", "y", "z"])
+
+
+def q_layout_ids(spark, sf):
+    """Every row has one finite place on the layout."""
+    placed = projection.layout(vector_table(spark, sf), 2)
+    finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    return placed.select("id", finite.alias("placed"))
+
+
 def q_search_ivf(spark, sf):
     """All cells probed and all rows compared: the same rows as the exact search."""
     df = vector_table(spark, sf).select("id", "vector")
@@ -471,6 +577,38 @@ DUPLICATES = f"""
     WITH {PLANTED}, p AS ({pair_sql('planted', 0.05)})
     SELECT id_a, id_b, round(distance, 6) + 0.0 AS distance FROM p"""
 
+# The nearest half-precision number, ties to even.
+STEP = "pow(2, greatest(floor(log2(abs(x))), -14) - 10)"
+HALF = f"CASE WHEN x = 0 THEN 0 ELSE round_even(x / {STEP}, 0) * {STEP} END"
+
+
+def assigned(r: int) -> str:
+    """Nearest of the centroids c<r>(cluster, mean) for each row, as best<r>."""
+    return f"""
+    best{r} AS (
+        SELECT vec_id, arg_min(cluster, d2) AS cluster, min(d2) AS d2
+        FROM (SELECT vec_id, cluster,
+                     list_sum(list_transform(list_zip(embedding::double[], mean),
+                                             lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2
+              FROM (SELECT vec_id, embedding FROM embeddings) e, c{r})
+        GROUP BY vec_id)"""
+
+
+def moved(r: int) -> str:
+    """Means of the rows of best<r>, as c<r + 1>."""
+    return f"""
+    c{r + 1} AS (
+        SELECT cluster, list(m ORDER BY i) AS mean
+        FROM (SELECT cluster, i, avg(embedding[i]::double) AS m
+              FROM embeddings JOIN best{r} USING (vec_id), range(1, 65) t(i) GROUP BY cluster, i)
+        GROUP BY cluster)"""
+
+
+KMEANS = f"""
+    WITH {MEANS}, c0 AS (SELECT label AS cluster, mean FROM means),
+    {assigned(0)}, {moved(0)}, {assigned(1)}, {moved(1)}, {assigned(2)}
+    SELECT cluster, count(*) AS n, round(sum(d2), 6) AS inertia FROM best2 GROUP BY cluster"""
+
 WORDS = "('0x' || substr(md5('42:' || vec_id || ':' || i), 1, 8))::bigint / 4294967296.0"
 
 
@@ -486,7 +624,23 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, count(*) AS copies FROM (
                 SELECT vec_id AS id FROM embeddings UNION ALL SELECT vec_id FROM embeddings)
             GROUP BY id""",
-        "quantize_f16": "SELECT vec_id AS id, (2 * len(embedding))::int AS bytes FROM embeddings",
+        "quantize_f16": f"""
+            SELECT vec_id AS id, (2 * len(embedding))::int AS bytes,
+                   round(list_sum(list_transform(embedding::double[], lambda x: {HALF})), 6) AS total
+            FROM embeddings""",
+        "kmeans_rounds": KMEANS,
+        "ivf_nearest": "SELECT vec_id AS id, 0::int AS nearer FROM embeddings",
+        "pq_nearest": "SELECT vec_id AS id, 0::bigint AS nearer FROM embeddings",
+        "search_ivf_appended": topk("embeddings", "vec_id"),
+        "preview_check": "SELECT least(8, count(*)) AS n, least(8, count(*)) AS n_ids FROM embeddings",
+        "project_2d_moments": """
+            SELECT count(*) AS n, 0.0::double AS mean_x, 0.0::double AS mean_y,
+                   0.0::double AS cov_xy, true AS widest FROM embeddings""",
+        "project_3d_moments": """
+            SELECT count(*) AS n, 0.0::double AS mean_x, 0.0::double AS mean_y,
+                   0.0::double AS mean_z, 0.0::double AS cov_xy, 0.0::double AS cov_xz,
+                   0.0::double AS cov_yz, true AS widest FROM embeddings""",
+        "layout_ids": "SELECT vec_id AS id, true AS placed FROM embeddings",
         "search_topk": topk("embeddings", "vec_id"),
         "search_filtered": topk(
             "embeddings",
