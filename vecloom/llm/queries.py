@@ -47,7 +47,8 @@ def op2_language(spark, sf_dir):
 
 
 def op3_source_mix(spark, sf_dir):
-    return mixing.mix_documents(texts(spark, sf_dir, "source"))
+    mixed = mixing.mix_documents(texts(spark, sf_dir, "source"))
+    return mixed.withColumn("target", F.round("target", 6))
 
 
 def op4_byte_bpe(spark, sf_dir):
@@ -120,11 +121,12 @@ MIX = rf"""
         SELECT *, 2.0 * source_size / w AS full_at,
                coalesce(sum(2 * source_size) OVER below, 0) AS full_below,
                sum(w) OVER () - coalesce(sum(w) OVER below, 0) AS w_left,
-               1.5 * sum(source_size) OVER () AS total
+               1.5 * sum(source_size) OVER () AS total,
+               row_number() OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST) AS k
         FROM sources
         WINDOW below AS (ORDER BY 2.0 * source_size / w, source NULLS LAST
                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    level AS (SELECT min((total - full_below) / w_left) FILTER (
+    level AS (SELECT arg_min((total - full_below) / w_left, k) FILTER (
                   (total - full_below) <= full_at * w_left) AS l FROM levels),
     targets AS (
         SELECT source, source_size,
@@ -138,10 +140,155 @@ MIX = rf"""
         FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
     wholes AS (
         SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS n FROM placed)
-    SELECT doc_id, size, source_size, round(target, 4) AS target,
+    SELECT doc_id, size, source_size, round(target, 6) AS target,
            (n * size + greatest(0, least(size, goal - n * source_size - before)))::bigint AS taken
     FROM wholes"""
 
 
+STOP_LIST = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+
+RULE_SQL = " AND ".join(
+    f"({bound})"
+    for measure, of, least, most in quality.RULES
+    for bound in (
+        [f"{measure} >= {of or 1} * {least}::double"] * (least is not None)
+        + [f"{measure} <= {of or 1} * {most}::double"] * (most is not None)
+    )
+)
+
+QUALITY = rf"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS} AS words,
+               list_filter(string_split(coalesce(text, ''), chr(10)),
+                           lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+        FROM documents),
+    windows AS (
+        SELECT r, i, words[i : i + 2] AS w FROM (
+            SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM docs)),
+    twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1),
+    covered AS (
+        SELECT r, count(DISTINCT i + k)::bigint AS n FROM twice, range(3) t(k) GROUP BY r),
+    measured AS (
+        SELECT doc_id, len(words)::bigint AS n_words,
+               length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint AS word_chars,
+               len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint AS n_symbols,
+               len(list_filter(words, lambda w: lower(w) IN ({STOP_LIST})))::bigint
+                   AS n_stop_words,
+               len(lines)::bigint AS n_lines,
+               (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines,
+               coalesce(n, 0)::bigint AS n_repeat_words
+        FROM docs LEFT JOIN covered USING (r)),
+    judged AS (
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+        FROM measured)
+    SELECT *, NOT base_failed AND {RULE_SQL} AS kept FROM judged"""
+
+# Base 32 of a SHA-1: five hexadecimal digits make four characters.
+BASE32 = """list_aggregate(list_transform(range(32), lambda i: substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int, 1)),
+    'string_agg', '')"""
+
+WARC = f"""
+    WITH p AS (
+        SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
+               min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+        FROM pages)
+    SELECT page_id, strlen(html)::bigint AS payload_bytes, {BASE32} AS payload_digest,
+           CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END
+               AS record_type,
+           CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+    FROM p"""
+
+def quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+TERM_LIST = "regexp_extract_all(lower({}), '" + licenses.TERM + "')"
+TEMPLATE_ROWS = ", ".join(
+    f"({i}, '{name}', '{quoted(text)}')" for i, (name, text) in enumerate(licenses.TEMPLATES)
+)
+
+LICENSES = rf"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+               concat_ws('/', source, lang, doc_id // 100, doc_id || '.txt') AS path
+        FROM documents),
+    templates(t, license, text) AS (VALUES {TEMPLATE_ROWS}),
+    template_tf AS (
+        SELECT t, license, term, count(*) AS tf
+        FROM (SELECT t, license, unnest({TERM_LIST.format('text')}) AS term FROM templates)
+        GROUP BY ALL),
+    vocabulary AS (SELECT DISTINCT term FROM template_tf),
+    total AS (SELECT count(*) AS n FROM docs),
+    df AS (
+        SELECT term, count(DISTINCT r) AS df
+        FROM (SELECT r, unnest({TERM_LIST.format('text')}) AS term FROM docs)
+        JOIN vocabulary USING (term) GROUP BY term),
+    idf AS (
+        SELECT term, ln((n + 1.0) / (coalesce(df, 0) + 1.0)) + 1.0 AS idf
+        FROM vocabulary LEFT JOIN df USING (term), total),
+    template_w AS (
+        SELECT t, license, term, tf * idf AS w,
+               sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS size
+        FROM template_tf JOIN idf USING (term)),
+    units AS (
+        SELECT r, row_number() OVER (PARTITION BY r ORDER BY NOT is_line, i) AS u, is_line, unit
+        FROM (
+            SELECT r, true AS is_line, generate_subscripts(l, 1) AS i, unnest(l) AS unit
+            FROM (SELECT r, string_split(text, chr(10)) AS l FROM docs)
+            UNION ALL
+            SELECT r, false, generate_subscripts(l, 1), unnest(l)
+            FROM (SELECT r, regexp_split_to_array(text, '\n[ \t\r]*\n') AS l FROM docs))
+        WHERE regexp_matches(lower(unit), '{licenses.MENTIONS}')
+          AND (is_line OR contains(unit, chr(10)))),
+    words AS (
+        SELECT r, u, is_line, len({TERM_LIST.format('unit')}) AS length,
+               unnest({TERM_LIST.format('unit')}) AS term
+        FROM units),
+    unit_w AS (
+        SELECT r, u, is_line, length, term,
+               count(*) * coalesce(any_value(idf), any_value(ln(n + 1.0) + 1.0)) AS w
+        FROM words LEFT JOIN idf USING (term), total GROUP BY ALL),
+    sizes AS (SELECT r, u, sqrt(sum(w * w)) AS size FROM unit_w GROUP BY ALL),
+    scored AS (
+        SELECT r, u, is_line, length, t, license, sum(a.w * b.w / b.size) / any_value(s.size) AS score
+        FROM unit_w a JOIN template_w b USING (term) JOIN sizes s USING (r, u)
+        GROUP BY r, u, is_line, length, t, license),
+    best AS (
+        SELECT * FROM scored WHERE score >= {licenses.MIN_COSINE}
+        QUALIFY row_number() OVER (PARTITION BY r, u ORDER BY round(score, 12) DESC, t) = 1),
+    lengths AS (SELECT r, len({TERM_LIST.format('text')}) AS words FROM docs),
+    own AS (
+        SELECT r, arg_max(license, (round(score, 12), -u)) AS license,
+               max(score) AS score,
+               sum(CASE WHEN is_line THEN length ELSE 0 END) / any_value(words) AS covered
+        FROM best JOIN lengths USING (r) GROUP BY r),
+    named AS (
+        SELECT r, doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, license, score,
+               covered
+        FROM docs LEFT JOIN own USING (r)),
+    dirs AS (
+        SELECT dir AS from_dir, arg_max(license, (covered, round(score, 12), license)) AS above
+        FROM named WHERE covered >= {licenses.LICENSE_FILE} GROUP BY dir),
+    found AS (
+        SELECT d.dir, arg_max(struct_pack(a := above, f := from_dir), len(from_dir)) AS x
+        FROM (SELECT DISTINCT dir FROM named) d
+        JOIN dirs ON d.dir = from_dir OR from_dir = '' OR starts_with(d.dir, from_dir || '/')
+        GROUP BY d.dir)
+    SELECT doc_id, path, coalesce(license, x.a) AS license,
+           CASE WHEN license IS NOT NULL THEN 'file' WHEN x.a IS NOT NULL THEN 'directory' END
+               AS basis,
+           round(score, 6) AS score, CASE WHEN license IS NULL THEN x.f END AS from_dir
+    FROM named LEFT JOIN found USING (dir)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of the queries that SQL can express; tests hold the others against plain
+    versions."""
+    return {
+        "op3_source_mix": MIX,
+        "op5_quality_rules": QUALITY,
+        "op6_warc_packages": WARC,
+        "op8_licenses": LICENSES,
+    }
