@@ -343,6 +343,38 @@ def q_bench_report(spark, sf):
     return reports.bench_report(read(spark, sf, "events"), "event_type", "value")
 
 
+def q_bench_record(spark, sf):
+    """Each class as a dataset, its latencies from the events, written as nested JSON."""
+    df = vector_table(spark, sf)
+    runs = read(spark, sf, "events").select(
+        (F.col("event_id") % 10).cast("int").alias("dataset"), "value"
+    )
+    failed = F.count_if(F.col("id") % 50 == 7)
+    ingest = df.groupBy(F.col("label").alias("dataset")).agg(
+        F.count("*").alias("num_images"),
+        F.round(F.sum(F.size("vector") * 4) / 1e3, 1).alias("dataset_size_mb"),
+        (F.count("*") - failed).alias("indexed"),
+        failed.alias("errors"),
+        (F.count("*") / 100).alias("ingest_time_s"),
+        F.round((F.count("*") - failed) * 0.25, 1).alias("db_size_mb"),
+    )
+    means = class_means(df).select(F.col("label").alias("qid"), F.col("mean").alias("qv"))
+    found = rounded(search.search_batch(df, means, 3))
+    samples = reports.sample_results(found).select(
+        F.col("qid").alias("dataset"),
+        F.concat(F.lit("mean of "), "qid").alias("sample_query"),
+        "sample_results",
+    )
+    record = reports.bench_record(reports.bench_report(runs, "dataset", "value"), ingest, samples)
+    path = scratch_path(spark, "record")
+    tables.write_json(record, path)
+    back = spark.read.schema(record.schema).json(path)
+    shown = F.transform(
+        "sample_results", lambda r: F.concat(r["id"], F.lit("@"), F.format_number(r["distance"], 5))
+    )
+    return back.withColumn("sample_results", F.array_join(shown, " "))
+
+
 def q_scaling_factor(spark, sf):
     events = read(spark, sf, "events").select("event_type", "value")
     sizes = events.groupBy("event_type").agg(F.count("*").alias("size"))
@@ -794,6 +826,31 @@ def oracle_sql() -> dict[str, str]:
                    round(quantile_cont(value, 0.95), 2) AS query_p95_ms,
                    round(quantile_cont(value, 0.99), 2) AS query_p99_ms
             FROM events GROUP BY event_type""",
+        "bench_record": f"""
+            WITH found AS ({BATCH}),
+            samples AS (
+                SELECT qid AS dataset, 'mean of ' || qid AS sample_query,
+                       string_agg(id || '@' || printf('%.5f', distance), ' ' ORDER BY rank)
+                           AS sample_results
+                FROM found WHERE rank <= 3 GROUP BY qid),
+            ingest AS (
+                SELECT label AS dataset, count(*) AS num_images,
+                       round(sum(len(embedding) * 4) / 1e3, 1) AS dataset_size_mb,
+                       count(*) FILTER (vec_id % 50 <> 7) AS indexed,
+                       count(*) FILTER (vec_id % 50 = 7) AS errors,
+                       count(*) / 100 AS ingest_time_s
+                FROM embeddings GROUP BY label),
+            runs AS (
+                SELECT (event_id % 10)::int AS dataset, round(avg(value), 2) AS query_mean_ms,
+                       round(quantile_cont(value, 0.5), 2) AS query_p50_ms,
+                       round(quantile_cont(value, 0.95), 2) AS query_p95_ms,
+                       round(quantile_cont(value, 0.99), 2) AS query_p99_ms
+                FROM events GROUP BY 1)
+            SELECT dataset, num_images, dataset_size_mb, indexed, errors, ingest_time_s,
+                   round(indexed / ingest_time_s, 1) AS ingest_throughput_ips,
+                   round(indexed * 0.25::double, 1) AS db_size_mb, query_mean_ms, query_p50_ms,
+                   query_p95_ms, query_p99_ms, sample_query, sample_results
+            FROM runs JOIN ingest USING (dataset) JOIN samples USING (dataset)""",
         "scaling_factor": """
             WITH s AS (SELECT *, count(*) OVER (PARTITION BY event_type) AS n FROM events),
             m AS (SELECT n, avg(value) AS avg_ms FROM s GROUP BY n)

@@ -146,3 +146,5 @@ def test_stream(spark, tree, tmp_path):
     assert retry_rejects(spark, rejects, table, hashed_bytes(16)) == 1
     assert retry_rejects(spark, rejects, table, hashed_bytes(16)) == 0
     assert spark.read.parquet(table).count() == 5
+    stored = {r["id"]: r["file_size"] for r in spark.read.parquet(table).collect()}
+    assert stored[str(tree / "broken.jpg")] == len(png(8, 8))

@@ -125,3 +125,34 @@ def bench_report(
         F.col("p95").alias("query_p95_ms"),
         F.col("p99").alias("query_p99_ms"),
     )
+
+
+def bench_record(report: DataFrame, ingest: DataFrame, samples: DataFrame) -> DataFrame:
+    """The full record of a comparison: ``bench_report`` rows with what ingest counted
+    (dataset, num_images, dataset_size_mb, indexed, errors, ingest_time_s, db_size_mb) and
+    one sample query (dataset, sample_query, sample_results). One row per dataset."""
+    rate = throughput(F.col("indexed"), F.col("ingest_time_s"))
+    joined = report.drop("n", "time_s", "per_s").join(ingest, "dataset").join(samples, "dataset")
+    return joined.select(
+        "dataset",
+        "num_images",
+        "dataset_size_mb",
+        "indexed",
+        "errors",
+        "ingest_time_s",
+        F.round(rate, 1).alias("ingest_throughput_ips"),
+        "db_size_mb",
+        "query_mean_ms",
+        "query_p50_ms",
+        "query_p95_ms",
+        "query_p99_ms",
+        "sample_query",
+        "sample_results",
+    )
+
+
+def sample_results(found: DataFrame, qid_col: str = "qid") -> DataFrame:
+    """(qid, sample_results): the few rows found for each query as a nested list by rank."""
+    ranked = F.sort_array(F.collect_list(F.struct("rank", "id", "distance")))
+    nested = F.transform(ranked, lambda r: F.struct(r["id"].alias("id"), r["distance"].alias("distance")))
+    return found.groupBy(qid_col).agg(nested.alias("sample_results"))

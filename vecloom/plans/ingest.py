@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from vecloom.functions.encoders import Encoder
 from vecloom.session import materialise
 from vecloom.sources.files import decode_files, list_images
-from vecloom.sources.tables import METADATA, append_vectors, has_metadata, path_exists
+from vecloom.sources.tables import (
+    METADATA,
+    append_vectors,
+    hadoop_path,
+    has_metadata,
+    path_exists,
+)
 
 FILES_PER_TASK = 2048
 
@@ -76,14 +82,12 @@ def index_files(
     good = decoded.where("error IS NULL").select("id", "vector", *keep)
     indexed = errors = 0
     if waiting:
-        if exists:
-            append_vectors(good, table_path)
-        else:
-            # The first batch creates the table; if every file fails there is none.
-            staged = materialise(good, "first-batch")
-            if not staged.isEmpty():
-                append_vectors(staged, table_path)
+        append_vectors(good, table_path)
         indexed, errors = done.get["indexed"], done.get["errors"]
+        if not exists and not indexed:
+            # Every file failed, so the table that this run made is empty.
+            fs, made = hadoop_path(spark, table_path)
+            fs.delete(made, True)
     return spark.createDataFrame(
         [(indexed, errors, -(-indexed // batch_size), listed - waiting)],
         "total_indexed long, total_errors long, total_batches long, total_skipped long",

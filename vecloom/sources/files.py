@@ -149,15 +149,17 @@ def tree_usage(spark: SparkSession, root: str, suffixes: list[str] | None = None
     )
 
 
-def read_bytes(path: str) -> bytes:
+def read_file(path: str) -> tuple[bytes, float]:
+    """Contents and time of a file as it is now, whatever a listing said before."""
     if "://" in path:
         from pyarrow import fs
 
         store, inner = fs.FileSystem.from_uri(path)
+        time = store.get_file_info(inner).mtime_ns
         with store.open_input_stream(inner) as stream:
-            return stream.read()
+            return stream.read(), None if time is None else time / 1e9
     with open(path.removeprefix("file:"), "rb") as stream:
-        return stream.read()
+        return stream.read(), os.fstat(stream.fileno()).st_mtime
 
 
 def image_size(data: bytes) -> tuple[int, int]:
@@ -254,7 +256,7 @@ def decode_files(listing: DataFrame, encoder=None, batch_size: int = 256) -> Dat
     """Open, measure and, with an encoder, embed the files of a listing.
 
     A file that cannot be read or decoded is a row with an ``error``; it never stops a
-    batch. Paths go in and vectors come out: file contents stay inside the task, no more
+    batch. Size and time are those of the file when it was opened. Paths go in and vectors come out: file contents stay inside the task, no more
     than ``batch_size`` files or 64 MiB of them at a time.
     """
 
@@ -262,15 +264,17 @@ def decode_files(listing: DataFrame, encoder=None, batch_size: int = 256) -> Dat
         encode = encoder() if encoder else None
         for batch in batches:
             sizes, errors, waiting, held, vectors = [], [], [], 0, []
+            lengths, times = batch.column(1).to_pylist(), batch.column(2).to_pylist()
 
             def flush():
                 if waiting:
                     vectors.append(unit_rows(np.asarray(encode(waiting)), np.float32))
                     waiting.clear()
 
-            for path in batch.column(0).to_pylist():
+            for row, path in enumerate(batch.column(0).to_pylist()):
                 try:
-                    data = read_bytes(path)
+                    data, times[row] = read_file(path)
+                    lengths[row] = len(data)
                     sizes.append(image_size(data))
                     errors.append(None)
                 except Exception as problem:  # any broken file is a row
@@ -287,8 +291,8 @@ def decode_files(listing: DataFrame, encoder=None, batch_size: int = 256) -> Dat
                 batch.column(0),
                 pa.array([w for w, _ in sizes], pa.int32()),
                 pa.array([h for _, h in sizes], pa.int32()),
-                batch.column(1),
-                batch.column(2),
+                pa.array(lengths, pa.int64()),
+                pa.array(times, pa.float64()),
                 pa.array(errors, pa.string()),
             ]
             names = ["id", "width", "height", "file_size", "file_mtime", "error"]
