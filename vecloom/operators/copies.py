@@ -68,15 +68,19 @@ def collapse(rows: DataFrame, label: str = "copies") -> Copies:
     return Copies(reps, materialise(members, f"{label}-members"))
 
 
+# Parts that a group of copies is cut into before its first members are ranked.
+PARTS = 64
+
+
 def first_members(members: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` lowest members of every group."""
-    order = Window.partitionBy("rep_id", "rep_key").orderBy("id", "key")
-    return (
-        members.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= limit)
-        .drop("place")
-        .withColumn("n", F.least("n", F.lit(limit)))
-    )
+    """The ``limit`` lowest members of every group: those of each part of it first, so no
+    task ranks a whole group."""
+    group = ["rep_id", "rep_key"]
+    cut = members.withColumn("part", F.pmod(F.xxhash64("id", "key"), F.lit(PARTS)))
+    for keys in ([*group, "part"], group):
+        order = Window.partitionBy(*keys).orderBy("id", "key")
+        cut = cut.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    return cut.drop("place", "part").withColumn("n", F.least("n", F.lit(limit)))
 
 
 def blocked(members: DataFrame, block_rows: int) -> DataFrame:

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.functions.vectors import (
+    as_binary,
     as_matrix,
+    cosine_distance,
     cosine_distances,
+    fixed_width,
     screen_margin,
     unit_rows,
 )
@@ -22,8 +25,10 @@ from vecloom.operators.cells import assign_cells, choose_anchors
 from vecloom.operators.copies import Copies, collapse, expand_pairs, stars
 from vecloom.session import materialise
 
-# Rows of a block compared at a time inside a task.
+# Rows of a block compared at a time inside a task, by vectors and by sketches.
 STRIP_ROWS = 1024
+SCREEN_ROWS = 256
+SKETCH_BITS = 256
 
 
 def pair_schema(df: DataFrame) -> T.StructType:
@@ -42,8 +47,7 @@ def pair_schema(df: DataFrame) -> T.StructType:
 def pair_kernel(threshold: float, limit: int | None):
     """Task function: all pairs of two blocks below the threshold.
 
-    Input columns: id, key, vector, side, tag, sigs. ``tag`` and ``sigs`` serve the
-    hashed join: a pair is emitted only in the first hash table on which it agrees.
+    Input columns: id, key, vector, side.
     """
 
     def matches(left, right, same):
@@ -69,16 +73,9 @@ def pair_kernel(threshold: float, limit: int | None):
         same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
         if same:
             right = left
-        hashed = "sigs" in table.column_names
-        if hashed:
-            sigs = as_matrix(table.column("sigs"))
-            tag = table.column("tag")[0].as_py()
         ids, keys = table.column("id"), table.column("key")
         for i, j, distance in matches(vectors[left], vectors[right], same):
             i, j = left[i], right[j]
-            if hashed and len(i):
-                first = np.argmax(sigs[i] == sigs[j], axis=1) == tag
-                i, j, distance = i[first], j[first], distance[first]
             if not len(i):
                 continue
             if limit is not None and len(i) > limit:
@@ -218,8 +215,20 @@ def hash_plan(n: int, threshold: float, recall: float, bucket_rows: int) -> tupl
     return bits, max(1, tables)
 
 
+def sketch_cut(threshold: float, loss: float) -> int:
+    """Most bits in which two sketches may differ: a pair at the threshold differs in more
+    with at most the probability ``loss``."""
+    p = math.acos(max(-1.0, 1.0 - threshold)) / math.pi
+    below, cut = 0.0, -1
+    while below < 1.0 - loss and cut < SKETCH_BITS:
+        cut += 1
+        below += math.comb(SKETCH_BITS, cut) * p**cut * (1.0 - p) ** (SKETCH_BITS - cut)
+    return cut
+
+
 def sign_hashes(df: DataFrame, bits: int, tables: int, seed: int = 42) -> DataFrame:
-    """Add ``sigs``: one integer per hash table, the sign pattern of random projections."""
+    """Add ``sigs``, one integer per hash table, and ``sketch``, SKETCH_BITS further bits:
+    all of them signs of random projections."""
     names = df.columns
     place = names.index("vector")
 
@@ -231,16 +240,50 @@ def sign_hashes(df: DataFrame, bits: int, tables: int, seed: int = 42) -> DataFr
                 continue
             x = unit_rows(as_matrix(batch.column(place)))
             if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((x.shape[1], tables * bits))
-            signs = (x @ planes >= 0).reshape(len(x), tables, bits)
-            sigs = (signs * weights).sum(axis=2)
+                rng = np.random.default_rng(seed)
+                planes = rng.standard_normal((x.shape[1], tables * bits + SKETCH_BITS))
+            signs = x @ planes >= 0
+            sigs = (signs[:, : tables * bits].reshape(len(x), tables, bits) * weights).sum(axis=2)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(sigs.reshape(-1))
             )
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*names, "sigs"])
+            sketch = as_binary(np.packbits(signs[:, tables * bits :], axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, lists, sketch], [*names, "sigs", "sketch"]
+            )
+
+    more = [T.StructField("sigs", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+    return df.mapInArrow(run, T.StructType(df.schema.fields + more))
+
+
+def screen_kernel(cut: int):
+    """Task function: pairs of rows of two blocks whose sketches differ in few bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        if table.num_rows == 0:
+            return
+        side, row = table.column("side").to_numpy(), table.column("row").to_numpy()
+        words = fixed_width(table.column("sketch").combine_chunks(), SKETCH_BITS // 8)
+        words = np.ascontiguousarray(words).view(np.uint64)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
+        if same:
+            right = left
+        for lo in range(0, len(left), SCREEN_ROWS):
+            strip = words[left[lo : lo + SCREEN_ROWS]]
+            differ = np.zeros((len(strip), len(right)), np.uint16)
+            for w in range(words.shape[1]):
+                differ += np.bitwise_count(strip[:, w, None] ^ words[right, w])
+            near = differ <= cut
+            if same:
+                near &= np.arange(len(right))[None, :] > (lo + np.arange(len(strip)))[:, None]
+            i, j = np.nonzero(near)
+            x, y = row[left[i + lo]], row[right[j]]
+            out = pa.table({"row_a": np.minimum(x, y), "row_b": np.maximum(x, y)})
+            yield from out.to_batches(max_chunksize=65_536)
 
-    schema = T.StructType(df.schema.fields + [T.StructField("sigs", T.ArrayType(T.LongType()))])
-    return df.mapInArrow(run, schema)
+    return run
 
 
 def duplicate_pairs_hashed(
@@ -258,10 +301,12 @@ def duplicate_pairs_hashed(
     """Near-duplicate self-join by locality-sensitive hashing, for tables too large to
     compare exactly.
 
-    Every pair given is checked exactly; a pair at the threshold is found with at least
-    the given probability and closer ones with a higher one. A zero vector has no
-    direction: at distance 1 from all, it is left out for thresholds up to 1, and larger
-    thresholds belong to the exact join.
+    Only row numbers and sketches of 32 bytes are dealt to the buckets of the hash tables;
+    vectors are joined to the pairs that pass there. Every pair given is checked exactly; a
+    pair at the threshold is found with at least the given probability and closer ones with
+    a higher one: half of the loss is allowed to the tables, half to the sketch. A zero
+    vector has no direction: at distance 1 from all, it is left out for thresholds up to 1,
+    and larger thresholds belong to the exact join.
     """
     if threshold > 1.0:
         return duplicate_pairs(
@@ -270,9 +315,14 @@ def duplicate_pairs_hashed(
     n = df.count()
     rows = keyed(df, id_col, vector_col, key_col).where(F.exists("vector", lambda x: x != 0))
     copies = collapse(rows)
-    bits, tables = hash_plan(n, threshold, recall, bucket_rows)
-    coded = sign_hashes(copies.reps, bits, tables)
-    buckets = coded.select("*", F.posexplode("sigs").alias("tag", "code"))
+    loss = (1.0 - recall) / 2.0
+    bits, tables = hash_plan(n, threshold, 1.0 - loss, bucket_rows)
+    # Written: row numbers must last, and it is read for buckets and for both joins.
+    coded = materialise(
+        sign_hashes(copies.reps, bits, tables).withColumn("row", F.monotonically_increasing_id()),
+        "coded",
+    )
+    buckets = coded.select("row", "sketch", F.posexplode("sigs").alias("tag", "code"))
     # Only buckets of more than one block need a count; there are few of them.
     hot = (
         coded.select(F.posexplode("sigs").alias("tag", "code"))
@@ -284,11 +334,21 @@ def duplicate_pairs_hashed(
     sized = buckets.join(hot, ["tag", "code"], "left").withColumn(
         "n_blocks", F.coalesce("n_blocks", F.lit(1))
     )
-    own = blocks.block_of("key", F.col("n_blocks"))
+    own = blocks.block_of("row", F.col("n_blocks"))
     grouped = blocks.spread(sized, blocks.triangle_groups(own, F.col("n_blocks"))).select(
-        "tag", "code", "a", "b", "side", "id", "key", "vector", "sigs"
+        "tag", "code", "a", "b", "side", "row", "sketch"
     )
-    found = grouped.groupBy("tag", "code", "a", "b").applyInArrow(
-        pair_kernel(threshold, limit), pair_schema(rows)
+    near = grouped.groupBy("tag", "code", "a", "b").applyInArrow(
+        screen_kernel(sketch_cut(threshold, loss)), "row_a long, row_b long"
     )
+    found = near.distinct()
+    for side in ("a", "b"):
+        sided = coded.select(
+            F.col("row").alias(f"row_{side}"), F.col("id").alias(f"id_{side}"),
+            F.col("key").alias(f"key_{side}"), F.col("vector").alias(f"vector_{side}"),
+        )
+        found = found.join(sided, f"row_{side}")
+    distance = F.round(cosine_distance(F.col("vector_a"), F.col("vector_b")), 12) + 0.0
+    found = found.withColumn("distance", distance).where(F.col("distance") < threshold)
+    found = found.select("id_a", "key_a", "id_b", "key_b", "distance")
     return finished(found, copies, threshold, limit, key_col is not None, block_rows, star)
