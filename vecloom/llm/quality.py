@@ -27,7 +27,7 @@ RULES = [
     ("word_chars", "n_words", 3.0, 12.0),
     ("n_symbols", "n_words", None, 0.15),
     ("n_stop_words", "n_words", 0.05, None),
-    ("n_dup_lines", "n_lines", None, 0.3),
+    ("n_dup_lines", "n_lines", None, 0.4),
     ("n_repeat_words", "n_words", None, 0.5),
 ]
 
