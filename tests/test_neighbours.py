@@ -59,3 +59,23 @@ def test_graph_keeps_rows_of_equal_ids_apart(spark):
     df = spark.createDataFrame(rows, "id string, vector array<float>")
     got = sorted((r["qid"], r["rank"], r["id"]) for r in neighbour_graph(df, 1).collect())
     assert got == [("a", 1, "a"), ("a", 1, "a"), ("b", 1, "a")]
+
+
+def test_probed_graph_finds_most(make_table, distances):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((20, 12))
+    v = (centres[rng.integers(0, 20, 600)] + 0.3 * rng.standard_normal((600, 12))).astype(np.float32)
+    v[:50] = v[0]
+    d = np.round(distances(v), 9)
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    graph = neighbour_graph(make_table(v, list(range(600))), 8, exact=False, cells=24, probes=6)
+    for r in graph.collect():
+        got.setdefault(r["qid"], []).append(r["distance"])
+    assert len(got) == 600 and all(len(x) == 8 for x in got.values())
+    hits = [np.sum(np.array(got[q]) <= np.sort(d[q])[7] + 1e-6) / 8 for q in range(600)]
+    assert np.mean(hits) > 0.95
+    everything = neighbour_graph(make_table(v, list(range(600))), 3, exact=False, cells=5, probes=5)
+    assert {(r["qid"], r["rank"]) for r in everything.collect()} == {
+        (q, k) for q in range(600) for k in (1, 2, 3)
+    }

@@ -127,12 +127,15 @@ def layout(
     neighbours: int | None = None,
     step: float = 0.6,
     spread: float = 0.25,
+    exact: bool = True,
     id_col: str = "id",
     vector_col: str = "vector",
 ) -> DataFrame:
     """(id, x, y[, z]): a map that keeps near rows near.
 
-    Starts from the principal axes. In each round a point moves towards the mean of its
+    The vectors are turned to at most 50 principal axes first; the map starts from the
+    leading ones, and neighbours are found among the turned vectors, by cells only where
+    ``exact`` is false (see neighbour_graph). In each round a point moves towards the mean of its
     graph neighbours and away from all others; the others are stood for by a grid of at
     most 4,096 boxes, so nothing that grows with the table is broadcast. Ids are unique.
     """
@@ -140,12 +143,16 @@ def layout(
     rows = df.where(F.col(vector_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(vector_col).alias("vector")
     )
-    start = project(rows, n_components)
     n = rows.count()
     if n < 3:
-        return start
+        return project(rows, n_components)
+    turned = materialise(pca_reduce(rows), "layout-axes")
+    start = turned.select(
+        "id", *[F.coalesce(F.get("reduced", F.lit(i)), F.lit(0.0)).alias(a) for i, a in enumerate(axes)]
+    )
     k = min(n - 1, neighbours or max(5, min(30, n - 1)))
-    graph = neighbour_graph(rows, k).select(F.col("qid").alias("src"), F.col("id").alias("dst"))
+    near = turned.select("id", F.col("reduced").cast("array<float>").alias("vector"))
+    graph = neighbour_graph(near, k, exact=exact).select(F.col("qid").alias("src"), F.col("id").alias("dst"))
     edges = materialise(
         graph.unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))),
         "layout-edges",
@@ -189,4 +196,4 @@ def reduce_dimensions(
         return project(df, n_components, **options)
     if method in ("tsne", "umap"):
         return layout(df, n_components, **options)
-    raise ValueError(f"unknown reduction method {method!r}: choose 'tsne', 'umap' or 'pca'")
+    raise ValueError(f"unknown reduction method {method!r}; there are pca, tsne and umap")
