@@ -183,6 +183,9 @@ def near_duplicates(
     ids = alone.join(named, alone["fingerprint"] == named["node"], "left").select(
         "fingerprint", F.coalesce("least", "own").alias("component_id")
     )
+    # Written, so that the join below is of two plain tables: a fingerprint of very many rows
+    # is then a skewed key that adaptive execution splits.
+    ids = materialise(ids, "component-ids")
     return rows.join(ids, "fingerprint").select("id", "fingerprint", "component_id")
 
 
