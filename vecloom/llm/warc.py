@@ -240,13 +240,16 @@ def classify(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    # Only the payloads that occur with different ids need their first one.
-    shared = (
+    # Only the payloads that occur more than once need their first one. They are written, so
+    # that their size is known: few of them are broadcast and no payload moves; with many, a
+    # very frequent one is a skewed key that adaptive execution splits.
+    shared = materialise(
         rows.filter(F.octet_length("payload") >= min_bytes)
         .groupBy("digest")
         .agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
         .filter("n > 1")
-        .select("digest", "least")
+        .select("digest", "least"),
+        "payloads",
     )
     first = F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least"))
     return rows.join(shared, "digest", "left").select("page_id", "url", "payload", first.alias("first"))
