@@ -7,16 +7,18 @@ Every query runs over whole tables of the given data. Sinks write to a fresh fol
 from __future__ import annotations
 
 import os
+import struct
 import sys
+import zlib
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions import paths, vectors
-from vecloom.functions.encoders import embed, hashed_words
+from vecloom.functions.encoders import embed, hashed_bytes, hashed_words
 from vecloom.operators import (
     ann,
     clusters,
@@ -29,7 +31,8 @@ from vecloom.operators import (
 )
 from vecloom.plans import ingest
 from vecloom.session import even_scan, scratch_path
-from vecloom.sources import synthetic, tables
+from vecloom.sources import files, synthetic, tables
+from vecloom.streaming import ingest as streaming
 
 # The pipeline's operators are a part of their own that may be absent; an error within them
 # is not hidden.
@@ -109,6 +112,48 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def png(width: int, height: int, shade: int) -> bytes:
+    """A grey picture."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        check = zlib.crc32(kind + body)
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", check)
+
+    lines = (b"\0" + bytes([shade]) * width) * height
+    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return (
+        b"\x89PNG\r\n\x1a\n"
+        + chunk(b"IHDR", head)
+        + chunk(b"IDAT", zlib.compress(lines))
+        + chunk(b"IEND", b"")
+    )
+
+
+def picture_tree(spark: SparkSession, sf: str) -> str:
+    """A folder with a picture for every row of ``embeddings``, written by tasks: its size
+    follows from the id, every tenth is empty, every tenth is cut short, and each class has a
+    folder of its own."""
+    root = scratch_path(spark, "pictures").removeprefix("file://")
+
+    def write(batches):
+        for batch in batches:
+            for number, label in zip(*(c.to_pylist() for c in batch.columns)):
+                data = png(1 + number % 37, 1 + number % 11, number % 256)
+                data = {3: b"", 7: data[:-6]}.get(number % 10, data)
+                os.makedirs(f"{root}/class {label}", exist_ok=True)
+                with open(f"{root}/class {label}/{number}.png", "wb") as file:
+                    file.write(data)
+            yield batch
+
+    rows = vector_table(spark, sf).select("id", "label")
+    rows.mapInArrow(write, rows.schema).count()
+    return root
+
+
+def number_of(path: str) -> Column:
+    return F.regexp_extract(path, r"(\d+)\.png$", 1).cast("long")
+
+
 # -- Queries --------------------------------------------------------------------------
 
 
@@ -226,6 +271,43 @@ def q_export_by_class(spark, sf):
     )
 
 
+def q_list_images(spark, sf):
+    listed = files.list_images(spark, picture_tree(spark, sf))
+    return listed.select(
+        number_of("id").alias("id"),
+        paths.last_two_parts(F.col("id")).alias("last_two"),
+        (F.col("file_size") == 0).alias("empty"),
+    )
+
+
+def q_image_metadata(spark, sf):
+    found = files.image_metadata(spark, picture_tree(spark, sf))
+    return found.select(
+        number_of("id").alias("id"), "width", "height", F.col("error").isNotNull().alias("failed")
+    )
+
+
+def q_tree_usage(spark, sf):
+    return files.tree_usage(spark, picture_tree(spark, sf)).select("files")
+
+
+def q_index_files(spark, sf):
+    """Ingest of a tree, twice: the second run skips what is there and tries the rest again."""
+    root, table = picture_tree(spark, sf), scratch_path(spark, "indexed")
+    first = ingest.index_files(spark, root, table, hashed_bytes(16))
+    again = ingest.index_files(spark, root, table, hashed_bytes(16))
+    return first.withColumn("run", F.lit(1)).unionByName(again.withColumn("run", F.lit(2)))
+
+
+def q_stream_ingest(spark, sf):
+    root, table = picture_tree(spark, sf), scratch_path(spark, "streamed")
+    rejects, state = scratch_path(spark, "rejects"), scratch_path(spark, "state")
+    streaming.stream_ingest(
+        spark, root, table, rejects, state, hashed_bytes(16)
+    ).awaitTermination()
+    return spark.read.parquet(table).select(number_of("id").alias("id"), "width", "height")
+
+
 def q_synthetic_vectors(spark, sf):
     ids = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
     made = synthetic.synthetic_vectors(ids, 64)
@@ -609,6 +691,9 @@ DUPLICATES = f"""
     WITH {PLANTED}, p AS ({pair_sql('planted', 0.05)})
     SELECT id_a, id_b, round(distance, 6) + 0.0 AS distance FROM p"""
 
+# Pictures that are empty or cut short.
+BROKEN = "(vec_id % 10 IN (3, 7))"
+
 # The nearest half-precision number, ties to even.
 STEP = "pow(2, greatest(floor(log2(abs(x))), -14) - 10)"
 HALF = f"CASE WHEN x = 0 THEN 0 ELSE round_even(x / {STEP}, 0) * {STEP} END"
@@ -720,6 +805,24 @@ def oracle_sql() -> dict[str, str]:
         "export_by_class": """
             SELECT vec_id AS id, printf('train_%05d.jpg', vec_id) AS file_name,
                    printf('class_%03d', label) AS class_name FROM embeddings""",
+        "list_images": """
+            SELECT vec_id AS id, 'class ' || label || '/' || vec_id || '.png' AS last_two,
+                   vec_id % 10 = 3 AS empty FROM embeddings""",
+        "image_metadata": f"""
+            SELECT vec_id AS id, CASE WHEN NOT {BROKEN} THEN (1 + vec_id % 37)::int END AS width,
+                   CASE WHEN NOT {BROKEN} THEN (1 + vec_id % 11)::int END AS height,
+                   {BROKEN} AS failed FROM embeddings""",
+        "tree_usage": "SELECT count(*) AS files FROM embeddings",
+        "index_files": f"""
+            WITH n AS (
+                SELECT count(*) FILTER (NOT {BROKEN}) AS good, count(*) FILTER ({BROKEN}) AS bad
+                FROM embeddings)
+            SELECT 1 AS run, good AS total_indexed, bad AS total_errors,
+                   ceil(good / 256.0)::bigint AS total_batches, 0::bigint AS total_skipped FROM n
+            UNION ALL SELECT 2, 0, bad, 0, good FROM n""",
+        "stream_ingest": f"""
+            SELECT vec_id AS id, (1 + vec_id % 37)::int AS width, (1 + vec_id % 11)::int AS height
+            FROM embeddings WHERE NOT {BROKEN}""",
         "synthetic_vectors": f"""
             WITH e AS (SELECT vec_id, i, {WORDS} AS x FROM embeddings, range(64) t(i)),
             n AS (SELECT vec_id, list(x ORDER BY i) AS v, sqrt(sum(x * x)) AS n FROM e
