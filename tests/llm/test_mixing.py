@@ -63,7 +63,7 @@ def test_given_documents(spark):
     assert mixed(df.repartition(5)) == got
 
 
-@pytest.mark.parametrize("slice_rows", [3, 20_000])
+@pytest.mark.parametrize("slice_rows", [3, 5_000])
 def test_odd_rows(spark, monkeypatch, slice_rows):
     monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
     rows = [(i, "w " * (i % 9), f"s{i % 4}") for i in range(80)]

@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 EPOCHS = 2
 # Documents in a slice of the seeded order, on average.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 5_000
 
 
 def weighed(sources: DataFrame, weights=WEIGHTS) -> DataFrame:
