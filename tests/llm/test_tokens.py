@@ -125,5 +125,5 @@ def test_pieces_are_bounded(spark):
 
     batch = pa.RecordBatch.from_pydict({"t": ["x" * 3_000_000, None, "y" * 3_000_000, "", "z"]})
     parts = list(texts.pieces(batch, 0))
-    assert [p.num_rows for p in parts] == [2, 3]
+    assert [p.num_rows for p in parts] == [1, 1, 1, 2]
     assert sum(p.num_rows for p in parts) == 5

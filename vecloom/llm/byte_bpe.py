@@ -28,7 +28,7 @@ from vecloom.llm.texts import map_texts
 # Longest match that is merged in a matrix.
 MATRIX_BYTES = 512
 # Encoded matches kept by a task; beyond that it starts afresh.
-CACHE_SIZE = 600_000
+CACHE_SIZE = 400_000
 # Texts of characters below this have a pattern of plain classes, which is faster.
 PLAIN_BELOW = 0x250
 

@@ -111,7 +111,7 @@ def train_profiles(
                         different = counted(found)
                         totals.setdefault(lang, []).append(different)
                         held += len(different[0])
-                if held > 3_000_000:
+                if held > 1_000_000:
                     yield from flushed()
                     held = 0
         yield from flushed()

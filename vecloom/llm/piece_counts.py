@@ -23,7 +23,7 @@ from vecloom.llm.texts import map_texts
 
 MARK = "▁"
 # Words kept by a task; beyond that it starts afresh.
-CACHE_SIZE = 600_000
+CACHE_SIZE = 400_000
 
 
 def load_pieces(path: str) -> dict[str, int]:

@@ -18,7 +18,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 # A piece holds at most so many rows, and so many bytes of text unless one text is larger.
 PIECE_ROWS = 1024
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 Kernel = Callable[[list], list]
 
