@@ -87,3 +87,29 @@ def test_rows_added_later_are_found(spark, make_table, random_vectors, tmp_path)
         assert spark.read.parquet(f"{path}/rows").count() == 120
     exact = search_topk(frame, v[100], 6).collect()
     assert ann.search_index(spark, path, v[100], 6, nprobe=4, refine=None).collect() == exact
+
+
+def test_copies_leave_code_books_full(spark, make_table):
+    """Groups of a thousand copies, plain and rescaled, and a sub-space that few rows fill."""
+    rng = np.random.default_rng(5)
+    rare = rng.standard_normal((400, 8))
+    hot = np.repeat(rng.standard_normal((4, 8)), 1_100, axis=0)
+    hot *= rng.uniform(0.1, 9, (len(hot), 1))
+    flat = rng.standard_normal((4_000, 8))
+    flat[:, :4] = 0
+    frame = make_table(np.concatenate([rare, hot, flat]))
+    books = ann.codebook_matrix(ann.train_codebooks(frame, 2))
+    assert np.isfinite(books[:, :, 0]).sum(axis=1).tolist() == [256, 256]
+    few = make_table(np.concatenate([rare[:3], hot[:2_000]]))
+    books = ann.codebook_matrix(ann.train_codebooks(few, 2))
+    held = np.isfinite(books[:, :, 0]).sum(axis=1)
+    assert (held >= 5).all() and (held < 40).all()
+    codes = ann.pq_encode(few.limit(3), books).collect()
+    assert len({bytes(r.codes) for r in codes}) == 3
+
+
+def test_starts_do_not_depend_on_partitions(spark, make_table):
+    frame = make_table(np.random.default_rng(6).standard_normal((3_000, 8)))
+    unit = frame.select(ann.unit_column("vector").alias("v"))
+    one = ann.start_centres(unit.coalesce(1), 2, 42)
+    assert one.num_rows == 512 and one.equals(ann.start_centres(unit.repartition(7), 2, 42))

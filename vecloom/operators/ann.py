@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,9 +29,11 @@ from vecloom.operators.search import filtered, search_topk
 from vecloom.session import materialise
 
 CODES = 256
-# Rounds of fitting code books, and rows that the first centres are drawn from.
+# Rounds of fitting code books.
 ROUNDS = 8
-START_ROWS = 4 * CODES
+# Sub-vectors that agree on this grid are one start: copies that were scaled before they were
+# made unit vectors differ by rounding.
+START_GRID = 1e-5
 
 
 def sub_vector_count(dim: int, wanted: int | None = None) -> int:
@@ -48,26 +50,74 @@ def unit_column(vector_col: str):
     return l2_normalize(F.col(vector_col)).cast("array<float>")
 
 
+def start_centres(unit: DataFrame, m: int, seed: int) -> pa.Table:
+    """(sub, centre): for each sub-space the 256 different sub-vectors of least hash, or all
+    of them if there are fewer. Copies count once, so they fill no more than one place.
+
+    A task keeps 256 sub-vectors of each sub-space, and so does the whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, mix = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = as_matrix(batch.column(0)).astype(np.float64).reshape(batch.num_rows, m, -1)
+            if kept is None:
+                width = x.shape[2]
+                draw = np.random.default_rng(seed)
+                mix = draw.integers(0, 2**63, width, np.uint64) * np.uint64(2) + np.uint64(1)
+                kept = [(np.empty(0, np.uint64), np.empty((0, width), np.int64)) for _ in range(m)]
+            for s in range(m):
+                part = x[np.isfinite(x[:, s]).all(axis=1), s]
+                grid = np.rint(part / START_GRID).astype(np.int64)
+                keys = np.full(len(grid), seed, np.uint64)
+                for column, odd in zip(grid.T, mix):
+                    keys = (keys ^ column.view(np.uint64)) * odd
+                    keys ^= keys >> np.uint64(29)
+                old, rows = kept[s]
+                if len(old) == CODES:
+                    low = keys < old[-1]
+                    keys, grid = keys[low], grid[low]
+                keys, place = np.unique(np.append(old, keys), return_index=True)
+                kept[s] = keys[:CODES], np.concatenate([rows, grid])[place[:CODES]]
+        for s, (keys, rows) in enumerate(kept or []):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(keys), s, np.int32)),
+                    pa.array(keys.view(np.int64)),
+                    as_lists(rows * START_GRID),
+                ],
+                ["sub", "key", "centre"],
+            )
+
+    # Keys are unsigned in tasks; flipping the top bit keeps their order.
+    made = unit.mapInArrow(run, "sub int, key long, centre array<double>").select(
+        "sub", F.col("key").bitwiseXOR(F.lit(-(2**63))).alias("key"), "centre"
+    )
+    place = F.row_number().over(Window.partitionBy("sub").orderBy("key", "centre"))
+    starts = made.dropDuplicates(["sub", "key", "centre"]).select(
+        "sub", "centre", place.alias("place")
+    )
+    return starts.filter(F.col("place") <= CODES).orderBy("sub", "place").toArrow()
+
+
 def train_codebooks(
     df: DataFrame, m: int, vector_col: str = "vector", seed: int = 42, rounds: int = ROUNDS
 ) -> DataFrame:
     """(sub, code, centre): up to 256 centres per sub-space, fitted on all rows.
 
-    Centres start at rows of least hash. In every round each task adds up its rows per
+    Centres start at different sub-vectors of least hash. In every round each task adds up its rows per
     (sub, code), so what is shuffled is bounded by the code books, whatever the table's size.
     """
     unit = materialise(
         df.where(F.col(vector_col).isNotNull()).select(unit_column(vector_col).alias("v")), "unit"
     )
-    first = unit.orderBy(F.xxhash64(F.lit(seed), "v")).limit(START_ROWS).toArrow().column("v")
-    starts = as_matrix(first).astype(np.float64)
-    starts = starts.reshape(len(starts), m, -1)
-    books = np.full((m, CODES, starts.shape[2]), np.inf)
-    for s in range(m):
-        # In the order of the rows, each different sub-vector once.
-        _, place = np.unique(starts[:, s], axis=0, return_index=True)
-        chosen = starts[np.sort(place)[:CODES], s]
-        books[s, : len(chosen)] = chosen
+    starts = start_centres(unit, m, seed)
+    sub, place = starts.column("sub").to_numpy(), starts.column("place").to_numpy()
+    centres = as_matrix(starts.column("centre"))
+    books = np.full((m, CODES, centres.shape[1]), np.inf)
+    books[sub, place - 1] = centres
     context = df.sparkSession.sparkContext
     for _ in range(rounds):
         shipped = context.broadcast(books)
