@@ -135,3 +135,71 @@ def test_scan_stays_in_the_engine(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id AS id", "source AS path", "text")
     plan = licenses.scan(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+MIT_TEXT = (
+    "MIT License\n\nCopyright (c) 2024 A\n\n" + MIT_BODY + "\n\nThe above copyright notice and this "
+    "permission notice shall be included in all copies or substantial portions of the Software.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING '
+    "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+    "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+    "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n"
+)
+BSD_WORDS = (
+    "Copyright (c) 2024, A\n\nRedistribution and use in source and binary forms, with or without "
+    "modification, are permitted provided that the following conditions are met:\n\n"
+    "1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce "
+    "the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution.\n\n{}"
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR '
+    "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY "
+    "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.\n"
+)
+THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+    "endorse or promote products derived from this software without specific prior written permission.\n\n"
+)
+# The head and the first sections; no unit of these is near a template.
+APACHE_TEXT = (
+    "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\n"
+    "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions.\n\n"
+    '"License" shall mean the terms and conditions for use, reproduction, and distribution as '
+    "defined by Sections 1 through 9 of this document.\n\n" + "Subject to the terms of this License. " * 60
+)
+GPL_HEAD = "GNU GENERAL PUBLIC LICENSE\n{}\n\nCopyright (C) Free Software Foundation\n\n" + "terms " * 900
+
+
+def wrapped(text):
+    import textwrap
+
+    return "\n\n".join(textwrap.fill(p, 72) for p in text.split("\n\n"))
+
+
+@pytest.mark.parametrize("layout", [str, wrapped])
+def test_full_texts_hold_for_their_directories(spark, layout):
+    texts = {
+        "mit/LICENSE": ("MIT", MIT_TEXT),
+        "bsd3/LICENSE.txt": ("BSD-3-Clause", BSD_WORDS.format(THIRD)),
+        "bsd2/LICENCE.md": ("BSD-2-Clause", BSD_WORDS.format("")),
+        "apache/LICENSE-APACHE": ("Apache-2.0", APACHE_TEXT),
+        "gpl2/COPYING": ("GPL-2.0", GPL_HEAD.format("Version 2, June 1991")),
+        "gpl3/COPYING": ("GPL-3.0", GPL_HEAD.format("Version 3, 29 June 2007")),
+    }
+    rows = [(p, p, layout(text)) for p, (_, text) in texts.items()]
+    rows += [(f"{p.split('/')[0]}/src/x.py",) * 2 + ("print(1)",) for p in texts]
+    rows += [("none/LICENSE", "none/LICENSE", "all rights reserved"), ("none/x", "none/x", "y")]
+    df = spark.createDataFrame(rows, "id string, path string, text string")
+    found = {r[0]: r[1:3] for r in scanned(df)}
+    for path, (name, _) in texts.items():
+        assert found[path] == (name, "file")
+        assert found[f"{path.split('/')[0]}/src/x.py"] == (name, "directory")
+    assert found["none/x"] == (None, None)
+
+
+def test_licence_file_names():
+    names = ["LICENSE", "a/COPYING", "a/licence.md", "LICENSE-MIT", "LICENSE-APACHE-2.0.txt", "COPYING.LESSER"]
+    assert all(re.search(licenses.FILE_NAME, n) for n in names)
+    others = ["license.py", "a/license-checker.js", "LICENSE-mit.go", "mylicense", "LICENSE/x", "copyings"]
+    assert not any(re.search(licenses.FILE_NAME, n) for n in others)

@@ -4,7 +4,8 @@ The units of a file are its lines and its paragraphs; those that mention a licen
 are compared to templates as sparse TF-IDF vectors. Document frequencies of the templates'
 terms are counted over all files; a term of no template counts as one that no file holds.
 A file has the licence of its best unit, if that is near enough. A file whose licence lines
-make up most of its words is a licence file, and its directory's licence holds for all files
+make up most of its words is a licence file, and so is one named as such (LICENSE, COPYING)
+that has a licence by its best unit or by the title of a full text. Its directory's licence holds for all files
 below without one of their own, down to the next directory with a licence file.
 
 All of it is DataFrame operations: terms are joined with a broadcast table bounded by the
@@ -72,6 +73,26 @@ MENTIONS = "licen[sc]|permission is hereby granted|redistribut|creative commons|
 MIN_COSINE = 0.7
 # Share of a file's words in licence lines from which on it is a licence file.
 LICENSE_FILE = 0.5
+# Names of licence files, and how full texts begin, in lower case with one space for all else
+# but letters and digits.
+FILE_NAME = (
+    "(?i)(^|/)(un)?(licen[sc]e|copying)"
+    "([._-](mit|apache|bsd|l?gpl|agpl|mpl|cc|lesser|[0-9])[a-z0-9_-]*([.][0-9]+)*)?"
+    "([.](txt|md|markdown|rst|adoc|html?))?$"
+)
+TITLES = [
+    ("AGPL-3.0", "gnu affero general public license version 3"),
+    ("LGPL-3.0", "gnu lesser general public license version 3"),
+    ("LGPL-2.1", "gnu lesser general public license version 2 1"),
+    ("GPL-3.0", "gnu general public license version 3 29 june 2007"),
+    ("GPL-2.0", "gnu general public license version 2 june 1991"),
+    ("Apache-2.0", "apache license version 2 0 january 2004"),
+    ("MPL-2.0", "mozilla public license version 2 0"),
+    ("CC-BY-SA-4.0", "attribution sharealike 4 0 international"),
+    ("CC-BY-NC-4.0", "attribution noncommercial 4 0 international"),
+    ("CC-BY-4.0", "attribution 4 0 international"),
+]
+TITLE_CHARS = 200
 
 
 def terms_of(text: Column) -> Column:
@@ -92,6 +113,20 @@ def vocabulary() -> list[str]:
     return sorted({t for _, text in TEMPLATES for t in re.findall(TERM, text.lower())})
 
 
+def full_text(path: Column, text: Column) -> Column:
+    """The licence that a file named as one holds the full text of, else null."""
+    plain = F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
+    head = F.substring(plain, 1, TITLE_CHARS)
+    found = [F.when(F.contains(head, F.lit(title)), name) for name, title in TITLES]
+    two_clauses = (
+        F.contains(plain, F.lit("redistributions of source code must retain"))
+        & F.contains(plain, F.lit("redistributions in binary form must reproduce"))
+        & ~F.contains(plain, F.lit("endorse or promote"))
+    )
+    found.append(F.when(two_clauses, "BSD-2-Clause"))
+    return F.when(path.rlike(FILE_NAME), F.coalesce(*found))
+
+
 def read_units(files: DataFrame) -> DataFrame:
     """One row a file: its path, terms of the vocabulary, number of words, and the units
     that mention a licence as (terms, is_line). Written, so the texts are read once and rows
@@ -120,6 +155,7 @@ def read_units(files: DataFrame) -> DataFrame:
             F.array_intersect("__terms", known).alias("known"),
             F.size("__terms").alias("words"),
             whole.alias("units"),
+            full_text(F.col("path"), text).alias("titled"),
         ),
         "units",
     )
@@ -216,13 +252,21 @@ def scan(
 
     ``basis`` is 'file' for a licence found in the file, 'directory' for an inherited one,
     and null with a null licence. Null and empty texts have none of their own; a null path
-    inherits nothing. Rows that repeat a path are files of their own; an empty table gives
+    inherits nothing. A full text known by its title alone has score 1. Rows that repeat a path are files of their own; an empty table gives
     none. Ties go to the template that is listed first.
     """
     units = read_units(files.select("id", "path", "text"))
     own = file_licenses(units, min_cosine)
-    named = units.select("row", "id", "path", directory(F.col("path")).alias("dir")).join(
-        own, "row", "left"
+    paths = units.select("row", "id", "path", directory(F.col("path")).alias("dir"), "titled")
+    titled, found = F.col("titled"), F.coalesce("titled", "license")
+    same = titled.isNull() | F.coalesce(titled == F.col("license"), F.lit(False))
+    # A file named as a licence file is one whatever its lines cover.
+    is_file = F.col("path").rlike(FILE_NAME) & found.isNotNull()
+    named = paths.join(own, "row", "left").select(
+        "row", "id", "path", "dir",
+        found.alias("license"),
+        F.when(same, F.col("score")).otherwise(1.0).alias("score"),
+        F.when(is_file, 1.0).otherwise(F.col("covered")).alias("covered"),
     )
     named = materialise(named, "licenses")
     inherited = directory_licenses(named.filter("dir IS NOT NULL"), license_file).select(
