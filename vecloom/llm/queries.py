@@ -19,6 +19,7 @@ from vecloom.llm import (
     piece_counts,
     quality,
     simhash,
+    spelling,
     warc,
 )
 from vecloom.session import even_scan
@@ -99,6 +100,10 @@ def op10_simhash(spark, sf_dir):
     )
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.group_variants(texts(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
