@@ -13,6 +13,7 @@ from vecloom.llm import (
     byte_bpe,
     graph_index,
     language,
+    lexical,
     licenses,
     mixing,
     pii,
@@ -100,6 +101,12 @@ def op10_simhash(spark, sf_dir):
     )
 
 
+def op11_lexical_search(spark, sf_dir):
+    items = read(spark, sf_dir, "benchmark")
+    found = lexical.search(texts(spark, sf_dir), items, k=10)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op13_spelling_variants(spark, sf_dir):
     return spelling.group_variants(texts(spark, sf_dir))
 
@@ -209,6 +216,38 @@ def quoted(text: str) -> str:
     return text.replace("'", "''")
 
 
+LEXICAL_TERMS = r"""regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+LEXICAL = f"""
+    WITH items AS (
+        SELECT q, item_id, unnest(list_distinct(terms)) AS term FROM (
+            SELECT row_number() OVER () AS q, item_id, {LEXICAL_TERMS} AS terms FROM benchmark)),
+    docs AS (
+        SELECT row_number() OVER () AS r, doc_id, coalesce({LEXICAL_TERMS}, []) AS terms
+        FROM documents),
+    whole AS (
+        SELECT count(*) FILTER (len(terms) > 0)::bigint AS n, sum(len(terms))::bigint AS l
+        FROM docs),
+    tf AS (
+        SELECT r, doc_id, len::bigint AS len, term, count(*)::bigint AS tf FROM (
+            SELECT r, doc_id, len(terms) AS len, unnest(terms) AS term FROM docs)
+        WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(n) + 2)::double / (2 * count(*) + 1)))::bigint
+            AS w
+        FROM tf, whole GROUP BY term),
+    scores AS (
+        SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+               sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len * n) // l))))::bigint
+                   AS score
+        FROM items JOIN tf USING (term) JOIN weights USING (term), whole GROUP BY q, r)
+    SELECT item_id, row_number() OVER best::int AS rank, doc_id, score
+    FROM scores WHERE score > 0
+    QUALIFY row_number() OVER best <= 10
+    WINDOW best AS (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)"""
+
 TERM_LIST = "regexp_extract_all(lower({}), '" + licenses.TERM + "')"
 TEMPLATE_ROWS = ", ".join(
     f"({i}, '{name}', '{quoted(text)}')" for i, (name, text) in enumerate(licenses.TEMPLATES)
@@ -296,4 +335,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": QUALITY,
         "op6_warc_packages": WARC,
         "op8_licenses": LICENSES,
+        "op11_lexical_search": LEXICAL,
     }
