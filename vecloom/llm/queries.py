@@ -15,6 +15,7 @@ from vecloom.llm import (
     language,
     lexical,
     licenses,
+    line_quality,
     mixing,
     pii,
     piece_counts,
@@ -107,6 +108,13 @@ def op11_lexical_search(spark, sf_dir):
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op12_line_quality(spark, sf_dir):
+    docs = texts(spark, sf_dir)
+    field = line_quality.fit(docs, read(spark, sf_dir, "labels"))
+    keep = [F.col("doc_id"), line_quality.held_out().alias("held_out")]
+    return line_quality.score(docs, field, keep)
+
+
 def op13_spelling_variants(spark, sf_dir):
     return spelling.group_variants(texts(spark, sf_dir))
 
@@ -243,10 +251,10 @@ LEXICAL = f"""
                sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len * n) // l))))::bigint
                    AS score
         FROM items JOIN tf USING (term) JOIN weights USING (term), whole GROUP BY q, r)
-    SELECT item_id, row_number() OVER best::int AS rank, doc_id, score
+    SELECT item_id, (row_number() OVER best)::int AS rank, doc_id, score
     FROM scores WHERE score > 0
-    QUALIFY row_number() OVER best <= 10
-    WINDOW best AS (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)"""
+    WINDOW best AS (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)
+    QUALIFY row_number() OVER best <= 10"""
 
 TERM_LIST = "regexp_extract_all(lower({}), '" + licenses.TERM + "')"
 TEMPLATE_ROWS = ", ".join(
