@@ -171,7 +171,7 @@ def q_append_vectors(spark, sf):
     rows = vector_table(spark, sf).select("id", "vector")
     tables.append_vectors(rows, path)
     tables.append_vectors(rows, path)
-    return spark.read.parquet(path).groupBy("id").agg(F.count("*").alias("copies"))
+    return tables.read_table(spark, path).groupBy("id").agg(F.count("*").alias("copies"))
 
 
 def q_quantize_f16(spark, sf):
@@ -179,7 +179,7 @@ def q_quantize_f16(spark, sf):
     tables.append_vectors(vector_table(spark, sf).select("id", "vector"), path)
     quantize.quantize_table(spark, path)
     quantize.quantize_table(spark, path)  # the second time nothing is left to do
-    stored = spark.read.parquet(path)
+    stored = tables.read_table(spark, path)
     total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
     sizes = stored.select("id", F.length("vector").alias("bytes"))
     decoded = quantize.from_half(stored).select("id", F.round(total, 6).alias("total"))
@@ -305,7 +305,7 @@ def q_stream_ingest(spark, sf):
     streaming.stream_ingest(
         spark, root, table, rejects, state, hashed_bytes(16)
     ).awaitTermination()
-    return spark.read.parquet(table).select(number_of("id").alias("id"), "width", "height")
+    return tables.read_table(spark, table).select(number_of("id").alias("id"), "width", "height")
 
 
 def q_synthetic_vectors(spark, sf):

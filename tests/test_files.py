@@ -6,6 +6,7 @@ import pytest
 from vecloom.functions.encoders import hashed_bytes
 from vecloom.plans.engine import VectorEngine
 from vecloom.plans.ingest import index_files
+from vecloom.sources.tables import read_table
 from vecloom.sources.files import header_size, image_metadata, list_images, split_tree, tree_usage
 from vecloom.streaming.ingest import retry_rejects, stream_ingest
 
@@ -99,14 +100,14 @@ def test_ingest_and_increment(spark, tree, tmp_path):
     table = str(tmp_path / "vectors")
     run = lambda **kw: tuple(index_files(spark, str(tree), table, hashed_bytes(16), 2, **kw).first())
     assert run() == (3, 2, 2, 0)
-    stored = spark.read.parquet(table)
+    stored = read_table(spark, table)
     assert stored.count() == 3
     norms = stored.selectExpr("aggregate(vector, 0D, (s, x) -> s + x * x) AS n").collect()
     assert all(r["n"] == pytest.approx(1, abs=1e-5) for r in norms)
     (tree / "new.png").write_bytes(png(2, 2))
     assert run() == (1, 2, 1, 3)
     assert run(incremental=False) == (4, 2, 2, 0)
-    assert spark.read.parquet(table).count() == 8
+    assert read_table(spark, table).count() == 8
 
 
 def test_search_by_image(spark, tree, tmp_path):
@@ -134,17 +135,17 @@ def test_stream(spark, tree, tmp_path):
         stream_ingest(spark, str(tree), table, rejects, state, hashed_bytes(16)).awaitTermination()
 
     run()
-    first = spark.read.parquet(table)
+    first = read_table(spark, table)
     assert first.count() == 3
     assert {r["width"] for r in first.collect()} == {4, 7, 5}
     (tree / "late.png").write_bytes(png(6, 6))
     run()
-    assert spark.read.parquet(table).count() == 4
-    assert spark.read.parquet(table).select("id").distinct().count() == 4
+    assert read_table(spark, table).count() == 4
+    assert read_table(spark, table).select("id").distinct().count() == 4
     assert spark.read.parquet(rejects).select("id").count() == 1
     (tree / "broken.jpg").write_bytes(png(8, 8))
     assert retry_rejects(spark, rejects, table, hashed_bytes(16)) == 1
     assert retry_rejects(spark, rejects, table, hashed_bytes(16)) == 0
-    assert spark.read.parquet(table).count() == 5
-    stored = {r["id"]: r["file_size"] for r in spark.read.parquet(table).collect()}
+    assert read_table(spark, table).count() == 5
+    stored = {r["id"]: r["file_size"] for r in read_table(spark, table).collect()}
     assert stored[str(tree / "broken.jpg")] == len(png(8, 8))

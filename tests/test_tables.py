@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from vecloom.operators.quantize import from_half, quantize_table
 from vecloom.plans.engine import VectorEngine
 from vecloom.functions.encoders import hashed_words
-from vecloom.sources import tables
+from vecloom.sources import commits, tables
 
 
 def facts(frame):
@@ -23,7 +23,7 @@ def test_append_keeps_repeated_ids(spark, make_table, random_vectors, tmp_path):
     frame = make_table(random_vectors(10, 4))
     tables.append_vectors(frame, path)
     tables.append_vectors(frame, path)
-    stored = spark.read.parquet(path)
+    stored = tables.read_table(spark, path)
     assert stored.count() == 20 and stored.select("row_key").distinct().count() == 20
 
 
@@ -32,15 +32,15 @@ def test_target_without_metadata_drops_it(spark, make_table, random_vectors, tmp
     frame = make_table(random_vectors(3, 4))
     tables.append_vectors(frame, path)
     tables.append_vectors(facts(frame), path)
-    assert not tables.has_metadata(spark.read.parquet(path))
-    assert spark.read.parquet(path).count() == 6
+    assert not tables.has_metadata(tables.read_table(spark, path))
+    assert tables.read_table(spark, path).count() == 6
 
 
 def test_target_with_metadata_wants_it(spark, make_table, random_vectors, tmp_path):
     path = str(tmp_path / "t")
     frame = make_table(random_vectors(3, 4))
     tables.append_vectors(facts(frame), path)
-    assert tables.has_metadata(spark.read.parquet(path))
+    assert tables.has_metadata(tables.read_table(spark, path))
     with pytest.raises(ValueError, match="width"):
         tables.append_vectors(frame, path)
     with pytest.raises(ValueError, match="file_size"):
@@ -61,7 +61,7 @@ def test_quantize(spark, make_table, random_vectors, tmp_path):
     report = quantize_table(spark, path).first()
     assert report["rows"] == 50 and report["dtype_after"] == "float16"
     assert report["bytes_after"] < report["bytes_before"]
-    stored = spark.read.parquet(path)
+    stored = tables.read_table(spark, path)
     assert set(tables.METADATA) <= set(stored.columns)
     back = {r["id"]: r["vector"] for r in from_half(stored).collect()}
     for i, row in enumerate(v):
@@ -76,7 +76,7 @@ def test_quantize_keeps_nulls_and_runs_twice(spark, tmp_path):
     for kind in ("float32", "float16"):
         report = quantize_table(spark, path).first()
         assert (report["rows"], report["dtype_before"]) == (4, kind)
-        assert {r["id"]: r["vector"] for r in from_half(spark.read.parquet(path)).collect()} == dict(rows)
+        assert {r["id"]: r["vector"] for r in from_half(tables.read_table(spark, path)).collect()} == dict(rows)
 
 
 @pytest.mark.parametrize("odd", [[1.0, 2.0], [1.0, 2.0, 3.0, None]])
@@ -86,27 +86,173 @@ def test_quantize_refuses_odd_vectors(spark, tmp_path, odd):
     spark.createDataFrame(rows, "id long, vector array<float>").coalesce(1).write.parquet(path)
     with pytest.raises(Exception, match="same dimension|null components"):
         quantize_table(spark, path)
-    assert spark.read.parquet(path).count() == 3
+    assert tables.read_table(spark, path).count() == 3
 
 
-def test_a_swap_that_was_cut_off(spark, make_table, random_vectors, tmp_path):
+def test_appends_that_meet_are_both_kept(spark, make_table, random_vectors, tmp_path, monkeypatch):
+    """Another append, and a change of the columns, come in before the commit."""
     path = str(tmp_path / "t")
     tables.append_vectors(make_table(random_vectors(5, 4)), path)
-    (tmp_path / "t").rename(tmp_path / "t__retired")
+    publish, others = commits.publish, [
+        lambda: tables.append_vectors(make_table(random_vectors(3, 4)), path),
+        lambda: quantize_table(spark, path),
+    ]
+
+    def slow(session, folder, number, content):
+        if others:
+            others.pop(0)()
+        return publish(session, folder, number, content)
+
+    monkeypatch.setattr(commits, "publish", slow)
     tables.append_vectors(make_table(random_vectors(2, 4)), path)
-    assert spark.read.parquet(path).count() == 7
-    (tmp_path / "t__retired").mkdir()
-    with pytest.raises(OSError, match="retired"):
+    stored = tables.read_table(spark, path)
+    assert stored.count() == 10 and dict(stored.dtypes)["vector"] == "binary"
+    assert len(from_half(stored).collect()) == 10
+
+
+def test_rows_appended_during_a_rewrite_are_kept(
+    spark, make_table, random_vectors, tmp_path, monkeypatch
+):
+    path = str(tmp_path / "t")
+    tables.append_vectors(make_table(random_vectors(5, 4)), path)
+    before = tables.read_table(spark, path)
+    publish, others = commits.publish, [2, 3]
+
+    def slow(session, folder, number, content):
+        if others:
+            n = others.pop()
+            monkeypatch.setattr(commits, "publish", publish)
+            tables.append_vectors(make_table(random_vectors(n, 4)), path)
+            monkeypatch.setattr(commits, "publish", slow)
+        return publish(session, folder, number, content)
+
+    monkeypatch.setattr(commits, "publish", slow)
+    assert quantize_table(spark, path).first()["rows"] == 10
+    stored = from_half(tables.read_table(spark, path))
+    assert stored.count() == 10 and stored.select("row_key").distinct().count() == 10
+    # A frame of an earlier version reads that version.
+    assert before.count() == 5 and dict(before.dtypes)["vector"] == "array<float>"
+
+
+def test_rewrites_that_meet_start_again(spark, make_table, random_vectors, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    tables.append_vectors(make_table(random_vectors(5, 4)), path)
+    publish, others = commits.publish, [1]
+
+    def raised(df):
+        return df.withColumn("id", F.concat("id", F.lit("+")))
+
+    def slow(session, folder, number, content):
+        if others:
+            others.pop()
+            tables.rewrite_table(spark, path, raised)
+        return publish(session, folder, number, content)
+
+    monkeypatch.setattr(commits, "publish", slow)
+    tables.rewrite_table(spark, path, raised)
+    ids = {r["id"] for r in tables.read_table(spark, path).collect()}
+    assert ids == {f"/img_{i:05d}.jpg++" for i in range(5)}
+
+
+class Cut(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["write_batch", "read_batches", "commit"])
+def test_a_writer_cut_off_changes_nothing(
+    spark, make_table, random_vectors, tmp_path, monkeypatch, step
+):
+    """Cut before the copy, before it is counted, and between its files and the commit."""
+    path = str(tmp_path / "t")
+    tables.append_vectors(make_table(random_vectors(6, 4)), path)
+    real = getattr(tables, step)
+
+    def cut(*args, **more):
+        if step == "write_batch":
+            real(*args, **more)
+        if step == "read_batches" and args[2] == list(tables.current(spark, path).batches):
+            return real(*args, **more)
+        raise Cut
+
+    monkeypatch.setattr(tables, step, cut)
+    with pytest.raises(Cut):
         quantize_table(spark, path)
-    assert spark.read.parquet(path).count() == 7
+    if step != "read_batches":
+        with pytest.raises(Cut):
+            tables.append_vectors(make_table(random_vectors(2, 4)), path)
+    monkeypatch.undo()
+    stored = tables.read_table(spark, path)
+    assert stored.count() == 6 and dict(stored.dtypes)["vector"] == "array<float>"
+    assert tables.table_stats(spark, path).first()["row_count"] == 6
+    tables.append_vectors(make_table(random_vectors(2, 4)), path)
+    assert tables.read_table(spark, path).count() == 8
+    left = {p.name[6:] for p in (tmp_path / "t").glob("batch=*")} - set(
+        tables.current(spark, path).batches
+    )
+    assert left and set(tables.remove_unused(spark, path, -60)) == left
+    assert tables.read_table(spark, path).count() == 8
+
+
+def test_first_writer_cut_off_makes_no_table(spark, make_table, random_vectors, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+
+    def cut(*args):
+        raise Cut
+
+    monkeypatch.setattr(tables, "commit", cut)
+    with pytest.raises(Cut):
+        tables.append_vectors(make_table(random_vectors(2, 4)), path)
+    monkeypatch.undo()
+    assert not tables.table_exists(spark, path)
+    assert tables.table_stats(spark, path).first()["error"]
+    tables.append_vectors(make_table(random_vectors(3, 4)), path)
+    assert tables.read_table(spark, path).count() == 3
+
+
+def test_a_number_is_given_once(spark, tmp_path):
+    path = str(tmp_path / "c")
+    assert commits.latest(spark, path) is None
+    assert commits.publish(spark, path, 0, {"a": 1})
+    assert not commits.publish(spark, path, 0, {"a": 2})
+    assert commits.publish(spark, path, 1, {"a": 3})
+    assert commits.latest(spark, path) == (1, {"a": 3})
+    assert len(list((tmp_path / "c" / "_commits").glob("*.json"))) == 2
+    assert commits.read_commit(spark, path, 0) == {"a": 1}
+
+
+def test_replace_refuses_a_changed_table(spark, make_table, random_vectors, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    frame = make_table(random_vectors(4, 4))
+    tables.append_vectors(frame, path)
+    assert tables.replace_table(tables.read_table(spark, path), path) == 4
+    publish = commits.publish
+
+    def slow(session, folder, number, content):
+        monkeypatch.setattr(commits, "publish", publish)
+        tables.append_vectors(frame, path)
+        return publish(session, folder, number, content)
+
+    monkeypatch.setattr(commits, "publish", slow)
+    with pytest.raises(OSError, match="another writer"):
+        tables.replace_table(tables.read_table(spark, path), path)
+    assert tables.read_table(spark, path).count() == 8
+
+
+def test_plain_files_are_a_table(spark, make_table, random_vectors, tmp_path):
+    path = str(tmp_path / "t")
+    make_table(random_vectors(4, 4)).write.parquet(path)
+    tables.append_vectors(make_table(random_vectors(3, 4)), path)
+    assert tables.read_table(spark, path).count() == 7
+    assert quantize_table(spark, path).first()["rows"] == 7
+    assert from_half(tables.read_table(spark, path)).count() == 7
 
 
 def test_failed_replace_keeps_the_table(spark, make_table, random_vectors, tmp_path):
     path = str(tmp_path / "t")
     tables.append_vectors(make_table(random_vectors(9, 4)), path)
     with pytest.raises(ValueError, match="staged copy"):
-        tables.replace_table(spark.read.parquet(path).limit(4), path)
-    assert spark.read.parquet(path).count() == 9
+        tables.replace_table(tables.read_table(spark, path).limit(4), path)
+    assert tables.read_table(spark, path).count() == 9
 
 
 def test_json_and_export(spark, tmp_path):

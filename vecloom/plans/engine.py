@@ -38,7 +38,7 @@ class VectorEngine:
         return f"{self.base_path}/{table}__ivf"
 
     def table(self, table: str = DEFAULT_TABLE) -> DataFrame:
-        return quantize.from_half(self.spark.read.parquet(self.path(table)))
+        return quantize.from_half(tables.read_table(self.spark, self.path(table)))
 
     def append(self, rows: DataFrame, table: str = DEFAULT_TABLE) -> None:
         tables.append_vectors(rows, self.path(table))
@@ -76,7 +76,7 @@ class VectorEngine:
 
     def filter_columns(self, table: str = DEFAULT_TABLE) -> list[str]:
         """Metadata columns a search may filter on; none for a table of vectors only."""
-        columns = self.spark.read.parquet(self.path(table)).columns
+        columns = tables.read_table(self.spark, self.path(table)).columns
         return [c for c in tables.METADATA if c in columns]
 
     def encode_query(self, query) -> np.ndarray:
@@ -148,4 +148,4 @@ class VectorEngine:
         return quantize.quantize_table(self.spark, self.path(table))
 
     def preview(self, table: str = DEFAULT_TABLE, n: int = 8, seed: int = 0) -> DataFrame:
-        return search.preview_sample(self.spark.read.parquet(self.path(table)), n, seed)
+        return search.preview_sample(tables.read_table(self.spark, self.path(table)), n, seed)

@@ -13,7 +13,8 @@ from vecloom.sources.tables import (
     append_vectors,
     hadoop_path,
     has_metadata,
-    path_exists,
+    read_table,
+    table_exists,
 )
 
 FILES_PER_TASK = 2048
@@ -65,10 +66,10 @@ def index_files(
     """
     listing = materialise(list_images(spark, root), "listing")
     listed = listing.count()
-    exists = path_exists(spark, table_path)
+    exists = table_exists(spark, table_path)
     fresh, keep = listing, METADATA
     if exists:
-        table = spark.read.parquet(table_path)
+        table = read_table(spark, table_path)
         keep = METADATA if has_metadata(table) else []
         if incremental:
             fresh = materialise(new_ids(listing, table), "fresh")

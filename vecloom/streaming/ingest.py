@@ -11,7 +11,7 @@ from vecloom.functions.paths import suffix
 from vecloom.plans.ingest import new_ids, spread
 from vecloom.session import materialise
 from vecloom.sources.files import IMAGE_SUFFIXES, decode_files
-from vecloom.sources.tables import METADATA, append_vectors, has_metadata, path_exists
+from vecloom.sources.tables import METADATA, append_vectors, has_metadata, read_table, table_exists
 
 
 def stream_ingest(
@@ -45,10 +45,10 @@ def stream_ingest(
 
     def store(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        exists = path_exists(session, table_path)
+        exists = table_exists(session, table_path)
         keep = METADATA
         if exists:
-            table = session.read.parquet(table_path)
+            table = read_table(session, table_path)
             keep = METADATA if has_metadata(table) else []
             batch = new_ids(batch, table)
         batch = materialise(batch, "stream-files")
@@ -75,8 +75,8 @@ def retry_rejects(
 ) -> int:
     """Try rejected files again in a batch job; returns the number added."""
     rejects = spark.read.parquet(rejects_path).select("id", "file_size", "file_mtime").distinct()
-    if path_exists(spark, table_path):
-        rejects = new_ids(rejects, spark.read.parquet(table_path))
+    if table_exists(spark, table_path):
+        rejects = new_ids(rejects, read_table(spark, table_path))
     rejects = materialise(rejects, "retry-files")
     decoded = decode_files(spread(rejects, rejects.count()), encoder, batch_size)
     good = materialise(decoded.where("error IS NULL").drop("error"), "retried")
