@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from vecloom.operators import (
     clusters,
     neighbours,
     pairs,
+    probing,
     projection,
     quantize,
     reports,
@@ -609,6 +611,62 @@ def q_search_ivf(spark, sf):
     return rounded(ann.search_index(spark, path, first_vector(df), 10, nprobe=16, refine=None))
 
 
+def index_of_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, str]:
+    """The vectors, the queries among them, and the path of an index of 16 cells."""
+    df = vector_table(spark, sf)
+    path = scratch_path(spark, "ivf-batch")
+    ann.create_index(df, path, num_partitions=16, num_sub_vectors=16)
+    queries = df.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qv"))
+    return df, queries, path
+
+
+def q_search_ivf_batch(spark, sf):
+    """All cells probed by many queries at once, all rows compared: the exact answers."""
+    _, queries, path = index_of_rows(spark, sf)
+    return rounded(probing.search_index_batch(spark, path, queries, 10, nprobe=16, refine=None))
+
+
+def q_search_ivf_filtered(spark, sf):
+    """One cell to begin with, and a filter that fewer rows pass than are asked for: probing
+    goes on until all of them are found, through the codes."""
+    _, queries, path = index_of_rows(spark, sf)
+    return rounded(probing.search_index_batch(spark, path, queries, 25, 1, where="id % 97 = 5"))
+
+
+def q_search_ivf_recall(spark, sf):
+    """The share of exact answers that three quarters of the cells and a short list by
+    16 bytes of codes a row find."""
+    df, queries, path = index_of_rows(spark, sf)
+    exact = search.search_batch(df, queries, 10).select("qid", "id")
+    found = probing.search_index_batch(spark, path, queries, 10, nprobe=12, refine=10)
+    hits = exact.join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+    return hits.agg(
+        F.countDistinct("qid").alias("n_queries"),
+        (F.count("hit") / F.count("*") >= 0.9).alias("recall_reached"),
+    )
+
+
+def q_pq_residual_error(spark, sf):
+    """Codes of turned residuals against codes of whole vectors, sixteen bytes a row each: the
+    mean squared errors, measured over all rows, compare as they should."""
+    df, _, path = index_of_rows(spark, sf)
+    model = ann.open_index(spark, path).model
+    books = ann.codebook_matrix(ann.train_codebooks(df, 16))
+    whole = ann.Model(np.zeros((1, books.shape[0] * books.shape[2])), np.eye(model.turn.shape[0]), books)
+    errors = [
+        ann.encode_rows(df.select("id", "vector"), m).agg(
+            F.count("*").alias("n"), F.avg("code_error").alias("error")
+        )
+        for m in (model, whole)
+    ]
+    ours, theirs = (e.select(F.col("n").alias(f"n{i}"), F.col("error").alias(f"e{i}")) for i, e in enumerate(errors))
+    both = ours.join(theirs, F.lit(True))  # two single rows
+    return both.select(
+        F.col("n0").alias("n_rows"), (F.col("n0") == F.col("n1")).alias("same_rows"),
+        (F.col("e0") < F.col("e1")).alias("residuals_closer"),
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the ten rows nearest to one vector."""
     return q_search_topk(spark, "/root/testdata/sf0.001")
@@ -662,6 +720,19 @@ def topk(source: str, id_expr: str, where: str = "true") -> str:
     SELECT id, round(distance, 6) + 0.0 AS distance, rank FROM r WHERE rank <= 10"""
 
 
+def batch_sql(where: str, k: int) -> str:
+    """Top-k of the rows that pass for each row whose id is divisible by 20."""
+    return f"""
+    WITH d AS (
+        SELECT q.vec_id AS qid, e.vec_id AS id,
+               round(list_cosine_distance(e.embedding::double[], q.embedding::double[]), 12)
+                   AS distance
+        FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND {where}),
+    r AS (
+        SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY distance, id))::int AS rank FROM d)
+    SELECT qid, id, round(distance, 6) + 0.0 AS distance, rank FROM r WHERE rank <= {k}"""
+
+
 def pair_sql(source: str, threshold: float) -> str:
     return f"""
         SELECT a.id AS id_a, b.id AS id_b,
@@ -749,6 +820,14 @@ def oracle_sql() -> dict[str, str]:
         "ivf_nearest": "SELECT vec_id AS id, 0::int AS nearer FROM embeddings",
         "pq_nearest": "SELECT vec_id AS id, 0::bigint AS nearer FROM embeddings",
         "search_ivf_appended": topk("embeddings", "vec_id"),
+        "search_ivf_batch": batch_sql("true", 10),
+        "search_ivf_filtered": batch_sql("e.vec_id % 97 = 5", 25),
+        "search_ivf_recall": """
+            SELECT count(*) FILTER (vec_id % 20 = 0) AS n_queries, true AS recall_reached
+            FROM embeddings""",
+        "pq_residual_error": """
+            SELECT count(*) AS n_rows, true AS same_rows, true AS residuals_closer
+            FROM embeddings""",
         "preview_check": "SELECT least(8, count(*)) AS n, least(8, count(*)) AS n_ids FROM embeddings",
         "project_2d_moments": """
             SELECT count(*) AS n, 0.0::double AS mean_x, 0.0::double AS mean_y,

@@ -1,8 +1,12 @@
 import numpy as np
 import pytest
 
-from vecloom.operators import ann
-from vecloom.operators.search import search_topk
+from pyspark.sql import functions as F
+
+from vecloom.functions.vectors import unit_rows
+from vecloom.operators import ann, probing
+from vecloom.operators.search import search_batch, search_topk
+from vecloom.sources import commits
 
 
 @pytest.fixture(scope="module")
@@ -51,23 +55,46 @@ def test_filter_and_pruning(spark, indexed):
 
 def test_shortlist_reads_no_vectors(spark, indexed):
     _, v, path = indexed
-    rows = spark.read.parquet(f"{path}/rows")
-    books = ann.codebook_matrix(spark.read.parquet(f"{path}/codebooks"))
-    plan = ann.shortlist(rows, books, v[0], 5, "id")._jdf.queryExecution().toString()
+    index = ann.open_index(spark, path)
+    plan = ann.shortlist(index.rows, index.model, v[0], 5, "id")._jdf.queryExecution().toString()
     scan = [line for line in plan.splitlines() if "ReadSchema" in line][-1]
     assert "vector" not in scan.split("ReadSchema")[1]
 
 
+def code_errors(spark, frame, path):
+    """Squared errors of the index's codes by row, worked out from its parts."""
+    model = ann.open_index(spark, path).model
+    rows = ann.encode_rows(frame, model).orderBy("id").collect()
+    unit = unit_rows(np.array([r["vector"] for r in rows]))
+    codes = np.array([list(r["codes"]) for r in rows])
+    cells = np.array([r["cell"] for r in rows])
+    back = model.centroids[cells] + ann.decoded(model.books, codes) @ model.turn.T
+    own = ((unit - back) ** 2).sum(axis=1)
+    assert np.allclose(own, [r["code_error"] for r in rows], atol=1e-5)
+    return own
+
+
 def test_codes_are_close(spark, indexed):
     frame, v, path = indexed
-    books = ann.codebook_matrix(spark.read.parquet(f"{path}/codebooks"))
-    rows = ann.pq_encode(frame, books).collect()
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    error = []
-    for r in rows:
-        back = np.concatenate([books[s, c] for s, c in enumerate(r["codes"])])
-        error.append(np.linalg.norm(back - unit[int(r["id"][5:10])]))
-    assert np.mean(error) < 0.2
+    assert np.sqrt(code_errors(spark, frame, path)).mean() < 0.1
+    turn = ann.open_index(spark, path).model.turn
+    assert np.allclose(turn @ turn.T, np.eye(16), atol=1e-9)
+
+
+def test_rotation_and_residuals_lower_the_error(spark, make_table):
+    """Groups of rows that vary along slanted directions: four bytes a row."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((12, 16)) * 3
+    slant = np.linspace(1.5, 0.05, 16)[:, None] * np.linalg.qr(rng.standard_normal((16, 16)))[0].T
+    x = base[rng.integers(0, 12, 1500)] + rng.standard_normal((1500, 16)) @ slant
+    frame = make_table(x)
+    centroids = ann.fit_cells(frame, 12)
+    rest = ann.residuals(frame, centroids, "vector")
+    plain = ann.fit_codes(rest, 4, rounds=8)
+    turned = ann.fit_codes(rest, 4, rounds=16, rotate=True)
+    whole = ann.fit_codes(ann.unit_vectors(frame, "vector"), 4, rounds=8)
+    assert turned.error < 0.8 * plain.error and plain.error < 0.6 * whole.error
+    assert np.allclose(turned.turn @ turned.turn.T, np.eye(16), atol=1e-9)
 
 
 def test_sub_vectors_must_divide():
@@ -84,7 +111,7 @@ def test_rows_added_later_are_found(spark, make_table, random_vectors, tmp_path)
     ann.create_index(frame.where("id < '/img_00060'"), path, num_partitions=4, num_sub_vectors=4)
     for _ in range(2):
         ann.update_index(frame, path)
-        assert spark.read.parquet(f"{path}/rows").count() == 120
+        assert ann.open_index(spark, path).rows.count() == 120
     exact = search_topk(frame, v[100], 6).collect()
     assert ann.search_index(spark, path, v[100], 6, nprobe=4, refine=None).collect() == exact
 
@@ -113,3 +140,133 @@ def test_starts_do_not_depend_on_partitions(spark, make_table):
     unit = frame.select(ann.unit_column("vector").alias("v"))
     one = ann.start_centres(unit.coalesce(1), 2, 42)
     assert one.num_rows == 512 and one.equals(ann.start_centres(unit.repartition(7), 2, 42))
+
+
+# -- Many queries ------------------------------------------------------------------------------
+
+
+def asked(spark, v, places, repeat=False):
+    rows = [(int(q), [float(x) for x in v[q]]) for q in places]
+    return spark.createDataFrame(rows + rows[:1] * repeat, "qid long, qv array<float>")
+
+
+def listed(frame):
+    return sorted((r["qid"], r["rank"], r["id"], r["distance"]) for r in frame.collect())
+
+
+@pytest.mark.parametrize("block_rows", [4096, 30])
+def test_batch_over_all_cells_equals_the_exact_search(spark, indexed, block_rows):
+    frame, v, path = indexed
+    queries = asked(spark, v, [0, 3, 77, 200, 399], repeat=True)
+    exact = listed(search_batch(frame, queries, 7))
+    got = probing.search_index_batch(
+        spark, path, queries, 7, nprobe=12, refine=None, block_rows=block_rows
+    )
+    assert listed(got) == exact
+
+
+def test_batch_recall_of_the_short_list(spark, indexed):
+    frame, v, path = indexed
+    queries = asked(spark, v, range(130, 400, 9))
+    exact = {(q, i) for q, _, i, _ in listed(search_batch(frame, queries, 10))}
+    got = probing.search_index_batch(spark, path, queries, 10, nprobe=12, refine=4).collect()
+    assert len(got) == len(exact)
+    assert len({(r["qid"], r["id"]) for r in got} & exact) >= 0.95 * len(exact)
+
+
+def test_filter_that_few_rows_pass(spark, indexed):
+    """A query gets k rows whenever k match, and all that match if they are fewer."""
+    frame, v, path = indexed
+    for where, k, count in (("width % 100 = 7", 3, 3), ("width = 250", 3, 1), ("width < 0", 3, 0)):
+        queries = asked(spark, v, [5, 200, 333])
+        for refine in (None, 10):
+            got = probing.search_index_batch(spark, path, queries, k, 1, where, refine)
+            assert len(listed(got)) == 3 * count
+            for q in (5, 333):
+                one = ann.search_index(spark, path, v[q], k, 1, where, refine)
+                assert one.count() == count
+    exact = listed(search_batch(frame, queries, 10, where="width % 100 = 7"))
+    got = probing.search_index_batch(spark, path, queries, 10, 1, "width % 100 = 7")
+    assert listed(got) == exact and len(exact) == 12
+
+
+def test_probed_cells_only(spark, indexed):
+    _, v, path = indexed
+    index = ann.open_index(spark, path)
+    placed = probing.probes(
+        asked(spark, v, [250, 251]).selectExpr("qid AS key", "qv AS vector"), index, 0, 2
+    )
+    cells = [r["cell"] for r in placed.select("cell").distinct().collect()]
+    assert placed.count() == 4
+    rows = index.rows.where(F.col("cell").isin(cells)).select("cell", "batch", "row", "id", "codes")
+    plan = probing.probe_join(placed, rows, index, 5, False, 4096)._jdf.queryExecution().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert scans and all("PartitionFilters: [" in x and "cell" in x for x in scans)
+    assert all("vector" not in x.split("ReadSchema")[1] for x in scans)
+
+
+def test_odd_queries(spark, indexed):
+    _, v, path = indexed
+    rows = [(1, None), (None, [1.0] * 16), (2, [0.0] * 16)]
+    queries = spark.createDataFrame(rows, "qid long, qv array<float>")
+    got = probing.search_index_batch(spark, path, queries, 2, nprobe=3).collect()
+    assert sorted((r["qid"] or 0, r["rank"]) for r in got) == [(0, 1), (0, 2), (2, 1), (2, 2)]
+    assert {r["distance"] for r in got if r["qid"] == 2} == {1.0}
+    assert probing.search_index_batch(spark, path, queries.limit(0), 2).count() == 0
+
+
+# -- Versions ----------------------------------------------------------------------------------
+
+
+class Cut(Exception):
+    pass
+
+
+def test_a_rebuild_that_is_cut_off_changes_nothing(
+    spark, make_table, random_vectors, tmp_path, monkeypatch
+):
+    path = str(tmp_path / "index")
+    v = random_vectors(150, 8, 3, positive=False)
+    frame = make_table(v).selectExpr("*", "id AS row_key")
+    ann.create_index(frame, path, num_partitions=5, num_sub_vectors=4)
+    before = ann.search_index(spark, path, v[9], 5, nprobe=5).collect()
+    reader = ann.open_index(spark, path)
+    other = make_table(-v).selectExpr("*", "id AS row_key")
+
+    def cut(*args, **more):
+        raise Cut
+
+    for module, name in ((ann, "fit_codes"), (ann, "book_table"), (ann, "write_rows"), (commits, "publish")):
+        with monkeypatch.context() as patch:
+            patch.setattr(module, name, cut)
+            with pytest.raises(Cut):
+                ann.create_index(other, path, num_partitions=3, num_sub_vectors=4)
+        assert ann.search_index(spark, path, v[9], 5, nprobe=5).collect() == before
+    ann.create_index(other, path, num_partitions=3, num_sub_vectors=4)
+    assert len(ann.open_index(spark, path).model.centroids) == 3
+    assert ann.search_index(spark, path, -v[9], 1, nprobe=3).first()["id"] == "/img_00009.jpg"
+    # A search that began before reads its own build to the end.
+    assert reader.rows.count() == 150 and len(reader.model.centroids) == 5
+
+
+def test_updates_that_meet_add_no_row_twice(
+    spark, make_table, random_vectors, tmp_path, monkeypatch
+):
+    path = str(tmp_path / "index")
+    frame = make_table(random_vectors(90, 8, 3)).selectExpr("*", "id AS row_key")
+    ann.create_index(frame.where("id < '/img_00050'"), path, num_partitions=4, num_sub_vectors=4)
+    publish, others = commits.publish, [1]
+
+    def slow(session, folder, number, content):
+        if others:
+            others.pop()
+            ann.update_index(frame.where("id < '/img_00070'"), path)
+        return publish(session, folder, number, content)
+
+    monkeypatch.setattr(commits, "publish", slow)
+    ann.update_index(frame, path)
+    index = ann.open_index(spark, path)
+    assert index.rows.count() == 90 and index.rows.select("id").distinct().count() == 90
+    report = ann.index_report(spark, path).orderBy("batch").collect()
+    assert [r["rows"] for r in report] == [50, 20, 20]
+    assert all(0 <= r["error"] < 0.5 and r["fitted_error"] >= 0 for r in report)

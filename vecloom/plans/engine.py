@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vecloom.functions.encoders import Encoder
 from vecloom.functions.vectors import unit_rows
-from vecloom.operators import ann, clusters, pairs, projection, quantize, search
+from vecloom.operators import ann, clusters, pairs, probing, projection, quantize, search
 from vecloom.plans.ingest import index_files
 from vecloom.sources import tables
 
@@ -46,7 +46,7 @@ class VectorEngine:
 
     def update_index(self, table: str = DEFAULT_TABLE) -> None:
         """Bring rows written since into the search index, if the table has one."""
-        if tables.path_exists(self.spark, f"{self.index_path(table)}/centroids"):
+        if ann.index_exists(self.spark, self.index_path(table)):
             ann.update_index(self.table(table), self.index_path(table))
 
     def index(
@@ -112,9 +112,25 @@ class VectorEngine:
         return search.search_topk(self.table(table), vector, top_k, where)
 
     def search_batch(
-        self, queries: DataFrame, top_k: int = 5, table: str = DEFAULT_TABLE, **options
+        self,
+        queries: DataFrame,
+        top_k: int = 5,
+        table: str = DEFAULT_TABLE,
+        where: str | None = None,
+        nprobe: int | None = None,
+        refine: int | None = 10,
+        **options,
     ) -> DataFrame:
-        return search.search_batch(self.table(table), queries, top_k, **options)
+        """Top-k for each row of queries(qid, qv): exact, or from the index with ``nprobe``."""
+        if nprobe is not None:
+            return probing.search_index_batch(
+                self.spark, self.index_path(table), queries, top_k, nprobe, where, refine, **options
+            )
+        return search.search_batch(self.table(table), queries, top_k, where, **options)
+
+    def index_report(self, table: str = DEFAULT_TABLE) -> DataFrame:
+        """How well the code books still fit each batch of the index."""
+        return ann.index_report(self.spark, self.index_path(table))
 
     def table_stats(self, table: str = DEFAULT_TABLE) -> DataFrame:
         return tables.table_stats(self.spark, self.path(table), table)
