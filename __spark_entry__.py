@@ -23,6 +23,7 @@ from vecloom.functions.encoders import embed, hashed_bytes, hashed_words
 from vecloom.operators import (
     ann,
     clusters,
+    layout,
     neighbours,
     pairs,
     probing,
@@ -603,6 +604,35 @@ def q_layout_ids(spark, sf):
     return placed.select("id", finite.alias("placed"))
 
 
+def q_layout_trust(spark, sf):
+    """Neighbours on the map against neighbours by distance, asked of one row in twenty: the
+    layout keeps them better than the linear map that it starts from."""
+    df = vector_table(spark, sf)
+    maps = {"moved": projection.layout(df, 2), "linear": projection.project(df, 2)}
+    moved, linear = (
+        layout.trustworthiness(df, placed, "id % 20 = 0").select(
+            "n_rows", "n_asked", F.col("trust").alias(name)
+        )
+        for name, placed in maps.items()
+    )
+    # Two single rows.
+    return moved.join(linear, ["n_rows", "n_asked"]).select(
+        "n_rows", "n_asked", (F.col("moved") > F.col("linear") + 0.02).alias("better")
+    )
+
+
+def q_knn_descent(spark, sf):
+    """The share of true neighbours that descent finds, from blocks of 64 rows at the start."""
+    df = vector_table(spark, sf)
+    exact = neighbours.neighbour_graph(df, 10).select("qid", "id")
+    near = neighbours.neighbour_graph(df, 10, exact=False, start_rows=64)
+    hits = exact.join(near.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+    return hits.agg(
+        F.countDistinct("qid").alias("n_rows"),
+        (F.count("hit") / F.count("*") >= 0.9).alias("recall_reached"),
+    )
+
+
 def q_search_ivf(spark, sf):
     """All cells probed and all rows compared: the same rows as the exact search."""
     df = vector_table(spark, sf).select("id", "vector")
@@ -825,6 +855,10 @@ def oracle_sql() -> dict[str, str]:
         "search_ivf_recall": """
             SELECT count(*) FILTER (vec_id % 20 = 0) AS n_queries, true AS recall_reached
             FROM embeddings""",
+        "layout_trust": """
+            SELECT count(*) AS n_rows, count(*) FILTER (vec_id % 20 = 0) AS n_asked, true AS better
+            FROM embeddings""",
+        "knn_descent": "SELECT count(*) AS n_rows, true AS recall_reached FROM embeddings",
         "pq_residual_error": """
             SELECT count(*) AS n_rows, true AS same_rows, true AS residuals_closer
             FROM embeddings""",

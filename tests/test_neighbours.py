@@ -61,21 +61,48 @@ def test_graph_keeps_rows_of_equal_ids_apart(spark):
     assert got == [("a", 1, "a"), ("a", 1, "a"), ("b", 1, "a")]
 
 
-def test_probed_graph_finds_most(make_table, distances):
+def recall(graph, d, k):
+    """Mean share of each row's list that is as near as its k nearest, and the list's size."""
+    got = {}
+    for r in graph.collect():
+        got.setdefault(r["qid"], []).append(r["distance"])
+    hits = [np.sum(np.array(x) <= np.sort(d[q])[k - 1] + 1e-6) / k for q, x in got.items()]
+    return np.mean(hits), {len(x) for x in got.values()}, len(got)
+
+
+def test_descent_finds_most(make_table, distances):
+    """Clusters, a hub that is near all rows, and a tenth of copies, from small blocks."""
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((20, 12))
-    v = (centres[rng.integers(0, 20, 600)] + 0.3 * rng.standard_normal((600, 12))).astype(np.float32)
-    v[:50] = v[0]
+    v = (centres[rng.integers(0, 20, 1200)] + 0.3 * rng.standard_normal((1200, 12)))
+    v[:100] = v[0]
+    v[200] = centres.mean(axis=0)
+    v = v.astype(np.float32)
     d = np.round(distances(v), 9)
     np.fill_diagonal(d, np.inf)
-    got = {}
-    graph = neighbour_graph(make_table(v, list(range(600))), 8, exact=False, cells=24, probes=6)
-    for r in graph.collect():
-        got.setdefault(r["qid"], []).append(r["distance"])
-    assert len(got) == 600 and all(len(x) == 8 for x in got.values())
-    hits = [np.sum(np.array(got[q]) <= np.sort(d[q])[7] + 1e-6) / 8 for q in range(600)]
-    assert np.mean(hits) > 0.95
-    everything = neighbour_graph(make_table(v, list(range(600))), 3, exact=False, cells=5, probes=5)
-    assert {(r["qid"], r["rank"]) for r in everything.collect()} == {
-        (q, k) for q in range(600) for k in (1, 2, 3)
-    }
+    frame = make_table(v, list(range(1200)))
+    graph = neighbour_graph(frame, 8, exact=False, start_rows=40)
+    share, sizes, count = recall(graph, d, 8)
+    assert share > 0.95 and sizes == {8} and count == 1200
+
+
+def test_descent_mends_a_poor_start(make_table, distances):
+    """Rows without any low-dimensional structure: rounds raise the recall of the start."""
+    v = np.random.default_rng(5).standard_normal((900, 10)).astype(np.float32)
+    d = np.round(distances(v), 9)
+    np.fill_diagonal(d, np.inf)
+    frame = make_table(v, list(range(900)))
+    options = dict(exact=False, start_rows=20)
+    before = recall(neighbour_graph(frame, 10, most_rounds=0, **options), d, 10)[0]
+    after = recall(neighbour_graph(frame, 10, **options), d, 10)[0]
+    assert before < 0.4 and after > 0.9
+
+
+def test_descent_in_one_block_is_exact(make_table):
+    v = np.random.default_rng(6).standard_normal((70, 6)).astype(np.float32)
+    frame = make_table(v, list(range(70)))
+    rows = lambda g: sorted((r["qid"], r["rank"], r["id"], round(r["distance"], 9)) for r in g.collect())
+    assert rows(neighbour_graph(frame, 5, exact=False)) == rows(neighbour_graph(frame, 5))
+    assert neighbour_graph(frame.limit(1), 5, exact=False).count() == 0
+    assert neighbour_graph(frame.limit(3), 5, exact=False).count() == 6
+    assert neighbour_graph(frame.limit(0), 5, exact=False).count() == 0

@@ -1,4 +1,4 @@
-"""Exact nearest-neighbour joins: many queries against a table, and the table with itself."""
+"""Nearest-neighbour joins: many queries against a table, and the table with itself."""
 
 from __future__ import annotations
 
@@ -12,14 +12,12 @@ from pyspark.sql import types as T
 
 from vecloom.functions.vectors import as_matrix, unit_rows
 from vecloom.operators import blocks
-from vecloom.operators.ann import fit_cells
-from vecloom.operators.cells import PRODUCT_CELLS, assign_cells, cell_schema, choose_anchors
+from vecloom.operators.cells import assign_cells, choose_anchors
 from vecloom.operators.copies import Copies, collapse, first_members
+from vecloom.operators.descent import graph_by_descent
 from vecloom.operators.search import keep_nearest, nearest_in_batch
-from vecloom.session import BROADCAST_BYTES, materialise
+from vecloom.session import materialise
 
-# Cells that a row looks into in the approximate graph.
-PROBES = 8
 STRIP_ROWS = 1024
 # Greatest Euclidean distance of two unit vectors, with room for rounding.
 FARTHEST = 2.001
@@ -150,46 +148,6 @@ def cell_nearest(
     return best_k(near.select("qid", "id", "distance").unionByName(far), k)
 
 
-def probed_nearest(
-    rows: DataFrame, cells: int, probes: int, k: int, block_rows: int
-) -> DataFrame:
-    """Best k found in the ``probes`` nearest trained cells of each row(key, id, vector)."""
-    known = rows.count()
-    centroids = fit_cells(rows, min(cells, known)) if known else np.zeros((0, 0))
-    shape = ["cell", "key", "id", "vector", F.lit(FARTHEST).alias("r")]
-    if len(centroids) <= 1:
-        alone = rows.withColumn("cell", F.lit(0)).select(*shape)
-        return best_k(block_nearest(alone, alone, k, True, block_rows), k)
-    placed = materialise(nearest_cells_of(rows, centroids, min(probes, len(centroids))), "probes")
-    stock = placed.where("home").select(*shape)
-    return best_k(block_nearest(placed.select(*shape), stock, k, True, block_rows), k)
-
-
-def nearest_cells_of(rows: DataFrame, centroids: np.ndarray, count: int) -> DataFrame:
-    """Each row once for each of its ``count`` nearest cells, with (cell, home)."""
-    if centroids.nbytes > BROADCAST_BYTES:
-        raise ValueError("centroid table is larger than the broadcast bound")
-    shipped = rows.sparkSession.sparkContext.broadcast(centroids)
-    names = rows.columns
-    place = names.index("vector")
-    step = max(1, PRODUCT_CELLS // len(centroids))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points = shipped.value
-        lengths = np.einsum("ij,ij->i", points, points)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
-                gap = lengths[None, :] - 2.0 * (unit_rows(as_matrix(part.column(place))) @ points.T)
-                near = np.argsort(gap, axis=1, kind="stable")[:, :count]
-                taken = part.take(pa.array(np.repeat(np.arange(len(near)), count)))
-                home = np.tile(np.arange(count) == 0, len(near))
-                columns = [*taken.columns, pa.array(near.reshape(-1).astype(np.int32)), pa.array(home)]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "cell", "home"])
-
-    return rows.mapInArrow(run, cell_schema(rows))
-
-
 def heads(copies: Copies, limit: int) -> DataFrame | None:
     """The lowest ``limit`` members of each group of copies: no answer needs more."""
     if copies.members is None:
@@ -271,15 +229,13 @@ def neighbour_graph(
     vector_col: str = "vector",
     block_rows: int = blocks.BLOCK_ROWS,
     exact: bool = True,
-    cells: int | None = None,
-    probes: int = PROBES,
+    **descent,
 ) -> DataFrame:
     """k nearest rows of every row, itself left out: (qid, id, distance, rank).
 
     The exact graph looks into every cell in reach, which in many dimensions is nearly all
-    of them. With ``exact=False`` a row looks into the ``probes`` of ``cells`` trained cells
-    that are nearest to it (by default as many cells as the root of the rows): the work then
-    grows with n * probes * n / cells, and some neighbours may be missed.
+    of them. With ``exact=False`` neighbours are found by descent (see descent.py, whose
+    parameters may be given): the work then grows with n, and some neighbours may be missed.
 
     Rows that repeat an id are rows of their own. Copies are searched once per group: all of
     a group share its list, in which the group's own lowest rows stand at its self-distance.
@@ -291,8 +247,8 @@ def neighbour_graph(
     if exact:
         found = cell_nearest(reps, reps, n, k, True, block_rows)
     else:
-        wanted = min(cells or max(1, round(n**0.5)), n)
-        found = probed_nearest(reps, wanted, probes, k, block_rows)
+        written = reps if copies.members is not None else given.withColumnRenamed("row", "key")
+        found = graph_by_descent(written, written.count(), k, **descent)
     if copies.members is not None:
         lowest = heads(copies, k + 1)
         own = lowest.select(

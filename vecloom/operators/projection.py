@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 
+from vecloom.operators.layout import CURVES, ROUNDS, optimise, weighted_edges
 from vecloom.operators.neighbours import neighbour_graph
 from vecloom.session import materialise
 
 AXES = ("x", "y", "z")
-# Grid boxes per axis that stand for distant points in the layout; at most 4,096 boxes.
-GRID = {2: 64, 3: 16}
+# Standard deviation of the widest axis at the start of a layout.
+START_SPREAD = 5.0
 
 
 def pca_reduce(
@@ -72,72 +68,22 @@ def project(df: DataFrame, n_components: int = 2, **columns) -> DataFrame:
     )
 
 
-def placed(points: DataFrame, axes: tuple[str, ...]) -> tuple[DataFrame, dict]:
-    """Write the points of a round; their bounds are observed on the way."""
-    seen = Observation()
-    edges = [F.min(a).alias(f"lo_{a}") for a in axes] + [F.max(a).alias(f"hi_{a}") for a in axes]
-    return materialise(points.observe(seen, *edges), "layout"), seen.get
-
-
-def grid_boxes(points: DataFrame, bounds: dict, axes: tuple[str, ...]) -> np.ndarray:
-    """Counts and centres of the occupied grid boxes: a bounded summary of all points."""
-    per_axis = GRID[len(axes)]
-    boxes = []
-    for a in axes:
-        width = (bounds[f"hi_{a}"] - bounds[f"lo_{a}"]) / per_axis or 1.0
-        place = F.floor((F.col(a) - bounds[f"lo_{a}"]) / width)
-        boxes.append(F.least(place, F.lit(per_axis - 1)).alias(f"box_{a}"))
-    summary = points.groupBy(*boxes).agg(
-        F.count("*").alias("n"), *[F.avg(a).alias(a) for a in axes]
-    )
-    return np.array([[r["n"], *[r[a] for a in axes]] for r in summary.collect()])
-
-
-def repel(points: DataFrame, boxes: np.ndarray, axes: tuple[str, ...]) -> DataFrame:
-    """Add the push away from every grid box, one column per axis."""
-    shipped = points.sparkSession.sparkContext.broadcast(boxes)
-    names = points.columns
-    places = [names.index(a) for a in axes]
-    schema = T.StructType(
-        points.schema.fields + [T.StructField(f"push_{a}", T.DoubleType()) for a in axes]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, centre = shipped.value[:, 0], shipped.value[:, 1:]
-        share = weight / weight.sum()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                y = np.stack([part.column(p).to_numpy() for p in places], axis=1)
-                gap = y[:, None, :] - centre[None, :, :]
-                pull = share / (0.01 + (gap**2).sum(axis=2))
-                push = (pull[:, :, None] * gap).sum(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, *[pa.array(push[:, i]) for i in range(len(axes))]],
-                    [*names, *[f"push_{a}" for a in axes]],
-                )
-
-    return points.mapInArrow(run, schema)
-
-
 def layout(
     df: DataFrame,
     n_components: int = 2,
-    rounds: int = 8,
+    rounds: int = ROUNDS,
     neighbours: int | None = None,
-    step: float = 0.6,
-    spread: float = 0.25,
-    exact: bool = True,
+    method: str = "umap",
+    exact: bool = False,
     id_col: str = "id",
     vector_col: str = "vector",
+    **options,
 ) -> DataFrame:
     """(id, x, y[, z]): a map that keeps near rows near.
 
-    The vectors are turned to at most 50 principal axes first; the map starts from the
-    leading ones, and neighbours are found among the turned vectors, by cells only where
-    ``exact`` is false (see neighbour_graph). In each round a point moves towards the mean of its
-    graph neighbours and away from all others; the others are stood for by a grid of at
-    most 4,096 boxes, so nothing that grows with the table is broadcast. Ids are unique.
+    The map starts from the leading principal axes, and neighbour edges, weighted as
+    ``method`` says, move its points (see layout.py). Neighbours are found by descent, or
+    exactly if asked for; nothing that grows with the table is broadcast. Ids are unique.
     """
     axes = AXES[:n_components]
     rows = df.where(F.col(vector_col).isNotNull()).select(
@@ -146,54 +92,23 @@ def layout(
     n = rows.count()
     if n < 3:
         return project(rows, n_components)
-    turned = materialise(pca_reduce(rows), "layout-axes")
-    start = turned.select(
-        "id", *[F.coalesce(F.get("reduced", F.lit(i)), F.lit(0.0)).alias(a) for i, a in enumerate(axes)]
-    )
+    start = materialise(project(rows, n_components), "layout-start")
     k = min(n - 1, neighbours or max(5, min(30, n - 1)))
-    near = turned.select("id", F.col("reduced").cast("array<float>").alias("vector"))
-    graph = neighbour_graph(near, k, exact=exact).select(F.col("qid").alias("src"), F.col("id").alias("dst"))
-    edges = materialise(
-        graph.unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))),
-        "layout-edges",
-    )
+    graph = neighbour_graph(rows, k, exact=exact)
+    edges = materialise(weighted_edges(graph, k, method), "layout-edges")
     size = start.agg(*[F.stddev(a).alias(a) for a in axes]).first()
-    points, bounds = placed(
-        start.select("id", *[(F.col(a) / (size[a] or 1.0)).alias(a) for a in axes]), axes
-    )
-    for turn in range(rounds):
-        pace = step * (1.0 - turn / (2.0 * rounds))
-        boxes = grid_boxes(points, bounds, axes)
-        ends = points.select(F.col("id").alias("dst"), *axes)
-        # Partial sums by source, so a row with very many neighbours is combined early.
-        middle = (
-            edges.join(ends, "dst")
-            .groupBy(F.col("src").alias("id"))
-            .agg(*[F.avg(a).alias(f"mid_{a}") for a in axes])
-        )
-        pushed = repel(points, boxes, axes).join(middle, "id", "left")
-        moved = pushed.select(
-            "id",
-            *[
-                (
-                    F.col(a)
-                    + pace
-                    * (F.coalesce(F.col(f"mid_{a}") - F.col(a), F.lit(0.0))
-                       + spread * F.col(f"push_{a}"))
-                ).alias(a)
-                for a in axes
-            ],
-        )
-        points, bounds = placed(moved, axes)
-    return points
+    wide = max(size[a] or 0.0 for a in axes) or 1.0
+    points = start.select("id", *[(F.col(a) * (START_SPREAD / wide)).alias(a) for a in axes])
+    return optimise(points, edges, axes, method, k, rounds, **options)
 
 
 def reduce_dimensions(
     df: DataFrame, method: str = "tsne", n_components: int = 2, **options
 ) -> DataFrame:
-    """``pca`` is the linear map; ``tsne`` and ``umap`` both name the neighbour layout."""
+    """``pca`` is the linear map; ``tsne`` and ``umap`` are neighbour layouts that differ in how
+    edges are weighted and in the curve of attraction."""
     if method == "pca":
         return project(df, n_components, **options)
-    if method in ("tsne", "umap"):
-        return layout(df, n_components, **options)
+    if method in CURVES:
+        return layout(df, n_components, method=method, **options)
     raise ValueError(f"unknown reduction method {method!r}; there are pca, tsne and umap")
