@@ -104,3 +104,10 @@ def test_repeats_of_odd_rows(spark):
     out = mixing.repeat_documents(df).collect()
     assert {r.doc_id for r in out} <= {1, None} and len(out) <= 6
     assert mixing.repeat_documents(df.filter("doc_id = 9")).count() == 0
+
+
+def test_rows_that_differ_by_the_place_of_a_null(spark):
+    rows = [(1, "x", "web", None)] * 2 + [(1, "x", None, "web")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.repeat_documents(df, share=2.0).collect()
+    assert sorted((r.lang or "", r.source or "") for r in out) == [("", "web")] * 6 + [("web", "")] * 4

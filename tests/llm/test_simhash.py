@@ -118,3 +118,11 @@ def test_components_of_paths_and_stars(spark):
     assert found[2001] == 2000
     none = spark.createDataFrame([], "a long, b long")
     assert components(none).count() == 0
+
+
+def test_keep_one_prefers_rows_with_ids(spark):
+    rows = [(None, "same text here", "a", None), (5, "same text here", None, "a"), (9, "same text here", "a", None),
+            (None, "other words here", "x", None), (None, "other words here", None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = simhash.keep_one(df).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "other words here"), (5, "same text here")]

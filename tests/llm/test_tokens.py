@@ -1,7 +1,9 @@
 """Token counts and byte-level BPE against the libraries, on odd and ordinary texts."""
 
+import gc
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as P
@@ -127,3 +129,30 @@ def test_pieces_are_bounded(spark):
     parts = list(texts.pieces(batch, 0))
     assert [p.num_rows for p in parts] == [1, 1, 1, 2]
     assert sum(p.num_rows for p in parts) == 5
+
+
+def test_caches_are_bounded_in_bytes():
+    """Long matches, each of them new, leave nothing behind."""
+    runs = [random.Random(i).choice("abcdefgh") * 20_000 + str(i) for i in range(40)]
+    kernel = byte_bpe.encoder(byte_bpe.load_ranks(RANKS), r"[a-z0-9]+")(False)
+    kernel(runs[:1])
+    gc.collect()
+    tracemalloc.start()
+    for run in runs:
+        kernel([run])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1_000_000
+    assert byte_bpe.CACHE_SIZE * byte_bpe.CACHE_CHARS * 8 < 100_000_000
+    assert piece_counts.CACHE_SIZE * piece_counts.CACHE_CHARS * 4 < 100_000_000
+
+
+def test_matches_longer_than_the_cache_takes(spark):
+    runs = ["x" * n for n in (47, 48, 49, 200)] * 2 + ["hello " * 9, "x" * 49 + " hello"]
+    df = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    ids, count = reference_ids(), reference_pieces()
+    got = {r.doc_id: r.n_tokens for r in byte_bpe.encode(df, RANKS, P.PATTERN).collect()}
+    assert got == {i: len(ids(t)) for i, t in enumerate(runs)}
+    got = {r.doc_id: r.n_tokens for r in piece_counts.token_counts(df, MODEL).collect()}
+    assert got == {i: count(t) for i, t in enumerate(runs)}

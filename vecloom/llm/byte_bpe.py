@@ -27,8 +27,9 @@ from vecloom.llm.texts import map_texts
 
 # Longest match that is merged in a matrix.
 MATRIX_BYTES = 512
-# Encoded matches kept by a task; beyond that it starts afresh.
-CACHE_SIZE = 400_000
+# Encoded matches kept by a task, beyond which it starts afresh, and the longest that is kept:
+# at most some 80 MB together.
+CACHE_SIZE, CACHE_CHARS = 200_000, 48
 # Texts of characters below this have a pattern of plain classes, which is faster.
 PLAIN_BELOW = 0x250
 
@@ -219,16 +220,22 @@ def encoder(ranks: dict[bytes, int], pattern: str):
         token = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             token[rank] = piece
-        cache: dict[str, bytes] = {}
+        long: dict[str, bytes] = {}
+
+        class Cache(dict):
+            def __missing__(self, match: str) -> bytes:
+                return long[match]
+
+        cache = Cache()
 
         def kernel(texts: list):
             found = [cut(text) if text else [] for text in texts]
             if len(cache) > CACHE_SIZE:
                 cache.clear()
+            long.clear()
             fresh = list(set().union(*found).difference(cache))
-            cache.update(
-                zip(fresh, encode_pieces([x.encode() for x in fresh], ranks, table))
-            )
+            for match, ids in zip(fresh, encode_pieces([x.encode() for x in fresh], ranks, table)):
+                (cache if len(match) <= CACHE_CHARS else long)[match] = ids
             counts, digests, decoded, all_ids = [], [], [], []
             for parts in found:
                 ids = b"".join(map(cache.__getitem__, parts))
@@ -257,7 +264,8 @@ def encode(
     """(keep..., n_tokens, ids_sha256, decoded_sha256[, ids]) of every whole text.
 
     ``path`` names a rank file readable on the driver, ``pattern`` the regular expression
-    that cuts texts. Nulls and empty texts have no ids; repeated rows stay; an empty table
+    that cuts texts. A match of more than CACHE_CHARS characters is encoded anew in each
+    piece of rows; memory follows the longest text. Nulls and empty texts have no ids; repeated rows stay; an empty table
     gives none; other columns are not read.
     """
     start = encoder(load_ranks(path), pattern)

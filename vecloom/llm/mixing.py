@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from vecloom.llm.texts import word_count
+from vecloom.llm.texts import row_key, word_count
 from vecloom.session import materialise
 
 # Weights by place in the order of sources, repeated.
@@ -153,8 +153,7 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
 
     Documents without words are in no mix.
     """
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = docs.withColumn("__row", key)
+    marked = docs.withColumn("__row", row_key(docs))
     sized = marked.select("doc_id", "source", "__row", word_count(F.col("text")).alias("size"))
     taken = mix(sized, whole_only=True, **options).filter("size > 0 and taken > 0")
     # Full repeats share a row key; their copies are summed and one of them is repeated.

@@ -22,8 +22,9 @@ from vecloom.llm.merges import merge_parts
 from vecloom.llm.texts import map_texts
 
 MARK = "▁"
-# Words kept by a task; beyond that it starts afresh.
-CACHE_SIZE = 400_000
+# Words kept by a task, beyond which it starts afresh, and the longest that is kept: at most
+# some 60 MB together.
+CACHE_SIZE, CACHE_CHARS = 200_000, 48
 
 
 def load_pieces(path: str) -> dict[str, int]:
@@ -88,7 +89,9 @@ def token_counts(
 
         class Counts(dict):
             def __missing__(self, word: str) -> int:
-                self[word] = found = count(word)
+                found = count(word)
+                if len(word) <= CACHE_CHARS:
+                    self[word] = found
                 return found
 
         known = Counts()

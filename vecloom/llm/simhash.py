@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.components import components
-from vecloom.llm.texts import map_texts
+from vecloom.llm.texts import map_texts, row_key
 from vecloom.session import materialise
 
 BITS = 64
@@ -192,17 +192,14 @@ def near_duplicates(
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """The columns of ``docs``, one document of each component: the one of smallest id.
 
-    Rows that repeat an id within a component count as one document, of which the text of
-    least hash stays; a component without ids keeps its row of least hash.
+    Null ids come after all others. Rows that repeat an id within a component count as one
+    document, of which the row of least key stays; a component without ids keeps its row of
+    least key.
     """
-    # The row key tells rows apart by all their values, so only full repeats share one.
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = docs.withColumn("__row", key)
+    marked = docs.withColumn("__row", row_key(docs))
+    id_ = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "__row")
     facts = near_duplicates(
-        marked.select(F.struct("doc_id", "__row").alias("id"), "text"),
-        shingle=shingle,
-        max_bits=max_bits,
-        id_col="id",
+        marked.select(id_.alias("id"), "text"), shingle=shingle, max_bits=max_bits, id_col="id"
     )
     stays = facts.filter(F.col("id") == F.col("component_id")).select(F.col("id.__row")).distinct()
     return marked.join(stays, "__row").dropDuplicates(["__row"]).select(*docs.columns)
