@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -44,3 +46,17 @@ def test_gives_rows(spark, name):
 
 def test_entry(spark):
     assert [r["rank"] for r in registered.entry(spark).collect()] == list(range(1, 11))
+
+
+@pytest.mark.parametrize("library", ["sentencepiece", "regex", "xxhash", "public_tokenizers"])
+def test_other_queries_stay_without_a_library(library):
+    """A library that only the text operators need may be absent."""
+    code = (
+        f"import sys; sys.modules[{library!r}] = None\n"
+        "import __spark_entry__ as e\n"
+        "names = e.queries()\n"
+        "assert len(names) >= 55 and not any(n.startswith('op') or n == 'pipeline' for n in names)\n"
+        "assert set(e.oracle_sql()) <= set(names)\n"
+    )
+    folder = os.path.dirname(os.path.abspath(registered.__file__))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=folder, timeout=120)
