@@ -1,7 +1,15 @@
 import numpy as np
 import pytest
 
-from vecloom.operators.pairs import duplicate_pairs, duplicate_pairs_hashed, hash_plan
+from pyspark.sql import functions as F
+
+from vecloom.operators.pairs import (
+    duplicate_pairs,
+    duplicate_pairs_hashed,
+    hash_plan,
+    part_candidates,
+)
+from vecloom.operators.parts import part_sizes, spread_parts
 
 
 def expected(vectors, threshold, distances):
@@ -135,3 +143,32 @@ def test_star_holds_the_same_pairs(make_table, distances, hashed):
         if not np.array_equal(v[a], v[b]):
             every |= {(min(x, y), max(x, y)) for x in copies[a] for y in copies[b]}
     assert every == set(expected(v, 0.01, distances))
+
+
+@pytest.mark.parametrize("block_rows", [4096, 25])
+def test_parts_of_wide_vectors_lose_no_pair(make_table, distances, block_rows):
+    """Groups at all distances around the threshold, a third of all rows in one of them."""
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((30, 37))
+    group = rng.integers(0, 30, 300)
+    group[:100] = 0
+    v = (centres[group] + rng.uniform(0, 0.5, (300, 1)) * rng.standard_normal((300, 37))).astype(np.float32)
+    frame = make_table(v, list(range(300)))
+    ours = found(duplicate_pairs(frame, 0.1, block_rows=block_rows))
+    want = expected(v, 0.1, distances)
+    assert set(ours) == set(want) and len(want) > 500
+    assert part_sizes(37) == [10, 9, 9, 9]
+
+
+def test_few_pairs_are_candidates_on_the_given_vectors(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr(
+        "vec_id AS row", "embedding AS vector"
+    )
+    n = rows.count()
+    assert part_candidates(rows, 64, 0.05, 4096).count() < 0.01 * n * (n - 1) / 2
+    # What is compared in the axes of a part, against whole vectors of every pair.
+    homes = F.count_if("home")
+    met = spread_parts(rows, 64, 0.1**0.5).groupBy("cell").agg(
+        (homes * (homes - 1) / 2 + homes * F.count_if(~F.col("home"))).alias("pairs")
+    )
+    assert met.agg(F.sum("pairs")).first()[0] * 8 / 64 < 0.2 * n * (n - 1) / 2

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,12 +23,15 @@ from vecloom.functions.vectors import (
 from vecloom.operators import blocks
 from vecloom.operators.cells import assign_cells, choose_anchors
 from vecloom.operators.copies import Copies, collapse, expand_pairs, stars
+from vecloom.operators.parts import part_kernel, spread_parts
 from vecloom.session import materialise
 
 # Rows of a block compared at a time inside a task, by vectors and by sketches.
 STRIP_ROWS = 1024
 SCREEN_ROWS = 256
 SKETCH_BITS = 256
+# Up to this distance parts of vectors tell most pairs apart.
+PART_THRESHOLD = 0.1
 
 
 def pair_schema(df: DataFrame) -> T.StructType:
@@ -155,10 +158,10 @@ def duplicate_pairs(
 ) -> DataFrame:
     """Exact near-duplicate self-join: (id_a, id_b, distance), ascending by distance.
 
-    Copies are joined once for all, and other rows meet only inside metric cells, so
-    far-apart regions are never compared. ``key_col`` names a unique row key where ids may
-    repeat. ``limit`` keeps the first pairs only, and every block then emits no more than
-    it can contribute to them.
+    Copies are joined once for all. Up to PART_THRESHOLD other rows meet by parts of their
+    vectors (see parts.py), beyond it inside metric cells of whole vectors; both lose no
+    pair. ``key_col`` names a unique row key where ids may repeat. ``limit`` keeps the first
+    pairs only.
 
     A group of m equal vectors has m(m-1)/2 pairs. With ``star`` it is given in m - 1: its
     lowest row with each other one. Nothing is lost, since copies share every distance;
@@ -166,7 +169,10 @@ def duplicate_pairs(
     """
     n = df.count()
     copies = collapse(keyed(df, id_col, vector_col, key_col))
-    found = cell_pairs(copies.reps, n, threshold, limit, block_rows)
+    if threshold <= PART_THRESHOLD:
+        found = part_pairs(copies.reps, threshold, block_rows)
+    else:
+        found = cell_pairs(copies.reps, n, threshold, limit, block_rows)
     return finished(found, copies, threshold, limit, key_col is not None, block_rows, star)
 
 
@@ -177,8 +183,19 @@ def cell_pairs(
     anchors = choose_anchors(rows, n, block_rows)
     radius = math.sqrt(2.0 * max(threshold, 0.0))
     placed = assign_cells(rows, anchors, radius=radius, later_cells_only=True)
-    if len(anchors) <= 1:
-        homes, copied = F.lit(max(1, -(-n // block_rows))), F.lit(0)
+    one = -(-n // block_rows) if len(anchors) <= 1 else None
+    grouped = cell_groups(placed, "key", ["id", "key", "vector"], block_rows, one)
+    return grouped.applyInArrow(pair_kernel(threshold, limit), pair_schema(rows))
+
+
+def cell_groups(
+    placed: DataFrame, key: str, columns: list[str], block_rows: int, one: int | None = None
+) -> GroupedData:
+    """Rows (cell, home, ...) grouped so that every two rows of a cell of which one is at home
+    meet in one group (cell, a, b), on sides 0 and 1, or on side 0 alone where a = b. ``one``
+    is the number of blocks of the only cell there is."""
+    if one is not None:
+        homes, copied = F.lit(max(1, one)), F.lit(0)
     else:
         # One row per anchor.
         sizes = placed.groupBy("cell").agg(
@@ -189,10 +206,10 @@ def cell_pairs(
         placed = placed.join(F.broadcast(sizes), "cell", "left")
         homes, copied = (F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) for c in ("homes", "copied"))
     placed = placed.select(
-        "cell", "home", "id", "key", "vector", homes.alias("homes"), copied.alias("copied")
+        "cell", "home", *columns, homes.alias("homes"), copied.alias("copied")
     ).withColumn(
         "own",
-        blocks.block_of("key", F.when(F.col("home"), F.col("homes")).otherwise(F.col("copied"))),
+        blocks.block_of(key, F.when(F.col("home"), F.col("homes")).otherwise(F.col("copied"))),
     )
     own, homes, copied = F.col("own"), F.col("homes"), F.col("copied")
     at_home = F.concat(
@@ -201,10 +218,39 @@ def cell_pairs(
     )
     grouped = blocks.spread(
         placed, F.when(F.col("home"), at_home).otherwise(blocks.left_groups(own, homes, homes))
-    ).select("cell", "a", "b", "side", "id", "key", "vector")
-    return grouped.groupBy("cell", "a", "b").applyInArrow(
-        pair_kernel(threshold, limit), pair_schema(rows)
-    )
+    ).select("cell", "a", "b", "side", *columns)
+    return grouped.groupBy("cell", "a", "b")
+
+
+def part_candidates(coded: DataFrame, dim: int, threshold: float, block_rows: int) -> DataFrame:
+    """(row_a, row_b): every pair of coded(row, vector) below the threshold, and a few more."""
+    radius = math.sqrt(2.0 * max(threshold, 0.0))
+    placed = spread_parts(coded, dim, radius)
+    grouped = cell_groups(placed, "row", ["row", "part"], block_rows)
+    near = grouped.applyInArrow(part_kernel(dim, radius), "row_a long, row_b long")
+    # A pair may be near in several parts.
+    return near.distinct()
+
+
+def part_pairs(rows: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """Pairs of rows (id, key, vector) below the threshold, which candidates by parts lead to."""
+    coded = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "coded")
+    head = coded.select(F.size("vector")).first()
+    found = part_candidates(coded, head[0] if head else 1, threshold, block_rows)
+    return checked(found, coded, threshold)
+
+
+def checked(found: DataFrame, coded: DataFrame, threshold: float) -> DataFrame:
+    """Candidates (row_a, row_b) with the exact distances of their vectors, below the threshold."""
+    for side in ("a", "b"):
+        sided = coded.select(
+            F.col("row").alias(f"row_{side}"), F.col("id").alias(f"id_{side}"),
+            F.col("key").alias(f"key_{side}"), F.col("vector").alias(f"vector_{side}"),
+        )
+        found = found.join(sided, f"row_{side}")
+    distance = F.round(cosine_distance(F.col("vector_a"), F.col("vector_b")), 12) + 0.0
+    found = found.withColumn("distance", distance).where(F.col("distance") < threshold)
+    return found.select("id_a", "key_a", "id_b", "key_b", "distance")
 
 
 def hash_plan(n: int, threshold: float, recall: float, bucket_rows: int) -> tuple[int, int]:
@@ -341,14 +387,5 @@ def duplicate_pairs_hashed(
     near = grouped.groupBy("tag", "code", "a", "b").applyInArrow(
         screen_kernel(sketch_cut(threshold, loss)), "row_a long, row_b long"
     )
-    found = near.distinct()
-    for side in ("a", "b"):
-        sided = coded.select(
-            F.col("row").alias(f"row_{side}"), F.col("id").alias(f"id_{side}"),
-            F.col("key").alias(f"key_{side}"), F.col("vector").alias(f"vector_{side}"),
-        )
-        found = found.join(sided, f"row_{side}")
-    distance = F.round(cosine_distance(F.col("vector_a"), F.col("vector_b")), 12) + 0.0
-    found = found.withColumn("distance", distance).where(F.col("distance") < threshold)
-    found = found.select("id_a", "key_a", "id_b", "key_b", "distance")
+    found = checked(near.distinct(), coded, threshold)
     return finished(found, copies, threshold, limit, key_col is not None, block_rows, star)
