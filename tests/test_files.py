@@ -2,11 +2,22 @@ import struct
 import zlib
 
 import pytest
+from pyarrow import fs
 
 from vecloom.functions.encoders import hashed_bytes
 from vecloom.plans.engine import VectorEngine
 from vecloom.plans.ingest import index_files
-from vecloom.sources.files import header_size, image_metadata, list_images, split_tree, tree_usage
+from vecloom.sources import files
+from vecloom.sources.files import (
+    Directories,
+    FileTreeReader,
+    entries,
+    header_size,
+    image_metadata,
+    list_images,
+    split_tree,
+    tree_usage,
+)
 from vecloom.sources.tables import read_table
 from vecloom.streaming.ingest import retry_rejects, stream_ingest
 
@@ -73,6 +84,41 @@ def test_metadata_and_rejects(spark, tree):
     assert rows["broken.jpg"]["error"] and rows["empty.jpeg"]["error"]
 
 
+def test_a_uri_and_a_mount_give_the_same_rows(spark, tree):
+    """The root as a path and as a URI, and a store that is not the local one."""
+    facts = lambda f: sorted((r["id"], r["file_size"], r["file_mtime"], r["error"]) for r in f.collect())
+    plain = facts(list_images(spark, str(tree)))
+    assert plain == facts(list_images(spark, f"file://{tree}")) and len(plain) == 5
+    assert any(size == 0 for _, size, _, _ in plain)
+    store = fs.SubTreeFileSystem(str(tree), fs.LocalFileSystem())
+    folders, files, error = entries(store, "")
+    assert error is None and {p for p, *_ in files} == {p.name for p in tree.iterdir() if p.is_file()}
+    assert set(folders) == {p.name for p in tree.iterdir() if p.is_dir()}
+
+
+def test_a_folder_that_cannot_be_read_is_a_row(tree, tmp_path):
+    reader = FileTreeReader(str(tree), 4)
+    gone = str(tmp_path / "gone")
+    rows = [r for b in reader.read(Directories([gone, str(tree)], True)) for r in b.to_pylist()]
+    bad = [r for r in rows if r["error"]]
+    assert [(r["id"], r["file_size"]) for r in bad] == [(gone, -1)] and len(rows) > 5
+    (tree / "loop").symlink_to(tree)
+    (tree / "dangling.png").symlink_to(tmp_path / "nothing")
+    rows = [r for b in reader.read(Directories([str(tree)], True)) for r in b.to_pylist()]
+    assert {r["file_size"] for r in rows if r["id"].endswith("dangling.png")} == {-1}
+    assert not any("loop" in r["id"] for r in rows)
+
+
+def test_an_unreadable_folder_counts_as_an_error(spark, tree, tmp_path, monkeypatch):
+    listing = spark.createDataFrame(
+        [(str(tree / "gone"), -1, None, "PermissionError: gone")], files.LISTING_SCHEMA
+    )
+    whole = list_images(spark, str(tree)).unionByName(listing)
+    monkeypatch.setattr("vecloom.plans.ingest.list_images", lambda *_: whole)
+    row = index_files(spark, str(tree), str(tmp_path / "v"), hashed_bytes(16), 2).first()
+    assert (row["total_indexed"], row["total_errors"]) == (3, 3)
+
+
 def test_headers():
     gif = b"GIF89a" + struct.pack("<HH", 11, 12) + b"\0" * 8
     bmp = b"BM" + b"\0" * 16 + struct.pack("<ii", 30, -20) + b"\0" * 8

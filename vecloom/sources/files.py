@@ -2,7 +2,8 @@
 
 Spark's own image and binary-file sources keep every file status on the driver and leave
 out empty files. Here the driver only splits the tree into directories; tasks list them
-and open the files, so neither the listing nor any file content passes through it.
+and open the files, so neither the listing nor any file content passes through it. Mounts and
+stores are listed by the same code, through Arrow's file systems.
 """
 
 import io
@@ -15,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -26,7 +28,9 @@ from vecloom.functions.vectors import as_lists, unit_rows
 IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png", ".bmp", ".gif", ".tiff", ".tif", ".webp"]
 REPORT_SUFFIXES = [".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tiff", ".gif"]
 
-LISTING_SCHEMA = "id string, file_size long, file_mtime double"
+LISTING_SCHEMA = "id string, file_size long, file_mtime double, error string"
+# Files of a batch of the listing, and folders of a partition at most.
+LISTED_ROWS, FOLDERS = 10_000, 256
 
 
 @dataclass
@@ -37,27 +41,46 @@ class Directories(InputPartition):
     deep: bool
 
 
-def entries(directory: str):
-    """(subdirectories, files) of a directory; an unreadable one counts as empty."""
-    folders, files = [], []
+def store_of(root: str) -> tuple[fs.FileSystem, str, str]:
+    """The file system of a folder, its path there, and what stands before paths in ids: a
+    mount's files are named by plain paths, all others by the URIs that they were asked by."""
+    if "://" not in root or root.startswith("file://"):
+        return fs.LocalFileSystem(), str(Path(root.removeprefix("file://"))), ""
+    store, path = fs.FileSystem.from_uri(root)
+    return store, path.rstrip("/"), root[: root.rindex(path)] if path in root else ""
+
+
+def entries(store: fs.FileSystem, directory: str):
+    """(subdirectories, files, error) of a directory; files are (path, size, time). Links to
+    directories are not followed."""
     try:
-        with os.scandir(directory) as scan:
-            for entry in scan:
-                if not entry.is_dir():
-                    files.append(entry.path)
-                elif not entry.is_symlink():
-                    folders.append(entry.path)
-    except OSError:
-        pass
-    return folders, files
-
-
-def split_tree(root: str, wanted: int, per_partition: int = 256) -> list:
+        found = store.get_file_info(fs.FileSelector(directory, recursive=False))
+    except OSError as problem:
+        return [], [], f"{type(problem).__name__}: {problem}"
+    folders, files, local = [], [], isinstance(store, fs.LocalFileSystem)
+    for info in found:
+        if info.type == fs.FileType.Directory:
+            if not (local and os.path.islink(info.path)):
+                folders.append(info.path)
+        elif info.type == fs.FileType.File:
+            time = None if info.mtime_ns is None else info.mtime_ns / 1e9
+            files.append((info.path, info.size, time))
+        else:  # gone by now
+            files.append((info.path, -1, None))
+    if local:
+        # Arrow leaves out links that lead nowhere.
+        names = {os.path.join(directory, name) for name in os.listdir(directory)}
+        files += [(path, -1, None) for path in sorted(names - {info.path for info in found})]
+    return folders, files, None
+
+
+def split_tree(root: str, wanted: int, per_partition: int = FOLDERS) -> list:
     """Partitions of a tree: descend level by level until there are enough directories."""
-    shallow, deep = [], [root]
+    store, path, _ = store_of(root)
+    shallow, deep = [], [path]
     while deep and len(deep) < wanted:
         shallow += deep
-        deep = [folder for directory in deep for folder in entries(directory)[0]]
+        deep = [folder for directory in deep for folder in entries(store, directory)[0]]
     size = max(1, min(per_partition, -(-len(deep) // wanted)))
     return [
         Directories(group[i : i + step], is_deep)
@@ -66,22 +89,17 @@ def split_tree(root: str, wanted: int, per_partition: int = 256) -> list:
     ]
 
 
-def listed(files: list) -> pa.RecordBatch:
-    """Size and time of some files; one that is gone by now has size -1."""
-    facts = []
-    for path in files:
-        try:
-            found = os.stat(path)
-            facts.append((found.st_size, found.st_mtime))
-        except OSError:
-            facts.append((-1, None))
+def listed(files: list, prefix: str) -> pa.RecordBatch:
+    """Rows of (path, size, time, error)."""
+    paths, sizes, times, errors = zip(*files)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(files, pa.string()),
-            pa.array([size for size, _ in facts], pa.int64()),
-            pa.array([time for _, time in facts], pa.float64()),
+            pa.array([prefix + p for p in paths], pa.string()),
+            pa.array(sizes, pa.int64()),
+            pa.array(times, pa.float64()),
+            pa.array(errors, pa.string()),
         ],
-        ["id", "file_size", "file_mtime"],
+        ["id", "file_size", "file_mtime", "error"],
     )
 
 
@@ -93,13 +111,17 @@ class FileTreeReader(DataSourceReader):
         return split_tree(self.root, self.wanted)
 
     def read(self, partition):
+        store, _, prefix = store_of(self.root)
         waiting = list(partition.paths)
         while waiting:
-            folders, files = entries(waiting.pop())
+            directory = waiting.pop()
+            folders, files, error = entries(store, directory)
+            if error:
+                yield listed([(directory, -1, None, error)], prefix)
             if partition.deep:
                 waiting += folders
-            for lo in range(0, len(files), 10_000):
-                yield listed(files[lo : lo + 10_000])
+            for lo in range(0, len(files), LISTED_ROWS):
+                yield listed([(*f, None) for f in files[lo : lo + LISTED_ROWS]], prefix)
 
 
 class FileTree(DataSource):
@@ -117,34 +139,27 @@ class FileTree(DataSource):
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(id, file_size, file_mtime) of every file below a folder.
-
-    A folder on a shared mount is walked by tasks. For an object store Spark's binary-file
-    listing serves, which leaves out empty files.
-    """
-    if "://" in root and not root.startswith("file://"):
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        return found.select(
-            F.col("path").alias("id"),
-            F.col("length").alias("file_size"),
-            (F.unix_micros("modificationTime") / 1e6).alias("file_mtime"),
-        )
-    root = str(Path(root.removeprefix("file://")))
-    if not os.path.isdir(root):
+    """(id, file_size, file_mtime, error) of every file below a folder, on a shared mount or in
+    a store that a URI names; tasks list it in the same way. Empty files are rows, and a
+    folder that cannot be read is a row with an error in place of its files."""
+    store, path, _ = store_of(root)
+    if store.get_file_info(path).type != fs.FileType.Directory:
         raise FileNotFoundError(f"directory not found: {root}")
     spark.dataSource.register(FileTree)
     return spark.read.format("filetree").option("path", root).load()
 
 
 def list_images(spark: SparkSession, root: str, suffixes: list[str] | None = None) -> DataFrame:
-    return list_files(spark, root).where(suffix(F.col("id")).isin(suffixes or IMAGE_SUFFIXES))
+    """The files with one of the suffixes, and the folders that could not be read."""
+    chosen = suffix(F.col("id")).isin(suffixes or IMAGE_SUFFIXES)
+    return list_files(spark, root).where(chosen | F.col("error").isNotNull())
 
 
 def tree_usage(spark: SparkSession, root: str, suffixes: list[str] | None = None) -> DataFrame:
     """(files, size_mb): files with one of the suffixes, and the size of all files."""
     chosen = suffix(F.col("id")).isin(suffixes or REPORT_SUFFIXES)
     return list_files(spark, root).agg(
-        F.count_if(chosen).alias("files"),
+        F.count_if(chosen & F.col("error").isNull()).alias("files"),
         (F.coalesce(F.sum(F.greatest("file_size", F.lit(0))), F.lit(0)) / 1048576).alias("size_mb"),
     )
 
@@ -152,8 +167,6 @@ def tree_usage(spark: SparkSession, root: str, suffixes: list[str] | None = None
 def read_file(path: str) -> tuple[bytes, float]:
     """Contents and time of a file as it is now, whatever a listing said before."""
     if "://" in path:
-        from pyarrow import fs
-
         store, inner = fs.FileSystem.from_uri(path)
         time = store.get_file_info(inner).mtime_ns
         with store.open_input_stream(inner) as stream:
