@@ -40,6 +40,8 @@ SHARD_DOCS, SHARD_POSTINGS = 1 << 15, 1 << 20
 # Documents of a block, and the share of a shard's documents up to which a list is short.
 BLOCK = 128
 SHORT = 1 / 16
+# Search tasks of one shard each at most.
+MOST_TASKS = 10_000
 # Bytes of query text that are searched for at once.
 QUERY_BYTES = 16 << 20
 
@@ -291,9 +293,9 @@ def search_block(
     weights = [math.floor(1000 * math.log((2 * full + 2) / (2 * int(n) + 1))) for n in df_of]
     shipped = spark.sparkContext.broadcast((asked, np.array(weights, np.int64), full, terms))
     schema = result_schema(index.schema["ids"].dataType.elementType)
-    # A few shards a task, however few bytes they are.
+    # A shard a task, however few bytes it is; of very many, some.
     count = index.count()
-    tasks = max(1, min(count, max(spark.sparkContext.defaultParallelism, count // 4)))
+    tasks = max(1, min(count, max(MOST_TASKS, count // 16)))
     dealt = index.repartition(tasks, "shard")
     return dealt.groupBy("shard").applyInArrow(shard_kernel(shipped, k), schema)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from vecloom.llm.texts import row_key, word_count
+from vecloom.llm.texts import ROW_KEY, with_row_key, word_count
 from vecloom.session import materialise
 
 # Weights by place in the order of sources, repeated.
@@ -153,11 +153,11 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
 
     Documents without words are in no mix.
     """
-    marked = docs.withColumn("__row", row_key(docs))
-    sized = marked.select("doc_id", "source", "__row", word_count(F.col("text")).alias("size"))
+    marked = with_row_key(docs)
+    sized = marked.select("doc_id", "source", *ROW_KEY, word_count(F.col("text")).alias("size"))
     taken = mix(sized, whole_only=True, **options).filter("size > 0 and taken > 0")
     # Full repeats share a row key; their copies are summed and one of them is repeated.
-    copies = taken.groupBy("__row").agg(F.sum(F.expr("taken div size")).alias("__copies"))
-    joined = marked.join(copies, "__row").dropDuplicates(["__row"])
+    copies = taken.groupBy(*ROW_KEY).agg(F.sum(F.expr("taken div size")).alias("__copies"))
+    joined = marked.join(copies, ROW_KEY).dropDuplicates(ROW_KEY)
     repeats = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
     return joined.withColumn("__copy", repeats).select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.components import components
-from vecloom.llm.texts import map_texts, row_key
+from vecloom.llm.texts import ROW_KEY, map_texts, with_row_key
 from vecloom.session import materialise
 
 BITS = 64
@@ -196,10 +196,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     document, of which the row of least key stays; a component without ids keeps its row of
     least key.
     """
-    marked = docs.withColumn("__row", row_key(docs))
-    id_ = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "__row")
+    marked = with_row_key(docs)
+    id_ = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *ROW_KEY)
     facts = near_duplicates(
         marked.select(id_.alias("id"), "text"), shingle=shingle, max_bits=max_bits, id_col="id"
     )
-    stays = facts.filter(F.col("id") == F.col("component_id")).select(F.col("id.__row")).distinct()
-    return marked.join(stays, "__row").dropDuplicates(["__row"]).select(*docs.columns)
+    stays = facts.filter(F.col("id") == F.col("component_id"))
+    stays = stays.select(*[F.col(f"id.{c}") for c in ROW_KEY]).distinct()
+    return marked.join(stays, ROW_KEY).dropDuplicates(ROW_KEY).select(*docs.columns)

@@ -20,6 +20,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 PIECE_ROWS = 1024
 PIECE_BYTES = 2 << 20
 
+ROW_KEY = ["__row_a", "__row_b"]
+
 Kernel = Callable[[list], list]
 
 
@@ -68,11 +70,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def row_key(df: DataFrame) -> Column:
-    """128 bits that stand for all values of a row, nulls and their places among them; only
-    full repeats share them. Unlike a row number they need no second copy of the rows."""
+def with_row_key(df: DataFrame) -> DataFrame:
+    """``df`` and the columns ROW_KEY: 128 bits that stand for all values of a row, nulls and
+    their places among them, so that only full repeats share them. Unlike a row number they
+    need no second copy of the rows."""
     values = [F.col(f"`{c}`") for c in df.columns]
     marks = F.concat(*[F.when(v.isNull(), "0").otherwise("1") for v in values])
-    return F.struct(
-        F.xxhash64(F.lit(7), marks, *values).alias("a"), F.xxhash64(F.lit(11), *values, marks).alias("b")
-    )
+    first, second = F.xxhash64(F.lit(7), marks, *values), F.xxhash64(F.lit(11), *values, marks)
+    return df.withColumns(dict(zip(ROW_KEY, (first, second))))
