@@ -400,6 +400,22 @@ def q_cluster_kmeans(spark, sf):
     )
 
 
+def q_cluster_minibatch(spark, sf):
+    """Groups by mini-batches of an eighth of the rows cost at most a fiftieth more than groups
+    fitted on all of them; every row has one."""
+    df = vector_table(spark, sf).select("id", "vector")
+    batch_rows = max(100, df.count() // 8)
+    full, some = (
+        clusters.cluster_stats(clusters.cluster_rows(df, 10, **options), 10)
+        for options in ({}, {"minibatch": True, "batch_rows": batch_rows})
+    )
+    cost = full.select("n_images", F.col("inertia").alias("full"))
+    # Two single rows.
+    return cost.join(some.select("n_images", "inertia"), "n_images").select(
+        F.col("n_images").alias("n_rows"), (F.col("inertia") <= 1.02 * F.col("full")).alias("near")
+    )
+
+
 def q_kmeans_rounds(spark, sf):
     """Two rounds from the class means, over all rows."""
     df = vector_table(spark, sf)
@@ -850,6 +866,7 @@ def oracle_sql() -> dict[str, str]:
                    round(list_sum(list_transform(embedding::double[], lambda x: {HALF})), 6) AS total
             FROM embeddings""",
         "kmeans_rounds": KMEANS,
+        "cluster_minibatch": "SELECT count(*) AS n_rows, true AS near FROM embeddings",
         "ivf_nearest": "SELECT vec_id AS id, 0::int AS nearer FROM embeddings",
         "pq_nearest": "SELECT vec_id AS id, 0::bigint AS nearer FROM embeddings",
         "search_ivf_appended": topk("embeddings", "vec_id"),

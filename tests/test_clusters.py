@@ -8,6 +8,7 @@ from vecloom.operators.clusters import (
     cluster_rows,
     cluster_stats,
     fit_centroids,
+    fit_minibatch,
     lloyd_rounds,
 )
 
@@ -63,3 +64,30 @@ def test_preview_counts_the_rest(spark):
     rows = cluster_preview(frame, 3).collect()
     assert [(r["cluster"], r["id"]) for r in rows] == [(0, 0), (0, 2), (0, 4), (1, 1), (1, 3), (1, 5)]
     assert {r["more"] for r in rows} == {2}
+
+
+@pytest.mark.parametrize("n, batch_rows", [(3000, 150), (300, 4096)])
+def test_minibatches_come_near_the_full_fit(make_table, n, batch_rows):
+    """Groups of unequal size, a third of all rows in one; batches of a part and of the whole."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((8, 12)) * 3
+    group = np.append(np.zeros(n // 3, int), rng.integers(0, 8, n - n // 3))
+    v = centres[group] + rng.standard_normal((n, 12))
+    frame = make_table(v, list(range(n)))
+    full, some = (
+        cluster_stats(cluster_rows(frame, 8, **o), 8).first()["inertia"]
+        for o in ({}, {"minibatch": True, "batch_rows": batch_rows})
+    )
+    assert some <= 1.02 * full
+
+
+def test_minibatches_of_odd_tables(spark, make_table, random_vectors):
+    frame = make_table(random_vectors(6, 4))
+    assert fit_minibatch(frame, 6, batches=3).shape == (6, 4)
+    assert fit_minibatch(frame.unionByName(frame.withColumn("vector", F.lit(None).cast("array<float>"))), 1).shape == (1, 4)
+    same = make_table(np.ones((50, 3)))
+    assert np.allclose(fit_minibatch(same, 2, batches=2), 1)
+    with pytest.raises(ValueError, match="between 1 and"):
+        fit_minibatch(frame, 7)
+    again = [fit_minibatch(frame, 3, batches=4) for _ in range(2)]
+    assert np.array_equal(*again)

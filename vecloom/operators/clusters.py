@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from multiprocessing.pool import ThreadPool
 
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.functions.vectors import as_matrix, with_vectors
-from vecloom.session import BROADCAST_BYTES
+from vecloom.functions.vectors import as_lists, as_matrix, with_vectors
+from vecloom.session import BROADCAST_BYTES, scratch_path
 
 # Starts of which the best is kept.
 STARTS = 3
@@ -24,6 +25,8 @@ PARALLEL_STARTS = 8
 # Rows worth a partition of their own.
 PARTITION_ROWS = 5000
 PRODUCT_CELLS = 4_000_000
+# Rows of a mini-batch and number of them; draws are made in so many lots.
+BATCH_ROWS, BATCHES, LOTS = 4096, 24, 1 << 20
 
 
 def mean_vector(vector_col: str) -> Column:
@@ -112,6 +115,126 @@ def fit_centroids(
         rows.unpersist()
 
 
+def seeded_centres(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Rows drawn one after another with chances by squared distance to those drawn: of some
+    draws the one that leaves the least distances."""
+    draw = np.random.default_rng(seed)
+    centres = [x[draw.integers(len(x))]]
+    gap = ((x - centres[0]) ** 2).sum(axis=1)
+    tries = 2 + int(math.log(k))
+    for _ in range(1, k):
+        total = gap.sum()
+        # Where all rows lie on centres, any row will do.
+        lots = draw.random(tries)
+        at = np.searchsorted(np.cumsum(gap), lots * total) if total > 0 else lots * len(x)
+        drawn = x[np.minimum(at.astype(int), len(x) - 1)]
+        left = [np.minimum(gap, ((x - c) ** 2).sum(axis=1)) for c in drawn]
+        best = int(np.argmin([g.sum() for g in left]))
+        centres.append(drawn[best])
+        gap = left[best]
+    return np.stack(centres)
+
+
+def fit_minibatch(
+    df: DataFrame,
+    k: int,
+    seed: int = 42,
+    starts: int = STARTS,
+    batch_rows: int = BATCH_ROWS,
+    batches: int = BATCHES,
+    vector_col: str = "vector",
+) -> np.ndarray:
+    """Centroids of K-Means by mini-batches: the table is read once, not once a round.
+
+    Rows are drawn by a hash into ``batches`` batches of about ``batch_rows`` rows, which are
+    written in one pass; a small table serves again in further batches. The first batch seeds
+    each of the ``starts``. Then every batch moves the centres by its means, each at a rate of
+    its rows in the batch over its rows so far, so early batches move a centre far and later ones
+    settle it. The start with the least cost over a last batch, which moved nothing, is kept.
+    """
+    known = df.where(F.col(vector_col).isNotNull()).select(
+        F.col(vector_col).cast("array<double>").alias("vector")
+    )
+    n = known.count()
+    if not 1 <= k <= n:
+        raise ValueError(f"n_clusters must be between 1 and the {n} rows, got {k}")
+    rows_of = max(batch_rows, 10 * k)
+    chance = min(1.0, rows_of / n)
+    # A lot for each row and batch: a small table is drawn into many of them.
+    lots = F.transform(
+        F.sequence(F.lit(0), F.lit(batches)),
+        lambda b: F.when(F.pmod(F.xxhash64("lot", b), F.lit(LOTS)) < math.ceil(chance * LOTS), b),
+    )
+    drawn = known.withColumn("lot", F.rand(seed))
+    numbers = F.filter(lots, lambda b: b.isNotNull())
+    path = scratch_path(df.sparkSession, "batches")
+    placed = drawn.select("vector", F.explode(numbers).alias("batch"))
+    placed.write.partitionBy("batch").parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+
+    def batch(number: int) -> DataFrame:
+        return stored.where(F.col("batch") == number).select("vector")
+
+    # A bounded number of rows: the seeds are drawn from them on the driver.
+    first = as_matrix(batch(0).limit(2 * rows_of).toArrow().column("vector"))
+    if len(first) < k:
+        first = as_matrix(known.limit(max(k, 2 * rows_of)).toArrow().column("vector"))
+    centres = np.stack([seeded_centres(first, k, seed + s) for s in range(starts)])
+    seen = np.zeros((starts, k))
+    for number in range(1, batches + 1):
+        counts, means, cost = batch_means(batch(number), centres)
+        if number == batches:
+            return centres[int(np.argmin(cost))]
+        seen += counts
+        rate = np.where(counts > 0, counts / np.maximum(seen, 1), 0.0)
+        centres = centres + rate[:, :, None] * (means - centres)
+
+
+def batch_means(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each start, rows and mean of every centre [start, k], and the cost [start]."""
+    if centres.nbytes > BROADCAST_BYTES:
+        raise ValueError("centroid table is larger than the broadcast bound")
+    shipped = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = shipped.value
+        counts, sums, cost = np.zeros(points.shape[:2]), np.zeros(points.shape), np.zeros(len(points))
+        step = max(1, PRODUCT_CELLS // points.shape[1])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                x = as_matrix(batch.slice(lo, step).column(0)).astype(np.float64)
+                size = np.einsum("ij,ij->i", x, x)
+                for s, own in enumerate(points):
+                    gap = np.einsum("ij,ij->i", own, own)[None, :] - 2.0 * (x @ own.T)
+                    near = gap.argmin(axis=1)
+                    cost[s] += float((gap[np.arange(len(x)), near] + size).sum())
+                    counts[s] += np.bincount(near, minlength=len(own))
+                    np.add.at(sums[s], near, x)
+        start, centre = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.append(start, np.arange(len(points))).astype(np.int32)),
+                pa.array(np.append(centre, np.full(len(points), -1)).astype(np.int32)),
+                pa.array(np.append(counts[start, centre], cost)),
+                as_lists(np.concatenate([sums[start, centre], np.zeros((len(points), points.shape[2]))])),
+            ],
+            ["start", "centre", "n", "sum"],
+        )
+
+    parts = rows.mapInArrow(run, "start int, centre int, n double, sum array<double>")
+    total = vector_to_array(Summarizer.sum(array_to_vector("sum"))).alias("sum")
+    table = parts.groupBy("start", "centre").agg(F.sum("n").alias("n"), total).toArrow()
+    start, centre = table.column("start").to_numpy(), table.column("centre").to_numpy()
+    n = table.column("n").to_numpy()
+    counts, means, cost = np.zeros(centres.shape[:2]), centres.copy(), np.zeros(len(centres))
+    cost[start[centre < 0]] = n[centre < 0]
+    own = centre >= 0
+    counts[start[own], centre[own]] = n[own]
+    sums = as_matrix(table.column("sum"))[own]
+    means[start[own], centre[own]] = sums / n[own][:, None]
+    return counts, means, cost
+
+
 def lloyd_rounds(
     df: DataFrame, centroids: np.ndarray, rounds: int, vector_col: str = "vector"
 ) -> np.ndarray:
@@ -127,10 +250,17 @@ def lloyd_rounds(
 
 
 def cluster_rows(
-    df: DataFrame, n_clusters: int = 10, seed: int = 42, starts: int = STARTS, **fit
+    df: DataFrame,
+    n_clusters: int = 10,
+    seed: int = 42,
+    starts: int = STARTS,
+    minibatch: bool = False,
+    **fit,
 ) -> DataFrame:
-    """K-Means on the stored vectors: the table plus (cluster, d2), one label per row."""
-    return assign_nearest(df, fit_centroids(df, n_clusters, seed, starts, **fit))
+    """K-Means on the stored vectors: the table plus (cluster, d2), one label per row. With
+    ``minibatch`` the centroids are fitted by batches of rows."""
+    fitted = fit_minibatch if minibatch else fit_centroids
+    return assign_nearest(df, fitted(df, n_clusters, seed, starts, **fit))
 
 
 def cluster_stats(assigned: DataFrame, n_clusters: int) -> DataFrame:

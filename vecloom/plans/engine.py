@@ -11,6 +11,7 @@ from vecloom.functions.encoders import Encoder
 from vecloom.functions.vectors import unit_rows
 from vecloom.operators import ann, clusters, pairs, probing, projection, quantize, search
 from vecloom.plans.ingest import index_files
+from vecloom.session import materialise
 from vecloom.sources import tables
 
 DEFAULT_TABLE = "vectors"
@@ -151,6 +152,13 @@ class VectorEngine:
     def cluster(self, n_clusters: int = 10, table: str = DEFAULT_TABLE, **fit) -> DataFrame:
         return clusters.cluster_rows(self.table(table), n_clusters, **fit)
 
+    def cluster_report(
+        self, n_clusters: int = 10, table: str = DEFAULT_TABLE, **fit
+    ) -> tuple[DataFrame, DataFrame]:
+        """Groups (cluster, part, n, ids) and totals (n_clusters, n_images, inertia) of one fit."""
+        placed = materialise(self.cluster(n_clusters, table, **fit).select("id", "cluster", "d2"), "placed")
+        return clusters.cluster_groups(placed), clusters.cluster_stats(placed, n_clusters)
+
     def cluster_stats(self, n_clusters: int = 10, table: str = DEFAULT_TABLE, **fit) -> DataFrame:
         """(n_clusters, n_images, inertia) of a clustering."""
         return clusters.cluster_stats(self.cluster(n_clusters, table, **fit), n_clusters)
