@@ -179,6 +179,7 @@ def fit_minibatch(
     first = as_matrix(batch(0).limit(2 * rows_of).toArrow().column("vector"))
     if len(first) < k:
         first = as_matrix(known.limit(max(k, 2 * rows_of)).toArrow().column("vector"))
+    first = first[np.lexsort(first.T)]
     centres = np.stack([seeded_centres(first, k, seed + s) for s in range(starts)])
     seen = np.zeros((starts, k))
     for number in range(1, batches + 1):
