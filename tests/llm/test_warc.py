@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import json
 import zipfile
 
 import pytest
@@ -115,3 +116,56 @@ def test_archive_comment_and_damage():
         warc.central_directory(cut, cut.size())
     with pytest.raises(ValueError):
         warc.parse_record(__import__("gzip").compress(b"HTTP/1.1 200\r\n\r\n"))
+
+
+def archive(ids, lines, name):
+    """Bytes of an archive and index lines of its records."""
+    data, out = b"", []
+    for i in ids:
+        payload = f"page {i}".encode()
+        record = warc.make_record(i, f"u{i}", payload, warc.digest_of(payload), None)
+        out.append(json.dumps({"offset": len(data), "length": len(record)} | ({"filename": name} if lines else {})))
+        data += record
+    return data, "\n".join(out)
+
+
+def test_members_are_found_in_the_directory(spark, tmp_path):
+    """Two archives and two indexes under other names, one archive without an index, one
+    package with a single unnamed archive, and one without records."""
+    first, one = archive(range(0, 7), True, "a.warc.gz")
+    second, two = archive(range(7, 12), True, "deep/b.warc.gz")
+    third, _ = archive(range(12, 400), True, "c.warc.gz")
+    fourth, four = archive(range(400, 403), False, "")
+    packages = {
+        "many": [("archive/a.warc.gz", first), ("archive/deep/b.warc.gz", second), ("archive/c.warc.gz", third),
+                 ("indexes/x.jsonl", one), ("indexes/y.jsonl", two + "\n\n"), ("datapackage.json", b"{}"), ("archive/", b"")],
+        "single": [("archive/only.warc.gz", fourth), ("indexes/own.cdxj", four)],
+        "none": [("pages/pages.jsonl", b"{}")],
+    }
+    for name, members in packages.items():
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_STORED) as z:
+            for member, data in members:
+                z.writestr(member, data)
+    uris = spark.createDataFrame([(str(tmp_path / n),) for n in packages], "uri string")
+    back = warc.read_packages(uris, range_records=3).collect()
+    assert sorted(r.page_id for r in back) == list(range(403))
+    assert all(bytes(r.payload) == f"page {r.page_id}".encode() for r in back)
+
+
+@pytest.mark.parametrize("damage", ["missing", "beyond", "deflated", "cut"])
+def test_damaged_packages_are_errors(tmp_path, damage):
+    data, lines = archive(range(4), True, "a.warc.gz")
+    if damage == "missing":
+        lines = lines.replace("a.warc.gz", "b.warc.gz")
+    if damage == "beyond":
+        lines = lines.replace('"offset": 0', '"offset": 100000')
+    if damage == "cut":
+        data, lines = data[:-9], ""
+    path = str(tmp_path / "p")
+    kind = zipfile.ZIP_DEFLATED if damage == "deflated" else zipfile.ZIP_STORED
+    with zipfile.ZipFile(path, "w", kind) as z:
+        z.writestr("archive/a.warc.gz", data * (50 if damage == "deflated" else 1))
+        z.writestr("indexes/a.jsonl", lines)
+    with pytest.raises(ValueError):
+        for place in warc.record_ranges(path, 2):
+            list(warc.read_records(path, *place))

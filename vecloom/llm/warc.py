@@ -2,9 +2,11 @@
 
 A package is a ZIP file with two stored (uncompressed) members: the records, each a gzip
 member of its own, and an index with one JSON line a record (offset, length, target).
-Reading parses the end-of-directory record, the ZIP64 record where there is one, the central
-directory and the local header of a member, and from then on reads ranges of the package:
-first the index, then the records, without extracting anything.
+Reading parses the end-of-directory record, the ZIP64 record where there is one and the central
+directory, which tells the members: every one below ``archive/`` holds records, every one below
+``indexes/`` says where records lie, by the ``filename`` of their archive. From then on ranges of the
+package are read, first of the indexes, then of the archives, without extracting anything. An archive
+that no index names is read from end to end.
 
 Packages are opened through Arrow's file systems by URI, so the shared folder may be a local
 mount or an object store. A task writes to names of its own attempt, and only the packages
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 from vecloom.llm.texts import pieces
 from vecloom.session import materialise, scratch_path
 
-RECORDS = "archive/records.warc.gz"
-INDEX = "indexes/records.jsonl"
+ARCHIVES, INDEXES = "archive/", "indexes/"
+# What the writer calls its members.
+RECORDS = f"{ARCHIVES}records.warc.gz"
+INDEX = f"{INDEXES}records.jsonl"
 # Payload bytes of a package, and records that one task reads of it.
 PACKAGE_BYTES = 64 << 20
 RANGE_RECORDS = 2000
@@ -88,7 +92,10 @@ def make_record(page_id, url, payload: bytes, digest: str, first) -> bytes:
 
 def parse_record(member: bytes) -> dict:
     """Headers and payload of one gzip member."""
-    data = zlib.decompress(member, wbits=31)
+    return record_of(zlib.decompress(member, wbits=31))
+
+
+def record_of(data: bytes) -> dict:
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -122,7 +129,8 @@ class PackageWriter:
 
     def add(self, page_id, url, payload: bytes, digest: str, first) -> None:
         record = make_record(page_id, url, payload, digest, first)
-        entry = {"offset": self.offset, "length": len(record), "url": url}
+        name = RECORDS.removeprefix(ARCHIVES)
+        entry = {"offset": self.offset, "length": len(record), "url": url, "filename": name}
         self.lines.append(json.dumps(entry))
         self.member.write(record)
         self.offset += len(record)
@@ -204,29 +212,89 @@ def stored_start(source, member: dict) -> int:
     return member["header"] + 30 + names + extras
 
 
-def read_records(uri: str, start: int = 0, stop: int | None = None):
-    """Parsed records number ``start`` to ``stop`` of a package, by range reads."""
+def members_below(members: dict[str, dict], folder: str) -> list[str]:
+    return sorted(n for n in members if n.startswith(folder) and not n.endswith("/"))
+
+
+def index_lines(source, member: dict) -> list[bytes]:
+    return [x for x in read_range(source, stored_start(source, member), member["size"]).splitlines() if x]
+
+
+def archive_of(entry: dict, archives: list[str]) -> str:
+    """The member that an index entry points to; without a name, the only archive there is."""
+    if "filename" in entry:
+        return ARCHIVES + entry["filename"].removeprefix(ARCHIVES)
+    if len(archives) != 1:
+        raise ValueError("an index entry does not name its archive")
+    return archives[0]
+
+
+def record_ranges(uri: str, range_records: int):
+    """(member, start, records) of a package: ranges of its indexes, and whole archives, with
+    -1 for records, that no index names."""
     system, path = open_at(uri)
     with system.open_input_file(path) as source:
         members = central_directory(source, source.size())
-        index = members[INDEX]
-        lines = read_range(source, stored_start(source, index), index["size"]).splitlines()
-        wanted = [json.loads(line) for line in lines[start:stop]]
-        base, at = stored_start(source, members[RECORDS]), 0
+        archives, named = members_below(members, ARCHIVES), set()
+        for name in members_below(members, INDEXES):
+            lines = index_lines(source, members[name])
+            named |= {archive_of(json.loads(line), archives) for line in lines}
+            for start in range(0, len(lines), range_records):
+                yield name, start, min(range_records, len(lines) - start)
+        if named - set(archives):
+            raise ValueError(f"an index names archives that are not there: {named - set(archives)}")
+        for name in archives:
+            if name not in named:
+                yield name, 0, -1
+
+
+def read_records(uri: str, name: str = INDEX, start: int = 0, count: int | None = None):
+    """Parsed records of a package by range reads: those of ``count`` lines of an index from
+    ``start`` on, or all of an archive."""
+    system, path = open_at(uri)
+    with system.open_input_file(path) as source:
+        members = central_directory(source, source.size())
+        if name.startswith(ARCHIVES):
+            yield from scanned(source, members[name])
+            return
+        archives = members_below(members, ARCHIVES)
+        lines = index_lines(source, members[name])[start : None if count is None else start + count]
+        entries = [json.loads(line) for line in lines]
+        wanted = [(archive_of(e, archives), e["offset"], e["offset"] + e["length"]) for e in entries]
+        at = 0
         while at < len(wanted):
-            first, end, till = wanted[at]["offset"], wanted[at]["offset"], at
-            while till < len(wanted) and (
-                till == at or wanted[till]["offset"] + wanted[till]["length"] - first <= RANGE_BYTES
+            archive, first, end = wanted[at]
+            till = at + 1
+            while till < len(wanted) and wanted[till][0] == archive and wanted[till][1] == end and (
+                wanted[till][2] - first <= RANGE_BYTES
             ):
-                end = wanted[till]["offset"] + wanted[till]["length"]
+                end = wanted[till][2]
                 till += 1
-            span = read_range(source, base + first, end - first)
-            for entry in wanted[at:till]:
-                own = entry["offset"] - first
-                yield parse_record(span[own : own + entry["length"]])
+            if archive not in members or end > members[archive]["size"]:
+                raise ValueError("an index entry lies beyond the archives")
+            span = read_range(source, stored_start(source, members[archive]) + first, end - first)
+            for _, a, b in wanted[at:till]:
+                yield parse_record(span[a - first : b - first])
             at = till
 
 
+def scanned(source, member: dict):
+    """The records of an archive, one gzip member after another, read in bounded ranges."""
+    start, left = stored_start(source, member), member["size"]
+    data, held, reader = b"", b"", zlib.decompressobj(wbits=31)
+    while left or held:
+        if not held:
+            held = read_range(source, start, min(left, RANGE_BYTES))
+            start, left = start + len(held), left - len(held)
+        data += reader.decompress(held)
+        held = reader.unused_data
+        if reader.eof:
+            yield record_of(data)
+            data, reader = b"", zlib.decompressobj(wbits=31)
+    if data:
+        raise ValueError("the last record is cut short")
+
+
 # -- In Spark ------------------------------------------------------------------------------
 
 
@@ -286,15 +354,26 @@ def write_packages(
 
 def read_packages(packages: DataFrame, range_records: int = RANGE_RECORDS) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every
-    record of the packages; a package is read by many tasks, a range of records each.
+    record of packages(uri); a package is read by many tasks, a range of records each, as its
+    own directory and indexes tell.
 
     A response whose payload does not have its digest is an error. The payload of a revisit
     is null, and its size that of the payload it refers to.
     """
-    starts = F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(range_records).cast("long"))
-    ranges = packages.filter("records > 0").select("uri", F.explode(starts).alias("start"))
+    def locate(batches):
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                found = [(uri, *x) for x in record_ranges(uri, range_records)]
+                if found:
+                    columns = [pa.array(x) for x in zip(*found)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["uri", "member", "start", "count"])
+
     cores = packages.sparkSession.sparkContext.defaultParallelism
-    ranges = ranges.repartition(max(cores, ranges.count() // 4), "uri", "start")
+    uris = packages.select("uri").repartition(max(cores, packages.count() // 16), "uri")
+    ranges = materialise(
+        uris.mapInArrow(locate, "uri string, member string, start long, count long"), "ranges"
+    )
+    ranges = ranges.repartition(max(cores, ranges.count() // 4), "uri", "member", "start")
 
     def number(urn: str | None):
         inner = urn[len("<urn:page:") : -1] if urn else ""
@@ -309,9 +388,9 @@ def read_packages(packages: DataFrame, range_records: int = RANGE_RECORDS) -> Da
 
     def read(batches):
         for batch in batches:
-            for uri, start in zip(*(c.to_pylist() for c in batch.columns)):
-                rows, held = [], 0
-                for record in read_records(uri, start, start + range_records):
+            for place in zip(*(c.to_pylist() for c in batch.columns)):
+                uri, (rows, held) = place[0], ([], 0)
+                for record in read_records(*place):
                     head, payload = record["headers"], record["payload"]
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     kind = head["WARC-Type"]
