@@ -23,8 +23,8 @@ from vecloom.llm.texts import map_texts
 
 MARK = "▁"
 # Words kept by a task, beyond which it starts afresh, and the longest that is kept: at most
-# some 60 MB together.
-CACHE_SIZE, CACHE_CHARS = 200_000, 48
+# some 100 MB together.
+CACHE_SIZE, CACHE_CHARS = 400_000, 32
 
 
 def load_pieces(path: str) -> dict[str, int]:
