@@ -9,6 +9,7 @@ stores are listed by the same code, through Arrow's file systems.
 import io
 import os
 import struct
+import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,12 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    InputPartition,
+)
 
 from vecloom.functions.paths import suffix
 from vecloom.functions.vectors import as_lists, unit_rows
@@ -33,12 +39,22 @@ LISTING_SCHEMA = "id string, file_size long, file_mtime double, error string"
 LISTED_ROWS, FOLDERS = 10_000, 256
 
 
+# A stream lists again what was changed within so many seconds before its last offset.
+OVERLAP_S = 3600.0
+
+
 @dataclass
 class Directories(InputPartition):
-    """Some directories; ``deep`` says whether to descend into them."""
+    """Some directories; ``deep`` says whether to descend into them. Only files changed after
+    ``since`` and not after ``until`` are wanted, where these are given."""
 
     paths: list
     deep: bool
+    since: float | None = None
+    until: float | None = None
+
+    def wants(self, changed: float | None) -> bool:
+        return self.until is None or changed is None or self.since < changed <= self.until
 
 
 def store_of(root: str) -> tuple[fs.FileSystem, str, str]:
@@ -63,8 +79,8 @@ def entries(store: fs.FileSystem, directory: str):
             if not (local and os.path.islink(info.path)):
                 folders.append(info.path)
         elif info.type == fs.FileType.File:
-            time = None if info.mtime_ns is None else info.mtime_ns / 1e9
-            files.append((info.path, info.size, time))
+            changed = None if info.mtime_ns is None else info.mtime_ns / 1e9
+            files.append((info.path, info.size, changed))
         else:  # gone by now
             files.append((info.path, -1, None))
     if local:
@@ -116,6 +132,7 @@ class FileTreeReader(DataSourceReader):
         while waiting:
             directory = waiting.pop()
             folders, files, error = entries(store, directory)
+            files = [f for f in files if partition.wants(f[2])]
             if error:
                 yield listed([(directory, -1, None, error)], prefix)
             if partition.deep:
@@ -124,8 +141,31 @@ class FileTreeReader(DataSourceReader):
                 yield listed([(*f, None) for f in files[lo : lo + LISTED_ROWS]], prefix)
 
 
+class FileTreeStream(DataSourceStreamReader):
+    """Offsets are times: a batch holds the files changed between two of them. Since a file may
+    show up a while after its time, a batch begins OVERLAP_S earlier, and its user leaves out
+    what it knows."""
+
+    def __init__(self, root: str, wanted: int):
+        self.tree = FileTreeReader(root, wanted)
+
+    def initialOffset(self):
+        return {"until": 0.0}
+
+    def latestOffset(self):
+        return {"until": time.time()}
+
+    def partitions(self, start, end):
+        since, until = start["until"] - OVERLAP_S, end["until"]
+        return [Directories(p.paths, p.deep, since, until) for p in self.tree.partitions()]
+
+    def read(self, partition):
+        return self.tree.read(partition)
+
+
 class FileTree(DataSource):
-    """``format("filetree")``: every file below ``path``, empty ones included."""
+    """``format("filetree")``: every file below ``path``, empty ones included, as a batch or a
+    stream."""
 
     @classmethod
     def name(cls):
@@ -137,6 +177,9 @@ class FileTree(DataSource):
     def reader(self, schema):
         return FileTreeReader(self.options["path"], int(self.options.get("partitions", "64")))
 
+    def streamReader(self, schema):
+        return FileTreeStream(self.options["path"], int(self.options.get("partitions", "64")))
+
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(id, file_size, file_mtime, error) of every file below a folder, on a shared mount or in
@@ -149,6 +192,12 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("filetree").option("path", root).load()
 
 
+def stream_files(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of ``list_files`` as a stream: files that are there, then those that change."""
+    spark.dataSource.register(FileTree)
+    return spark.readStream.format("filetree").option("path", root).load()
+
+
 def list_images(spark: SparkSession, root: str, suffixes: list[str] | None = None) -> DataFrame:
     """The files with one of the suffixes, and the folders that could not be read."""
     chosen = suffix(F.col("id")).isin(suffixes or IMAGE_SUFFIXES)
@@ -168,9 +217,9 @@ def read_file(path: str) -> tuple[bytes, float]:
     """Contents and time of a file as it is now, whatever a listing said before."""
     if "://" in path:
         store, inner = fs.FileSystem.from_uri(path)
-        time = store.get_file_info(inner).mtime_ns
+        changed = store.get_file_info(inner).mtime_ns
         with store.open_input_stream(inner) as stream:
-            return stream.read(), None if time is None else time / 1e9
+            return stream.read(), None if changed is None else changed / 1e9
     with open(path.removeprefix("file:"), "rb") as stream:
         return stream.read(), os.fstat(stream.fileno()).st_mtime
 

@@ -10,8 +10,15 @@ from vecloom.functions.encoders import Encoder
 from vecloom.functions.paths import suffix
 from vecloom.plans.ingest import new_ids, spread
 from vecloom.session import materialise
-from vecloom.sources.files import IMAGE_SUFFIXES, decode_files
-from vecloom.sources.tables import METADATA, append_vectors, has_metadata, read_table, table_exists
+from vecloom.sources.files import IMAGE_SUFFIXES, decode_files, stream_files
+from vecloom.sources.tables import (
+    METADATA,
+    append_vectors,
+    has_metadata,
+    path_exists,
+    read_table,
+    table_exists,
+)
 
 
 def stream_ingest(
@@ -22,26 +29,16 @@ def stream_ingest(
     checkpoint: str,
     encoder: Encoder,
     batch_size: int = 256,
-    max_files: int | None = None,
 ) -> StreamingQuery:
     """Start an ingest of all files not seen before; it ends when it has caught up.
 
-    A batch that is run again adds nothing twice: known ids are skipped, and rejects are
-    written under the number of their batch.
+    Empty files, and folders that cannot be read, are rejects like files that cannot be
+    decoded. A batch that is run again adds nothing twice: known ids, and rejects of other
+    batches that have not changed since, are skipped, and rejects are written under the number of
+    their batch.
     """
-    source = (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length long, content binary")
-        .option("recursiveFileLookup", "true")
-    )
-    if max_files:
-        source = source.option("maxFilesPerTrigger", max_files)
-    files = source.load(root).select(
-        F.regexp_replace("path", "^file:/+", "/").alias("id"),
-        F.col("length").alias("file_size"),
-        (F.unix_micros("modificationTime") / 1e6).alias("file_mtime"),
-    )  # without the content: tasks open the files
-    images = files.where(suffix(F.col("id")).isin(IMAGE_SUFFIXES))
+    files = stream_files(spark, root)
+    images = files.where(suffix(F.col("id")).isin(IMAGE_SUFFIXES) | F.col("error").isNotNull())
 
     def store(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
@@ -51,6 +48,8 @@ def stream_ingest(
             table = read_table(session, table_path)
             keep = METADATA if has_metadata(table) else []
             batch = new_ids(batch, table)
+        if path_exists(session, rejects_path):
+            batch = not_rejected(batch, session.read.parquet(rejects_path), number)
         batch = materialise(batch, "stream-files")
         decoded = materialise(
             decode_files(spread(batch, batch.count()), encoder, batch_size), "stream-batch"
@@ -70,6 +69,15 @@ def stream_ingest(
     )
 
 
+def not_rejected(batch: DataFrame, rejects: DataFrame, number: int) -> DataFrame:
+    """Files that no other batch has rejected as they are now."""
+    known = rejects.where(F.col("batch") != number).select(
+        F.col("id").alias("known"), F.col("file_mtime").alias("then")
+    )
+    changed = F.coalesce(F.abs(F.col("file_mtime") - F.col("then")) > 1e-3, F.lit(False))
+    return batch.join(known, (F.col("id") == F.col("known")) & ~changed, "left_anti")
+
+
 def retry_rejects(
     spark: SparkSession, rejects_path: str, table_path: str, encoder: Encoder, batch_size: int = 256
 ) -> int:
