@@ -33,6 +33,7 @@ from vecloom.operators import (
     search,
 )
 from vecloom.plans import ingest
+from vecloom.plans.engine import VectorEngine
 from vecloom.session import even_scan, scratch_path
 from vecloom.sources import files, synthetic, tables
 from vecloom.streaming import ingest as streaming
@@ -198,6 +199,30 @@ def q_search_filtered(spark, sf):
     return rounded(search.search_topk(with_metadata(spark, sf), query, 10, where))
 
 
+def q_filter_guard(spark, sf):
+    """What a filter may name in a table with metadata and in one without, and how many rows a
+    search with that filter finds; where a column is missing the search is refused."""
+    rows = with_metadata(spark, sf)
+    facts = rows.withColumn("height", F.lit(480)).withColumn("file_mtime", F.lit(1.5))
+    found = []
+    engine = VectorEngine(spark, scratch_path(spark, "guard"))
+    for name, table in (("full", facts), ("plain", rows.select("id", "vector"))):
+        engine.append(table, name)
+        columns = engine.filter_columns(name)
+        try:
+            search.filtered(engine.table(name), None, ["width", "file_size"])
+            where = engine.table(name).where("width > 1920 AND file_size < 5000000")
+            refused = where.select(F.lit(False).alias("refused"))
+        except ValueError:
+            refused = engine.table(name).select(F.lit(True).alias("refused"))
+        found.append(
+            refused.groupBy("refused").agg(F.count("*").alias("n_rows")).select(
+                F.lit(name).alias("name"), F.lit(",".join(columns)).alias("columns"), "refused", "n_rows"
+            )
+        )
+    return found[0].unionByName(found[1])
+
+
 def q_search_batch(spark, sf):
     df = vector_table(spark, sf)
     means = class_means(df).select(F.col("label").alias("qid"), F.col("mean").alias("qv"))
@@ -870,6 +895,13 @@ def oracle_sql() -> dict[str, str]:
         "ivf_nearest": "SELECT vec_id AS id, 0::int AS nearer FROM embeddings",
         "pq_nearest": "SELECT vec_id AS id, 0::bigint AS nearer FROM embeddings",
         "search_ivf_appended": topk("embeddings", "vec_id"),
+        "filter_guard": """
+            SELECT 'full' AS name, 'width,height,file_size,file_mtime' AS columns, false AS refused,
+                   count(*) AS n_rows
+            FROM embeddings
+            WHERE 320 + (vec_id * 37) % 3000 > 1920 AND 1000 + (vec_id * 7919) % 6000000 < 5000000
+            UNION ALL
+            SELECT 'plain', '', true, count(*) FROM embeddings""",
         "search_ivf_batch": batch_sql("true", 10),
         "search_ivf_filtered": batch_sql("e.vec_id % 97 = 5", 25),
         "search_ivf_recall": """
