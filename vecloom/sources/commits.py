@@ -27,7 +27,8 @@ def commit_path(path: str, number: int) -> str:
 
 def last_number(spark: SparkSession, path: str) -> int | None:
     fs, folder = hadoop_path(spark, f"{path}/_commits")
-    if not fs.exists(folder):
+    # A single file is a table without commits; some stores refuse to look below a file.
+    if fs.isFile(folder.getParent()) or not fs.exists(folder):
         return None
     names = [entry.getPath().getName() for entry in fs.listStatus(folder)]
     numbers = [int(name[:-5]) for name in names if name[:-5].isdigit() and name.endswith(".json")]
