@@ -28,35 +28,46 @@ def plain(files, min_cosine=licenses.MIN_COSINE, license_file=licenses.LICENSE_F
         text = text or ""
         units = [(u, True) for u in text.split("\n")]
         units += [(u, False) for u in re.split("\n[ \t\r]*\n", text) if "\n" in u]
+        if re.search(licenses.FILE_NAME, path or "") or re.search(licenses.WHOLE, text.lower()):
+            units.append((text, False))
         best, covered = None, 0
         for u, is_line in units:
-            if not re.search(licenses.MENTIONS, u.lower()):
+            low = u.lower()
+            if not re.search(licenses.MENTIONS, low) or re.search(licenses.DENIALS, low):
                 continue
             v = weigh(terms(u))
-            scores = [
-                (sum(x * t.get(k, 0) for k, x in v.items()) / (size(v) * size(t)), -i, name)
-                for i, (name, t) in enumerate(templates)
-            ] if v else [(0, 0, "")]
-            top = max(scores)
-            if top[0] >= min_cosine:
+            scores = {}
+            for name, t in templates:
+                dot = sum(x * t.get(k, 0) for k, x in v.items())
+                score = round(dot / (size(v) * size(t)), 9) if v else 0
+                if any(re.search("[0-9]", k) and k not in v for k in t):
+                    continue
+                scores[name] = max(scores.get(name, 0), score)
+            first, second = sorted([(0, ""), (0, "")] + [(x, n) for n, x in scores.items()])[:-3:-1]
+            if first[0] >= min_cosine:
                 covered += len(terms(u)) * is_line
-                if best is None or top[0] > best[0] + 1e-12:
-                    best = top
-        own.append((best, covered / len(terms(text)) if covered else 0))
+                found = (round(first[0] - second[0], 9) >= licenses.MARGIN, *first)
+                if best is None or found[:2] > best[:2]:
+                    best = found
+        covered = covered / len(terms(text)) if covered else 0
+        own.append((best, 1 if re.search(licenses.FILE_NAME, path or "") else covered))
     dirs = {}
     for (best, covered), (_, path, _) in zip(own, files):
-        if best and covered >= license_file and path is not None:
-            d = path.rpartition("/")[0]
-            dirs.setdefault(d, []).append((covered, round(best[0], 9), best[2]))
+        if covered >= license_file and path is not None:
+            d, clear = path.rpartition("/")[0], bool(best and best[0])
+            name = best[2] if clear else ""
+            dirs.setdefault(d, []).append((clear, covered, best[1] if best else 0, name))
     out = []
     for (best, _), (i, path, _) in zip(own, files):
         if best:
-            out.append((i, best[2], "file", round(best[0], 6), None))
+            clear = (best[2], "file") if best[0] else (None, "unclear")
+            out.append((i, *clear, round(best[1], 6), None))
             continue
         d, found = (path or "").rpartition("/")[0], None
         while path is not None:
             if d in dirs:
-                found = (max(dirs[d])[2], "directory", None, d)
+                name = max(dirs[d])[3] or None
+                found = (name, "directory" if name else None, None, d)
                 break
             if not d:
                 break
@@ -76,7 +87,9 @@ def scanned(df, **options):
 def test_given_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     df = docs.selectExpr(
-        "doc_id AS id", "concat_ws('/', source, lang, doc_id div 100, doc_id) AS path", "text"
+        "doc_id AS id",
+        "concat_ws('/', source, lang, doc_id div 100, if(doc_id % 100 = 3, 'LICENSE', string(doc_id))) AS path",
+        "text",
     )
     files = [(r.id, r.path, r.text) for r in df.collect()]
     for share in (licenses.LICENSE_FILE, 0.2):
@@ -93,7 +106,7 @@ def test_given_documents(spark):
         assert (found.get(i) in wanted) if wanted else i not in found
 
 
-MIT_BODY = dict((n, x) for n, x in licenses.TEMPLATES if x.startswith("Permission"))["MIT"]
+MIT_BODY = licenses.MIT_GRANT
 
 
 def test_tree(spark):
@@ -161,14 +174,15 @@ THIRD = (
     "3. Neither the name of the copyright holder nor the names of its contributors may be used to "
     "endorse or promote products derived from this software without specific prior written permission.\n\n"
 )
-# The head and the first sections; no unit of these is near a template.
+ISC_TEXT = f"ISC License\n\nCopyright (c) 2024 A\n\n{licenses.ISC_GRANT}, provided that {licenses.ISC_NOTICE}\n\n{licenses.ISC_WARRANTY}\n"
 APACHE_TEXT = (
     "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\n"
     "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions.\n\n"
     '"License" shall mean the terms and conditions for use, reproduction, and distribution as '
     "defined by Sections 1 through 9 of this document.\n\n" + "Subject to the terms of this License. " * 60
 )
-GPL_HEAD = "GNU GENERAL PUBLIC LICENSE\n{}\n\nCopyright (C) Free Software Foundation\n\n" + "terms " * 900
+BANNER = "=" * 300 + "\nA project of many people, with thanks to all of them. " * 6 + "\n\n"
+GPL_HEAD = BANNER + "GNU {} PUBLIC LICENSE\n{}\n\nCopyright (C) Free Software Foundation\n\n" + "terms " * 900
 
 
 def wrapped(text):
@@ -183,19 +197,65 @@ def test_full_texts_hold_for_their_directories(spark, layout):
         "mit/LICENSE": ("MIT", MIT_TEXT),
         "bsd3/LICENSE.txt": ("BSD-3-Clause", BSD_WORDS.format(THIRD)),
         "bsd2/LICENCE.md": ("BSD-2-Clause", BSD_WORDS.format("")),
+        "isc/COPYING": ("ISC", ISC_TEXT),
         "apache/LICENSE-APACHE": ("Apache-2.0", APACHE_TEXT),
-        "gpl2/COPYING": ("GPL-2.0", GPL_HEAD.format("Version 2, June 1991")),
-        "gpl3/COPYING": ("GPL-3.0", GPL_HEAD.format("Version 3, 29 June 2007")),
+        "gpl2/COPYING": ("GPL-2.0", GPL_HEAD.format("GENERAL", "Version 2, June 1991")),
+        "gpl3/COPYING": ("GPL-3.0", GPL_HEAD.format("GENERAL", "Version 3, 29 June 2007")),
+        "lgpl3/COPYING": ("LGPL-3.0", GPL_HEAD.format("LESSER GENERAL", "Version 3, 29 June 2007")),
+        "agpl/LICENSE": ("AGPL-3.0", GPL_HEAD.format("AFFERO GENERAL", "Version 3, 19 November 2007")),
+        "sa/LICENSE": (
+            "CC-BY-SA-4.0",
+            "Creative Commons Attribution-ShareAlike 4.0 International Public License\n\nBy exercising",
+        ),
     }
-    rows = [(p, p, layout(text)) for p, (_, text) in texts.items()]
+    rows = [(p, p, layout(text) if "COPYING" not in p else text) for p, (_, text) in texts.items()]
     rows += [(f"{p.split('/')[0]}/src/x.py",) * 2 + ("print(1)",) for p in texts]
-    rows += [("none/LICENSE", "none/LICENSE", "all rights reserved"), ("none/x", "none/x", "y")]
+    # A licence file that names none ends the search, one that denies a licence too.
+    own = "see gnu general public license version 3 29 june 2007 for the licence we do NOT use"
+    rows += [("mit/none/LICENSE",) * 2 + ("all rights reserved",), ("mit/none/x",) * 2 + ("y",)]
+    rows += [("own/LICENSE",) * 2 + (own + "; this project is proprietary",), ("own/x",) * 2 + ("y",)]
+    # Most files of a tree are code.
+    rows += [(f"code/{i}",) * 2 + ("int main() { return 0; }",) for i in range(200)]
     df = spark.createDataFrame(rows, "id string, path string, text string")
     found = {r[0]: r[1:3] for r in scanned(df)}
     for path, (name, _) in texts.items():
-        assert found[path] == (name, "file")
+        assert found[path] == (name, "file"), path
         assert found[f"{path.split('/')[0]}/src/x.py"] == (name, "directory")
-    assert found["none/x"] == (None, None)
+    for path in ("mit/none/x", "own/x", "own/LICENSE", "mit/none/LICENSE"):
+        assert found[path] == (None, None), path
+
+
+def test_relatives_denials_and_unclear_notices(spark):
+    notice = dict((n, t) for n, t in licenses.NOTICES if "free software" in t)
+    rows = [
+        ("This project is not licensed under the MIT License.", None),
+        ("This code isn't released under the MIT License", None),
+        ("we do not use the MIT License, all rights reserved", None),
+        ("no longer distributed under the MIT license", None),
+        ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+        ("// SPDX-License-Identifier: LGPL-3.0-only", "LGPL-3.0"),
+        ("/* SPDX-License-Identifier: BSD-2-Clause */", "BSD-2-Clause"),
+        ("SPDX-License-Identifier: ISC", "ISC"),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 "
+         "International License.", "CC-BY-SA-4.0"),
+        (licenses.BSD_SENTENCE, "unclear"),
+        ("This work is licensed under the GNU General Public License.", None),
+        *[(f"# {text}", name) for name, text in notice.items()],
+        *[(wrapped(text).replace("\n", "\n# "), name) for name, text in notice.items()],
+    ]
+    files = [(i, f"{i}/x.c", f"// file {i}\n\n{text}\n\nint x;") for i, (text, _) in enumerate(rows)]
+    files += [(1000 + i, "code/x.c", "the code of a file, and of this one") for i in range(300)]
+    df = spark.createDataFrame(files, "id long, path string, text string")
+    got = scanned(df)
+    assert got == plain(files)
+    found = {r[0]: r[1:3] for r in got}
+    for i, (text, wanted) in enumerate(rows):
+        if wanted in (None, "unclear"):
+            assert found[i] == (None, wanted), text
+        else:
+            assert found[i] == (wanted, "file"), text
 
 
 def test_licence_file_names():

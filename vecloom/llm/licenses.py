@@ -1,12 +1,15 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-The units of a file are its lines and its paragraphs; those that mention a licence at all
-are compared to templates as sparse TF-IDF vectors. Document frequencies of the templates'
-terms are counted over all files; a term of no template counts as one that no file holds.
-A file has the licence of its best unit, if that is near enough. A file whose licence lines
-make up most of its words is a licence file, and so is one named as such (LICENSE, COPYING)
-that has a licence by its best unit or by the title of a full text. Its directory's licence holds for all files
-below without one of their own, down to the next directory with a licence file.
+The units of a file are its lines, its paragraphs and, for a file named as a licence file or
+holding a phrase of a short licence, its whole text. Units that mention a licence, and do not
+deny one, are compared to templates as sparse TF-IDF vectors: notices, titles of long licences
+and whole short ones. Document frequencies of the templates' terms are counted over all files;
+a term of no template counts as one that no file holds. A unit has the licence of its nearest
+template among those whose numbers (versions, dates) it holds, if that is near enough and no
+template of another licence comes within a margin; else it is unclear. A file has the licence of its best clear unit. A file whose licence lines
+make up most of its words is a licence file, and so is one named as such (LICENSE, COPYING).
+Its directory's licence holds for all files below without a notice of their own, down to the
+next directory with a licence file; one that names no known licence ends the search too.
 
 All of it is DataFrame operations: terms are joined with a broadcast table bounded by the
 templates' vocabulary, ancestors are joined by path for directories rather than for files,
@@ -20,30 +23,76 @@ from pyspark.sql import functions as F
 
 from vecloom.session import materialise
 
-# Licence identifiers and the wording of their notices.
-TEMPLATES = [
+# Licence identifiers, the wording of short licences and of notices, titles.
+MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
+    'software and associated documentation files (the "Software"), to deal in the Software '
+    "without restriction, including without limitation the rights to use, copy, modify, "
+    "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+    "permit persons to whom the Software is furnished to do so, subject to the following "
+    "conditions:"
+)
+MIT_NOTICE = (
+    "The above copyright notice and this permission notice shall be included in all copies or "
+    "substantial portions of the Software."
+)
+MIT_WARRANTY = (
+    'The software is provided "as is", without warranty of any kind, express or implied, '
+    "including but not limited to the warranties of merchantability, fitness for a particular "
+    "purpose and noninfringement. In no event shall the authors or copyright holders be liable "
+    "for any claim, damages or other liability, whether in an action of contract, tort or "
+    "otherwise, arising from, out of or in connection with the software or the use or other "
+    "dealings in the software."
+)
+BSD_SENTENCE = (
+    "Redistribution and use in source and binary forms, with or without modification, are "
+    "permitted provided that the following conditions are met:"
+)
+BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. Redistributions in binary form must reproduce "
+    "the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used "
+    "to endorse or promote products derived from this software without specific prior written "
+    "permission."
+)
+BSD_WARRANTY = (
+    'This software is provided by the copyright holders and contributors "as is" and any '
+    "express or implied warranties, including, but not limited to, the implied warranties of "
+    "merchantability and fitness for a particular purpose are disclaimed. In no event shall the "
+    "copyright holder or contributors be liable for any direct, indirect, incidental, special, "
+    "exemplary, or consequential damages (including, but not limited to, procurement of "
+    "substitute goods or services; loss of use, data, or profits; or business interruption) "
+    "however caused and on any theory of liability, whether in contract, strict liability, or "
+    "tort (including negligence or otherwise) arising in any way out of the use of this "
+    "software, even if advised of the possibility of such damage."
+)
+ISC_GRANT = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+    "without fee is hereby granted"
+)
+ISC_NOTICE = "the above copyright notice and this permission notice appear in all copies."
+ISC_WARRANTY = (
+    'The software is provided "as is" and the author disclaims all warranties with regard to '
+    "this software including all implied warranties of merchantability and fitness. In no event "
+    "shall the author be liable for any special, direct, indirect, or consequential damages or "
+    "any damages whatsoever resulting from loss of use, data or profits, whether in an action of "
+    "contract, negligence or other tortious action, arising out of or in connection with the use "
+    "or performance of this software."
+)
+NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
         "Apache-2.0",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this '
         "file except in compliance with the License. You may obtain a copy of the License at",
     ),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    (
-        "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are "
-        "permitted provided that the following conditions are met:",
-    ),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    (
-        "CC-BY-NC-4.0",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 License.",
-    ),
+    ("BSD-3-Clause", BSD_SENTENCE),
+    ("BSD-2-Clause", BSD_SENTENCE),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     (
         "GPL-3.0",
@@ -51,48 +100,114 @@ TEMPLATES = [
         "terms of the GNU General Public License as published by the Free Software Foundation, "
         "either version 3 of the License, or (at your option) any later version.",
     ),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
+    ("MIT", MIT_GRANT),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the "
+        "terms of the GNU General Public License as published by the Free Software Foundation; "
+        "either version 2 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the "
+        "terms of the GNU Lesser General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
-        'software and associated documentation files (the "Software"), to deal in the Software '
-        "without restriction, including without limitation the rights to use, copy, modify, "
-        "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
-        "permit persons to whom the Software is furnished to do so, subject to the following "
-        "conditions:",
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the "
+        "terms of the GNU Lesser General Public License as published by the Free Software "
+        "Foundation; either version 2.1 of the License, or (at your option) any later version.",
     ),
-    ("MIT", "SPDX-License-Identifier: MIT"),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the "
+        "terms of the GNU Affero General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MIT", f"{MIT_GRANT} {MIT_NOTICE} {MIT_WARRANTY}"),
+    ("BSD-2-Clause", f"{BSD_SENTENCE} {BSD_CLAUSES} {BSD_WARRANTY}"),
+    ("BSD-3-Clause", f"{BSD_SENTENCE} {BSD_CLAUSES} {BSD_NAMES} {BSD_WARRANTY}"),
+    ("ISC", f"{ISC_GRANT}, provided that {ISC_NOTICE} {ISC_WARRANTY}"),
+    ("0BSD", f"{ISC_GRANT}. {ISC_WARRANTY}"),
 ]
+# Names by which a sentence calls a licence, and those that SPDX has with two suffixes.
+CALLED = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib"]
+SUFFIXED = ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
+PLAIN = ["Apache-2.0", "MPL-2.0", "CC0-1.0", "0BSD", "Unlicense", "EPL-2.0"]
+COMMONS = [
+    ("BY", "Attribution"),
+    ("BY-SA", "Attribution-ShareAlike"),
+    ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+]
+
+
+def commons_notices() -> list[tuple[str, str]]:
+    out = []
+    for short, words in COMMONS:
+        for v in ("4.0", "3.0"):
+            name = f"CC-{short}-{v}"
+            out += [
+                (name, f"Licensed under CC {short} {v}."),
+                (name, f"This work is licensed under a Creative Commons {words} {v} License."),
+                (name, f"Creative Commons {words} {v} International Public License"),
+                (name, f"SPDX-License-Identifier: {name}"),
+            ]
+    return out
+
+
+def called_notices() -> list[tuple[str, str]]:
+    said = ("Licensed under the {} License.", "Released under the {} License.")
+    out = [(name, text.format(name)) for name in CALLED for text in said]
+    for name in [*CALLED, *PLAIN, *SUFFIXED]:
+        out.append((name, f"SPDX-License-Identifier: {name}"))
+    for name in SUFFIXED:
+        out += [(name, f"SPDX-License-Identifier: {name}-{s}") for s in ("only", "or-later")]
+    return out
+
+
+TEMPLATES = [*NOTICES, *called_notices(), *commons_notices()]
 
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 # A unit without any of these is compared to nothing; every template holds one.
-MENTIONS = "licen[sc]|permission is hereby granted|redistribut|creative commons|spdx"
+MENTIONS = (
+    "licen[sc]|permission is hereby granted|permission to use, copy|redistribut|"
+    "creative commons|spdx|cc0"
+)
+# A unit with one of these says which licence does not hold.
+DENIALS = (
+    r"(\b(not|never|no longer)|n.t)\s+(\w+\s+){0,2}"
+    r"(licen[sc]ed|released|(distributed|available|published)\s+under|(covered|governed)\s+by)"
+    r"|\b(do|does|did)\s+not\s+use\b"
+)
+# The whole text of a file with one of these is a unit; every whole short licence holds one.
+WHOLE = "permission is hereby granted|permission to use, copy|redistributions of source"
 MIN_COSINE = 0.7
+# Lead that the nearest licence needs over the next one.
+MARGIN = 0.01
 # Share of a file's words in licence lines from which on it is a licence file.
 LICENSE_FILE = 0.5
-# Names of licence files, and how full texts begin, in lower case with one space for all else
-# but letters and digits.
+# Names of licence files.
 FILE_NAME = (
     "(?i)(^|/)(un)?(licen[sc]e|copying)"
     "([._-](mit|apache|bsd|l?gpl|agpl|mpl|cc|lesser|[0-9])[a-z0-9_-]*([.][0-9]+)*)?"
     "([.](txt|md|markdown|rst|adoc|html?))?$"
 )
-TITLES = [
-    ("AGPL-3.0", "gnu affero general public license version 3"),
-    ("LGPL-3.0", "gnu lesser general public license version 3"),
-    ("LGPL-2.1", "gnu lesser general public license version 2 1"),
-    ("GPL-3.0", "gnu general public license version 3 29 june 2007"),
-    ("GPL-2.0", "gnu general public license version 2 june 1991"),
-    ("Apache-2.0", "apache license version 2 0 january 2004"),
-    ("MPL-2.0", "mozilla public license version 2 0"),
-    ("CC-BY-SA-4.0", "attribution sharealike 4 0 international"),
-    ("CC-BY-NC-4.0", "attribution noncommercial 4 0 international"),
-    ("CC-BY-4.0", "attribution 4 0 international"),
-]
-TITLE_CHARS = 200
 
 
 def terms_of(text: Column) -> Column:
@@ -113,26 +228,16 @@ def vocabulary() -> list[str]:
     return sorted({t for _, text in TEMPLATES for t in re.findall(TERM, text.lower())})
 
 
-def full_text(path: Column, text: Column) -> Column:
-    """The licence that a file named as one holds the full text of, else null."""
-    plain = F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
-    head = F.substring(plain, 1, TITLE_CHARS)
-    found = [F.when(F.contains(head, F.lit(title)), name) for name, title in TITLES]
-    two_clauses = (
-        F.contains(plain, F.lit("redistributions of source code must retain"))
-        & F.contains(plain, F.lit("redistributions in binary form must reproduce"))
-        & ~F.contains(plain, F.lit("endorse or promote"))
-    )
-    found.append(F.when(two_clauses, "BSD-2-Clause"))
-    return F.when(path.rlike(FILE_NAME), F.coalesce(*found))
+def is_named(path: Column) -> Column:
+    return F.coalesce(path.rlike(FILE_NAME), F.lit(False))
 
 
 def read_units(files: DataFrame) -> DataFrame:
     """One row a file: its path, terms of the vocabulary, number of words, and the units
-    that mention a licence as (terms, is_line). Written, so the texts are read once and rows
+    that mention a licence and deny none as (terms, is_line). Written, so the texts are read once and rows
     have a lasting number."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    mentions = lambda u: F.lower(u).rlike(MENTIONS)
+    mentions = lambda u: F.lower(u).rlike(MENTIONS) & ~F.lower(u).rlike(DENIALS)
     lines = F.filter(F.split(text, "\n", -1), mentions)
     # Only paragraphs of more than one line; one of a single line is that line.
     paragraphs = F.filter(
@@ -141,9 +246,15 @@ def read_units(files: DataFrame) -> DataFrame:
     unit = lambda is_line: lambda u: F.struct(
         terms_of(u).alias("terms"), F.lit(is_line).alias("is_line")
     )
-    whole = F.when(
+    asked = is_named(F.col("path")) | F.lower(text).rlike(WHOLE)
+    whole = F.filter(F.array(F.when(asked, text)), lambda u: u.isNotNull() & mentions(u))
+    units = F.when(
         F.lower(text).rlike(MENTIONS),
-        F.concat(F.transform(lines, unit(True)), F.transform(paragraphs, unit(False))),
+        F.concat(
+            F.transform(lines, unit(True)),
+            F.transform(paragraphs, unit(False)),
+            F.transform(whole, unit(False)),
+        ),
     )
     known = F.array(*[F.lit(t) for t in vocabulary()])
     words = files.withColumn("__terms", terms_of(text))
@@ -154,8 +265,7 @@ def read_units(files: DataFrame) -> DataFrame:
             "path",
             F.array_intersect("__terms", known).alias("known"),
             F.size("__terms").alias("words"),
-            whole.alias("units"),
-            full_text(F.col("path"), text).alias("titled"),
+            units.alias("units"),
         ),
         "units",
     )
@@ -175,17 +285,22 @@ def frequencies(files: DataFrame) -> DataFrame:
 
 
 def file_licenses(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(row, license, score, covered) of the files with a licence of their own, from
-    read_units; ``covered`` is the share of their words in licence lines."""
+    """(row, license, score, covered) of the files with a notice of their own, from
+    read_units; the licence is null where no notice is clear. ``covered`` is the share of
+    their words in licence lines."""
     idf = materialise(frequencies(files), "idf")
     unknown = idf.filter("term IS NULL").select(F.col("idf").alias("most"))
     weighed = template_terms(files).join(F.broadcast(idf), "term").select(
         "template", "license", "term", (F.col("tf") * F.col("idf")).alias("w")
     )
     sizes = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    # Numbers tell versions apart, so a unit must hold all numbers of a template.
+    number = F.when(F.col("term").rlike("[0-9]"), 1).otherwise(0)
+    needs = weighed.groupBy("template").agg(F.sum(number).alias("numbers"))
+    sizes = sizes.join(needs, "template")
+    found = F.struct("license", "template", (F.col("w") / F.col("size")).alias("w"), "numbers")
     templates = weighed.join(F.broadcast(sizes), "template").groupBy("term").agg(
-        F.collect_list(F.struct("license", "template", (F.col("w") / F.col("size")).alias("w")))
-        .alias("found")
+        F.collect_list(found).alias("found")
     )
     table = idf.filter("term IS NOT NULL").join(templates, "term")
     table = F.broadcast(materialise(table, "templates"))
@@ -200,21 +315,29 @@ def file_licenses(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame
     counts = words.groupBy(*key, "term").agg(F.count("*").alias("tf"))
     placed = counts.join(table, "term", "left").join(F.broadcast(unknown))
     own = F.col("tf") * F.coalesce("idf", "most")
-    placed = placed.select(*key, own.alias("w"), "found")
+    placed = placed.select(*key, "term", own.alias("w"), "found")
     sizes = placed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    shares = placed.select(*key, "w", F.explode("found").alias("t"))
+    shares = placed.select(*key, "w", number.alias("number"), F.explode("found").alias("t"))
     dots = shares.groupBy(*key, "t.template", "t.license").agg(
-        F.sum(F.col("w") * F.col("t.w")).alias("dot")
-    )
-    scored = dots.join(sizes, key).withColumn("score", F.col("dot") / F.col("size"))
-    near = scored.filter(F.col("score") >= min_cosine)
-    best = near.groupBy(*key).agg(
-        F.max_by(F.struct("license", "score"), F.struct("score", -F.col("template"))).alias("b"),
-        F.max("score").alias("top"),
-    )
+        F.sum(F.col("w") * F.col("t.w")).alias("dot"),
+        F.sum("number").alias("held"),
+        F.max("t.numbers").alias("numbers"),
+    ).filter("held = numbers")
+    # Rounded, so that equal wordings are equally near whatever the order of sums.
+    scored = dots.join(sizes, key).withColumn("score", F.round(F.col("dot") / F.col("size"), 9))
+    near = scored.filter(F.col("score") >= min_cosine - MARGIN)
+    each = near.groupBy(*key, "license").agg(F.max("score").alias("score"))
+    best = each.groupBy(*key).agg(
+        F.max_by("license", F.struct("score", "license")).alias("license"),
+        F.max("score").alias("score"),
+        F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(1)).alias("next"),
+    ).filter(F.col("score") >= min_cosine)
+    clear = F.coalesce(F.round(F.col("score") - F.col("next"), 9) >= MARGIN, F.lit(True))
+    best = best.withColumn("clear", clear).withColumn("license", F.when(clear, F.col("license")))
     inside = F.sum(F.when(F.col("is_line"), F.col("length")).otherwise(0)) / F.max("words")
     return best.groupBy("row").agg(
-        F.max_by("b", F.struct("top", -F.col("unit"))).alias("b"), inside.alias("covered")
+        F.max_by(F.struct("license", "score"), F.struct("clear", "score", -F.col("unit"))).alias("b"),
+        inside.alias("covered"),
     ).select("row", "b.license", "b.score", "covered")
 
 
@@ -225,9 +348,12 @@ def directory(path: Column) -> Column:
 
 def directory_licenses(named: DataFrame, license_file: float = LICENSE_FILE) -> DataFrame:
     """(dir, license, from_dir) of every directory of ``named`` (dir, license, score, covered)
-    that has a licence file in it or above it."""
+    that has a licence file in it or above it; the licence is null if that names none."""
+    order = F.struct(
+        F.col("license").isNotNull(), "covered", F.coalesce("score", F.lit(0.0)), "license"
+    )
     own = named.filter(F.col("covered") >= license_file).groupBy("dir").agg(
-        F.max_by("license", F.struct("covered", "score", "license")).alias("license")
+        F.max_by("license", order).alias("license")
     )
     own = own.withColumnRenamed("dir", "from_dir")
     dirs = named.select("dir").distinct()
@@ -251,34 +377,33 @@ def scan(
     """(id, path, license, basis, score, from_dir) of every row of ``files`` (id, path, text).
 
     ``basis`` is 'file' for a licence found in the file, 'directory' for an inherited one,
-    and null with a null licence. Null and empty texts have none of their own; a null path
-    inherits nothing. A full text known by its title alone has score 1. Rows that repeat a path are files of their own; an empty table gives
-    none. Ties go to the template that is listed first.
+    'unclear' with a null licence where the file's notices fit two licences alike, and else
+    null with a null licence. ``from_dir`` is the directory whose licence file decides, also
+    where that names no known licence. Null and empty texts have no notice; a null path
+    inherits nothing. Rows that repeat a path are files of their own; an empty table gives none.
     """
     units = read_units(files.select("id", "path", "text"))
     own = file_licenses(units, min_cosine)
-    paths = units.select("row", "id", "path", directory(F.col("path")).alias("dir"), "titled")
-    titled, found = F.col("titled"), F.coalesce("titled", "license")
-    same = titled.isNull() | F.coalesce(titled == F.col("license"), F.lit(False))
-    # A file named as a licence file is one whatever its lines cover.
-    is_file = F.col("path").rlike(FILE_NAME) & found.isNotNull()
-    named = paths.join(own, "row", "left").select(
-        "row", "id", "path", "dir",
-        found.alias("license"),
-        F.when(same, F.col("score")).otherwise(1.0).alias("score"),
-        F.when(is_file, 1.0).otherwise(F.col("covered")).alias("covered"),
+    paths = units.select("row", "id", "path", directory(F.col("path")).alias("dir"))
+    named = paths.join(own, "row", "left").withColumn(
+        # A file named as a licence file is one whatever its lines cover.
+        "covered", F.when(is_named(F.col("path")), 1.0).otherwise(F.col("covered"))
     )
     named = materialise(named, "licenses")
     inherited = directory_licenses(named.filter("dir IS NOT NULL"), license_file).select(
         F.col("dir").alias("d"), F.col("license").alias("above"), F.col("from_dir")
     )
     joined = named.join(inherited, F.col("dir") == F.col("d"), "left")
-    has = F.col("license").isNotNull()
+    # Files with a notice of their own, clear or not, inherit nothing.
+    has = F.col("score").isNotNull()
     return joined.select(
         "id",
         "path",
-        F.coalesce("license", "above").alias("license"),
-        F.when(has, "file").when(F.col("above").isNotNull(), "directory").alias("basis"),
+        F.when(has, F.col("license")).otherwise(F.col("above")).alias("license"),
+        F.when(F.col("license").isNotNull(), "file")
+        .when(has, "unclear")
+        .when(F.col("above").isNotNull(), "directory")
+        .alias("basis"),
         "score",
         F.when(~has, F.col("from_dir")).alias("from_dir"),
     )

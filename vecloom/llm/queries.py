@@ -76,11 +76,13 @@ def op7_personal_data(spark, sf_dir):
 
 
 def op8_licenses(spark, sf_dir):
-    """Documents as files of a tree by source, language and hundreds of ids."""
+    """Documents as files of a tree by source, language and hundreds of ids, where the first
+    of a hundred is named as the licence file of its directory."""
     docs = texts(spark, sf_dir, "source", "lang")
-    path = F.concat_ws(
-        "/", "source", "lang", F.expr("doc_id div 100"), F.concat(F.col("doc_id"), F.lit(".txt"))
+    name = F.when(F.col("doc_id") % 100 == 0, "LICENSE").otherwise(
+        F.concat(F.col("doc_id"), F.lit(".txt"))
     )
+    path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 100"), name)
     files = docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text")
     return licenses.scan(files).select(
         F.col("id").alias("doc_id"), "path", "license", "basis",
@@ -264,7 +266,9 @@ TEMPLATE_ROWS = ", ".join(
 LICENSES = rf"""
     WITH docs AS (
         SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
-               concat_ws('/', source, lang, doc_id // 100, doc_id || '.txt') AS path
+               concat_ws('/', source, lang, doc_id // 100,
+                         CASE WHEN doc_id % 100 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END)
+                   AS path
         FROM documents),
     templates(t, license, text) AS (VALUES {TEMPLATE_ROWS}),
     template_tf AS (
@@ -282,7 +286,9 @@ LICENSES = rf"""
         FROM vocabulary LEFT JOIN df USING (term), total),
     template_w AS (
         SELECT t, license, term, tf * idf AS w,
-               sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS size
+               sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS size,
+               regexp_matches(term, '[0-9]')::int AS number,
+               sum(regexp_matches(term, '[0-9]')::int) OVER (PARTITION BY t) AS numbers
         FROM template_tf JOIN idf USING (term)),
     units AS (
         SELECT r, row_number() OVER (PARTITION BY r ORDER BY NOT is_line, i) AS u, is_line, unit
@@ -291,9 +297,14 @@ LICENSES = rf"""
             FROM (SELECT r, string_split(text, chr(10)) AS l FROM docs)
             UNION ALL
             SELECT r, false, generate_subscripts(l, 1), unnest(l)
-            FROM (SELECT r, regexp_split_to_array(text, '\n[ \t\r]*\n') AS l FROM docs))
+            FROM (SELECT r, list_filter(regexp_split_to_array(text, '\n[ \t\r]*\n'),
+                                        lambda p: contains(p, chr(10))) AS l FROM docs)
+            UNION ALL
+            SELECT r, false, 1000000000, text FROM docs
+            WHERE regexp_matches(path, '{licenses.FILE_NAME}')
+               OR regexp_matches(lower(text), '{licenses.WHOLE}'))
         WHERE regexp_matches(lower(unit), '{licenses.MENTIONS}')
-          AND (is_line OR contains(unit, chr(10)))),
+          AND NOT regexp_matches(lower(unit), '{licenses.DENIALS}')),
     words AS (
         SELECT r, u, is_line, len({TERM_LIST.format('unit')}) AS length,
                unnest({TERM_LIST.format('unit')}) AS term
@@ -304,34 +315,46 @@ LICENSES = rf"""
         FROM words LEFT JOIN idf USING (term), total GROUP BY ALL),
     sizes AS (SELECT r, u, sqrt(sum(w * w)) AS size FROM unit_w GROUP BY ALL),
     scored AS (
-        SELECT r, u, is_line, length, t, license, sum(a.w * b.w / b.size) / any_value(s.size) AS score
+        SELECT r, u, is_line, length, t, license,
+               round(sum(a.w * b.w / b.size) / any_value(s.size), 9) AS score
         FROM unit_w a JOIN template_w b USING (term) JOIN sizes s USING (r, u)
-        GROUP BY r, u, is_line, length, t, license),
+        GROUP BY r, u, is_line, length, t, license
+        HAVING sum(b.number) = any_value(b.numbers)),
+    each AS (
+        SELECT r, u, is_line, length, license, max(score) AS score FROM scored
+        GROUP BY r, u, is_line, length, license),
     best AS (
-        SELECT * FROM scored WHERE score >= {licenses.MIN_COSINE}
-        QUALIFY row_number() OVER (PARTITION BY r, u ORDER BY round(score, 12) DESC, t) = 1),
+        SELECT *, coalesce(round(score - lead(score) OVER nearest, 9) >= {licenses.MARGIN}, true)
+                   AS clear
+        FROM each
+        WINDOW nearest AS (PARTITION BY r, u ORDER BY score DESC, license DESC)
+        QUALIFY row_number() OVER nearest = 1 AND score >= {licenses.MIN_COSINE}),
     lengths AS (SELECT r, len({TERM_LIST.format('text')}) AS words FROM docs),
     own AS (
-        SELECT r, arg_max(license, (round(score, 12), -u)) AS license,
-               max(score) AS score,
+        SELECT r, arg_max(struct_pack(l := CASE WHEN clear THEN license END, s := score),
+                          (clear, score, -u)) AS b,
                sum(CASE WHEN is_line THEN length ELSE 0 END) / any_value(words) AS covered
         FROM best JOIN lengths USING (r) GROUP BY r),
     named AS (
-        SELECT r, doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, license, score,
-               covered
+        SELECT r, doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, b.l AS license,
+               b.s AS score,
+               CASE WHEN regexp_matches(path, '{licenses.FILE_NAME}') THEN 1.0 ELSE covered END
+                   AS covered
         FROM docs LEFT JOIN own USING (r)),
     dirs AS (
-        SELECT dir AS from_dir, arg_max(license, (covered, round(score, 12), license)) AS above
+        SELECT dir AS from_dir,
+               arg_max(struct_pack(l := license), (license IS NOT NULL, covered,
+                       coalesce(score, 0), coalesce(license, ''))).l AS above
         FROM named WHERE covered >= {licenses.LICENSE_FILE} GROUP BY dir),
     found AS (
         SELECT d.dir, arg_max(struct_pack(a := above, f := from_dir), len(from_dir)) AS x
         FROM (SELECT DISTINCT dir FROM named) d
         JOIN dirs ON d.dir = from_dir OR from_dir = '' OR starts_with(d.dir, from_dir || '/')
         GROUP BY d.dir)
-    SELECT doc_id, path, coalesce(license, x.a) AS license,
-           CASE WHEN license IS NOT NULL THEN 'file' WHEN x.a IS NOT NULL THEN 'directory' END
-               AS basis,
-           round(score, 6) AS score, CASE WHEN license IS NULL THEN x.f END AS from_dir
+    SELECT doc_id, path, CASE WHEN score IS NULL THEN x.a ELSE license END AS license,
+           CASE WHEN license IS NOT NULL THEN 'file' WHEN score IS NOT NULL THEN 'unclear'
+                WHEN x.a IS NOT NULL THEN 'directory' END AS basis,
+           round(score, 6) AS score, CASE WHEN score IS NULL THEN x.f END AS from_dir
     FROM named LEFT JOIN found USING (dir)"""
 
 
