@@ -30,19 +30,19 @@ def plain_targets(sizes, share=1.5, epochs=2, weights=(5, 2, 1)):
 
 
 def plain_mix(rows):
-    sized = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, s in rows]
+    sized = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), t or "") for i, t, s in rows]
     sizes = defaultdict(int)
-    for _, s, n in sized:
+    for _, s, n, _ in sized:
         sizes[s] += n
     targets, out = plain_targets(sizes), []
     for source, total in sizes.items():
         def order(r):
-            name = "" if r[0] is None else str(r[0])
+            name = hashlib.md5(r[3].encode()).hexdigest() if r[0] is None else str(r[0])
             return hashlib.md5(f"42:{name}".encode()).hexdigest(), r[0] is not None, r[0] or 0, r[2]
 
         goal, before = int(targets[source] + 0.5), 0
         wholes = goal // total if total else 0
-        for i, _, n in sorted((r for r in sized if r[1] == source), key=order):
+        for i, _, n, _ in sorted((r for r in sized if r[1] == source), key=order):
             part = max(0, min(n, goal - wholes * total - before))
             before += n
             out.append((i, n, total, round(targets[source], 4), wholes * n + part))
@@ -76,6 +76,22 @@ def test_odd_rows(spark, monkeypatch, slice_rows):
     assert mixed(df.filter("doc_id = -1")) == []
 
 
+def test_rows_without_ids_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 10)
+    seen = []
+    write = mixing.materialise
+    monkeypatch.setattr(
+        mixing, "materialise", lambda df, name: seen.append((name, write(df, name))) or seen[-1][1]
+    )
+    rows = [(None, f"a {i} " + "b " * (i % 3), "s") for i in range(400)]
+    rows += [(None, None, "s")] * 400 + [(i, "c d", "s") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mixed(df) == plain_mix(rows)
+    high = F.substring("__hash", 1, 1)
+    counts = dict(seen)["sized"].groupBy(high.alias("h")).count().collect()
+    assert len(counts) == 16 and max(r["count"] for r in counts) < 200
+
+
 def test_levels_clamp_in_several_rounds(spark):
     sizes = {"a": 10, "b": 400, "c": 30, "d": 5000, "e": 1, None: 7}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")

@@ -78,9 +78,20 @@ def water_fill(sources: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -
 
 
 def order_hash(id_col: str, seed: int) -> Column:
-    """Seeded hash of an id, in hexadecimal; a null id counts as an empty one."""
-    named = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return F.md5(F.concat(F.lit(f"{seed}:"), named))
+    """Seeded hash of an id, in hexadecimal; rows without an id are told apart by ``unnamed``.
+
+    Rows of no words move no other row, so where they are placed is of no account and they
+    are spread evenly."""
+    named = F.coalesce(F.col(id_col).cast("string"), F.col("unnamed"), F.lit(""))
+    spread = F.when(F.col("size") > 0, named).otherwise(
+        F.monotonically_increasing_id().cast("string")
+    )
+    return F.md5(F.concat(F.lit(f"{seed}:"), spread))
+
+
+def text_name(text: Column) -> Column:
+    """What stands for the id of a document without one: a hash of its text."""
+    return F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(text, F.lit(""))))
 
 
 def mix(
@@ -91,7 +102,7 @@ def mix(
     seed: int = 42,
     whole_only: bool = False,
 ) -> DataFrame:
-    """Adds ``source_size``, ``target`` and ``taken`` to rows (doc_id, source, size, ...).
+    """Adds ``source_size``, ``target`` and ``taken`` to rows (doc_id, source, size, unnamed, ...).
 
     ``taken`` is the number of words the mix takes of a document, repeats counted: at most
     ``epochs`` times its size if ``share`` can be met. With ``whole_only`` the last document
@@ -139,12 +150,17 @@ def mix(
     if whole_only:
         part = F.when(part * 2 >= F.col("size"), F.col("size")).otherwise(0)
     taken = (wholes * F.col("size") + part).cast("long")
-    return rows.withColumn("taken", taken).drop("__hash", "__slice", "__start", "__before")
+    return rows.withColumn("taken", taken).drop(
+        "__hash", "__slice", "__start", "__before", "unnamed"
+    )
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of ``docs``."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    text = F.col("text")
+    sized = docs.select(
+        "doc_id", "source", word_count(text).alias("size"), text_name(text).alias("unnamed")
+    )
     return mix(sized, **options).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -154,7 +170,10 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     Documents without words are in no mix.
     """
     marked = with_row_key(docs)
-    sized = marked.select("doc_id", "source", *ROW_KEY, word_count(F.col("text")).alias("size"))
+    text = F.col("text")
+    sized = marked.select(
+        "doc_id", "source", *ROW_KEY, word_count(text).alias("size"), text_name(text).alias("unnamed")
+    )
     taken = mix(sized, whole_only=True, **options).filter("size > 0 and taken > 0")
     # Full repeats share a row key; their copies are summed and one of them is repeated.
     copies = taken.groupBy(*ROW_KEY).agg(F.sum(F.expr("taken div size")).alias("__copies"))

@@ -132,7 +132,7 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 MIX = rf"""
     WITH sized AS (
         SELECT doc_id, source, len({WORDS})::bigint AS size,
-               md5('42:' || coalesce(doc_id::varchar, '')) AS h
+               md5('42:' || coalesce(doc_id::varchar, md5(coalesce(text, '')))) AS h
         FROM documents),
     sources AS (
         SELECT source, sum(size)::bigint AS source_size,
