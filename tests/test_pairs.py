@@ -172,3 +172,31 @@ def test_few_pairs_are_candidates_on_the_given_vectors(spark):
         (homes * (homes - 1) / 2 + homes * F.count_if(~F.col("home"))).alias("pairs")
     )
     assert met.agg(F.sum("pairs")).first()[0] * 8 / 64 < 0.2 * n * (n - 1) / 2
+
+
+@pytest.mark.parametrize("spread", [0.02, 1.0])
+def test_pairs_are_settled_where_they_meet(make_table, distances, monkeypatch, spread):
+    """No list of candidates is joined to vectors again; rows all about one direction, where
+    few axes tell nothing apart, are compared by whole vectors."""
+
+    def never(*args):
+        raise AssertionError("candidates were listed")
+
+    monkeypatch.setattr("vecloom.operators.pairs.checked", never)
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((1, 48)) + spread * rng.standard_normal((700, 48))
+    v[300:330] = v[300] + 0.05 * spread * rng.standard_normal((30, 48))
+    v[5], v[6] = 0.0, 3 * v[7]
+    v = v.astype(np.float32)
+    frame = make_table(v, list(range(700)))
+    threshold = 0.0004 if spread < 1 else 0.05
+    ours = found(duplicate_pairs(frame, threshold, block_rows=130))
+    want = expected(v, threshold, distances)
+    assert set(ours) == set(want) and len(want) > 400
+    assert all(abs(ours[p] - want[p]) < 1e-6 for p in want)
+
+
+def test_parts_on_request(make_table, distances):
+    v = clustered(200, 24, 20, 0.1, seed=5).astype(np.float32)
+    ours = found(duplicate_pairs(make_table(v, list(range(200))), 0.05, by_parts=True, block_rows=30))
+    assert set(ours) == set(expected(v, 0.05, distances))

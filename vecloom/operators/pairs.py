@@ -23,15 +23,20 @@ from vecloom.functions.vectors import (
 from vecloom.operators import blocks
 from vecloom.operators.cells import assign_cells, choose_anchors
 from vecloom.operators.copies import Copies, collapse, expand_pairs, stars
-from vecloom.operators.parts import part_kernel, spread_parts
+from vecloom.operators.parts import part_kernel, rotation, spread_parts
 from vecloom.session import materialise
 
 # Rows of a block compared at a time inside a task, by vectors and by sketches.
 STRIP_ROWS = 1024
 SCREEN_ROWS = 256
 SKETCH_BITS = 256
-# Up to this distance parts of vectors tell most pairs apart.
+# Up to this distance a few axes of turned vectors tell most pairs apart.
 PART_THRESHOLD = 0.1
+# Rows of a tile that few axes are compared in, and the share of its pairs that may pass before
+# the whole vectors of the tile are compared.
+TILE_LEFT, TILE_RIGHT, MOST_PASSING = 256, 1024, 0.005
+# Blocks of a join without cells: this many, or as many as keep each within the bytes.
+MOST_BLOCKS, BLOCK_BYTES = 16, 16 * 1024 * 1024
 
 
 def pair_schema(df: DataFrame) -> T.StructType:
@@ -47,11 +52,9 @@ def pair_schema(df: DataFrame) -> T.StructType:
     )
 
 
-def pair_kernel(threshold: float, limit: int | None):
-    """Task function: all pairs of two blocks below the threshold.
-
-    Input columns: id, key, vector, side.
-    """
+def whole_matches(threshold: float):
+    """Function from the unit rows of two blocks to tiles of (i, j, distance) below the
+    threshold, by inner products of whole vectors."""
 
     def matches(left, right, same):
         slack = screen_margin(left.shape[1])
@@ -66,6 +69,53 @@ def pair_kernel(threshold: float, limit: int | None):
             below = distance < threshold
             yield i[below] + lo, j[below], distance[below]
 
+    return matches
+
+
+def axis_matches(threshold: float):
+    """As ``whole_matches``, for small thresholds: the squared distance in some axes of randomly
+    turned vectors is no more than that of whole ones, so a pair that is too far there is too
+    far. A tile in which many pairs pass is compared by whole vectors."""
+
+    def matches(left, right, same):
+        dim = left.shape[1]
+        axes = min(dim, max(8, dim // 4))
+        turn, slack = rotation(dim)[:, :axes], screen_margin(dim)
+        a = (left @ turn).astype(np.float32)
+        b = (right @ turn).astype(np.float32)
+        # (x - y)^2 <= 2t as x.y - y^2 / 2 >= x^2 / 2 - t, with room for rounding.
+        least = (a.astype(np.float64) ** 2).sum(axis=1) / 2 - threshold - 4 * slack
+        a = np.concatenate([a, np.full((len(a), 1), -1, np.float32)], axis=1)
+        b = np.concatenate([b, (b**2).sum(axis=1, keepdims=True) / 2], axis=1)
+        left32, right32 = left.astype(np.float32), right.astype(np.float32)
+        for lo in range(0, len(left), TILE_LEFT):
+            rows, low = a[lo : lo + TILE_LEFT], least[lo : lo + TILE_LEFT, None].astype(np.float32)
+            for at in range(0, len(right), TILE_RIGHT):
+                if same and at + TILE_RIGHT <= lo:
+                    continue
+                close = rows @ b[at : at + TILE_RIGHT].T >= low
+                if np.count_nonzero(close) > MOST_PASSING * close.size:
+                    whole = left32[lo : lo + TILE_LEFT] @ right32[at : at + TILE_RIGHT].T
+                    close &= whole > 1.0 - threshold - slack
+                i, j = np.divmod(np.flatnonzero(close), close.shape[1])
+                i, j = i + lo, j + at
+                if same:
+                    i, j = i[j > i], j[j > i]
+                distance = cosine_distances(left, i, right, j)
+                below = distance < threshold
+                if below.any():
+                    yield i[below], j[below], distance[below]
+
+    return matches
+
+
+def pair_kernel(threshold: float, limit: int | None):
+    """Task function: all pairs of two blocks below the threshold.
+
+    Input columns: id, key, vector, side.
+    """
+    matches = (axis_matches if threshold <= PART_THRESHOLD else whole_matches)(threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).combine_chunks()
         if table.num_rows == 0:
@@ -155,13 +205,15 @@ def duplicate_pairs(
     key_col: str | None = None,
     block_rows: int = blocks.BLOCK_ROWS,
     star: bool = False,
+    by_parts: bool = False,
 ) -> DataFrame:
     """Exact near-duplicate self-join: (id_a, id_b, distance), ascending by distance.
 
-    Copies are joined once for all. Up to PART_THRESHOLD other rows meet by parts of their
-    vectors (see parts.py), beyond it inside metric cells of whole vectors; both lose no
-    pair. ``key_col`` names a unique row key where ids may repeat. ``limit`` keeps the first
-    pairs only.
+    Copies are joined once for all. Other rows meet inside metric cells of whole vectors, and
+    up to PART_THRESHOLD, where few axes tell most pairs apart at less cost than a row's
+    copies in the cells it visits, in blocks; both lose no pair. With ``by_parts`` such rows meet
+    by parts of their vectors instead (see parts.py). ``key_col`` names a unique row key where
+    ids may repeat. ``limit`` keeps the first pairs only.
 
     A group of m equal vectors has m(m-1)/2 pairs. With ``star`` it is given in m - 1: its
     lowest row with each other one. Nothing is lost, since copies share every distance;
@@ -169,8 +221,10 @@ def duplicate_pairs(
     """
     n = df.count()
     copies = collapse(keyed(df, id_col, vector_col, key_col))
-    if threshold <= PART_THRESHOLD:
+    if threshold <= PART_THRESHOLD and by_parts:
         found = part_pairs(copies.reps, threshold, block_rows)
+    elif threshold <= PART_THRESHOLD:
+        found = block_pairs(copies.reps, n, threshold, limit, block_rows)
     else:
         found = cell_pairs(copies.reps, n, threshold, limit, block_rows)
     return finished(found, copies, threshold, limit, key_col is not None, block_rows, star)
@@ -188,6 +242,19 @@ def cell_pairs(
     return grouped.applyInArrow(pair_kernel(threshold, limit), pair_schema(rows))
 
 
+def block_pairs(
+    rows: DataFrame, n: int, threshold: float, limit: int | None, block_rows: int
+) -> DataFrame:
+    """Pairs of about ``n`` rows (id, key, vector), each pair of blocks by a task. Blocks are
+    large, since a row is sent once for each block there is."""
+    head = rows.select(F.size("vector")).first()
+    most = max(1, BLOCK_BYTES // (4 * max(1, head[0] if head else 1)))
+    count = min(-(-n // block_rows), max(MOST_BLOCKS, -(-n // most)))
+    placed = rows.withColumn("cell", F.lit(0)).withColumn("home", F.lit(True))
+    grouped = cell_groups(placed, "key", ["id", "key", "vector"], block_rows, max(1, count))
+    return grouped.applyInArrow(pair_kernel(threshold, limit), pair_schema(rows))
+
+
 def cell_groups(
     placed: DataFrame, key: str, columns: list[str], block_rows: int, one: int | None = None
 ) -> GroupedData:
