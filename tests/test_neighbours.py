@@ -106,3 +106,15 @@ def test_descent_in_one_block_is_exact(make_table):
     assert neighbour_graph(frame.limit(1), 5, exact=False).count() == 0
     assert neighbour_graph(frame.limit(3), 5, exact=False).count() == 6
     assert neighbour_graph(frame.limit(0), 5, exact=False).count() == 0
+
+
+def test_descent_starts_from_large_blocks(make_table, distances):
+    """Large blocks alone find what small ones leave to many rounds, in few large partitions."""
+    v = np.random.default_rng(7).standard_normal((2_500, 24)).astype(np.float32)
+    d = np.round(distances(v), 9)
+    np.fill_diagonal(d, np.inf)
+    frame = make_table(v, list(range(2_500)))
+    share, sizes, count = recall(neighbour_graph(frame, 10, exact=False, most_rounds=0), d, 10)
+    assert share == 1 and sizes == {10} and count == 2_500
+    cut = neighbour_graph(frame, 10, exact=False, start_rows=900, most_rounds=0)
+    assert 0.4 < recall(cut, d, 10)[0] < 1
