@@ -275,3 +275,33 @@ def test_overlaps_by_bisection_match_the_definition():
 )
 def test_national_formats(span, wanted):
     assert pii.national(span) == wanted
+
+
+def test_all_vectors_teach(spark, monkeypatch):
+    """More vectors of one format than any quota, of which those beyond 40 are no addresses. All
+    count, and trees grown over partitions are those of the driver."""
+    draw = random.Random(9)
+    rows = []
+    for i in range(26_000):
+        x = [0.0, float(i % 90), *[0.0] * (pii.FEATURES - 2)]
+        x[11:13] = float(draw.randrange(12)), float(i // 90)
+        rows.append((0, int(x[1] <= 40), x))
+    made = spark.createDataFrame(rows, "kind int, label int, x array<double>")
+    vectors = pii.training_vectors(made)
+    assert vectors.count() == 26_000 and vectors.where("stands <> 1 OR n <> 1").isEmpty()
+    spread = pii.fit_spread(vectors, rounds=3)
+    own, times = np.unique([[e[1], *e[2]] for e in pii.made_up()], axis=0, return_counts=True)
+    x = np.concatenate([[r[2] for r in rows], own[:, 1:]])
+    y, n = np.append([r[1] for r in rows], own[:, 0]), np.append(np.ones(len(rows)), times)
+    local = pii.fit_trees(x, y, rounds=3, weight=np.log2(1 + n))
+    assert np.isclose(spread.trees.start, local.start)
+    assert np.allclose(spread.trees.score(x), local.score(x), atol=1e-6)
+
+
+def test_many_vectors_make_the_same_detector(spark, detectors, monkeypatch):
+    monkeypatch.setattr(pii, "LOCAL_ROWS", 0)
+    spread = pii.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts = [a + t + b for a, b in AROUND for t in [*LOOK_ALIKES, *sum(DISGUISED.values(), [])]]
+    wanted = [found for _, found in pii.all_spans(texts, detectors[0])]
+    assert [found for _, found in pii.all_spans(texts, spread)] == wanted
+    assert all(0.9 <= t <= 1 for t in spread.thresholds)

@@ -11,10 +11,10 @@ times, dates, ids, versions, prose around an @), and candidates of the texts tha
 span and break their kind's format. Each kind gets
 the least threshold that reaches the wanted precision on vectors its trees have not seen.
 
-The examples of all texts are counted by feature vector. Trees are fitted on different vectors:
-each kind and label has a quota of ``TRAIN_ROWS`` / 8 of them, dealt evenly to its formats, so
-frequent formats crowd out neither rare ones nor another kind. Within a format vectors of least
-hash stand for the others. Everything else sees every text whole.
+The examples of all texts are counted by feature vector, and trees and thresholds are fitted on
+all different vectors: on the driver if there are few, else the histograms of a level of all trees
+are summed over the partitions of the vectors. A vector weighs the logarithm of its count, so
+frequent formats do not crowd out rare ones.
 """
 
 from __future__ import annotations
@@ -29,12 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.functions.vectors import as_binary, as_lists
 from vecloom.llm.texts import map_texts, pieces
-from vecloom.session import materialise
+from vecloom.session import materialise, take_bounded
 
 KINDS = ["email", "ip", "card", "phone"]
-# About how many different vectors the trees are fitted on, over all kinds and labels.
-TRAIN_ROWS = 20_000
+# Up to so many different vectors the trees are fitted on the driver.
+LOCAL_ROWS = 20_000
+# With more, the partitions whose histograms are summed, the rounds after which the scores so
+# far are written, and the steps of the scores that are counted for the thresholds.
+MOST_PARTS, WRITTEN_ROUNDS, SCORE_STEPS = 32, 8, 1 << 20
 # Parts of the vectors; trees fitted on the others score each one for calibration.
 FOLDS = 4
 # Candidates of a text that are scored at once.
@@ -529,11 +533,13 @@ def fair_share(counts: list[int], quota: int) -> float:
     return float(max(counts))
 
 
-def training_vectors(made: DataFrame, train_rows: int) -> DataFrame:
+def training_vectors(made: DataFrame, train_rows: int | None = None) -> DataFrame:
     """(kind, label, x, n, ones, stands) of the vectors to fit on, from (kind, label, x).
 
     ``n`` examples have the vector, ``ones`` of them positive, and ``label`` is what most of
-    them say. A vector of a format with more of them than its share stands for ``stands``.
+    them say. These are all vectors, unless ``train_rows`` bounds them: then each kind and label
+    has an equal quota, dealt to its formats, and a vector of a format with more of them than
+    its share stands for ``stands``.
     """
     counted = made.groupBy("kind", "x").agg(F.count("*").alias("n"), F.sum("label").alias("ones"))
     counted = counted.select(
@@ -543,6 +549,10 @@ def training_vectors(made: DataFrame, train_rows: int) -> DataFrame:
         F.xxhash64("kind", "x").alias("hash"),
     )
     counted = materialise(counted, "vectors")
+    if train_rows is None:
+        return counted.withColumn("stands", F.lit(1.0)).orderBy("kind", "label", "hash", "x").select(
+            "kind", "label", "x", "n", "ones", "stands"
+        )
     # A row for each format, of which the caps in format_of leave few.
     key = ["kind", "label", "format"]
     sizes = counted.groupBy(*key).agg(F.count("*").alias("size"), F.min("hash").alias("first"))
@@ -566,9 +576,9 @@ def training_vectors(made: DataFrame, train_rows: int) -> DataFrame:
     )
 
 
-def fit(df: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Detector:
+def fit(df: DataFrame, text_col: str = "text", train_rows: int | None = None) -> Detector:
     """Trees and thresholds from the examples of all texts, counted by vector, and from the
-    lessons of the made-up spans, counted likewise.
+    lessons of the made-up spans, counted likewise. ``train_rows`` bounds the vectors, if wanted.
 
     Trees weigh a vector by the logarithm of its count, so millions of copies do not drown a
     rare format. Each vector is scored by trees that were fitted without it; these scores
@@ -590,7 +600,10 @@ def fit(df: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) ->
                 )
 
     made = df.select(text_col).mapInArrow(run, "kind int, label int, x array<double>")
-    table = training_vectors(made, train_rows).toArrow()
+    vectors = training_vectors(made, train_rows)
+    table = take_bounded(vectors, LOCAL_ROWS) if train_rows is None else vectors.toArrow()
+    if table is None:
+        return fit_spread(vectors)
     own, times = np.unique([[e[1], *e[2]] for e in made_up()], axis=0, return_counts=True)
     columns = {c: table.column(c).to_numpy() for c in ("kind", "n", "ones", "stands")}
     found = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
@@ -615,6 +628,187 @@ def fit(df: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) ->
     )
 
 
+# -- Many vectors --------------------------------------------------------------------------
+
+
+def spread_cuts(rows: DataFrame, bins: int) -> list[np.ndarray]:
+    """As ``cuts_of``, of all vectors of rows(x): what is counted is each value of a feature."""
+    counted = rows.select(F.posexplode("x").alias("f", "value")).groupBy("f", "value").count()
+    counted = materialise(counted, "values")
+    few = counted.groupBy("f").agg(F.count("*").alias("different"))
+    shares = [float(q) for q in np.linspace(0, 1, bins + 1)[1:-1]]
+    joined = counted.join(F.broadcast(few), "f")
+    every = joined.where(F.col("different") <= bins).select("f", "value").toArrow()
+    at = joined.where(F.col("different") > bins).groupBy("f").agg(
+        F.percentile("value", F.array(*map(F.lit, shares)), F.col("count")).alias("cuts")
+    )
+    # At most ``bins`` values of a feature.
+    cuts = [np.zeros(0)] * FEATURES
+    feature, value = every.column("f").to_numpy(), every.column("value").to_numpy()
+    for f in np.unique(feature):
+        cuts[f] = np.unique(value[feature == f])[:-1]
+    for r in at.collect():
+        cuts[r.f] = np.unique(r.cuts)
+    return cuts
+
+
+def node_of(codes: np.ndarray, feature: np.ndarray, place: np.ndarray, levels: int) -> np.ndarray:
+    """The node of each row after the first levels of a tree over binned features."""
+    node, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
+    for _ in range(levels):
+        node = 2 * node + 1 + (codes[rows, feature[node]] > place[node])
+    return node
+
+
+def code_matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), FEATURES)
+
+
+def histograms(state: DataFrame, shipped, level: int, width: int) -> np.ndarray:
+    """Sums of gradients and second derivatives [model, node, feature, bin, 2] of a level over
+    all rows of state(codes, y, weight, fold, total). Shipped are the rounds since the totals
+    were written, the last of them the trees that grow; model ``m`` leaves out fold m."""
+
+    def run(batches):
+        rounds = shipped.value
+        count = 1 << level
+        sums = np.zeros((FOLDS + 1, count, FEATURES, width, 2))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = code_matrix(batch.column(0))
+            y, weight, fold = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            total = batch.column(4).flatten().to_numpy().reshape(len(y), FOLDS + 1).copy()
+            for m in range(FOLDS + 1):
+                for feature, place, leaf in (r[m] for r in rounds[:-1]):
+                    levels = int(np.log2(len(leaf)))
+                    total[:, m] += leaf[node_of(codes, feature, place, levels) - len(feature)]
+                own = fold != m
+                part, p = codes[own], 1.0 / (1.0 + np.exp(-total[own, m]))
+                g, h = weight[own] * (y[own] - p), weight[own] * np.maximum(p * (1 - p), 1e-6)
+                feature, place, _ = rounds[-1][m]
+                node = node_of(part, feature, place, level) - (count - 1)
+                for f in range(FEATURES):
+                    cell = node * width + part[:, f]
+                    for i, values in enumerate((g, h)):
+                        sums[m, :, f, :, i] += np.bincount(cell, values, count * width).reshape(count, width)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+
+    # One array of fixed size for each of at most MOST_PARTS partitions.
+    found = state.mapInArrow(run, "sums binary").toArrow().column("sums").to_pylist()
+    shape = (FOLDS + 1, 1 << level, FEATURES, width, 2)
+    return sum(np.frombuffer(x).reshape(shape) for x in found)
+
+
+def with_totals(state: DataFrame, shipped) -> DataFrame:
+    """The state with the rounds added to its totals, written."""
+    names = state.columns
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = code_matrix(batch.column(0))
+            total = batch.column(4).flatten().to_numpy().reshape(len(codes), FOLDS + 1).copy()
+            for trees in shipped.value:
+                for m, (feature, place, leaf) in enumerate(trees):
+                    levels = int(np.log2(len(leaf)))
+                    total[:, m] += leaf[node_of(codes, feature, place, levels) - len(feature)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], as_lists(total), *batch.columns[5:]], names)
+
+    return materialise(state.mapInArrow(run, state.schema), "boosting")
+
+
+def fit_spread(
+    vectors: DataFrame, rounds: int = 80, depth: int = 4, rate: float = 0.3, bins: int = 32
+) -> Detector:
+    """As ``fit``, from any number of training vectors: trees over the bins of all vectors,
+    grown level by level from histograms, those of each fold beside those of all."""
+    spark = vectors.sparkSession
+    own, times = np.unique([[e[1], *e[2]] for e in made_up()], axis=0, return_counts=True)
+    made = pa.table(
+        {
+            "kind": own[:, 1].astype(np.int32), "x": as_lists(own[:, 1:]),
+            "n": times.astype(np.int64), "ones": (own[:, 0] * times).astype(np.int64),
+        }
+    )
+    rows = vectors.select("kind", "x", "n", "ones").unionByName(spark.createDataFrame(made))
+    # Made-up spans are lessons beside those of the texts; equal vectors share a fold.
+    rows = materialise(
+        rows.select(
+            "kind", "x", (F.col("ones") / F.col("n")).alias("y"), F.log2(1.0 + F.col("n")).alias("weight"),
+            F.pmod(F.xxhash64("x"), F.lit(FOLDS)).cast("int").alias("fold"),
+        ),
+        "lessons",
+    )
+    cuts = spread_cuts(rows, bins)
+    width = max(len(c) for c in cuts) + 1
+    held = [F.sum(F.when(F.col("fold") != m, F.col(c))) for m in range(FOLDS + 1) for c in ("weight", "right")]
+    sums = np.array(rows.withColumn("right", F.col("y") * F.col("weight")).agg(*held).first(), float)
+    share = np.clip(sums[1::2] / sums[::2], 0.01, 0.99)
+    starts = np.log(share / (1 - share))
+
+    def coded(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, FEATURES)
+            codes = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], axis=1)
+            total = np.tile(starts, (len(x), 1))
+            yield pa.RecordBatch.from_arrays(
+                [as_binary(codes.astype(np.uint8)), *batch.columns[2:], as_lists(total), batch.column(0)],
+                ["codes", "y", "weight", "fold", "total", "kind"],
+            )
+
+    schema = "codes binary, y double, weight double, fold int, total array<double>, kind int"
+    state = materialise(rows.repartition(MOST_PARTS, "x").mapInArrow(coded, schema), "boosting")
+    inner, leaves = (1 << depth) - 1, 1 << depth
+    usable = np.array([[b < len(c) for b in range(width)] for c in cuts])
+    models: list = [[] for _ in range(FOLDS + 1)]
+    recent: list = []
+    for turn in range(rounds):
+        growing = [
+            [np.zeros(inner, np.int64), np.full(inner, 255, np.int64), np.zeros(leaves)] for _ in models
+        ]
+        for level in range(depth + 1):
+            shipped = spark.sparkContext.broadcast([*recent, growing])
+            found = histograms(state.coalesce(MOST_PARTS), shipped, level, width)
+            base, count = (1 << level) - 1, 1 << level
+            for m, (feature, place, leaf) in enumerate(growing):
+                gs, hs = found[m, ..., 0].cumsum(axis=2), found[m, ..., 1].cumsum(axis=2)
+                ga, ha = gs[..., -1:], hs[..., -1:]
+                if level == depth:
+                    leaf[:] = rate * ga[:, 0, 0] / (ha[:, 0, 0] + 1)
+                    continue
+                gain = gs**2 / (hs + 1) + (ga - gs) ** 2 / (ha - hs + 1) - ga**2 / (ha + 1)
+                gain = np.where(usable, gain, -np.inf).reshape(count, -1)
+                at = gain.argmax(axis=1)
+                better = np.flatnonzero(gain[np.arange(count), at] > 1e-9)
+                feature[base + better], place[base + better] = np.divmod(at[better], width)
+            shipped.unpersist()
+        for grown, trees in zip(models, growing):
+            feature, place, leaf = trees
+            cut = [cuts[f][c] if c < 255 else np.inf for f, c in zip(feature, place)]
+            grown.append((feature, np.array(cut), leaf))
+        recent.append(growing)
+        if len(recent) == WRITTEN_ROUNDS or turn == rounds - 1:
+            state = with_totals(state, spark.sparkContext.broadcast(recent))
+            recent = []
+    # The scores by the trees that were fitted without a vector, counted in fine steps.
+    score = 1.0 / (1.0 + F.exp(-F.get("total", F.col("fold"))))
+    counted = state.groupBy("kind", F.round(score * SCORE_STEPS).alias("step")).agg(
+        F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("y")).alias("right")
+    )
+    # At most SCORE_STEPS of a kind.
+    table = counted.orderBy("kind", "step").toArrow()
+    kind, step, weight, right = (table.column(c).to_numpy() for c in ("kind", "step", "weight", "right"))
+    trees = Trees(*(np.stack(z) for z in zip(*models[FOLDS])), float(starts[FOLDS]))
+    kinds = [kind == k for k in range(len(KINDS))]
+    return Detector(
+        trees, [calibrate(step[k] / SCORE_STEPS, right[k] / weight[k], weight[k]) for k in kinds]
+    )
+
+
 # -- Spans of texts ------------------------------------------------------------------------
 
 
