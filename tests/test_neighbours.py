@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from vecloom.functions.vectors import unit_rows
+from vecloom.operators import cells, neighbours
 from vecloom.operators.neighbours import nearest_join, neighbour_graph
 from vecloom.operators.search import search_batch
 
@@ -61,6 +63,39 @@ def test_graph_keeps_rows_of_equal_ids_apart(spark):
     assert got == [("a", 1, "a"), ("a", 1, "a"), ("b", 1, "a")]
 
 
+def test_copies_in_many_cells_leave_in_bounded_batches(make_table, monkeypatch):
+    """A batch whose rows all reach every cell is not multiplied into one larger batch."""
+    v = np.random.default_rng(8).standard_normal((500, 16)).astype(np.float32)
+    frame = make_table(v, list(range(500)))
+    monkeypatch.setattr(cells, "SENT_BYTES", 8 * 16 * 50, raising=False)
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: run)
+    batch = frame.toArrow().combine_chunks().to_batches()[0]
+    run = cells.assign_cells(frame, unit_rows(v[:40], np.float32), radius=2.0)
+    sizes = [b.num_rows for b in run(iter([batch]))]
+    assert sum(sizes) == 500 * 40 and max(sizes) <= 50
+
+
+def test_graph_by_pairs_of_blocks_is_exact(make_table, distances, monkeypatch):
+    """Rows that reach many cells meet in blocks: copies, ties and a zero vector among them."""
+    asked = []
+    blocked = neighbours.block_graph
+    monkeypatch.setattr(
+        neighbours, "block_graph", lambda *args: asked.append(args[1]) or blocked(*args)
+    )
+    rng = np.random.default_rng(9)
+    v = rng.integers(-1, 2, (900, 12)).astype(np.float32)
+    v[:300] = rng.standard_normal((300, 12))
+    v[300:320] = v[0]
+    v[400] = 0
+    d = np.round(distances(v), 11)
+    graph = neighbour_graph(make_table(v, list(range(900))), 6, block_rows=50)
+    got = {(r["qid"], r["rank"]): r["id"] for r in graph.collect()}
+    for i in range(900):
+        order = [j for j in np.lexsort((np.arange(900), d[i])) if j != i][:6]
+        assert [got[i, r] for r in range(1, 7)] == order
+    assert len(asked) == 1
+
+
 def recall(graph, d, k):
     """Mean share of each row's list that is as near as its k nearest, and the list's size."""
     got = {}
