@@ -87,6 +87,22 @@ def test_layout_is_trustworthy(make_table, method, block_rows, least):
     assert trust["moved"]["trust"] > least > trust["linear"]["trust"] + 0.05
 
 
+def test_trust_is_asked_of_many_rows(make_table, random_vectors):
+    """More rows than are sent to the tasks at a time, in several blocks or in one."""
+    v = random_vectors(600, 8, 5, positive=False)
+    frame = make_table(v, list(range(600)))
+    linear = project(frame, 2)
+    rows = sorted(linear.collect(), key=lambda r: r["id"])
+    y = np.array([[r["x"], r["y"]] for r in rows])
+    wanted = (600, 600, pytest.approx(brute_trust(v, y, 5), abs=1e-6))
+    for block_rows in (4096, 130):
+        assert tuple(trustworthiness(frame, linear, "id >= 0", 5, block_rows=block_rows).first()) == wanted
+    many = random_vectors(4_500, 3, 6, positive=False)
+    frame = make_table(many, list(range(4_500)))
+    got = trustworthiness(frame, project(frame, 3), "id >= 0")
+    assert got.select("n_rows", "n_asked", F.col("trust") > 0.99).first() == (4_500, 4_500, True)
+
+
 def test_bandwidths_reach_the_wanted_count():
     rng = np.random.default_rng(3)
     gaps = np.sort(rng.gamma(2, 1, (200, 15)) * rng.uniform(0.01, 50, (200, 1)), axis=1)
